@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from habitrace.llm import chat, decontaminate, simhash, tokenbin
+from habitrace.llm import chat, decontaminate, embed_dedup, html_extract, license_scan, mixing, quality_rules, simhash, token_edits, tokenbin
 from habitrace.llm.store import table, written
 from habitrace.llm.wordbpe import encoder_of
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
+#: Rank file of the edit-aware counts.
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _tokenizer_path(name: str = TOKENIZER) -> str:
@@ -25,6 +27,10 @@ def _tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -35,14 +41,40 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(table(spark, sf_dir, "documents"))
+    return planned.withColumn("probability", F.round("probability", 6))
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = tokenbin.write_shards(docs, lambda: _encode_all, END_ID, 2)
+    path = tokenbin.write_shards(docs, word_encoder, END_ID, 2)
     return tokenbin.crc32_of_ids(tokenbin.read_shards(spark, path))
 
 
-def _encode_all(texts: list[str]) -> list[bytes]:
-    return list(map(encoder_of(_tokenizer_path()).encode, texts))
+def word_encoder() -> Callable[[list[str]], list[bytes]]:
+    """In a worker: texts to the ids of the tokenizer file that every node has."""
+    encode = encoder_of(_tokenizer_path()).encode
+    return lambda texts: list(map(encode, texts))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality_rules.score_documents(docs, model)
+    return scored.select("doc_id", (~quality_rules.in_training(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edits = token_edits.revision(F.col("doc_id"), F.col("text"))
+    return token_edits.count_with_edits(docs, edits, _tokenizer_path(RANKS), public_tokenizers.PATTERN)
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,14 +84,24 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(written(chat.format_examples(rows), "chat"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html": op1_html,
         "op2_decontaminate": op2_decontaminate,
         "op3_simhash": op3_simhash,
+        "op4_embeddings": op4_embeddings,
+        "op5_mixing": op5_mixing,
         "op6_token_shards": op6_token_shards,
+        "op7_quality": op7_quality,
+        "op8_token_counts": op8_token_counts,
         "op9_chat": op9_chat,
+        "op10_licenses": op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": mixing.oracle_sql()}
