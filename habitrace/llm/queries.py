@@ -53,7 +53,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = tokenbin.write_shards(docs, word_encoder, END_ID, 2)
-    return tokenbin.crc32_of_ids(tokenbin.read_shards(spark, path))
+    return tokenbin.read_shards(spark, path, digest=True)
 
 
 def word_encoder() -> Callable[[list[str]], list[bytes]]:

@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from habitrace.llm.store import new_path
@@ -90,8 +90,8 @@ def write_shards(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], li
 
     ``encoder()`` is called in the worker; what it returns maps texts to the
     little-endian bytes of their ids. A null text is empty (its only id is
-    ``end_id``). Rows that share an id are ordered by text; rows without one
-    come first. An empty table writes no chunk.
+    ``end_id``). Rows that share an id are ordered by a hash of the text; rows
+    without one come first. An empty table writes no chunk.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
@@ -119,57 +119,56 @@ def write_shards(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], li
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = source.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # ties are dealt by a hash of the text: the sampling of ranges never sees texts
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = source.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(run, CHUNK_SCHEMA).write.option("compression", "zstd").parquet(path)
     return path
 
 
-def read_shards(spark, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): documents as the files hold them.
+def _bases(chunks: DataFrame) -> DataFrame:
+    """(part, seq, base): how many ids stand before each chunk.
 
-    ``start`` counts the ids of all documents before; it is the base of the
-    part (one row per part, summed up in the order of parts), plus the chunks
-    before in the part, plus the Elias-Fano boundary in the chunk.
+    A running sum over parts (one row each) plus one over the chunks of a part.
     """
-    chunks = spark.read.schema(CHUNK_SCHEMA).parquet(path)
     sizes = chunks.select("part", "seq", "n_ids")
     per_part = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"), F.sort_array(F.collect_list(F.struct("seq", "n_ids"))).alias("in_part"))
-    from pyspark.sql import Window
-
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = per_part.select("part", before.alias("base"))
-    in_part = per_part.select("part", F.posexplode("in_part").alias("i", "c"), "in_part").select(
-        "part", F.col("c.seq").alias("seq"), F.expr("aggregate(slice(in_part, 1, i), 0L, (a, x) -> a + x.n_ids)").alias("offset")
-    )
-    bases = totals.join(in_part, "part").select("part", "seq", (F.col("base") + F.col("offset")).alias("base"))
+    placed = per_part.select("part", before.alias("base"), "in_part").select("part", "base", F.posexplode("in_part").alias("i", "c"), "in_part")
+    return placed.select("part", F.col("c.seq").alias("seq"), F.expr("base + aggregate(slice(in_part, 1, i), 0L, (a, x) -> a + x.n_ids)").alias("base"))
+
+
+def read_shards(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): documents as the files hold them.
+
+    ``start`` counts the ids of all documents before: the base of the chunk
+    plus the Elias-Fano boundary. ``ids`` is little-endian, of the file's
+    width; with ``digest`` the column is ``ids_crc32`` instead, the CRC-32 of
+    the ids as little-endian 32-bit integers.
+    """
+    chunks = spark.read.schema(CHUNK_SCHEMA).parquet(path)
+    last = ("ids_crc32", "long", pa.int64()) if digest else ("ids", "binary", pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                n = row["n_docs"]
+                n, width = row["n_docs"], row["id_bytes"]
                 known = ef_decode(row["doc_low"], row["doc_high"], n - row["null_docs"]) + row["first"]
                 ends = ef_decode(row["end_low"], row["end_high"], n)
                 starts = np.concatenate([[0], ends[:-1]])
-                width = row["id_bytes"]
+                ids = [row["ids"][a * width : b * width] for a, b in zip(starts.tolist(), ends.tolist())]
+                if digest:
+                    ids = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in ids]
                 out = {
+                    "part": pa.array([row["part"]] * n, pa.int32()),
+                    "seq": pa.array([row["seq"]] * n, pa.int32()),
                     "doc_id": pa.array([None] * row["null_docs"] + known.tolist(), pa.int64()),
-                    "start": pa.array(starts + row["base"], pa.int64()),
+                    "at": pa.array(starts, pa.int64()),
                     "n_tokens": pa.array(ends - starts, pa.int64()),
-                    "ids": pa.array([row["ids"][a * width : b * width] for a, b in zip(starts, ends)], pa.binary()),
-                    "id_bytes": pa.array([width] * n, pa.int32()),
+                    last[0]: pa.array(ids, last[2]),
                 }
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return chunks.join(bases, ["part", "seq"]).select("n_docs", "null_docs", "base", "id_bytes", "ids", "first", "doc_low", "doc_high", "end_low", "end_high").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, id_bytes int")
-
-
-def crc32_of_ids(shards: DataFrame) -> DataFrame:
-    """``shards`` with ``ids_crc32``: of the ids as little-endian 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds = {2: "<u2", 4: "<u4"}
-            crcs = [zlib.crc32(np.frombuffer(x, kinds[w]).astype("<u4").tobytes()) for x, w in zip(batch.column("ids").to_pylist(), batch.column("id_bytes").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    held = ["part", "seq", "n_docs", "null_docs", "id_bytes", "ids", "first", "doc_low", "doc_high", "end_low", "end_high"]
+    docs = chunks.select(*held).mapInArrow(run, f"part int, seq int, doc_id long, at long, n_tokens long, {last[0]} {last[1]}")
+    return docs.join(_bases(chunks), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", last[0])
