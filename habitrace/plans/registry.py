@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from habitrace.plans import clouds, frames, fusion, graphs, layout, measures, relations, risk, streams, texts
+from habitrace.plans.define import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
+FAMILIES = (risk, measures, fusion, clouds, layout, frames, relations, graphs, texts, streams)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
