@@ -134,12 +134,13 @@ def forced_estimates(spark, sf_dir):
 
 
 @query(
-    f"""with {_OBJECTS}, ok as (select scan_id, min(object_id) as door, min_by(size, object_id) as door_width, avg(size) as passage from g where reason is null group by 1)
-select distinct g.scan_id, ok.door, {q6('ok.door_width')} as door_width, round(ok.passage, 3) + 0.0 as passage from g left join ok using (scan_id)"""
+    f"""with {_OBJECTS}, ok as (select scan_id, min({{'o': object_id, 's': size}}) as d, avg(size) as passage from g where reason is null group by 1)
+select distinct g.scan_id, ok.d.o as door, {q6('ok.d.s')} as door_width, {q6('ok.passage')} as passage from g left join ok using (scan_id)"""
 )
 def risk_inputs(spark, sf_dir):
     """The first verified eligible object per scan; without one every input is unknown (NULL)."""
     g = _gated(spark, sf_dir)
     ok = F.col("reason").isNull()
-    first = F.min(F.when(ok, F.col("object_id")))
-    return g.groupBy("scan_id").agg(first.alias("door"), r6(F.min_by("size", F.when(ok, F.col("object_id")))).alias("door_width"), (F.round(F.avg(F.when(ok, F.col("size"))), 3) + F.lit(0.0)).alias("passage"))
+    first = F.min(F.when(ok, F.struct("object_id", "size")))
+    per = g.groupBy("scan_id").agg(first.alias("d"), r6(F.avg(F.when(ok, F.col("size")))).alias("passage"))
+    return per.select("scan_id", F.col("d.object_id").alias("door"), r6("d.size").alias("door_width"), "passage")
