@@ -151,7 +151,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     Of rows that share an id, all go if one is hit.
     """
     hit = scan(docs, benchmark, id_col, text_col).filter("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col(id_col) == F.col("_hit"), "left_anti")
+    return docs.join(hit, docs[id_col] == hit["_hit"], "left_anti")
 
 
 def items_digest(items: F.Column) -> F.Column:

@@ -124,5 +124,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     one of them stays, the first by text. Rows without an id all stay.
     """
     found = simhash_components(docs, id_col, text_col).filter("component_id = doc_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(found, F.col(id_col) == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    known = docs.filter(docs[id_col].isNotNull())
+    kept = known.join(found, known[id_col] == found["_keep"], "left_semi")
+    one = kept.groupBy(F.col(id_col).alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col))).alias("_row")).select("_row.*")
+    return one.unionByName(docs.filter(docs[id_col].isNull()))
