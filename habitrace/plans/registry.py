@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from habitrace.plans import clouds, frames, fusion, graphs, layout, measures, relations, risk, streams, texts
+from habitrace.plans import clouds, frames, fusion, graphs, layout, measures, relations, risk, scans, streams, texts
 from habitrace.plans.define import QUERIES, SQL, Query
 
-FAMILIES = (risk, measures, fusion, clouds, layout, frames, relations, graphs, texts, streams)
+FAMILIES = (risk, measures, fusion, clouds, layout, frames, relations, graphs, scans, texts, streams)
 
 
 def queries() -> dict[str, Query]:
