@@ -48,8 +48,8 @@ def topic_of(text: Column) -> Column:
 
 def _target(cells: DataFrame, dim: str, smoothing: float) -> DataFrame:
     per = cells.groupBy(dim).agg(F.sum("n").alias("n")).select(dim, F.pow(F.col("n").cast("double"), F.lit(smoothing)).alias("w"))
-    whole = per.agg(F.sum("w").alias("all_w"))
-    return per.crossJoin(F.broadcast(whole)).select(dim, (F.col("w") / F.col("all_w")).alias(f"t_{dim}"))
+    whole = per.agg(F.sum("w")).scalar()
+    return per.select(dim, (F.col("w") / whole).alias(f"t_{dim}"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
@@ -93,8 +93,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic:
     rows = settled(docs.select(F.col(id_col).alias("doc_id"), named("source").alias("source"), named("lang").alias("lang"), (topic if topic is not None else topic_of(text)).alias("topic"), token_count(text).alias("n_tokens")))
     cells = settled(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("n")))
     rates = settled(rake(cells, {d: _target(cells, d, smoothing) for d in DIMS}, rounds))
-    peak = rates.agg(F.max("rate").alias("peak"))
-    odds = rates.crossJoin(F.broadcast(peak)).select(*DIMS, (F.col("rate") / F.col("peak") * top).alias("probability"))
+    peak = rates.agg(F.max("rate")).scalar()
+    odds = rates.select(*DIMS, (F.col("rate") / peak * top).alias("probability"))
     return rows.join(odds, list(DIMS)).select("doc_id", *DIMS, "n_tokens", "probability", (uniform(F.col("doc_id")) < F.col("probability")).alias("chosen"))
 
 
