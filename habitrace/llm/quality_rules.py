@@ -1,19 +1,24 @@
 """Quality classifier as a sparse rule ensemble, compiled into Column expressions.
 
-Text statistics are built-in Spark expressions. A bounded sample of labelled
-rows goes to the driver, boosted trees are grown on it, every tree path is a
-rule (a conjunction of thresholds), an L1-penalised logistic regression gives
-most rules weight zero, and the rules that are left become one Column. Scoring
-is a projection without any shuffle or Python.
+Text statistics come from a byte histogram and the words of each text, batch
+by batch. A bounded sample of labelled rows goes to the driver, boosted trees
+are grown on it, every tree path is a rule (a conjunction of thresholds), an
+L1-penalised logistic regression gives most rules weight zero, and the rules
+that are left become one Column over the statistics. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
+import operator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from habitrace.llm.boosting import fit_boosted
 
@@ -24,27 +29,51 @@ SAMPLE_ROWS = 12_000
 STOP_WORDS = "the of and to in that is for it with as was on be by are this from or an at de la le les et des en un une est que qui dans du pour par sur au avec el los las del se por con su para como der die und den von zu das mit sich auf für ist im dem nicht ein eine als auch"
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Name -> expression; each is defined (mostly 0) for an empty text."""
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
-    chars, words, lines = F.length(text).cast("double"), count(r"[^ \t\r\n]+"), count("\n") + 1
-    per = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    tokens = F.split(F.lower(text), r"[ \t\r\n]+")
-    stop = "|".join(sorted(set(STOP_WORDS.split())))
-    return {
-        "log_chars": F.log1p(chars),
-        "chars_a_word": per(chars, words),
-        "upper": per(count(r"\p{Lu}"), chars),
-        "digits": per(count("[0-9]"), chars),
-        "symbols": per(count(r"[^\p{L}\p{N}\s.,;:'\"()-]"), chars),
-        "runs": per(count(r"([^\p{L}\p{N}\s])\1"), words),
-        "pipes": per(count(r" \| "), words),
-        "stops": per(count(rf"(?<![\p{{L}}\p{{N}}])(?i:{stop})(?![\p{{L}}\p{{N}}])"), words),
-        "ends": per(count(r"[.!?](?=\s|$)"), words),
-        "words_a_line": per(words, lines),
-        "new_lines": per(F.size(F.array_distinct(F.split(text, "\n"))).cast("double"), lines),
-        "new_words": per(F.size(F.array_distinct(tokens)).cast("double"), F.size(tokens).cast("double")),
-    }
+STATISTICS = ("log_chars", "chars_a_word", "upper", "digits", "symbols", "runs", "marks", "ends", "pipes", "stops", "spaces", "words_a_line", "new_lines", "new_words", "repeats")
+
+_STOPS = frozenset(w.encode() for w in STOP_WORDS.split())
+
+
+def _among(chars: str) -> np.ndarray:
+    found = np.zeros(256, bool)
+    found[list(chars.encode())] = True
+    return found
+
+
+_UPPER, _DIGIT = _among("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _among("0123456789")
+_SYMBOL = _among("#$%&*+/<=>@[]^_`{|}~" + chr(92))
+_MARK, _END, _SPACE = _among("!?"), _among("."), _among(" " + chr(9) + chr(10) + chr(13))
+
+
+def statistics_of(text: bytes) -> tuple[float, ...]:
+    """The statistics of one UTF-8 text from one byte histogram and its words; zeros for an empty one."""
+    if not text:
+        return (0.0,) * len(STATISTICS)
+    raw = np.frombuffer(text, np.uint8)
+    seen = np.bincount(raw, minlength=256)
+    chars = len(text) - int(seen[128:192].sum())
+    lines = text.split(b"\n")
+    words = text.lower().split()
+    n = max(1, len(words))
+    twice = int((_SYMBOL | _MARK)[raw[1:][raw[1:] == raw[:-1]]].sum())
+    return (
+        math.log1p(chars), chars / n, seen[_UPPER].sum() / chars, seen[_DIGIT].sum() / chars, seen[_SYMBOL].sum() / chars, twice / n, seen[_MARK].sum() / n, seen[_END].sum() / n,
+        text.count(b" | ") / n, sum(map(_STOPS.__contains__, words)) / n, seen[_SPACE].sum() / chars, len(words) / len(lines), len(set(lines)) / len(lines), len(set(words)) / n, sum(map(operator.eq, words, words[1:])) / n,
+    )
+
+
+def with_statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """(_row, statistics...): the kept columns as a struct, and a column per statistic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [statistics_of(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
+            stats = np.array(rows, float).reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in stats.T)], names=["_row", *STATISTICS])
+
+    packed = docs.select(F.struct(*keep).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    schema = T.StructType([packed.schema["_row"], *(T.StructField(n, T.DoubleType()) for n in STATISTICS)])
+    return packed.mapInArrow(run, schema)
 
 
 @dataclass
@@ -110,24 +139,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     wanted = labels.filter(F.col(label_col).isNotNull() & in_training(F.col(id_col)))
     sample = wanted.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample_rows)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(F.broadcast(sample), "_id")
-    stats = statistics(F.col("_text"))
-    rows = joined.select("_y", *(c.alias(n) for n, c in stats.items())).limit(4 * sample_rows).collect()
-    data = np.array(rows, float).reshape(-1, len(stats) + 1)
+    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
+    rows = with_statistics(joined, "_text", ["_y"]).select("_row._y", *STATISTICS).collect()
+    data = np.array(rows, float).reshape(-1, len(STATISTICS) + 1)
     order = np.lexsort(data.T)
-    return fit_rules(data[order, 1:], data[order, 0], list(stats))
+    return fit_rules(data[order, 1:], data[order, 0], list(STATISTICS))
 
 
-def score_documents(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5).
+def score_documents(docs: DataFrame, model: RuleModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5).
 
     A null text scores as an empty one. Columns of ``docs`` that are called
     ``score`` or ``predicted`` are replaced; other columns pass through.
     """
-    own = [c for c in docs.columns if c not in ("score", "predicted")]
-    stats = statistics(F.coalesce(F.col("_text"), F.lit("")))
-    packed = docs.select(F.struct(*own).alias("_row"), F.col(text_col).cast("string").alias("_text"))
-    measured = packed.select("_row", *(c.alias(n) for n, c in stats.items()))
-    scored = measured.select("_row", model.score().alias("score"))
+    own = [c for c in keep or docs.columns if c not in ("score", "predicted")]
+    scored = with_statistics(docs, text_col, own).select("_row", model.score().alias("score"))
     return scored.select("_row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -65,7 +65,7 @@ def word_encoder() -> Callable[[list[str]], list[bytes]]:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_rules.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality_rules.score_documents(docs, model)
+    scored = quality_rules.score_documents(docs, model, keep=["doc_id"])
     return scored.select("doc_id", (~quality_rules.in_training(F.col("doc_id"))).alias("held_out"), "score", "predicted")
 
 
