@@ -49,29 +49,29 @@ def _bins(x: np.ndarray, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _grow(binned: np.ndarray, cuts: list[np.ndarray], grad: np.ndarray, hess: np.ndarray, depth: int, least: float, ridge: float, most: int) -> Tree:
+    """One tree; ``binned`` holds the bins of feature f shifted by f * most, so one count covers all features."""
     nodes: list[list] = []
+    features = binned.shape[1]
+    usable = np.arange(most)[None, :] < np.array([len(c) for c in cuts])[:, None]
 
     def score(g: np.ndarray, h: np.ndarray) -> np.ndarray:
         return g * g / (h + ridge)
 
+    def sums(bins: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(bins, np.repeat(weights, features), features * most).reshape(features, most).cumsum(axis=1)
+
     def add(rows: np.ndarray, left_depth: int) -> int:
         me = len(nodes)
         g, h = grad[rows].sum(), hess[rows].sum()
         nodes.append([-1, 0.0, -1, -1, -g / (h + ridge)])
         if left_depth and h > 2 * least:
-            best = (1e-6, -1, 0)
-            for f in range(binned.shape[1]):
-                if len(cuts[f]):
-                    b = binned[rows, f]
-                    gl = np.cumsum(np.bincount(b, grad[rows], most))[: len(cuts[f])]
-                    hl = np.cumsum(np.bincount(b, hess[rows], most))[: len(cuts[f])]
-                    gain = np.where((hl >= least) & (h - hl >= least), score(gl, hl) + score(g - gl, h - hl) - score(g, h), 0)
-                    k = int(gain.argmax())
-                    if gain[k] > best[0]:
-                        best = (float(gain[k]), f, k)
-            if best[1] >= 0:
-                goes = binned[rows, best[1]] <= best[2]
-                nodes[me][:2] = [best[1], float(cuts[best[1]][best[2]])]
+            bins = binned[rows].ravel()
+            gl, hl = sums(bins, grad[rows]), sums(bins, hess[rows])
+            gain = np.where(usable & (hl >= least) & (h - hl >= least), score(gl, hl) + score(g - gl, h - hl) - score(g, h), 0)
+            f, k = np.unravel_index(int(gain.argmax()), gain.shape)
+            if gain[f, k] > 1e-6:
+                goes = binned[rows, f] <= f * most + k
+                nodes[me][:2] = [int(f), float(cuts[f][k])]
                 nodes[me][2] = add(rows[goes], left_depth - 1)
                 nodes[me][3] = add(rows[~goes], left_depth - 1)
         return me
@@ -101,6 +101,7 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4,
     if not 0 < y.sum() < len(y):
         return model
     binned, cuts = _bins(x, bins)
+    binned = binned + np.arange(x.shape[1]) * (bins + 1)
     margin = np.full(len(y), model.base)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
