@@ -53,26 +53,21 @@ def _target(cells: DataFrame, dim: str, smoothing: float) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (source, lang, topic, n) with ``rate``: the product of the raked factors.
+    """``cells`` (source, lang, topic, n) with ``rate``: raked weight over tokens.
 
-    One step fits one dimension: its factor becomes target / (current total
-    under the other factors). ``targets[dim]`` holds (dim, t_dim); values that
-    are missing there get weight zero.
+    One step fits one dimension: each cell's weight is multiplied by target /
+    current total of its value. ``targets[dim]`` holds (dim, t_dim); values
+    that are missing there get weight zero. A step is one small aggregation
+    and one join on the same key.
     """
-    factors = {d: settled(targets[d].select(d, F.lit(1.0).alias(f"f_{d}"), f"t_{d}")) for d in DIMS}
-
-    def weighted(over: tuple[str, ...]) -> DataFrame:
-        return reduce(lambda c, d: c.join(factors[d].select(d, f"f_{d}"), d, "left"), over, cells)
-
-    product = lambda over: reduce(lambda a, b: a * b, (F.coalesce(f"f_{d}", F.lit(0.0)) for d in over))
+    aimed = reduce(lambda c, d: c.join(targets[d], d, "left"), DIMS, cells)
+    work = settled(aimed.withColumn("w", F.col("n").cast("double")))
     for _ in range(rounds):
         for dim in DIMS:
-            others = tuple(d for d in DIMS if d != dim)
-            totals = weighted(others).groupBy(dim).agg(F.sum(F.col("n") * product(others)).alias("now"))
-            # a factor of zero stands for a value without tokens
-            fitted = factors[dim].select(dim, f"t_{dim}").join(totals, dim, "left")
-            factors[dim] = settled(fitted.select(dim, F.coalesce(F.try_divide(F.col(f"t_{dim}"), F.col("now")), F.lit(0.0)).alias(f"f_{dim}"), f"t_{dim}"))
-    return weighted(DIMS).select(*DIMS, "n", product(DIMS).alias("rate"))
+            totals = work.groupBy(dim).agg(F.sum("w").alias("now"))
+            share = F.coalesce(F.try_divide(F.col(f"t_{dim}"), F.col("now")), F.lit(0.0))
+            work = settled(work.join(totals, dim).withColumn("w", F.col("w") * share).drop("now"))
+    return work.select(*DIMS, "n", (F.col("w") / F.col("n")).alias("rate"))
 
 
 def uniform(id_col: Column) -> Column:
