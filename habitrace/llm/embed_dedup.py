@@ -45,8 +45,11 @@ def _planes(dim: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([7, dim]).standard_normal((dim, bits * tables))
 
 
-def _hashed(distinct: DataFrame, bits: int, tables: int) -> DataFrame:
-    """(node, copies, vec, codes): bucket numbers of each vector in all tables."""
+def _hashed(distinct: DataFrame, bits: int, tables: int, kind: str) -> DataFrame:
+    """(node, copies, vec, codes): bucket numbers of each vector in all tables.
+
+    ``vec`` travels as ``kind``, single precision where the input is.
+    """
     weights = 1 << np.arange(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +61,7 @@ def _hashed(distinct: DataFrame, bits: int, tables: int) -> DataFrame:
                 if len(v) not in planes:
                     planes[len(v)] = _planes(len(v), bits, tables)
                 codes.append(((v @ planes[len(v)] > 0).reshape(tables, bits) @ weights).astype(np.int32))
-            packed = [np.ascontiguousarray(v, "<f8").tobytes() for v in vectors]
+            packed = [v.astype(kind).tobytes() for v in vectors]
             out = [batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([c.tolist() for c in codes], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(out, names=["node", "copies", "vec", "codes", "buckets"])
 
@@ -85,7 +88,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield last, pa.Table.from_batches(held)
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (table, _, _, bi, bj), group in _groups(batches, 5):
             if len(group) < 2:
@@ -94,7 +97,7 @@ def _compare(threshold: float):
             nodes = group.column("node").to_numpy()
             copies = group.column("copies").to_numpy()
             raw = group.column("vec").to_pylist()
-            vec = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+            vec = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
             codes = np.frombuffer(b"".join(group.column("codes").to_pylist()), np.int32).reshape(len(raw), -1)
             unit = vec / np.sqrt((vec * vec).sum(axis=1))[:, None]
             left, right = np.flatnonzero(sides == bi), np.flatnonzero(sides == bj)
@@ -143,16 +146,18 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     n = nodes.count()
     bits = bits_for(n)
     tables = tables_for(bits, threshold, recall)
-    hashed = settled(_hashed(nodes.select("node", "copies", "v"), bits, tables))
+    kind = "<f4" if dict(vectors.dtypes)[vec_col] == "array<float>" else "<f8"
+    hashed = settled(_hashed(nodes.select("node", "copies", "v"), bits, tables, kind))
     spread = hashed.select("node", "copies", "vec", "codes", F.length("vec").alias("dim"), F.posexplode("buckets").alias("tab", "bucket"))
-    sizes = spread.groupBy("tab", "bucket", "dim").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = spread.join(sizes, ["tab", "bucket", "dim"])
-    blocks = sized.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # only the few buckets beyond one block are cut; the others need no join with their sizes
+    large = spread.groupBy("tab", "bucket", "dim").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    sized = spread.join(large, ["tab", "bucket", "dim"], "left")
+    blocks = sized.withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     paired = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = paired.select("tab", "bucket", "dim", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "copies", "vec", "codes")
     keys = ["tab", "bucket", "dim", "bi", "bj"]
     grouped = keyed.repartition(*keys).sortWithinPartitions(*keys)
-    found = settled(grouped.mapInArrow(_compare(threshold), "node long, partners long, hub long"))
+    found = settled(grouped.mapInArrow(_compare(threshold, kind), "node long, partners long, hub long"))
     degrees = found.groupBy("node").agg(F.sum("partners").alias("partners"))
     labels = connected_components(found.filter("node <> hub").select("node", "hub"), "node", "hub").withColumnRenamed("node", "member")
     classed = nodes.join(labels, nodes.node == labels.member, "left").select("v", "node", "least", "copies", F.coalesce("component", "node").alias("class"))
