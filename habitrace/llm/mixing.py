@@ -23,6 +23,9 @@ from habitrace.llm.store import settled
 
 DIMS = ("source", "lang", "topic")
 ROUNDS = 6
+#: A cell table up to this size (some MB) is broadcast.
+BROADCAST_CELLS = 100_000
+SALTS = 64
 #: Targets are token shares to this power, normalised: 1 keeps the mixture, 0 makes it even.
 SMOOTHING = 0.9
 
@@ -70,6 +73,20 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return work.select(*DIMS, "n", (F.col("w") / F.col("n")).alias("rate"))
 
 
+def _looked_up(rows: DataFrame, odds: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``odds``, a cell table.
+
+    A table of at most ``BROADCAST_CELLS`` cells (counted first) goes to all
+    executors. A larger one is written ``SALTS`` times, and rows of a hot cell
+    are dealt over the copies by a hash of the row (the same if a task is run again).
+    """
+    if odds.count() <= BROADCAST_CELLS:
+        return rows.join(F.broadcast(odds), keys)
+    salted = odds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [*keys, "_salt"]).drop("_salt")
+
+
 def uniform(id_col: Column) -> Column:
     """A repeatable number in [0, 1) per id: 32 bits of its MD5."""
     return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
@@ -89,8 +106,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic:
     cells = settled(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("n")))
     rates = settled(rake(cells, {d: _target(cells, d, smoothing) for d in DIMS}, rounds))
     peak = rates.agg(F.max("rate")).scalar()
-    odds = rates.select(*DIMS, (F.col("rate") / peak * top).alias("probability"))
-    return rows.join(odds, list(DIMS)).select("doc_id", *DIMS, "n_tokens", "probability", (uniform(F.col("doc_id")) < F.col("probability")).alias("chosen"))
+    odds = settled(rates.select(*DIMS, (F.col("rate") / peak * top).alias("probability")))
+    return _looked_up(rows, odds, list(DIMS)).select("doc_id", *DIMS, "n_tokens", "probability", (uniform(F.col("doc_id")) < F.col("probability")).alias("chosen"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = SMOOTHING, rounds: int = ROUNDS, top: float = 1.0) -> DataFrame:
@@ -98,10 +115,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoot
     cols = docs.columns
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
-    odds = plan(docs, id_col, text_col, None, smoothing, rounds, top).groupBy(*DIMS).agg(F.max("probability").alias("_p"))
-    odds = odds.select(*(F.col(d).alias(f"_{d}") for d in DIMS), "_p")
+    planned = plan(docs, id_col, text_col, None, smoothing, rounds, top).groupBy(*DIMS).agg(F.max("probability").alias("_p"))
+    odds = settled(planned.select(*(F.col(d).alias(f"_{d}") for d in DIMS), "_p"))
     keyed = docs.select(F.struct(*cols).alias("_row"), F.col(id_col).alias("_id"), named("source").alias("_source"), named("lang").alias("_lang"), topic_of(text).alias("_topic"))
-    return keyed.join(odds, [f"_{d}" for d in DIMS]).filter(uniform(F.col("_id")) < F.col("_p")).select("_row.*")
+    return _looked_up(keyed, odds, [f"_{d}" for d in DIMS]).filter(uniform(F.col("_id")) < F.col("_p")).select("_row.*")
 
 
 _COUNT = "len(regexp_extract_all(text, '{}'))"

@@ -233,7 +233,9 @@ def test_license_scan(spark):
 
 
 # Mixing
-def test_mixing_meets_marginals(spark):
+@pytest.mark.parametrize("cells", [100_000, 3])
+def test_mixing_meets_marginals(spark, monkeypatch, cells):
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", cells)
     rng = random.Random(2)
     rows = [(i, prose(i, rng.randint(1, 60)), rng.choice(["en", "de", None]), rng.choice(["a", "a", "a", "b", None]), 0) for i in range(300)] + [(7, None, "en", "a", 0), (None, "x", "en", "b", 0)]
     df = spark.createDataFrame(rows, DOC).withColumn("probability", F.lit(9)).withColumn("_p", F.lit(9))
