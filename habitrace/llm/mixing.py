@@ -14,6 +14,7 @@ raking step is one small aggregation and join, settled by a checkpoint.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,11 @@ from pyspark.sql import functions as F
 from habitrace.llm.store import settled
 
 DIMS = ("source", "lang", "topic")
+#: Rounds before the residual is looked at first, and at most.
 ROUNDS = 6
+MOST_ROUNDS = 200
+#: The largest difference between a value's target and its share of the expected mixture.
+TOLERANCE = 1e-5
 #: A cell table up to this size (some MB) is broadcast.
 BROADCAST_CELLS = 100_000
 SALTS = 64
@@ -55,21 +60,62 @@ def _target(cells: DataFrame, dim: str, smoothing: float) -> DataFrame:
     return per.select(dim, (F.col("w") / whole).alias(f"t_{dim}"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def _given(weights: DataFrame, dim: str) -> DataFrame:
+    """A caller's (dim, weight) as shares; weights need not add up to 1, a null value is '(none)'."""
+    named = F.coalesce(F.col(dim).cast("string"), F.lit("(none)")).alias(dim)
+    per = settled(weights.groupBy(named).agg(F.coalesce(F.sum(F.col("weight").cast("double")), F.lit(0.0)).alias("w")))
+    whole, least = per.agg(F.sum("w"), F.min("w")).first()
+    if whole is None or not 0 < whole < float("inf") or least < 0:
+        raise ValueError(f"the weights of {dim} must be finite, not negative and not all zero")
+    return per.select(dim, (F.col("w") / whole).alias(f"t_{dim}"))
+
+
+def marginals(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(dim, value, target, reached) of cells with weights ``w``; values of either side."""
+
+    def of(dim: str) -> DataFrame:
+        whole = raked.agg(F.sum("w").alias("whole"))
+        now = raked.groupBy(dim).agg(F.sum("w").alias("w")).crossJoin(whole).select(dim, F.try_divide("w", "whole").alias("reached"))
+        both = now.join(targets[dim], dim, "full")
+        return both.select(F.lit(dim).alias("dim"), F.col(dim).alias("value"), *(F.coalesce(c, F.lit(0.0)).alias(n) for c, n in ((f"t_{dim}", "target"), ("reached", "reached"))))
+
+    return reduce(DataFrame.unionAll, map(of, DIMS))
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE, strict: bool = True) -> DataFrame:
     """``cells`` (source, lang, topic, n) with ``rate``: raked weight over tokens.
 
     One step fits one dimension: each cell's weight is multiplied by target /
     current total of its value. ``targets[dim]`` holds (dim, t_dim); values
     that are missing there get weight zero. A step is one small aggregation
-    and one join on the same key.
+    and one join on the same key. After ``rounds`` rounds the largest residual
+    of ``marginals`` is taken each round, until it is within ``tolerance``.
+    Where it no longer falls the targets contradict each other, or values have
+    no cell: an error if ``strict``, else a warning and the last fit.
     """
+    if cells.isEmpty():
+        return cells.select(*DIMS, "n", F.lit(None).cast("double").alias("rate"))
     aimed = reduce(lambda c, d: c.join(targets[d], d, "left"), DIMS, cells)
     work = settled(aimed.withColumn("w", F.col("n").cast("double")))
-    for _ in range(rounds):
+    before = float("inf")
+    for k in range(1, max(rounds, MOST_ROUNDS) + 1):
         for dim in DIMS:
             totals = work.groupBy(dim).agg(F.sum("w").alias("now"))
             share = F.coalesce(F.try_divide(F.col(f"t_{dim}"), F.col("now")), F.lit(0.0))
             work = settled(work.join(totals, dim).withColumn("w", F.col("w") * share).drop("now"))
+        if k < rounds:
+            continue
+        off = F.abs(F.col("target") - F.col("reached"))
+        worst = marginals(work, targets).agg(F.max_by(F.struct("dim", "value", "target", "reached", off.alias("off")), off)).first()[0]
+        if worst["off"] <= tolerance:
+            break
+        if worst["off"] > 0.999 * before or k >= MOST_ROUNDS:
+            said = f"targets not met after {k} rounds: {worst['dim']} {worst['value']} has {worst['reached']:.6f} of the mixture, its target is {worst['target']:.6f}"
+            if strict:
+                raise ValueError(said)
+            warnings.warn(said, stacklevel=2)
+            break
+        before = worst["off"]
     return work.select(*DIMS, "n", (F.col("w") / F.col("n")).alias("rate"))
 
 
@@ -92,10 +138,12 @@ def uniform(id_col: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, smoothing: float = SMOOTHING, rounds: int = ROUNDS, top: float = 1.0) -> DataFrame:
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, smoothing: float = SMOOTHING, rounds: int = ROUNDS, top: float = 1.0, targets: dict[str, DataFrame] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, probability, chosen) per row of ``docs``.
 
     ``probability`` is the cell's rate over the largest rate, times ``top``.
+    ``targets`` may hold (dim, weight) for any of ``DIMS``; a dimension without
+    takes the corpus's token shares ^ ``smoothing``.
     Null sources and languages count as a value of their own ('(none)'); a null
     text is empty and weighs one token. Rows that share an id share their
     fate where they share a cell. An empty table gives an empty plan.
@@ -104,18 +152,21 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic:
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
     rows = settled(docs.select(F.col(id_col).alias("doc_id"), named("source").alias("source"), named("lang").alias("lang"), (topic if topic is not None else topic_of(text)).alias("topic"), token_count(text).alias("n_tokens")))
     cells = settled(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("n")))
-    rates = settled(rake(cells, {d: _target(cells, d, smoothing) for d in DIMS}, rounds))
+    if unknown := set(targets or ()) - set(DIMS):
+        raise ValueError(f"no such dimension: {', '.join(sorted(unknown))}")
+    aims = {d: settled(_given(targets[d], d) if targets and d in targets else _target(cells, d, smoothing)) for d in DIMS}
+    rates = settled(rake(cells, aims, rounds, tolerance, strict=bool(targets)))
     peak = rates.agg(F.max("rate")).scalar()
     odds = settled(rates.select(*DIMS, (F.col("rate") / peak * top).alias("probability")))
     return _looked_up(rows, odds, list(DIMS)).select("doc_id", *DIMS, "n_tokens", "probability", (uniform(F.col("doc_id")) < F.col("probability")).alias("chosen"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = SMOOTHING, rounds: int = ROUNDS, top: float = 1.0) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = SMOOTHING, rounds: int = ROUNDS, top: float = 1.0, targets: dict[str, DataFrame] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """The rows of ``docs`` that the plan draws, all columns kept."""
     cols = docs.columns
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
-    planned = plan(docs, id_col, text_col, None, smoothing, rounds, top).groupBy(*DIMS).agg(F.max("probability").alias("_p"))
+    planned = plan(docs, id_col, text_col, None, smoothing, rounds, top, targets, tolerance).groupBy(*DIMS).agg(F.max("probability").alias("_p"))
     odds = settled(planned.select(*(F.col(d).alias(f"_{d}") for d in DIMS), "_p"))
     keyed = docs.select(F.struct(*cols).alias("_row"), F.col(id_col).alias("_id"), named("source").alias("_source"), named("lang").alias("_lang"), topic_of(text).alias("_topic"))
     return _looked_up(keyed, odds, [f"_{d}" for d in DIMS]).filter(uniform(F.col("_id")) < F.col("_p")).select("_row.*")
