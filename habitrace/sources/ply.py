@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: PLY scalar types and their NumPy forms.
@@ -65,25 +65,57 @@ def _points_of(files: DataFrame) -> DataFrame:
     return files.mapInArrow(run, "scan_id long, point_id long, x double, y double, z double")
 
 
+def _sizes(files: DataFrame) -> DataFrame:
+    """(path, n) from (path, content): points per file, none in an unreadable one."""
+
+    def size(content: bytes) -> int:
+        try:
+            return len(decode(content))
+        except ValueError:
+            return 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([size(content or b"")], pa.int64())], names=["path", "n"])
+
+    return files.mapInArrow(run, "path string, n long")
+
+
+def _first(*order: str) -> Column:
+    """The points in a scan's parts before."""
+    before = Window.partitionBy("scan_id").orderBy(*(F.asc_nulls_first(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint")
+
+
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """Clouds named ``<scan_id>.ply`` (or ``<scan_id>_<part>.ply``) under ``path``."""
+    """Clouds named ``<scan_id>.ply`` (or ``<scan_id>_<part>.ply``) under ``path``; points are numbered through a scan's parts."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").load(path)
-    name = F.regexp_extract("path", r"([0-9]+)(?:_([0-9]+))?\.ply$", 1)
-    return _points_of(files.select(name.try_cast("bigint").alias("scan_id"), F.lit(0).cast("bigint").alias("first"), "content"))
+    name = lambda k: F.regexp_extract("path", r"([0-9]+)(?:_([0-9]+))?\.ply$", k).try_cast("bigint")
+    sizes = _sizes(files.select("path", "content")).select("path", name(1).alias("scan_id"), name(2).alias("part"), "n")
+    firsts = sizes.select("path", "scan_id", _first("part", "path").alias("first"))
+    return _points_of(files.select("path", "content").join(firsts, "path").select("scan_id", "first", "content"))
 
 
 def encoded(points: DataFrame, rows: int = 100_000) -> DataFrame:
-    """(scan_id, part, first, content): files of at most about ``rows`` points, split by point id."""
+    """(scan_id, part, first, content): files of at most about ``rows`` points, split by point id.
+
+    ``first`` counts the points in the scan's parts before.
+    """
 
     def one(table: pa.Table) -> pa.Table:
         t = table.sort_by("point_id")
         xyz = np.stack([t.column(c).to_numpy() for c in "xyz"], axis=1)
-        return pa.table({"scan_id": t.column("scan_id")[:1], "part": t.column("part")[:1], "n": pa.array([len(xyz)], pa.int64()), "content": pa.array([encode(xyz)], pa.binary())})
+        return pa.table({"scan_id": t.column("scan_id")[:1], "part": t.column("part")[:1], "content": pa.array([encode(xyz)], pa.binary())})
 
     parted = points.withColumn("part", F.floor(F.col("point_id") / rows))
-    return parted.select("scan_id", "part", "point_id", "x", "y", "z").groupBy("scan_id", "part").applyInArrow(one, "scan_id long, part long, n long, content binary")
+    files = parted.select("scan_id", "part", "point_id", "x", "y", "z").groupBy("scan_id", "part").applyInArrow(one, "scan_id long, part long, content binary").alias("f")
+    counts = parted.groupBy("scan_id", "part").agg(F.count("*").alias("n"))
+    firsts = counts.select("scan_id", "part", _first("part").alias("first")).alias("c")
+    same = F.col("f.scan_id").eqNullSafe(F.col("c.scan_id")) & F.col("f.part").eqNullSafe(F.col("c.part"))
+    return files.join(firsts, same).select("f.scan_id", "f.part", "c.first", "f.content")
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """The points of ``encoded`` rows, numbered within their file."""
-    return _points_of(files.select("scan_id", (F.col("part") * 0).alias("first"), "content"))
+    """The points of ``encoded`` rows, numbered through a scan's parts."""
+    return _points_of(files.select("scan_id", "first", "content"))
