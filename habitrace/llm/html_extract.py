@@ -14,6 +14,7 @@ construction; the pages of the corpus are only scored.
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,9 +87,10 @@ def features(blocks: list[Block]) -> np.ndarray:
     signs = [TAGS.index(t) for t in ("article", "main", "nav", "footer", "aside")]
     parent = np.zeros(n, int)
     for i, b in enumerate(blocks):
+        same = Counter(kinds[c] for c in b.children)
         for j, c in enumerate(b.children):
             rank[c], count[c] = j, len(b.children)
-            alike[c] = sum(kinds[x] == kinds[c] for x in b.children) / len(b.children) if len(b.children) < 50 else 1.0
+            alike[c] = same[kinds[c]] / len(b.children)
         if i:
             p = parent[i] = b.parent
             above[i] = above[p]
@@ -204,7 +206,7 @@ def training_pages(pages: int = TRAINING_PAGES, seed: int = 11) -> Iterator[str]
                 return f"<div>{said}</div>"
             return f"<p>{said}</p>"
 
-        body = [para() for _ in range(pick([1, 1, 2, 3, 5, 8, 14, 25]))]
+        body = [para() for _ in range(pick([1, 1, 2, 3, 5, 8, 14, 25, 70]))]
         title = f"<h1>{_prose(rng, rng.randint(1, 12), chance() < 0.5)}</h1>"
         main = title + "".join(body)
         inside = ""
