@@ -13,7 +13,10 @@ construction; the pages of the corpus are only scored.
 
 from __future__ import annotations
 
+import functools
+import html
 import random
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -132,6 +135,7 @@ def decode(blocks: list[Block], main: np.ndarray, boiler: np.ndarray) -> np.ndar
 
 
 def _prose(rng: random.Random, words: int, marks: bool = True) -> str:
+    """Invented prose; some of it shouted, sprinkled with symbols, or strung together by a separator."""
     parts = "ta re on is el mo ver lan sti ka du pre or un ish ge al no ti ra".split()
     out, left = [], 0
     for _ in range(words):
@@ -141,15 +145,22 @@ def _prose(rng: random.Random, words: int, marks: bool = True) -> str:
         left -= 1
         junk = rng.random()
         out.append(w + ("." if left == 0 and marks else "," if junk < 0.05 else ""))
-    said = " ".join(out)
     style = rng.random()
-    if style < 0.08:
-        said = said.upper().replace(" ", "!! ")
+    if style < 0.07:
+        out = [w.upper() + rng.choice("!?.").replace(".", "") * rng.randint(0, 2) for w in out]
     elif style < 0.16:
-        said = " ".join(w + rng.choice(["***", "$$$", "&amp;&amp;&amp;", "%%%", "###"]) for w in out)
-    elif style < 0.22:
-        said = " | ".join(out)
-    return said
+        often = rng.random()
+        out = [w + html.escape(rng.choice(string.punctuation)) * rng.randint(1, 3) if rng.random() < often else w for w in out]
+    return rng.choice([" | ", " / ", " - ", " * ", " > "] if style > 0.94 else [" "]).join(out)
+
+
+def _soup(rng: random.Random, tag: str, inner: str, share: float = 0.12) -> str:
+    """An element that HTML lets stay open, or one whose inner tags are crossed or forgotten, now and then."""
+    if rng.random() < share:
+        mark = rng.choice(["b", "i", "em", "span", "strong"])
+        inner = rng.choice([f"<{mark}>{inner}", f"{inner}<br>", f"<{mark}>{inner}</{tag}></{mark}>", inner])
+        return f"<{tag}>{inner}"
+    return f"<{tag}>{inner}</{tag}>"
 
 
 def training_pages(pages: int = TRAINING_PAGES, seed: int = 11) -> Iterator[str]:
@@ -190,10 +201,8 @@ def training_pages(pages: int = TRAINING_PAGES, seed: int = 11) -> Iterator[str]
         def para(rng: random.Random = rng) -> str:
             kind, words = rng.random(), int(rng.choice([1, 3, 8, 20, 60, 150, 300]) * (0.5 + rng.random()))
             said = _prose(rng, max(1, words))
-            if kind < 0.1:
-                return f"<p><b>{said}<br>"
             if kind < 0.16:
-                return f"<ul><li>{said}</li><li>{_prose(rng, 9)}</li></ul>"
+                return "<ul>" + _soup(rng, "li", said) + _soup(rng, "li", _prose(rng, 9)) + "</ul>"
             if kind < 0.2:
                 return f"<blockquote>{said}</blockquote>"
             if kind < 0.25:
@@ -204,7 +213,7 @@ def training_pages(pages: int = TRAINING_PAGES, seed: int = 11) -> Iterator[str]
                 return f'<p>{said} <a href="/y">{_prose(rng, 3, False)}</a> {_prose(rng, 8)}</p>'
             if kind < 0.38:
                 return f"<div>{said}</div>"
-            return f"<p>{said}</p>"
+            return _soup(rng, "p", said)
 
         body = [para() for _ in range(pick([1, 1, 2, 3, 5, 8, 14, 25, 70]))]
         title = f"<h1>{_prose(rng, rng.randint(1, 12), chance() < 0.5)}</h1>"
@@ -244,8 +253,9 @@ def _labels(page: str) -> tuple[list[Block], np.ndarray]:
     return blocks, label
 
 
+@functools.lru_cache(maxsize=4)
 def train(pages: int = TRAINING_PAGES) -> tuple[Boosted, Boosted]:
-    """(main, boilerplate) models from composed pages; deterministic."""
+    """(main, boilerplate) models from composed pages; deterministic, fitted once by a driver process."""
     both = [_labels(p) for p in training_pages(pages)]
     x = np.vstack([features(b) for b, _ in both])
     y = np.concatenate([label for _, label in both])
@@ -269,8 +279,10 @@ def main_texts(pages: list[str], models: tuple[Boosted, Boosted]) -> list[str]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", models: tuple[Boosted, Boosted] | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``.
 
-    A null or empty page has an empty text, as has one without main text.
-    Repeated rows stay. Extra columns are left out.
+    A null or empty page has an empty text, as has one without main text; very
+    long pages are read whole. Repeated rows and rows without an id stay; an
+    empty table gives no rows. Extra columns, whatever they are called, are
+    left out.
     """
     trained = pages.sparkSession.sparkContext.broadcast(models or train())
 
