@@ -6,9 +6,11 @@ a pattern between two spaces; a document is scanned once. The scan runs on
 UTF-8 bytes, which a 256-entry table normalises, and hits are mapped back to
 character offsets of the original text.
 
-The automaton is sent to the workers in blocks of at most ``block_bytes`` of
-pattern text, so what is broadcast is bounded however many items there are; a
-worker scans a batch with one block after the other.
+The patterns are cut, deduplicated and counted by Spark. Up to ``block_bytes``
+of them make one automaton, built once by each worker process; what is sent to
+a worker is bounded however many items there are. A larger benchmark has as
+many automata as it takes, and the corpus is scanned once for each: a worker
+holds one of them at a time, and what one finds meets the rest by document.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -24,15 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from habitrace.llm.store import settled, written
+
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:int,end:int>>"
-
-
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
@@ -44,25 +45,38 @@ def patterns_of(text: bytes, window: int = WINDOW) -> set[str]:
     return {" " + b" ".join(words[i : i + window]).decode("latin-1") + " " for i in range(count)}
 
 
-def _blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[dict[str, tuple[str, ...]]]:
-    """Patterns with the items that have them, block by block."""
-    block: dict[str, set[str]] = {}
-    size = 0
-    for item, text in items.toLocalIterator():
-        for pattern in patterns_of((text or "").encode(), window):
-            size += 0 if pattern in block else len(pattern)
-            block.setdefault(pattern, set()).add(str(item))
-        if size >= block_bytes:
-            yield {k: tuple(v) for k, v in block.items()}
-            block, size = {}, 0
-    if block:
-        yield {k: tuple(v) for k, v in block.items()}
+def _patterns(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(pattern, items): every window with the items that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = sorted(patterns_of((text or "").encode(), window))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([item] * len(found), pa.string())], names=["pattern", "item"])
+
+    items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(text_col).cast("string"))
+    return items.mapInArrow(run, "pattern string, item string").groupBy("pattern").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list:
+    """Broadcast blocks of patterns, each of about ``block_bytes`` at most, as (name, block)."""
+    patterns = settled(_patterns(benchmark, item_col, text_col, window))
+    size = patterns.agg(F.sum(F.length("pattern") + F.aggregate("items", F.lit(0), lambda n, x: n + F.length(x)))).first()[0] or 0
+    blocks = -(-size // block_bytes)
+    context, found = benchmark.sparkSession.sparkContext, []
+    for k in range(blocks):
+        rows = patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).collect()
+        found.append((uuid.uuid4().hex, context.broadcast({r.pattern: tuple(r["items"]) for r in rows})))
+    return found
 
 
 def _automaton(block: dict[str, tuple[str, ...]]) -> ahocorasick.Automaton:
     built = ahocorasick.Automaton()
     for pattern, found in block.items():
         built.add_word(pattern, (len(pattern), found))
+    # without a word there is nothing to make: a pattern that no text can hold stands in
+    if not block:
+        built.add_word("  ", (2, ()))
     built.make_automaton()
     return built
 
@@ -107,51 +121,132 @@ def _spans(text: bytes, mask: np.ndarray) -> list[dict[str, int]]:
     return [{"start": int(chars[bounds[a][0]]), "end": int(chars[bounds[b - 1][1]])} for a, b in edges.reshape(-1, 2)]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: words, hit words, items that occur, spans hit in the original.
+def _hits_in(texts: list[bytes], name: str, block) -> tuple[list[int], list[_Hits]]:
+    """Number of words and what one automaton finds, per text."""
+    automaton, counts, hits = _automaton_of(name, block), [], []
+    for text in texts:
+        words = words_of(text)
+        counts.append(len(words))
+        hit = _Hits(" " + b" ".join(words).decode("latin-1") + " ")
+        for end, (length, found) in automaton.iter(hit.line):
+            hit.add(end, length, found)
+        hits.append(hit)
+    return counts, hits
+
+
+def _scanned(rows: DataFrame, name: str, block) -> DataFrame:
+    """(doc_id, same, n_words, items, words): the words hit as numbers, for one automaton."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                batch = whole.slice(at, 512)
+                counts, hits = _hits_in([t.as_py() or b"" for t in batch.column(2).cast(pa.binary())], name, block)
+                out = {
+                    "doc_id": batch.column(0),
+                    "same": batch.column(1),
+                    "n_words": pa.array(counts, pa.int64()),
+                    "items": pa.array([sorted(h.items) for h in hits], pa.list_(pa.string())),
+                    "words": pa.array([np.flatnonzero(h.word_mask()) if h.items else [] for h in hits], pa.list_(pa.int32())),
+                }
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    return rows.mapInArrow(run, "doc_id long, same long, n_words long, items array<string>, words array<int>")
+
+
+def _with_spans(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, n_words, items, words) with the words' places in the original text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for text, n, words in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist()):
+                mask = np.zeros(n, bool)
+                mask[words] = True
+                spans.append(_spans(text or b"", mask) if words else [])
+            lengths = [pa.array([len(x) for x in batch.column(k).to_pylist()], pa.int64()) for k in (4, 3)]
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lengths, batch.column(3), pa.array(spans, kind)], names=["doc_id", "n_words", "n_hit", "n_items", "items", "spans"])
 
-    Null texts have no words. Items without an id or without words match
-    nothing; items that share an id count once. Repeated documents give
-    repeated rows; an empty benchmark hits nothing.
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:int,end:int>>")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items, spans) per row of ``docs``.
+
+    Words, hit words, the items that occur, and the hits as character offsets
+    of the original. Null texts have no words; texts of any length are scanned
+    whole. Items without an id or without words match nothing; items that share
+    an id count once. Repeated documents give repeated rows, as do rows without
+    an id; an empty benchmark hits nothing, an empty table gives no rows. Other
+    columns, whatever they are called, are left out.
     """
-    context = docs.sparkSession.sparkContext
-    items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(item_text_col).cast("string"))
-    blocks = [(uuid.uuid4().hex, context.broadcast(block)) for block in _blocks(items, window, block_bytes)]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("same"), F.col(text_col).cast("string").alias("text"))
+    blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    if len(blocks) <= 1:
+        return _one_scan(rows.select("doc_id", "text"), *(blocks[0] if blocks else ("none", docs.sparkSession.sparkContext.broadcast({}))))
+    found = _scanned(rows, *blocks[0]).select("doc_id", "same", "items", "words")
+    for more in blocks[1:]:
+        found = found.union(_scanned(rows, *more).select("doc_id", "same", "items", "words"))
+    # documents with hits are few; rows that repeat an id and a text have equal hits
+    pieces = found.filter(F.size("items") > 0).dropDuplicates()
+    both = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    merged = pieces.groupBy("doc_id", "same").agg(both("items"), both("words")).select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"), "items", "words")
+    words = F.size(F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "), " "), lambda w: w != "")).cast("long")
+    joined = rows.join(merged, rows.doc_id.eqNullSafe(merged["_id"]) & (rows.same == merged["_same"]), "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return _with_spans(joined.select("doc_id", "text", words.alias("n_words"), empty("items", "array<string>"), empty("words", "array<int>")))
+
+
+def _one_scan(rows: DataFrame, name: str, block) -> DataFrame:
+    """``scan`` with one automaton: nothing is joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
                 texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
-                words = [words_of(t) for t in texts]
-                hits = [_Hits(" " + b" ".join(w).decode("latin-1") + " ") for w in words]
-                for name, block in blocks:
-                    automaton = _automaton_of(name, block)
-                    for hit in hits:
-                        for end, (length, found) in automaton.iter(hit.line):
-                            hit.add(end, length, found)
+                counts, hits = _hits_in(texts, name, block)
                 masks = [h.word_mask() if h.items else None for h in hits]
-                rows = {
+                out = {
                     "doc_id": batch.column(0),
-                    "n_words": pa.array([len(w) for w in words], pa.int64()),
+                    "n_words": pa.array(counts, pa.int64()),
                     "n_hit": pa.array([0 if m is None else int(m.sum()) for m in masks], pa.int64()),
                     "n_items": pa.array([len(h.items) for h in hits], pa.int64()),
                     "items": pa.array([sorted(h.items) for h in hits], pa.list_(pa.string())),
                     "spans": pa.array([[] if m is None else _spans(t, m) for t, m in zip(texts, masks)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                 }
-                yield pa.RecordBatch.from_arrays(list(rows.values()), names=list(rows))
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:int,end:int>>")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents in which no benchmark window occurs; rows without an id stay.
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs, all columns kept.
 
-    Of rows that share an id, all go if one is hit.
+    A row is judged by its own text, as it is read: nothing is shuffled or
+    joined, each automaton is one more filter. Null and empty texts, and rows
+    without an id, stay like any other without a hit; repeated rows share their
+    fate. An empty benchmark drops nothing.
     """
-    hit = scan(docs, benchmark, id_col, text_col).filter("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs[id_col] == hit["_hit"], "left_anti")
+
+    def without(name: str, block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, len(whole), 512):
+                    batch = whole.slice(at, 512)
+                    automaton = _automaton_of(name, block)
+                    lines = (" " + b" ".join(words_of(t.as_py() or b"")).decode("latin-1") + " " for t in batch.column(1).cast(pa.binary()))
+                    clean = [next(automaton.iter(line), None) is None for line in lines]
+                    yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    for k, (name, block) in enumerate(_blocks(benchmark, item_col, item_text_col, window, block_bytes)):
+        # filters in a row would hold an automaton each at the same time
+        rows = (written(rows, "clean") if k else rows).mapInArrow(without(name, block), rows.schema)
+    return rows.select("_row.*")
 
 
 def items_digest(items: F.Column) -> F.Column:
