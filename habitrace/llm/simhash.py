@@ -5,16 +5,16 @@ popcounts is its place on an integer grid. Flipping one bit moves a fingerprint
 by one step on that grid, so the Manhattan distance of two places never exceeds
 the Hamming distance of their fingerprints. Fingerprints within 2 bits
 therefore have a grid cell within one step of both ("meeting in the middle"):
-each fingerprint is written to its own cell and to the 32 cells around it, and
-an equi-join on the cell is the range join. Candidates are verified exactly on
-the 64 bits.
-
-A cell that holds more than ``crowd`` different fingerprints (a big family of
-near copies) is not joined pair by pair. Its fingerprints are linked through
-exact bit-flip neighbourhoods instead: two fingerprints are within 2 bits
-exactly if the sets {f, f with one bit flipped} meet, and all that share such a
-meeting point are hooked to the least of them. That is linear in the family and
-finds the same components.
+each fingerprint is written to its own cell and to the cells around it, and an
+equi-join on the cell is the range join. What is alone in a cell is done.
+
+What shares a cell is verified exactly on the 64 bits. Two fingerprints are
+within 2 bits exactly if there is a third one within 1 bit of both, and that
+one lies in the cell they share. So each fingerprint offers, for each shared
+cell, itself (its own cell) or its neighbours by one bit of the segment in
+which the cell is a step away, four at most; all that offer the same 64 bits
+are hooked to the least of them. A cell costs a few rows a fingerprint however
+many it holds, and no pair is ever a row.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ from habitrace.llm.store import settled
 SEED = 42
 SHINGLE = 3
 SEGMENTS = 16
-CROWD = 64
 
 
 def fingerprint_of(text: bytes) -> int:
@@ -67,35 +66,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _cells() -> F.Column:
-    """The own cell and those one step away; 3 bits of the key per segment."""
+    """The own cell (seg -1) and those one step away in segment ``seg``; 3 bits of the key per segment."""
     width = 64 // SEGMENTS
     counts = [f"bit_count(shiftrightunsigned(fp, {s * width}) & {2**width - 1})" for s in range(SEGMENTS)]
     own = " + ".join(f"shiftleft(cast({c} as bigint), {3 * s})" for s, c in enumerate(counts))
-    steps = []
+    at = lambda cell, s, up: f"named_struct('cell', {cell}, 'seg', {s}, 'up', {up})"
+    steps = [at("own", -1, "false")]
     for s, c in enumerate(counts):
-        steps += [f"if({c} < {width}, own + {8**s}L, null)", f"if({c} > 0, own - {8**s}L, null)"]
-    return F.expr(own), F.expr(f"array_compact(array(own, {', '.join(steps)}))")
+        steps += [f"if({c} < {width}, {at(f'own + {8**s}L', s, 'true')}, null)", f"if({c} > 0, {at(f'own - {8**s}L', s, 'false')}, null)"]
+    return F.expr(own), F.expr(f"array_compact(array({', '.join(steps)}))")
 
 
 def _links(points: DataFrame, bits: int) -> DataFrame:
     """(a, b) representatives whose components the fingerprints' links join."""
     own, around = _cells()
-    cells = points.withColumn("own", own).select("rep", "fp", F.explode(around).alias("cell"))
-    shared = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    met = settled(cells.join(shared, "cell"))
-    few = met.filter(F.col("n") <= CROWD)
-    pairs = (
-        few.alias("x")
-        .join(few.alias("y"), "cell")
-        .filter("x.rep < y.rep")
-        .filter(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits)
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    )
-    flips = ", ".join(f"fp ^ shiftleft(1L, {i})" for i in range(64))
-    balls = met.filter(F.col("n") > CROWD).select("rep", "fp").distinct().select("rep", F.explode(F.expr(f"array(fp, {flips})")).alias("point"))
-    hubs = balls.groupBy("point").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    stars = balls.join(hubs, "point").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    return pairs.union(stars)
+    cells = points.withColumn("own", own).select("rep", "fp", F.explode(around).alias("c")).select("rep", "fp", "c.*")
+    shared = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
+    met = cells.join(shared, "cell")
+    width = 64 // SEGMENTS
+    flips = [f"if(((fp & shiftleft(1L, seg * {width} + {k})) = 0L) = up, fp ^ shiftleft(1L, seg * {width} + {k}), null)" for k in range(width)]
+    offers = F.expr(f"if(seg < 0, array(fp), array_compact(array({', '.join(flips)})))")
+    balls = met.select("rep", "fp", F.explode(offers).alias("point"))
+    if bits == 2:
+        hubs = balls.groupBy("point").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("point", "hub")
+    else:
+        # within 1 bit the fingerprint in the middle is one of the two; within none it is both
+        hubs = points.filter(F.lit(bits == 1)).select(F.col("fp").alias("point"), F.col("rep").alias("hub"))
+    return balls.join(hubs, "point").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2) -> DataFrame:
@@ -121,10 +118,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of each component stays: the one with the least id.
 
     Rows that repeat an id (same text or not) count as copies of one document:
-    one of them stays, the first by text. Rows without an id all stay.
+    one of them stays, the first by text. Rows without an id all stay; an empty
+    table stays empty; all columns of ``docs`` pass through. Only ids are
+    counted and sorted; a row's text moves once, to meet the ids that stay.
     """
-    found = simhash_components(docs, id_col, text_col).filter("component_id = doc_id").select(F.col("doc_id").alias("_keep")).distinct()
-    known = docs.filter(docs[id_col].isNotNull())
-    kept = known.join(found, known[id_col] == found["_keep"], "left_semi")
-    one = kept.groupBy(F.col(id_col).alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col))).alias("_row")).select("_row.*")
-    return one.unionByName(docs.filter(docs[id_col].isNull()))
+    found = simhash_components(docs, id_col, text_col).filter("component_id = doc_id")
+    ids = settled(found.groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_n")))
+    keep = lambda few: docs.join(ids.filter(few).select("_keep"), docs[id_col] == F.col("_keep"), "left_semi")
+    kept, repeated = keep("_n = 1"), "_n > 1"
+    if not ids.filter(repeated).isEmpty():
+        row = F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col)))
+        kept = kept.unionByName(keep(repeated).groupBy(F.col(id_col).alias("_id")).agg(row.alias("_row")).select("_row.*"))
+    return kept.unionByName(docs.filter(docs[id_col].isNull()))
