@@ -40,16 +40,24 @@ def token_count(text: Column) -> Column:
     return F.greatest(F.regexp_count(text, F.lit(r"[^ \t\r\n]+")), F.lit(1)).cast("long")
 
 
+#: Characters that tell a text's register: digits, capitals, symbols of mark-up, tables and code.
+_DIGITS, _CAPITALS, _SYMBOLS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "#$%&*+/<=>@[]^_`{|}~"
+
+
 def topic_of(text: Column) -> Column:
-    """A coarse topic by surface: tables, shouting, marked-up, numbers, lists, else prose."""
+    """The topic where the caller names none: a text's register by shares of its characters.
+
+    Texts come without topics, so this stands in for a classifier's column:
+    numbers (5 % digits), capitals (20 % A-Z), symbols (4 %), lines (shorter
+    than 60 characters on average), else prose.
+    """
     n = F.greatest(F.length(text), F.lit(1))
-    times = lambda part: (F.length(text) - F.length(F.replace(text, F.lit(part)))) / len(part)
+    share = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     return (
-        F.when(times(" | ") * 50 > n, "table")
-        .when(times("!!") * 50 > n, "loud")
-        .when(F.regexp_count(text, F.lit(r"[#$%*&]{2}")) * 50 > n, "marked")
-        .when(F.regexp_count(text, F.lit("[0-9]")) * 20 > n, "numbers")
-        .when(times("\n") * 60 > n, "lines")
+        F.when(share(_DIGITS) * 20 > n, "numbers")
+        .when(share(_CAPITALS) * 5 > n, "capitals")
+        .when(share(_SYMBOLS) * 25 > n, "symbols")
+        .when(share("\n") * 60 > n, "lines")
         .otherwise("prose")
     )
 
@@ -138,19 +146,28 @@ def uniform(id_col: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def _cell_of(docs: DataFrame, text_col: str, topic: Column | None) -> list[Column]:
+    """source, lang and topic of a row; nulls are '(none)'."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    given = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(text) if topic is None else topic}
+    return [F.coalesce(given[d].cast("string"), F.lit("(none)")).alias(d) for d in DIMS]
+
+
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, smoothing: float = SMOOTHING, rounds: int = ROUNDS, top: float = 1.0, targets: dict[str, DataFrame] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, probability, chosen) per row of ``docs``.
 
     ``probability`` is the cell's rate over the largest rate, times ``top``.
     ``targets`` may hold (dim, weight) for any of ``DIMS``; a dimension without
-    takes the corpus's token shares ^ ``smoothing``.
-    Null sources and languages count as a value of their own ('(none)'); a null
-    text is empty and weighs one token. Rows that share an id share their
-    fate where they share a cell. An empty table gives an empty plan.
+    takes the corpus's token shares ^ ``smoothing``. ``topic`` is a column of
+    the caller's, over ``docs``; without one ``topic_of`` stands in.
+    Null sources, languages and topics count as a value of their own
+    ('(none)'); a null text is empty and weighs one token, a very long one
+    counts whole. Rows that share an id share their fate where they share a
+    cell. An empty table gives an empty plan. Other columns, whatever they are
+    called, are left out.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
-    rows = settled(docs.select(F.col(id_col).alias("doc_id"), named("source").alias("source"), named("lang").alias("lang"), (topic if topic is not None else topic_of(text)).alias("topic"), token_count(text).alias("n_tokens")))
+    rows = settled(docs.select(F.col(id_col).alias("doc_id"), *_cell_of(docs, text_col, topic), token_count(text).alias("n_tokens")))
     cells = settled(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("n")))
     if unknown := set(targets or ()) - set(DIMS):
         raise ValueError(f"no such dimension: {', '.join(sorted(unknown))}")
@@ -161,26 +178,27 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic:
     return _looked_up(rows, odds, list(DIMS)).select("doc_id", *DIMS, "n_tokens", "probability", (uniform(F.col("doc_id")) < F.col("probability")).alias("chosen"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = SMOOTHING, rounds: int = ROUNDS, top: float = 1.0, targets: dict[str, DataFrame] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
-    """The rows of ``docs`` that the plan draws, all columns kept."""
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, smoothing: float = SMOOTHING, rounds: int = ROUNDS, top: float = 1.0, targets: dict[str, DataFrame] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """The rows of ``docs`` that ``plan`` draws with the same arguments, all columns kept.
+
+    Nulls, repeats and long texts are as in ``plan``: every row is drawn or not
+    by its own cell and id, so repeated rows stay or go together, and rows
+    without an id share one draw in each cell. An empty table stays empty.
+    """
     cols = docs.columns
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
-    planned = plan(docs, id_col, text_col, None, smoothing, rounds, top, targets, tolerance).groupBy(*DIMS).agg(F.max("probability").alias("_p"))
+    planned = plan(docs, id_col, text_col, topic, smoothing, rounds, top, targets, tolerance).groupBy(*DIMS).agg(F.max("probability").alias("_p"))
     odds = settled(planned.select(*(F.col(d).alias(f"_{d}") for d in DIMS), "_p"))
-    keyed = docs.select(F.struct(*cols).alias("_row"), F.col(id_col).alias("_id"), named("source").alias("_source"), named("lang").alias("_lang"), topic_of(text).alias("_topic"))
+    cell = [c.alias(f"_{d}") for c, d in zip(_cell_of(docs, text_col, topic), DIMS)]
+    keyed = docs.select(F.struct(*cols).alias("_row"), F.col(id_col).alias("_id"), *cell)
     return _looked_up(keyed, odds, [f"_{d}" for d in DIMS]).filter(uniform(F.col("_id")) < F.col("_p")).select("_row.*")
 
 
-_COUNT = "len(regexp_extract_all(text, '{}'))"
-
-
 def oracle_sql(rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> str:
     """DuckDB SQL for ``plan`` with the same number of raking steps, unrolled."""
     n = "greatest(length(text), 1)"
-    topic = f"""case when {_COUNT.format(' [|] ')} * 50 > {n} then 'table' when {_COUNT.format('!!')} * 50 > {n} then 'loud'
-      when {_COUNT.format('[#$%*&]{2}')} * 50 > {n} then 'marked' when {_COUNT.format('[0-9]')} * 20 > {n} then 'numbers'
-      when (length(text) - length(replace(text, chr(10), ''))) * 60 > {n} then 'lines' else 'prose' end"""
+    share = lambda chars: f"(length(text) - length(translate(text, '{chars}', '')))"
+    topic = f"""case when {share(_DIGITS)} * 20 > {n} then 'numbers' when {share(_CAPITALS)} * 5 > {n} then 'capitals'
+      when {share(_SYMBOLS)} * 25 > {n} then 'symbols' when (length(text) - length(replace(text, chr(10), ''))) * 60 > {n} then 'lines' else 'prose' end"""
     ctes = [
         "raw as (select doc_id, coalesce(text, '') as text, coalesce(source, '(none)') as source, coalesce(lang, '(none)') as lang from documents)",
         f"r as (select doc_id, source, lang, {topic} as topic, cast(greatest(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')), 1) as bigint) as n_tokens from raw)",
