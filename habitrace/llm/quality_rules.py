@@ -135,12 +135,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from ``labels`` (id, 0/1); null ids and labels are left out.
 
     At most ``sample_rows`` labelled ids are taken, by hash; without any the
-    score is 0.5 everywhere.
+    score is 0.5 everywhere. An id that has both labels is taken as 0; of rows
+    of ``docs`` that repeat an id, the one with the least statistics is, so
+    that no more than the sample reaches the driver. Other columns, whatever
+    they are called, are left out.
     """
     wanted = labels.filter(F.col(label_col).isNotNull() & in_training(F.col(id_col)))
-    sample = wanted.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample_rows)
+    labelled = wanted.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label_col).cast("double")).alias("_y"))
+    sample = labelled.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    rows = with_statistics(joined, "_text", ["_y"]).select("_row._y", *STATISTICS).collect()
+    rows = with_statistics(joined, "_text", ["_id", "_y"]).groupBy("_row").agg(F.min(F.struct(*STATISTICS)).alias("_s")).select("_row._y", "_s.*").collect()
     data = np.array(rows, float).reshape(-1, len(STATISTICS) + 1)
     order = np.lexsort(data.T)
     return fit_rules(data[order, 1:], data[order, 0], list(STATISTICS))
@@ -149,7 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_documents(docs: DataFrame, model: RuleModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5).
 
-    A null text scores as an empty one. Columns of ``docs`` that are called
+    A null text scores as an empty one; very long texts are read whole. Rows
+    are scored by their text alone: repeated rows and rows without an id stay,
+    an empty table stays empty. Columns of ``docs`` that are called
     ``score`` or ``predicted`` are replaced; other columns pass through.
     """
     own = [c for c in keep or docs.columns if c not in ("score", "predicted")]
