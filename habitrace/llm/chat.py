@@ -36,33 +36,39 @@ def _escape_role(role: Column) -> Column:
 
 
 def format_examples(conversations: DataFrame) -> DataFrame:
-    """(conv_id, example, n_turns, formatted, loss_start, loss_chars).
+    """(conv_id, lone, example, n_turns, formatted, loss_start, loss_chars).
 
     ``example`` counts from 0; offsets are code points of ``formatted``. The
     record without a target has ``loss_chars`` null. Turns that share a number
-    are ordered by role, then text; a null role or text is empty; a null turn
-    number comes first; rows without ``conv_id`` are one conversation.
+    are ordered by role, then text, and repeated rows are turns of their own; a
+    null role or text is empty; a null turn number comes first. A row without
+    ``conv_id`` can't be told to belong to any other: it is a conversation of
+    its own, which ``lone`` numbers (null for all others). An empty table gives
+    no example; texts of any length stay whole; other columns are left out.
     """
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
+        F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("lone"),
         F.struct(
             F.col("turn").cast("long").alias("turn"),
             F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         ).alias("t"),
     )
-    listed = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    listed = turns.groupBy("conv_id", "lone").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     head = lambda t: F.concat(F.lit(OPEN), _escape_role(t["role"]), F.lit("\n"))
     marked = listed.select(
         "conv_id",
+        "lone",
         F.transform("ts", lambda t: F.struct((t["role"] == "assistant").alias("target"), head(t).alias("head"), escape(t["text"]).alias("body"))).alias("ts"),
     )
-    numbered = marked.select("conv_id", F.size("ts").alias("total"), F.posexplode("ts").alias("at", "t"), "ts")
+    numbered = marked.select("conv_id", "lone", F.size("ts").alias("total"), F.posexplode("ts").alias("at", "t"), "ts")
     chosen = numbered.filter(F.col("t.target") | (F.col("at") == F.col("total") - 1))
     prefix = F.array_join(F.transform(F.slice("ts", 1, F.col("at")), lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "")
     start = F.concat(prefix, F.col("t.head"))
     return chosen.select(
         "conv_id",
+        "lone",
         F.col("at").alias("example"),
         (F.col("at") + 1).alias("n_turns"),
         F.concat(start, F.col("t.body"), F.lit(CLOSE)).alias("formatted"),
@@ -90,9 +96,9 @@ def loss_text(formatted: Column, start: Column, chars: Column) -> Column:
 
 
 def digest(examples: DataFrame) -> DataFrame:
-    """Per conversation, from the examples as read back: turns, loss text and size."""
+    """Per conversation (and row without one), from the examples as read back: turns, loss text and size."""
     loss = F.when(F.col("loss_chars").isNotNull(), F.struct("example", loss_text(F.col("formatted"), F.col("loss_start"), F.col("loss_chars")).alias("loss")))
-    per = examples.groupBy("conv_id").agg(
+    per = examples.groupBy("conv_id", "lone").agg(
         F.max_by("formatted", "n_turns").alias("longest"),
         F.sort_array(F.collect_list(loss)).alias("losses"),
         F.sum(F.length("formatted")).cast("long").alias("formatted_chars"),
