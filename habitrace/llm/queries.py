@@ -70,11 +70,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus's trees are stored; the round of edits then reads them and encodes what it touches."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    edits = token_edits.revision(F.col("doc_id"), F.col("text"))
-    return token_edits.count_with_edits(docs, edits, _tokenizer_path(RANKS), public_tokenizers.PATTERN)
+    ranks, pattern = _tokenizer_path(RANKS), public_tokenizers.PATTERN
+    trees = written(token_edits.build_trees(docs, ranks, pattern), "trees")
+    edits = token_edits.revision(F.col("doc_id"), F.col("n_chars"))
+    return token_edits.counts_of(token_edits.apply_edits(trees, edits, ranks, pattern))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
