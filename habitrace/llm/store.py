@@ -1,9 +1,10 @@
 """Where the operators of this subpackage read tables and keep intermediate results.
 
 Intermediate results live in the folder that the cluster names in
-``spark.checkpoint.dir``; only where that is unset (tests, a laptop) does a
-temporary folder stand in. Nothing here uses executor-local storage, so a lost
-executor costs a recomputation and never data.
+``spark.checkpoint.dir``; only a local session (tests, a laptop) where that is
+unset gets a temporary folder, a cluster without it is an error. Nothing here
+uses executor-local storage, so a lost executor costs a recomputation and never
+data.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder; also makes sure that ``checkpoint()`` can use it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
-        root = context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="habitrace-")
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="habitrace-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root.rstrip("/")
