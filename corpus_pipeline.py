@@ -1,5 +1,9 @@
 """Corpus pipeline: documents to token shards in five stages.
 
+A null text is an empty one in every stage, texts are read whole, repeated rows
+are copies of one document (one stays), and an empty table passes through to an
+empty result; rows without an id pass the filters by their text alone. Columns
+beside those of documents stay in the first four stages, whatever their names.
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns
 is written as Parquet and read again as the next stage's documents. All but the
 last return the columns of documents.
