@@ -44,6 +44,8 @@ TOKENS = {
     "talk": "comment comments reply replies respond discussion disqus reader review reviews feedback",
     "social": "share sharing social follow twitter facebook tags tag meta byline author",
 }
+#: Attribute tokens that tell nothing.
+NEUTRAL = "box wrap wrapper container inner outer block item list row col left right large small js mt page area unit group".split()
 _FAMILY = {w: i for i, words in enumerate(TOKENS.values()) for w in words.split()}
 
 
@@ -172,8 +174,12 @@ def training_pages(pages: int = TRAINING_PAGES, seed: int = 11) -> Iterator[str]
 
         def tag(name: str, family: str | None, inner: str, y: str = "", bare: bool = bare, rng: random.Random = rng) -> str:
             names = TOKENS[family].split() if family else []
-            cls = f' class="{rng.choice(names)}"' if names and not bare and rng.random() < 0.8 else ""
-            return f"<{name}{cls}{y}>{inner}</{name}>"
+            if not names or bare or rng.random() >= 0.85:
+                return f"<{name}{y}>{inner}</{name}>"
+            said = rng.choice(names)
+            if rng.random() < 0.5:
+                said = rng.choice(["{}-{}", "{}_{}", "{} {}"]).format(*rng.sample([said, rng.choice(NEUTRAL)], 2))
+            return f'<{name} {rng.choice(["class", "class", "class", "id"])}="{said}"{y}>{inner}</{name}>'
 
         def items(lo: int, hi: int, long: bool = False, rng: random.Random = rng) -> str:
             return "".join(f'<li><a href="/x">{_prose(rng, rng.randint(1, 9 if long else 2), False)}</a></li>' for _ in range(rng.randint(lo, hi)))
@@ -198,7 +204,7 @@ def training_pages(pages: int = TRAINING_PAGES, seed: int = 11) -> Iterator[str]
             said = "".join(tag(rng.choice(["div", "li", "article"]), "talk", f"<p>{_prose(rng, rng.randint(3, 50))}</p>", "", False) for _ in range(rng.randint(1, 6)))
             return tag(rng.choice(["section", "div", "ol"]), "talk", f"<h3>{_prose(rng, 2, False)}</h3>" + said, y_b, False)
 
-        def para(rng: random.Random = rng) -> str:
+        def para(rng: random.Random = rng, pick=pick) -> str:
             kind, words = rng.random(), int(rng.choice([1, 3, 8, 20, 60, 150, 300]) * (0.5 + rng.random()))
             said = _prose(rng, max(1, words))
             if kind < 0.16:
@@ -213,13 +219,15 @@ def training_pages(pages: int = TRAINING_PAGES, seed: int = 11) -> Iterator[str]
                 return f'<p>{said} <a href="/y">{_prose(rng, 3, False)}</a> {_prose(rng, 8)}</p>'
             if kind < 0.38:
                 return f"<div>{said}</div>"
+            if kind < 0.41:
+                return f"<p>{said} {pick(['<button>OK</button>', '<select><option>a<option>b</select>', '<input type=checkbox>'])} {_prose(rng, 8)}</p>"
             return _soup(rng, "p", said)
 
         body = [para() for _ in range(pick([1, 1, 2, 3, 5, 8, 14, 25, 70]))]
         title = f"<h1>{_prose(rng, rng.randint(1, 12), chance() < 0.5)}</h1>"
         main = title + "".join(body)
         inside = ""
-        if chance() < 0.35:
+        if chance() < 0.5:
             cut = rng.randrange(len(body) + 1)
             main = title + "".join(body[:cut]) + (inside := junk()) + "".join(body[cut:])
         host = pick(["article", "article", "article", "main", "div", "section"])
