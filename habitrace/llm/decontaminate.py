@@ -76,7 +76,7 @@ def _automaton(block: dict[str, tuple[str, ...]]) -> ahocorasick.Automaton:
         built.add_word(pattern, (len(pattern), found))
     # without a word there is nothing to make: a pattern that no text can hold stands in
     if not block:
-        built.add_word("  ", (2, ()))
+        built.add_word("\0", (1, ()))
     built.make_automaton()
     return built
 
