@@ -124,9 +124,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = simhash_components(docs, id_col, text_col).filter("component_id = doc_id")
     ids = settled(found.groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_n")))
-    keep = lambda few: docs.join(ids.filter(few).select("_keep"), docs[id_col] == F.col("_keep"), "left_semi")
+
+    def keep(which: str) -> DataFrame:
+        some = ids.filter(which).select("_keep")
+        return docs.join(some, docs[id_col] == some["_keep"], "left_semi")
+
     kept, repeated = keep("_n = 1"), "_n > 1"
     if not ids.filter(repeated).isEmpty():
         row = F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col)))
-        kept = kept.unionByName(keep(repeated).groupBy(F.col(id_col).alias("_id")).agg(row.alias("_row")).select("_row.*"))
+        # settled first: an aggregation over a union of joins would trust the joins' partitioning
+        kept = kept.unionByName(settled(keep(repeated)).groupBy(F.col(id_col).alias("_id")).agg(row.alias("_row")).select("_row.*"))
     return kept.unionByName(docs.filter(docs[id_col].isNull()))
