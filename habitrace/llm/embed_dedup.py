@@ -10,7 +10,10 @@ both sides' bucket numbers tell without a shuffle. Components are joined by the
 distributed algorithm.
 
 Tables follow from the recall wanted at the threshold: a pair at cosine c
-shares a bit with probability 1 - acos(c)/pi.
+shares a bit with probability 1 - acos(c)/pi. Every bit more than halves the
+buckets but takes more tables, and each table is one more copy of the vectors
+to shuffle, while a product costs next to nothing. So buckets are large (1,024
+vectors) and the tables few: 10 up to 65,536 vectors, 20 at 10^6, 102 at 10^9.
 """
 
 from __future__ import annotations
@@ -28,12 +31,16 @@ from habitrace.llm.store import settled
 
 THRESHOLD = 0.9
 RECALL = 0.99
-BLOCK = 1024
+BLOCK = 4096
+#: A list of large buckets up to this length (some MB) is broadcast.
+BROADCAST_ROWS = 100_000
+#: Rows of a block that are multiplied at a time.
+STRIP = 256
 
 
-def bits_for(n: int, per_bucket: int = 48) -> int:
-    """Bits per table: buckets of about ``per_bucket`` vectors, 8 bits at least."""
-    return max(8, math.ceil(math.log2(max(1, n) / per_bucket)))
+def bits_for(n: int, per_bucket: int = 1024) -> int:
+    """Bits per table: buckets of about ``per_bucket`` vectors, 6 bits at least."""
+    return max(6, math.ceil(math.log2(max(1, n) / per_bucket)))
 
 
 def tables_for(bits: int, threshold: float, recall: float) -> int:
@@ -88,11 +95,25 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield last, pa.Table.from_batches(held)
 
 
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Hooks the roots of linked members to the lesser root, until all links are within one."""
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
 def _compare(threshold: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (table, _, _, bi, bj), group in _groups(batches, 5):
             if len(group) < 2:
                 continue
+            group = group.sort_by("node")
             sides = group.column("block").to_numpy()
             nodes = group.column("node").to_numpy()
             copies = group.column("copies").to_numpy()
@@ -103,27 +124,24 @@ def _compare(threshold: float, kind: str):
             left, right = np.flatnonzero(sides == bi), np.flatnonzero(sides == bj)
             if not len(left) or not len(right):
                 continue
-            near = unit[left] @ unit[right].T >= threshold
-            a, b = np.nonzero(near)
-            a, b = left[a], right[b]
-            once = a < b if bi == bj else np.ones(len(a), bool)
-            a, b = a[once], b[once]
-            if table:
-                new = ~(codes[a, :table] == codes[b, :table]).any(axis=1)
-                a, b = a[new], b[new]
-            if not len(a):
-                continue
-            partners = np.bincount(a, copies[b], len(nodes)) + np.bincount(b, copies[a], len(nodes))
-            labels = nodes.copy()
-            while True:
-                new = labels.copy()
-                np.minimum.at(new, a, labels[b])
-                np.minimum.at(new, b, labels[a])
-                if (new == labels).all():
-                    break
-                labels = new
+            facing = unit[right].T
+            partners, root = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+            for at in range(0, len(left), STRIP):
+                rows = left[at : at + STRIP]
+                a, b = np.nonzero(unit[rows] @ facing >= threshold)
+                a, b = rows[a], right[b]
+                if bi == bj:
+                    a, b = a[a < b], b[a < b]
+                # a pair that met in an earlier table has been counted there
+                for k in range(table):
+                    new = codes[a, k] != codes[b, k]
+                    a, b = a[new], b[new]
+                if len(a):
+                    partners += (np.bincount(a, copies[b], len(nodes)) + np.bincount(b, copies[a], len(nodes))).astype(np.int64)
+                    _join(root, a, b)
             hit = np.flatnonzero(partners > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(partners[hit].astype(np.int64)), pa.array(labels[hit])], names=["node", "partners", "hub"])
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(partners[hit]), pa.array(nodes[root[hit]])], names=["node", "partners", "hub"])
 
     return run
 
@@ -135,7 +153,8 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows linked directly, equal vectors among them. Vectors that are null,
     empty, zero or hold null or non-finite parts, and rows without an id, link
     with nothing (a null id has a null component and is not kept). Vectors of
-    different length are never linked. Repeated ids are rows of their own.
+    different length are never linked. Repeated ids are rows of their own; an
+    empty table gives no rows; other columns, whatever they are called, are left out.
     """
     parts = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     fine = F.col(vec_col).isNotNull() & ~F.exists(parts, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(parts, lambda x: x != 0) & F.col(id_col).isNotNull()
@@ -149,9 +168,9 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     kind = "<f4" if dict(vectors.dtypes)[vec_col] == "array<float>" else "<f8"
     hashed = settled(_hashed(nodes.select("node", "copies", "v"), bits, tables, kind))
     spread = hashed.select("node", "copies", "vec", "codes", F.length("vec").alias("dim"), F.posexplode("buckets").alias("tab", "bucket"))
-    # only the few buckets beyond one block are cut; the others need no join with their sizes
-    large = spread.groupBy("tab", "bucket", "dim").agg(F.count("*").alias("n")).filter(F.col("n") > block)
-    sized = spread.join(large, ["tab", "bucket", "dim"], "left")
+    # only the few buckets beyond one block are cut; their list is counted before it is broadcast, so that vectors move once
+    large = settled(spread.groupBy("tab", "bucket", "dim").agg(F.count("*").alias("n")).filter(F.col("n") > block))
+    sized = spread.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, ["tab", "bucket", "dim"], "left")
     blocks = sized.withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     paired = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = paired.select("tab", "bucket", "dim", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "copies", "vec", "codes")
