@@ -6,7 +6,8 @@ worker keeps what it has seen. A chunk of characters below U+0130 is cut with
 the tokenizer's own pattern (NFC leaves such characters alone and lower-casing
 them needs no context) and its pieces go to the tokenizer's own BPE model. All
 else (other scripts, the special tokens' strings, rare control characters) goes
-through the tokenizer whole.
+through the tokenizer whole, and so does every text if the file's normalizer,
+pre-tokenizer or model is not of the form that this shortcut was made for.
 """
 
 from __future__ import annotations
@@ -20,6 +21,17 @@ KEEP = 400_000
 
 _CONTROLS = "\x1c\x1d\x1e\x1f"
 
+#: The parts of a tokenizer file that the shortcut stands on.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _PIECES}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 
 def _is_latin(text: str) -> bool:
     try:
@@ -48,7 +60,9 @@ class WordEncoder:
         if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.model = self.whole.model
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.pieces = regex.compile(_PIECES).findall
+        plain = all(t["special"] and not t["normalized"] and t["content"].startswith("<|") for t in spec["added_tokens"])
+        self.known_form = plain and spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER and not spec["post_processor"] and spec["model"].get("type") == "BPE"
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.bytes = _byte_chars()
         self.of_chunk: dict[str, bytes] = {}
@@ -59,7 +73,7 @@ class WordEncoder:
         if known is None:
             if len(self.of_piece) >= KEEP:
                 self.of_piece.clear()
-            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
+            spelled = piece.encode().decode("latin-1").translate(self.bytes)
             known = self.of_piece[piece] = np.array([t.id for t in self.model.tokenize(spelled)], "<u2").tobytes()
         return known
 
@@ -75,7 +89,7 @@ class WordEncoder:
         return b"".join(map(self._piece, self.pieces(low)))
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text and any(s in text for s in self.special) or any(c in text for c in _CONTROLS):
+        if not self.known_form or ("<|" in text and any(s in text for s in self.special)) or any(c in text for c in _CONTROLS):
             return self._library(text)
         low = text.lower() if _is_latin(text) else text
         if "<|" in low and low != text and any(s in low for s in self.special):
