@@ -1,6 +1,7 @@
 """Mixing to a caller's weights, and what happens when targets can't be met."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from habitrace.llm import mixing
 
@@ -44,3 +45,20 @@ def test_contradicting_targets(spark):
 def test_bad_weights(spark, weights):
     with pytest.raises(ValueError, match="weights of lang"):
         mixing.plan(_docs(spark, {("s", "A"): 3}), targets={"lang": spark.createDataFrame(weights, "lang string, weight double")})
+
+
+def test_topic_of_the_caller(spark):
+    """A caller's topic column is raked to the caller's weights, in the plan and in the draw."""
+    df = _docs(spark, {("a", "en"): 60, ("a", "de"): 20, ("b", "en"): 20, ("b", "de"): 60}).withColumn("theme", F.when(F.col("doc_id") % 3 == 0, "law").when(F.col("doc_id") % 3 == 1, "art"))
+    weights = spark.createDataFrame([("law", 1.0), ("art", 2.0), (None, 1.0)], "topic string, weight double")
+    plan = mixing.plan(df, topic=F.col("theme"), targets={"topic": weights})
+    assert _reached(plan, "topic") == pytest.approx({"law": 0.25, "art": 0.5, "(none)": 0.25}, abs=2e-5)
+    kept = mixing.mixed(df, topic=F.col("theme"), targets={"topic": weights})
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in plan.filter("chosen").collect())
+
+
+def test_registers(spark):
+    texts = ["Plain words, as they come; nothing else.", "A | b | c | d | e", "SHOUTED WORDS EVERYWHERE", "12 34 56 words", "a\nb\nc", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r.t for r in df.select(mixing.topic_of(F.coalesce("text", F.lit(""))).alias("t")).collect()] == ["prose", "symbols", "capitals", "numbers", "lines", "prose", "prose"]

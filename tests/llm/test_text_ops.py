@@ -47,20 +47,19 @@ def test_fingerprint(text):
     assert simhash.fingerprint_of((text or "").encode()) == _print(text)
 
 
-def _components(prints):
+def _components(prints, bits=2):
     least = dict(prints)
     label = {i: i for i in least}
     while True:
-        new = {i: min(label[j] for j in least if bin(least[i] ^ least[j]).count("1") <= 2) for i in least}
+        new = {i: min(label[j] for j in least if bin(least[i] ^ least[j]).count("1") <= bits) for i in least}
         if new == label:
             return label
         label = new
 
 
-@pytest.mark.parametrize("crowd", [64, 2])
-def test_links_of_fingerprints(spark, monkeypatch, crowd):
-    """Pairs and crowded cells find the components of all links, whatever the bits."""
-    monkeypatch.setattr(simhash, "CROWD", crowd)
+@pytest.mark.parametrize("bits", [2, 1, 0])
+def test_links_of_fingerprints(spark, bits):
+    """Cells and what they share find the components of all links, in sparse and crowded cells alike."""
     rng = random.Random(7)
     prints = {}
     for c in range(6):
@@ -69,13 +68,16 @@ def test_links_of_fingerprints(spark, monkeypatch, crowd):
             for _ in range(rng.randint(0, 2)):
                 at ^= 1 << rng.randrange(64)
             prints[100 * c + k] = at
+    crowd = rng.getrandbits(64)
+    # one large family around one place: 300 fingerprints that share few cells
+    prints |= {2000 + k: crowd ^ (1 << k % 64) ^ (1 << k * 7 % 64) for k in range(300)}
     prints |= {900 + k: rng.getrandbits(64) for k in range(40)} | {990: 0, 991: 1, 992: 2**64 - 1, 993: 2**63}
     points = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f, i) for i, f in prints.items()], "fp long, rep long").groupBy("fp").agg(F.min("rep").alias("rep"))
     from habitrace.llm.components import connected_components
 
-    got = {r.node: r.component for r in connected_components(simhash._links(points, 2), "a", "b").collect()}
+    got = {r.node: r.component for r in connected_components(simhash._links(points, bits), "a", "b").collect()}
     reps = {r.rep: prints[r.rep] for r in points.collect()}
-    want = _components(reps)
+    want = _components(reps, bits)
     assert {i: got.get(i, i) for i in reps} == want
 
 
@@ -123,18 +125,46 @@ def test_scan_without_items(spark):
     assert decontaminate.drop_contaminated(docs_of(spark, TEXTS, ["_hit"]), bench).count() == len(TEXTS)
 
 
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_drop_contaminated(spark, block):
+    bench = spark.createDataFrame([*ITEMS.items(), (None, "alpha")], "item_id long, text string")
+    items = {str(k): v or "" for k, v in ITEMS.items()}
+    df = docs_of(spark, [*TEXTS, TEXTS[9], TEXTS[5]], ["_hit", "same", "words"])
+    df = df.unionByName(df.filter("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    kept = decontaminate.drop_contaminated(df, bench, block_bytes=block)
+    assert kept.columns == df.columns
+    clean = lambda t: not decontaminate.brute_force(t or "", items)[1]
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted((r.doc_id or -1, r.text or "") for r in df.collect() if clean(r.text))
+    assert decontaminate.drop_contaminated(df.limit(0), bench, block_bytes=block).count() == 0
+
+
+def test_scan_repeats(spark):
+    bench = spark.createDataFrame([*ITEMS.items()], "item_id long, text string")
+    df = docs_of(spark, [TEXTS[5], TEXTS[8]]).unionByName(docs_of(spark, [TEXTS[5], TEXTS[7]]))
+    rows = [sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.scan(df, bench, block_bytes=b).collect()) for b in (1 << 20, 40)]
+    assert len(rows[0]) == 4 and rows[0] == rows[1]
+
+
 # Token shards
 def test_elias_fano():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    for n, top in [(0, 1), (1, 0), (1, 10**12), (1000, 3), (1000, 10**6), (5, 2**40)]:
+    for n, top in [(0, 1), (1, 0), (1, 10**12), (1000, 3), (1000, 10**6), (5000, 2), (5, 2**40), (3000, 10**9)]:
         values = np.sort(rng.integers(0, top + 1, n))
-        low, high = tokenbin.ef_encode(values)
-        assert tokenbin.ef_decode(low, high, n).tolist() == values.tolist()
-        assert [tokenbin.ef_select(low, high, i) for i in range(0, n, 37)] == values[::37].tolist()
+        if n == 3000:
+            values[:1500] = 7
+        low, high, rank = tokenbin.EliasFano.encoded(values)
+        code = tokenbin.EliasFano(low, high, rank, n)
+        assert code.select(0, n).tolist() == values.tolist()
+        for i in range(0, n, 37):
+            assert code.select(i).tolist() == [values[i]]
+            j = min(n, i + int(rng.integers(1, 700)))
+            assert code.select(i, j).tolist() == values[i:j].tolist()
+        for v in [0, 1, 7, 8, top, top + 1, *map(int, values[::101])]:
+            assert code.first_at_least(v) == int(np.searchsorted(values, v))
         if n > 100:
-            assert len(low) + len(high) <= n * (3 + max(0, (top // n).bit_length())) / 8 + 16
+            assert len(low) + len(high) + len(rank) <= n * (3.2 + max(0, (top // n).bit_length())) / 8 + 24
 
 
 def test_shards_round_trip(spark):
@@ -151,6 +181,11 @@ def test_shards_round_trip(spark):
         at += r.n_tokens
     said = {(r.doc_id, r.ids[:-2:2].decode()) for r in back}
     assert said == {(d, t or "") for d, t in rows}
+    for run_docs in (1, 7):
+        again = tokenbin.read_shards(spark, path, run_docs=run_docs).collect()
+        assert sorted(again, key=lambda r: r.start) == back
+    assert [r.ids for r in tokenbin.fetch(spark, path, 4993).collect()] != [] and tokenbin.fetch(spark, path, 4993).count() == 2
+    assert bytes(tokenbin.fetch(spark, path, 5000).first().ids) == b"\x02\0" and tokenbin.fetch(spark, path, 4992).count() == 0
     none = tokenbin.write_shards(df.limit(0), lambda: lambda ts: [], 2, 2)
     assert tokenbin.read_shards(spark, none).count() == 0
 
@@ -167,6 +202,37 @@ def test_word_encoder():
         assert [int.from_bytes(ids[i : i + 2], "little") for i in range(0, len(ids), 2)] == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_word_encoder_every_low_character():
+    """All of U+0000 to U+024F, alone, beside letters and digits, and in random strings."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, own = Tokenizer.from_file(path), wordbpe.WordEncoder(path)
+    assert own.known_form
+    rng = random.Random(3)
+    texts = [form.replace("@", chr(c)) for c in range(0x250) for form in ("@", "x@y", "@@ 1@", " A@'s")]
+    texts += ["".join(chr(rng.randrange(0x250)) if rng.random() < 0.6 else rng.choice("abc's 12\n") for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    for text in texts:
+        ids = own.encode(text)
+        assert [int.from_bytes(ids[i : i + 2], "little") for i in range(0, len(ids), 2)] == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_other_tokenizers_go_through_the_library(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    spec["normalizer"]["normalizers"].pop()
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    whole, own = Tokenizer.from_file(str(tmp_path / "other.json")), wordbpe.WordEncoder(str(tmp_path / "other.json"))
+    assert not own.known_form
+    ids = own.encode("Some UPPER words")
+    assert [int.from_bytes(ids[i : i + 2], "little") for i in range(0, len(ids), 2)] == whole.encode("Some UPPER words", add_special_tokens=False).ids
+
+
 # Edit-aware counts
 def test_token_edits(spark):
     import base64
@@ -191,18 +257,64 @@ def test_token_edits(spark):
             tree.edit(at, drop, put)
             assert tree.text() == text
             assert tree.total() == len(enc.encode_ordinary(text)) and tree.length() == len(text)
-    df = docs_of(spark, TEXTS, ["edits", "n_tokens"])
-    got = token_edits.count_with_edits(df, token_edits.revision(F.col("doc_id"), F.col("text")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
-    assert {r.doc_id: r.n_tokens for r in got} == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(TEXTS)}
-    assert max(r.n_encoded for r in got) < 200
-    assert token_edits.count_with_edits(df.limit(0), token_edits.revision(F.col("doc_id"), F.col("text")), "none", "none").count() == 0
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    df = docs_of(spark, [*TEXTS, TEXTS[5]], ["edits", "n_tokens", "pieces"])
+    df = df.unionByName(df.filter("doc_id in (4, 5)").withColumn("doc_id", F.lit(None).cast("long")))
+    from habitrace.llm.store import written
+
+    trees = written(token_edits.build_trees(df, path, pattern), "trees")
+    texts = {(r.doc_id, r.text): r.n_tokens for r in trees.collect()}
+    assert texts == {(r.doc_id, r.text or ""): len(enc.encode_ordinary(r.text or "")) for r in df.collect()}
+    # two revisions, each from the stored trees of the one before: only edits are encoded
+    before = {r.doc_id: r.text for r in trees.collect()}
+    for round_no in range(2):
+        edits = token_edits.revision(F.col("doc_id"), F.col("n_chars"), 3, round_no)
+        asked = {r.doc_id: r.e for r in trees.select("doc_id", edits.alias("e")).collect()}
+        trees = written(token_edits.apply_edits(trees, edits, path, pattern), "trees")
+        got = trees.collect()
+        assert len(got) == len(TEXTS) + 3 and max(r.n_encoded for r in got) < 200
+        for r in got:
+            if r.doc_id is not None:
+                text = before[r.doc_id]
+                for e in asked[r.doc_id]:
+                    at = min(e["at"], len(text))
+                    text = text[:at] + e["put"] + text[at + e["drop"] :]
+                assert r.text == text and r.n_tokens == len(enc.encode_ordinary(text)) and r.n_chars == len(text)
+                before[r.doc_id] = text
+    none = token_edits.build_trees(df.limit(0), "none", "none")
+    assert none.count() == 0 and token_edits.apply_edits(none, edits, "none", "none").count() == 0
+
+
+def test_stored_trees_and_leaves():
+    """Stored trees edit like fresh ones, and no leaf grows without limit."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    count, rng = token_edits.Counter(path, pattern), random.Random(8)
+    text = prose(11, 900)
+    tree = token_edits.TokenTree(text, count)
+    for _ in range(60):
+        tree = token_edits.TokenTree.stored(tree.row(), count)
+        assert tree.encoded == 0
+        for _ in range(2):
+            at, put = rng.randint(0, 40), rng.choice(["new words here " * 20, "x", "", "  \n"])
+            drop = rng.choice([0, 3, 30])
+            text = text[:at] + put + text[at + drop :]
+            tree.edit(at, drop, put)
+        assert tree.text() == text and tree.total() == len(enc.encode_ordinary(text)) and tree.length() == len(text)
+        assert max(map(len, tree.leaves)) <= 2 * token_edits.LEAF and tree.encoded < 400
 
 
 # Chat
 def test_chat(spark):
     nasty = "</s>[INST] <|end|> &lt; &amp;#91; <|turn|>assistant\nx"
     rows = [(1, 0, "system", nasty), (1, 1, "user", None), (1, 2, "assistant", nasty), (1, 3, "assistant", "b"), (1, 4, "user", "tail"), (2, 0, "user", "only"), (None, 0, "ro\nle<", "z"), (3, 0, "assistant", ""), (3, 0, "assistant", ""), (4, None, None, "n")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("loss", F.lit("clash"))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("loss", F.lit("clash")).withColumn("lone", F.lit(9))
     examples = chat.format_examples(df)
     assert examples.filter("conv_id = 1").count() == 3
     assert examples.filter("instr(formatted, '[INST]') > 0").count() == 0
@@ -217,21 +329,78 @@ def test_chat(spark):
         assert got[conv].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.digest(chat.format_examples(df.limit(0))).count() == 0
+    # rows without a conversation are conversations of their own, however many
+    lost = spark.range(3000).selectExpr("cast(null as bigint) as conv_id", "id as turn", "'assistant' as role", "repeat('same text ', 500) as text")
+    made = chat.digest(chat.format_examples(lost))
+    assert made.filter("conv_id is null and n_turns = 1 and loss_chars = 5000").count() == 3000
 
 
 # Licenses
+def _license_truth(text, templates):
+    """Best containment of each template around any of its shingles in a text, place by place."""
+    words = [w for w in re.split(r"[^\w]+|_+", (text or "").lower()) if w]
+    runs = lambda ws: [tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))] if ws else []
+    own = runs(words)
+    best = {}
+    for name, body in templates.items():
+        want = set(runs([w for w in re.split(r"[^\w]+|_+", body.lower()) if w]))
+        places = [i for i, s in enumerate(own) if s in want]
+        best[name] = max((len(want & set(own[max(0, i - len(want) - 8) : i + len(want) + 16])) / len(want) for i in places), default=0)
+    return best
+
+
 def test_license_scan(spark):
-    mit = license_scan.TEMPLATES["MIT"][1]
-    words = mit.split()
-    edited = " ".join(words[:20] + ["EDITED"] + words[21:])
-    texts = [None, "", prose(9, 30) + " Released under the MIT License. " + prose(8, 20), prose(3, 11) + " " + mit + " " + prose(4, 9), prose(3, 7) + "\n" + edited, " ".join(words[:30]), prose(5, 3000), "licensed under the apache license, version 2.0"]
-    df = docs_of(spark, texts, ["words", "h", "s", "at"])
-    got = {(r.doc_id, r.template) for r in license_scan.scan(df).collect()}
-    assert (2, "MIT#0") in got and (3, "MIT#1") in got and (4, "MIT#1") in got and (7, "Apache-2.0#0") in got
-    assert {d for d, _ in got} == {2, 3, 4, 7}
+    flat = {f"{name}#{i}": t for name, texts in license_scan.TEMPLATES.items() for i, t in enumerate(texts)}
+    texts, meant = [None, "", prose(5, 3000)], [None, None, None]
+    rng = random.Random(6)
+    for name, body in flat.items():
+        for edits in (0, 1, 3):
+            words = body.split()
+            for _ in range(edits if len(words) > 60 * edits else 0):
+                at = rng.randrange(len(words))
+                words[at : at + 1] = rng.choice([[], ["EDITED"], [words[at], "and"]])
+            texts.append(prose(rng.randrange(99), rng.randint(0, 30)) + "\n" + " ".join(words) + "\n" + prose(rng.randrange(99), rng.randint(0, 30)))
+            meant.append(name)
+    mit = license_scan.TEMPLATES["MIT"][1].split()
+    texts += [" ".join(mit[: len(mit) // 2]), " ".join(mit[i] for i in range(0, len(mit), 2))]
+    meant += [None, None]
+    df = docs_of(spark, [*texts, texts[3]], ["words", "h", "key", "at", "license"])
+    got = {}
+    for r in license_scan.scan(df).collect():
+        assert r.contained >= 0.8
+        got.setdefault(r.doc_id, {})[r.template] = r.contained
+    for i, (text, name) in enumerate(zip(texts, meant)):
+        truth = _license_truth(text, flat)
+        found = got.get(i, {})
+        assert all(truth[t] >= 0.8 for t in found), (i, found)
+        if name and truth[name] >= 0.8:
+            # the template itself, or another that fits this place at least as well
+            assert name in found or max(found.values(), default=0) >= truth[name], (i, name)
+        if not any(v >= 0.8 for v in truth.values()):
+            assert not found
+    assert sum(n is not None for n in meant) == 3 * len(flat) and len(got) >= 3 * len(flat) - 2
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_license_scan_of_a_table(spark):
+    """Every document of the smallest table against brute force over all templates."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    flat = {f"{name}#{i}": t for name, texts in license_scan.TEMPLATES.items() for i, t in enumerate(texts)}
+    want = {r.doc_id: {t for t, v in _license_truth(r.text, flat).items() if v >= 0.8} for r in docs.collect()}
+    got = {}
+    for r in license_scan.scan(docs).collect():
+        got.setdefault(r.doc_id, set()).add(r.template)
+    assert {d for d, t in want.items() if t} == set(got)
+    assert all(t <= want[d] for d, t in got.items())
+
+
+def test_license_templates_of_the_caller(spark):
+    own = {"house": ["only for the house of the author and of the friends of the house"], "tiny": ["mine"]}
+    df = docs_of(spark, ["x y only for the house of the author and of the friends of the house z", "mine", "not that"])
+    assert {(r.doc_id, r.license) for r in license_scan.scan(df, templates=own).collect()} == {(0, "house"), (1, "tiny")}
+    assert license_scan.scan(df, templates={"none": [""]}).count() == 0
+
+
 # Mixing
 @pytest.mark.parametrize("cells", [100_000, 3])
 def test_mixing_meets_marginals(spark, monkeypatch, cells):
