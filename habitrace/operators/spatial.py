@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from habitrace.session import settled
+
 
 def finite(*cols: str) -> Column:
     """Every coordinate is a finite number."""
     return reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf")) for c in cols))
 
 
+def height_band(z: str, low: float = 0.10, high: float = 1.80) -> Column:
+    """Heights within the band, both ends included."""
+    return F.col(z).between(low, high)
+
+
 def in_obb(x: Column, y: Column, z: Column, box: dict[str, Column], mx: float, my: float, mz: float) -> Column:
     """Point in a box turned about z by ``yaw`` (radians), with margins."""
     dx, dy = x - box["cx"], y - box["cy"]
@@ -58,6 +65,72 @@ def radius_pairs(points: DataFrame, radius: float, cols: tuple[str, ...] = ("x",
     return met.filter(F.col("d") <= radius).select("scan_id", "a", "b", "d", *keep)
 
 
+def nearest(points: DataFrame, others: DataFrame, k: int, reach: float, keys: tuple[str, ...] = ("scan_id",), cols: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """(keys, a, b, d, rank): the ``k`` nearest of ``others`` to each of ``points``, at any distance.
+
+    A growing ring: all within ``reach`` are met by cells; points that have
+    fewer than ``k`` there try again with twice the reach, until none is left
+    or the reach spans the whole cloud. ``points`` and ``others`` have
+    ``point_id`` and the keys; a point is not its own neighbour.
+    """
+    far = others.agg(*(F.max(c) - F.min(c) for c in cols)).first()
+    span = sum(float(x or 0) ** 2 for x in far) ** 0.5
+    wide = points.agg(*(f(c) for c in cols for f in (F.min, F.max)), F.count("*")).first()
+    span += sum(max(abs(float(x or 0)) for x in wide[2 * i : 2 * i + 2]) for i in range(len(cols))) * 2
+    todo, found = settled(points), None
+    order = Window.partitionBy(*keys, "a").orderBy("d", "b")
+    while True:
+        cells = [cell(c, reach).alias(f"g{c}") for c in cols]
+        left = todo.select(*keys, F.col("point_id").alias("a"), *(F.col(c).alias(f"a{c}") for c in cols), *cells)
+        for c in cols:
+            left = left.withColumn(f"g{c}", F.explode(F.array(*(F.col(f"g{c}") + j for j in (-1, 0, 1)))))
+        right = others.select(*keys, F.col("point_id").alias("b"), *(F.col(c).alias(f"b{c}") for c in cols), *cells)
+        d2 = reduce(lambda p, q: p + q, ((F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in cols))
+        met = left.join(right, [*keys, *(f"g{c}" for c in cols)]).filter("a <> b").withColumn("d", F.sqrt(d2)).filter(F.col("d") <= reach)
+        ranked = met.select(*keys, "a", "b", "d").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        last = reach > span
+        near = settled(ranked.withColumn("n", F.count("*").over(Window.partitionBy(*keys, "a"))))
+        full = near if last else near.filter(F.col("n") == k)
+        found = full.drop("n") if found is None else found.union(full.drop("n"))
+        if last:
+            return found
+        done = full.filter("rank = 1").select(*keys, F.col("a").alias("point_id"))
+        todo = settled(todo.join(done, [*keys, "point_id"], "left_anti"))
+        if todo.isEmpty():
+            return found
+        reach *= 2
+
+
+def statistical_outliers(points: DataFrame, k: int = 20, ratio: float = 1.6, reach: float = 0.1) -> DataFrame:
+    """(scan_id, point_id, mean_d, outlier): mean distance to the ``k`` nearest against mean + ``ratio`` deviations of the scan."""
+    m = nearest(points, points, k, reach).groupBy("scan_id", F.col("a").alias("point_id")).agg(F.avg("d").alias("mean_d"))
+    limit = m.groupBy("scan_id").agg((F.avg("mean_d") + ratio * F.stddev_samp("mean_d")).alias("limit"))
+    return m.join(limit, "scan_id").select("scan_id", "point_id", "mean_d", (F.col("mean_d") > F.col("limit")).alias("outlier"))
+
+
+def set_gaps(points: DataFrame, label: str, reach: float) -> DataFrame:
+    """(scan_id, la, lb, gap; la < lb): least distance between the point sets of two labels of a scan.
+
+    Pairs of labels that meet within ``reach`` are done; those that are still
+    apart try again with twice the reach.
+    """
+    labels = points.select("scan_id", F.col(label).alias("l")).distinct()
+    todo = settled(labels.withColumnRenamed("l", "la").join(labels.withColumnRenamed("l", "lb"), "scan_id").filter("la < lb"))
+    found = None
+    while not todo.isEmpty():
+        a, b = points.select("scan_id", "point_id", F.col(label).alias("la"), "x", "y", "z"), points.select("scan_id", "point_id", F.col(label).alias("lb"), "x", "y", "z")
+        left = a.join(todo.select("scan_id", "la").distinct(), ["scan_id", "la"]).select("scan_id", "la", *(F.col(c).alias(f"a{c}") for c in "xyz"), *(cell(c, reach).alias(f"g{c}") for c in "xyz"))
+        for c in "xyz":
+            left = left.withColumn(f"g{c}", F.explode(F.array(*(F.col(f"g{c}") + j for j in (-1, 0, 1)))))
+        right = b.join(todo.select("scan_id", "lb").distinct(), ["scan_id", "lb"]).select("scan_id", "lb", *(F.col(c).alias(f"b{c}") for c in "xyz"), *(cell(c, reach).alias(f"g{c}") for c in "xyz"))
+        d2 = reduce(lambda p, q: p + q, ((F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in "xyz"))
+        near = left.join(right, ["scan_id", "gx", "gy", "gz"]).filter("la < lb").groupBy("scan_id", "la", "lb").agg(F.sqrt(F.min(d2)).alias("gap")).filter(F.col("gap") <= reach)
+        near = settled(near.join(todo, ["scan_id", "la", "lb"], "left_semi"))
+        found = near if found is None else found.union(near)
+        todo, reach = settled(todo.join(near, ["scan_id", "la", "lb"], "left_anti")), reach * 2
+    return found if found is not None else todo.withColumn("gap", F.lit(0.0))
+
+
 def voxel_mean(points: DataFrame, size: float) -> DataFrame:
     """One mean point per voxel."""
     return points.groupBy("scan_id", *(cell(c, size).alias(f"v{c}") for c in "xyz")).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in "xyz"))

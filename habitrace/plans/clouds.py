@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from habitrace.operators import spatial
+from habitrace.operators import planes, spatial
 from habitrace.plans.define import q6, query, r6
 from habitrace.sources.driver_tables import BOXES_SQL, POINTS_SQL, boxes, points, table
 
@@ -28,7 +28,7 @@ def quantile_extents(spark, sf_dir):
 def mad_stats(spark, sf_dir):
     p = points(spark, sf_dir)
     med = p.groupBy("scan_id").agg(F.median("z").alias("med"))
-    return p.join(F.broadcast(med), "scan_id").groupBy("scan_id").agg(r6(F.first("med")).alias("med"), r6(F.greatest(1.4826 * F.median(F.abs(F.col("z") - F.col("med"))), F.lit(0.05))).alias("mad"))
+    return p.join(med, "scan_id").groupBy("scan_id").agg(r6(F.first("med")).alias("med"), r6(F.greatest(1.4826 * F.median(F.abs(F.col("z") - F.col("med"))), F.lit(0.05))).alias("mad"))
 
 
 _ROBUST = [("q02", 0.02), ("q10", 0.1), ("med", 0.5), ("q90", 0.9), ("q98", 0.98)]
@@ -91,11 +91,11 @@ def topview_raster(spark, sf_dir):
     return points(spark, sf_dir).groupBy("scan_id", spatial.cell("x", 0.2).alias("px"), spatial.cell("y", 0.2).alias("py")).agg(r6(F.max("z")).alias("top"), F.count("*").alias("density"))
 
 
-_SCALED = f"{_P}, {BOXES_SQL}, p as (select scan_id, point_id, x * 10 as x, y * 10 as y, z * 10 as z from points), b as (select * from boxes where box_id % 7 = 0)"
+_SCALED = f"{_P}, {BOXES_SQL}, p as (select scan_id, point_id, x * 10 as x, y * 10 as y, z * 10 as z from points), b as (select * from boxes)"
 
 
 def _inside(spark, sf_dir):
-    """Every point in every box of its scan (the registered SQL still names only each seventh box)."""
+    """Every point in every box of its scan."""
     p = points(spark, sf_dir).select("scan_id", "point_id", *((F.col(c) * 10).alias(c) for c in "xyz"))
     return spatial.points_in_boxes(p, boxes(spark, sf_dir), (0.12, 0.12, 0.08), 0.5)
 
@@ -126,25 +126,19 @@ def radius_outlier(spark, sf_dir):
 
 
 @query(
-    f"""{_P}, {_PAIRS}, k as (select *, row_number() over (partition by scan_id, a order by d, b) as r from pr where d <= 0.25), m as (select scan_id, a, avg(d) as m from k where r <= 4 group by 1, 2 having count(*) = 4),
+    f"""{_P}, {_PAIRS}, k as (select *, row_number() over (partition by scan_id, a order by d, b) as r from pr), m as (select scan_id, a, avg(d) as m from k where r <= 20 group by 1, 2),
 s as (select scan_id, avg(m) + 1.6 * stddev_samp(m) as lim from m group by 1) select m.scan_id, m.a as point_id, {q6('m.m')} as mean_d, m.m > s.lim as outlier from m join s using (scan_id)"""
 )
 def knn_stat_outlier(spark, sf_dir):
-    """Mean distance to the four nearest within reach, against mean + 1.6 deviations of the scan."""
-    pairs = spatial.radius_pairs(points(spark, sf_dir), 0.25)
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("scan_id", "a").orderBy("d", "b"))).filter("r <= 4")
-    m = near.groupBy("scan_id", "a").agg(F.avg("d").alias("m"), F.count("*").alias("n")).filter("n = 4")
-    s = m.groupBy("scan_id").agg((F.avg("m") + 1.6 * F.stddev_samp("m")).alias("lim"))
-    return m.join(F.broadcast(s), "scan_id").select("scan_id", F.col("a").alias("point_id"), r6("m").alias("mean_d"), (F.col("m") > F.col("lim")).alias("outlier"))
+    """Mean distance to the twenty nearest, however far, against mean + 1.6 deviations of the scan."""
+    found = spatial.statistical_outliers(points(spark, sf_dir), 20, 1.6)
+    return found.select("scan_id", "point_id", r6("mean_d").alias("mean_d"), "outlier")
 
 
-@query(f"{_P}, g as (select a.scan_id, a.label as la, b.label as lb, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) as d from points a join points b on a.scan_id = b.scan_id and a.label < b.label group by 1, 2, 3) select scan_id, la, lb, {q6('d')} as gap from g where d <= 0.1")
+@query(f"{_P}, g as (select a.scan_id, a.label as la, b.label as lb, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) as d from points a join points b on a.scan_id = b.scan_id and a.label < b.label group by 1, 2, 3) select scan_id, la, lb, {q6('d')} as gap from g")
 def nn_gap(spark, sf_dir):
-    """Least gap between two labels' point sets, where it is within reach."""
-    p = points(spark, sf_dir)
-    pairs = spatial.radius_pairs(p, 0.1, keep=("label",)).withColumnRenamed("label", "la")
-    other = p.select("scan_id", F.col("point_id").alias("b"), F.col("label").alias("lb"))
-    return pairs.join(other, ["scan_id", "b"]).filter("la < lb").groupBy("scan_id", "la", "lb").agg(r6(F.min("d")).alias("gap"))
+    """Least gap between two labels' point sets, however far apart."""
+    return spatial.set_gaps(points(spark, sf_dir), "label", 0.1).select("scan_id", "la", "lb", r6("gap").alias("gap"))
 
 
 #: A pinhole of the fixtures: R = I, t = (0, 0, 2), f = 500, c = (320, 240), 640 x 480.
@@ -194,13 +188,13 @@ def hist_step_height(spark, sf_dir):
 
 
 @query(
-    f"""{_P}, a as (select scan_id, atan2(y, x) + pi() / 2 as t from points), m as (select scan_id, floor(((t % pi()) + pi()) % pi() / (pi() / 18))::bigint as bin, count(*) as n from a group by 1, 2),
+    f"""{_P}, a as (select scan_id, atan2(y, x) + pi() / 2 as t from points), m as (select scan_id, floor(((t % pi()) + pi()) % pi() / (pi() / 90))::bigint as bin, count(*) as n from a group by 1, 2),
 k as (select *, row_number() over (partition by scan_id order by n desc, bin) as r from m) select scan_id, bin, n from k where r = 1"""
 )
 def angle_mode(spark, sf_dir):
     """Mode of directions modulo pi."""
     pi = F.pi()
-    bins = points(spark, sf_dir).groupBy("scan_id", F.floor(F.pmod(F.atan2("y", "x") + pi / 2, pi) / (pi / 18)).alias("bin")).agg(F.count("*").alias("n"))
+    bins = points(spark, sf_dir).groupBy("scan_id", F.floor(F.pmod(F.atan2("y", "x") + pi / 2, pi) / (pi / 90)).alias("bin")).agg(F.count("*").alias("n"))
     return bins.groupBy("scan_id").agg(F.min_by(F.struct("bin", "n"), F.struct((-F.col("n")).alias("m"), "bin")).alias("b")).select("scan_id", "b.bin", "b.n")
 
 
@@ -225,7 +219,7 @@ def layer_removal_counts(spark, sf_dir):
 def trim_tails(spark, sf_dir):
     p = points(spark, sf_dir)
     q = p.groupBy("scan_id").agg(F.percentile("x", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
-    return p.join(F.broadcast(q), "scan_id").filter(F.col("x").between(F.col("q")[0], F.col("q")[1])).select("scan_id", "point_id")
+    return p.join(q, "scan_id").filter(F.col("x").between(F.col("q")[0], F.col("q")[1])).select("scan_id", "point_id")
 
 
 @query(f"{_P}, q as (select scan_id, {_q('x', 0.99)} - {_q('x', 0.01)} as ex, {_q('y', 0.99)} - {_q('y', 0.01)} as ey, {_q('z', 0.98)} - {_q('z', 0.01)} as ez from points group by 1) select scan_id, greatest(ex, ey, ez) <= 15 and least(ex, ey, ez) >= 0.2 as metric, {q6('2.7 / ez')} as ceiling_scale from q")
@@ -237,53 +231,15 @@ def metric_sanity(spark, sf_dir):
 
 @query()
 def ransac_plane(spark, sf_dir):
-    """Seeded plane hypotheses per scan, scored against all of its points by joins and counts."""
-    p = points(spark, sf_dir)
-    trials = spark.range(24).select(F.col("id").cast("int").alias("trial"))
-    # three points per trial: those with the least hash, kept by a bounded aggregate each
-    least = lambda k: F.min_by(F.struct("x", "y", "z"), F.xxhash64("point_id", "trial", F.lit(k)))
-    pick = p.crossJoin(F.broadcast(trials)).groupBy("scan_id", "trial").agg(*(least(k).alias(f"p{k}") for k in range(3)))
-    d = lambda k, c: F.col(f"p{k}.{c}") - F.col(f"p0.{c}")
-    n = {"nx": d(1, "y") * d(2, "z") - d(1, "z") * d(2, "y"), "ny": d(1, "z") * d(2, "x") - d(1, "x") * d(2, "z"), "nz": d(1, "x") * d(2, "y") - d(1, "y") * d(2, "x")}
-    planes = pick.select("scan_id", "trial", "p0", *(v.alias(k) for k, v in n.items())).withColumn("norm", F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)).filter("norm > 1e-9")
-    away = F.abs((F.col("x") - F.col("p0.x")) * F.col("nx") + (F.col("y") - F.col("p0.y")) * F.col("ny") + (F.col("z") - F.col("p0.z")) * F.col("nz")) / F.col("norm")
-    scored = p.join(F.broadcast(planes), "scan_id").groupBy("scan_id", "trial", "nx", "ny", "nz", "norm").agg(F.count_if(away <= 0.05).alias("inliers"))
-    best = scored.groupBy("scan_id").agg(F.max_by(F.struct("trial", "inliers", *((F.col(c) / F.col("norm")).alias(c) for c in ("nx", "ny", "nz"))), F.struct("inliers", (-F.col("trial")).alias("t"))).alias("b"))
-    return best.select("scan_id", "b.inliers", *(r6(F.col(f"b.{c}")).alias(c) for c in ("nx", "ny", "nz")))
-
-
-def _rectangle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Least-area rectangle of one instance's footprint by its hull's edges."""
-    xy = np.unique(pdf[["x", "y"]].to_numpy(float), axis=0)
-    hull: list = []
-    for part in (xy, xy[::-1]):
-        start = len(hull)
-        for p in part:
-            while len(hull) - start >= 2 and np.cross(np.append(hull[-1] - hull[-2], 0), np.append(p - hull[-1], 0))[2] <= 0:
-                hull.pop()
-            hull.append(p)
-        hull.pop()
-    hull = np.array(hull if len(hull) else xy)
-    edges = np.roll(hull, -1, axis=0) - hull
-    best = (0.0, 0.0, 0.0)
-    for i, angle in enumerate(np.unique(np.round(np.arctan2(edges[:, 1], edges[:, 0]) % (np.pi / 2), 12))):
-        c, s = np.cos(angle), np.sin(angle)
-        u, v = hull @ [c, s], hull @ [-s, c]
-        a, b = np.ptp(u), np.ptp(v)
-        if i == 0 or a * b < best[0] * best[1]:
-            best = (max(a, b), min(a, b), float(angle))
-    return pd.DataFrame({"scan_id": [pdf.scan_id.iloc[0]], "label": [pdf.label.iloc[0]], "length": [best[0]], "width": [best[1]], "angle": [best[2]]})
+    """The best of 500 seeded plane hypotheses of each scan."""
+    best = planes.ransac(points(spark, sf_dir), trials=500, threshold=0.05)
+    return best.select("scan_id", "inliers", *(r6(c).alias(c) for c in ("nx", "ny", "nz")))
 
 
 @query()
 def min_area_rect(spark, sf_dir):
-    """Footprint rectangle per (scan, instance), on extreme points only: per 1-degree direction
-    the outermost point, so a group holds at most 360 rows whatever the instance's size."""
-    p = points(spark, sf_dir)
-    turns = F.broadcast(spark.range(360).select(F.radians(F.col("id")).alias("t"), F.col("id").alias("turn")))
-    out = p.crossJoin(turns).groupBy("scan_id", "label", "turn").agg(F.max_by(F.struct("x", "y"), F.struct((F.col("x") * F.cos("t") + F.col("y") * F.sin("t")).alias("far"), "point_id")).alias("p"))
-    ext = out.select("scan_id", "label", "p.x", "p.y").distinct()
-    return ext.groupBy("scan_id", "label").applyInPandas(_rectangle, "scan_id long, label long, length double, width double, angle double")
+    """Footprint rectangle of least area per (scan, instance), from the exact hull."""
+    return planes.min_area_rectangles(points(spark, sf_dir), ["scan_id", "label"])
 
 
 def _similarity(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from habitrace.operators import spatial
+from habitrace.operators import assignment, planes, sampling, spatial
 from habitrace.plans.define import q6, query, r6
 from habitrace.sources.driver_tables import BOXES_SQL, FRAMES_SQL, POINTS_SQL, boxes, frames, points, table
 
@@ -48,17 +46,13 @@ def ceiling_removal(spark, sf_dir):
     """Points near the top plane with a near-vertical normal are ceiling."""
     n = _normals(spark, sf_dir)
     top = n.groupBy("scan_id").agg(F.percentile("z", 0.95).alias("top"))
-    return n.join(F.broadcast(top), "scan_id").filter("not (z >= top - 0.05 and nz > 0.9)").select("scan_id", "point_id")
+    return n.join(top, "scan_id").filter("not (z >= top - 0.05 and nz > 0.9)").select("scan_id", "point_id")
 
 
 @query()
 def normal_direction_mode(spark, sf_dir):
-    """The direction of a 30-degree sphere grid with most normals in its 25-degree cone; the first wins ties."""
-    turns = [(np.radians(t), np.radians(f)) for t in range(0, 91, 30) for f in range(0, 360, 30)]
-    grid = [(i, float(np.sin(t) * np.cos(f)), float(np.sin(t) * np.sin(f)), float(np.cos(t))) for i, (t, f) in enumerate(turns)]
-    d = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for i, x, y, z in grid)))
-    hit = _normals(spark, sf_dir).select("scan_id", "nx", "ny", "nz", d.alias("d")).filter(F.abs(F.col("nx") * F.col("d.x") + F.col("ny") * F.col("d.y") + F.col("nz") * F.col("d.z")) >= float(np.cos(np.radians(25))))
-    return hit.groupBy("scan_id", F.col("d.i").alias("i")).agg(F.count("*").alias("n")).groupBy("scan_id").agg(F.min_by(F.struct("i", "n"), F.struct((-F.col("n")).alias("m"), "i")).alias("b")).select("scan_id", "b.i", "b.n")
+    """The direction of a 10-degree sphere grid with most normals in its 15-degree cone; the first wins ties."""
+    return planes.direction_mode(_normals(spark, sf_dir))
 
 
 #: Four wall planes: (wall_id, axis, place).
@@ -107,13 +101,16 @@ def progress_steps(spark, sf_dir):
     return p.withColumn("before", F.lag("progress").over(w)).filter("before is null or progress > before").select("scan_id", "frame_id", "progress")
 
 
-@query(f"{_P}, k as (select *, row_number() over (partition by scan_id order by point_id) - 1 as k, count(*) over (partition by scan_id) as n from points) select scan_id, point_id from k where n <= 30 or exists (select 1 from (select unnest(range(0, 30)) as i) where floor(i * (n - 1) / 29.0) = k)")
+@query(f"{_P}, k as (select *, row_number() over (partition by scan_id order by point_id) - 1 as k, count(*) over (partition by scan_id) as n from points) select scan_id, point_id from k where n <= 1200 or exists (select 1 from (select unnest(range(0, 1200)) as i) where floor(i * (n - 1) / 1199.0) = k)")
 def uniform_index_sample(spark, sf_dir):
-    """Thirty evenly spaced points of each larger scan, by arithmetic on the place: the cap is the feature."""
-    w = Window.partitionBy("scan_id")
-    k = points(spark, sf_dir).select("scan_id", "point_id", (F.row_number().over(w.orderBy("point_id")) - 1).cast("bigint").alias("k"), F.count("*").over(w).alias("n"))
-    places = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.floor(i * (F.col("n") - 1) / 29.0))
-    return k.filter((F.col("n") <= 30) | F.array_contains(places, F.col("k"))).select("scan_id", "point_id")
+    """1,200 evenly spaced points of each larger scan."""
+    return sampling.evenly_spaced(points(spark, sf_dir), ["scan_id"], ["point_id"], 1200).select("scan_id", "point_id")
+
+
+@query(f"{_F}, k as (select *, row_number() over (partition by scan_id order by ts, frame_id) - 1 as k, count(*) over (partition by scan_id) as n from frames) select scan_id, frame_id from k where n <= 30 or exists (select 1 from (select unnest(range(0, 30)) as i) where floor(i * (n - 1) / 29.0) = k)")
+def phase_image_sample(spark, sf_dir):
+    """Thirty evenly spaced images of each phase that has more."""
+    return sampling.evenly_spaced(frames(spark, sf_dir), ["scan_id"], ["ts", "frame_id"], 30).select("scan_id", "frame_id")
 
 
 @query(f"{_B} select box_id, greatest(cx - sx / 2, -2.0) as x0, least(cx + sx / 2, 2.0) as x1, greatest(cx - sx / 2, -2.0) < least(cx + sx / 2, 2.0) as valid from boxes")
@@ -160,25 +157,13 @@ def validation_references(spark, sf_dir):
     return l.join(p, l.l_partkey == p.p_partkey).select(F.col("l_orderkey").alias("scan_id"), F.col("l_linenumber").alias("object_id"), F.col("l_partkey").alias("part_id"), F.col("p_name").alias("name"), (F.try_divide(F.abs(F.col("l_quantity") / 50 - known), known) > 0.5).alias("off"))
 
 
-def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Least-cost assignment of at most six tracks to at most six instances of one scan."""
-    cost = pdf.pivot_table(index="track", columns="box_id", values="cost", aggfunc="min")
-    rows, cols = list(cost.index), list(cost.columns)
-    flip = len(rows) > len(cols)
-    m = cost.to_numpy().T if flip else cost.to_numpy()
-    best = min(itertools.permutations(range(m.shape[1]), m.shape[0]), key=lambda p: (sum(m[i, j] for i, j in enumerate(p)), p))
-    pairs = [(cols[i], rows[j]) if flip else (cols[j], rows[i]) for i, j in enumerate(best)]
-    return pd.DataFrame({"scan_id": pdf.scan_id.iloc[0], "box_id": [b for b, _ in pairs], "track": [t for _, t in pairs]})
-
-
 @query()
 def track_assignment(spark, sf_dir):
-    """Optimal assignment of the five best instances of a scan to its tracks (labels); tiny by definition."""
-    b = boxes(spark, sf_dir)
-    top = b.withColumn("k", F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc("score"), "box_id"))).filter("k <= 5")
-    mids = b.filter("label < 4").groupBy("scan_id", F.col("label").alias("track")).agg(F.median("cx").alias("mx"), F.median("cy").alias("my"))
-    pairs = top.join(mids, "scan_id").select("scan_id", "box_id", "track", F.hypot(F.col("cx") - F.col("mx"), F.col("cy") - F.col("my")).alias("cost"))
-    return pairs.groupBy("scan_id").applyInPandas(_assign, "scan_id long, box_id long, track long")
+    """Instances (even boxes) of a scan and kind to its tracks (odd boxes), at the least total distance."""
+    b = boxes(spark, sf_dir).select("scan_id", F.col("label").alias("kind"), "box_id", F.col("cx").alias("x"), F.col("cy").alias("y"))
+    instances = b.filter("box_id % 2 = 0").withColumnRenamed("box_id", "instance_id")
+    tracks = b.filter("box_id % 2 = 1").withColumnRenamed("box_id", "track_id")
+    return assignment.assign(instances, tracks, ["scan_id", "kind"])
 
 
 def _directions(pdf: pd.DataFrame) -> pd.DataFrame:

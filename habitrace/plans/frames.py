@@ -34,14 +34,14 @@ def bucket_best_frame(spark, sf_dir):
 
 
 @query(
-    f"""{_TL}, n as (select scan_id, count(*) as n, least(greatest(round(count(*) / 10.0), 6), 12)::bigint as m from frames group by 1),
-w as (select scan_id, floor(i * (n - 1) / (m - 1) + 0.5)::bigint as k from n, lateral (select unnest(range(0, m)) as i)) select distinct tl.scan_id, tl.frame_id from tl join w on w.scan_id = tl.scan_id and w.k = tl.k"""
+    f"""{_TL}, n as (select scan_id, count(*) as n, least(count(*), least(greatest(round(count(*) / 10.0), 48), 96))::bigint as m from frames group by 1),
+w as (select scan_id, floor(i * (n - 1) / greatest(m - 1, 1) + 0.5)::bigint as k from n, lateral (select unnest(range(0, m)) as i)) select distinct tl.scan_id, tl.frame_id from tl join w on w.scan_id = tl.scan_id and w.k = tl.k"""
 )
 def keyframes(spark, sf_dir):
-    """Evenly spaced keyframes, about a tenth, between 6 and 12; picked by arithmetic on the frame's place."""
+    """Evenly spaced keyframes, about a tenth, between 48 and 96 (all of a shorter scan); picked by arithmetic on the frame's place."""
     w = Window.partitionBy("scan_id")
-    t = _timeline(spark, sf_dir).withColumn("n", F.count("*").over(w)).withColumn("m", F.least(F.greatest(F.round(F.col("n") / 10.0), F.lit(6.0)), F.lit(12.0)).cast("bigint"))
-    places = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: F.floor(i * (F.col("n") - 1) / (F.col("m") - 1) + 0.5))
+    t = _timeline(spark, sf_dir).withColumn("n", F.count("*").over(w)).withColumn("m", F.least(F.col("n").cast("double"), F.least(F.greatest(F.round(F.col("n") / 10.0), F.lit(48.0)), F.lit(96.0))).cast("bigint"))
+    places = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: F.floor(i * (F.col("n") - 1) / F.greatest(F.col("m") - 1, F.lit(1)) + 0.5))
     return t.filter(F.array_contains(places, F.col("k").cast("bigint"))).select("scan_id", "frame_id").distinct()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from habitrace.operators import graph, spatial
+from habitrace.operators import graph, grid, sampling, spatial, views
 from habitrace.plans.define import q6, query, r6
 from habitrace.sources import ply
 from habitrace.sources.driver_tables import BOXES_SQL, FRAMES_SQL, POINTS_SQL, boxes, frames, points, table
@@ -21,11 +21,10 @@ def ply_roundtrip(spark, sf_dir):
     return ply.decoded(ply.encoded(points(spark, sf_dir)))
 
 
-@query(f"{_P}, k as (select *, row_number() over (partition by scan_id order by md5(point_id::varchar), point_id) as k from points) select scan_id, point_id from k where k <= 40")
+@query(f"{_P}, v as (select scan_id, min(point_id) as point_id from points group by scan_id, floor(x / 0.03), floor(y / 0.03), floor(z / 0.03)), k as (select *, row_number() over (partition by scan_id order by md5(point_id::varchar), point_id) as k from v) select scan_id, point_id from k where k <= 30000")
 def preview_sample(spark, sf_dir):
-    """A repeatable sample of at most 40 points per scan, by hash: the feature is the cap."""
-    k = F.row_number().over(Window.partitionBy("scan_id").orderBy(F.md5(F.col("point_id").cast("string")), "point_id"))
-    return points(spark, sf_dir).select("scan_id", "point_id", k.alias("k")).filter("k <= 40").select("scan_id", "point_id")
+    """A cloud's preview: voxels of 3 cm, at most 30,000 points a scan (the feature)."""
+    return sampling.preview(points(spark, sf_dir), 0.03, 30000)
 
 
 @query(f"{_P} select scan_id, point_id, label % 4 as risk from points where (point_id // 5) % 4 = label % 4")
@@ -45,7 +44,7 @@ def bed_end_trim(spark, sf_dir):
     e = p.groupBy("label").agg(F.percentile("x", F.array(F.lit(0.15), F.lit(0.85))).alias("q"))
     low = (F.col("z") < 0).cast("int")
     at_lo, at_hi = F.col("x") < F.col("q")[0], F.col("x") > F.col("q")[1]
-    s = p.join(F.broadcast(e), "label").groupBy("label").agg(F.count_if(at_lo).alias("n_lo"), F.avg(F.when(at_lo, low)).alias("lo"), F.avg(F.when(at_hi, low)).alias("hi"))
+    s = p.join(e, "label").groupBy("label").agg(F.count_if(at_lo).alias("n_lo"), F.avg(F.when(at_lo, low)).alias("lo"), F.avg(F.when(at_hi, low)).alias("hi"))
     return s.select("label", "n_lo", (F.col("lo") >= 0.55).alias("trim_low"), (F.col("hi") >= 0.55).alias("trim_high"))
 
 
@@ -64,7 +63,7 @@ def wall_sheet(spark, sf_dir):
 def flat_surface(spark, sf_dir):
     p = points(spark, sf_dir)
     q = p.groupBy("label").agg((F.percentile("z", 0.35) - 0.02).alias("cut"))
-    return p.join(F.broadcast(q), "label").filter("z > cut").select("point_id")
+    return p.join(q, "label").filter("z > cut").select("point_id")
 
 
 @query(f"{_B} select o.box_id from boxes o where o.sz >= 0.4 and least(o.sx, o.sy) < 0.25 and o.label between 1 and 5 and exists (select 1 from boxes d where d.label = 0 and d.scan_id = o.scan_id and abs(d.cx - o.cx) < (d.sx + o.sx) / 2 and abs(d.cy - o.cy) < (d.sy + o.sy) / 2)")
@@ -93,18 +92,17 @@ def evidence_level(spark, sf_dir):
     return e.select("scan_id", "kind", level.alias("evidence"))
 
 
-_V = "v as (select scan_id, point_id, x, y, z, sqrt(x*x + y*y + z*z) as r, row_number() over (partition by scan_id order by point_id) as k from points)"
+_ANGLE = "acos(greatest(least((a.x*b.x + a.y*b.y + a.z*b.z) / (sqrt(a.x*a.x + a.y*a.y + a.z*a.z) * sqrt(b.x*b.x + b.y*b.y + b.z*b.z)), 1), -1))"
 
 
-@query(f"{_P}, {_V} select a.scan_id, {q6('max(acos(greatest(least((a.x*b.x + a.y*b.y + a.z*b.z) / (a.r * b.r), 1), -1)))')} as widest from v a join v b on a.scan_id = b.scan_id and a.k < b.k where a.k <= 96 and b.k <= 96 group by 1")
+@query(
+    f"""{_P}, p as (select a.scan_id, max({_ANGLE}) as widest, max(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) as baseline from points a join points b on a.scan_id = b.scan_id and a.point_id < b.point_id group by 1)
+select scan_id, {q6('widest')} as widest, {q6('baseline')} as baseline, {q6('0.7 * least(widest / (pi() / 2), 1) + 0.3 * least(baseline / 0.8, 1)')} as diversity from p"""
+)
 def view_diversity(spark, sf_dir):
-    """Widest angle between two of a scan's views; views are at most 96 per scan by definition."""
-    r = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
-    v = points(spark, sf_dir).select("scan_id", "x", "y", "z", r.alias("r"), F.row_number().over(Window.partitionBy("scan_id").orderBy("point_id")).alias("k")).filter("k <= 96")
-    a, b = v.alias("a"), v.alias("b")
-    dot = sum((F.col(f"a.{c}") * F.col(f"b.{c}") for c in "yz"), F.col("a.x") * F.col("b.x")) / (F.col("a.r") * F.col("b.r"))
-    angle = F.acos(F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0)))
-    return a.join(b, (F.col("a.scan_id") == F.col("b.scan_id")) & (F.col("a.k") < F.col("b.k"))).groupBy(F.col("a.scan_id").alias("scan_id")).agg(r6(F.max(angle)).alias("widest"))
+    """Widest angle (70 %) and longest baseline over the object's scale (30 %) of all of a scan's views."""
+    found = views.diversity(points(spark, sf_dir), F.lit(0.8))
+    return found.select("scan_id", *(r6(c).alias(c) for c in ("widest", "baseline", "diversity")))
 
 
 @query(f"{_P}, s as (select *, case when x * first_value(x) over w + y * first_value(y) over w + z * first_value(z) over w < 0 then -1 else 1 end as sg from points window w as (partition by scan_id order by point_id rows between unbounded preceding and unbounded following)) select scan_id, " + ", ".join(f"{q6(f'quantile_cont(sg * {c}, 0.5)')} as u{c}" for c in "xyz") + " from s group by 1")
@@ -113,7 +111,7 @@ def camera_up_hint(spark, sf_dir):
     p = points(spark, sf_dir)
     first = p.groupBy("scan_id").agg(F.min_by(F.struct("x", "y", "z"), "point_id").alias("f"))
     dot = F.col("x") * F.col("f.x") + F.col("y") * F.col("f.y") + F.col("z") * F.col("f.z")
-    s = p.join(F.broadcast(first), "scan_id").withColumn("sg", F.when(dot < 0, -1).otherwise(1))
+    s = p.join(first, "scan_id").withColumn("sg", F.when(dot < 0, -1).otherwise(1))
     return s.groupBy("scan_id").agg(*(r6(F.median(F.col("sg") * F.col(c))).alias(f"u{c}") for c in "xyz"))
 
 
@@ -122,9 +120,9 @@ def floor_refit(spark, sf_dir):
     """Least squares, then again on the best nine tenths."""
     p = points(spark, sf_dir)
     m = p.groupBy("scan_id").agg(F.regr_slope("z", "x").alias("a"), F.regr_intercept("z", "x").alias("c"))
-    r = p.join(F.broadcast(m), "scan_id").select("scan_id", "x", "z", F.abs(F.col("z") - F.col("a") * F.col("x") - F.col("c")).alias("e"))
+    r = p.join(m, "scan_id").select("scan_id", "x", "z", F.abs(F.col("z") - F.col("a") * F.col("x") - F.col("c")).alias("e"))
     q = r.groupBy("scan_id").agg(F.percentile("e", 0.9).alias("cut"))
-    return r.join(F.broadcast(q), "scan_id").filter("e <= cut").groupBy("scan_id").agg(r6(F.regr_slope("z", "x")).alias("slope"), r6(F.regr_intercept("z", "x")).alias("base"))
+    return r.join(q, "scan_id").filter("e <= cut").groupBy("scan_id").agg(r6(F.regr_slope("z", "x")).alias("slope"), r6(F.regr_intercept("z", "x")).alias("base"))
 
 
 @query(f"{_P} select scan_id, {q6('quantile_cont(x, 0.98) - quantile_cont(x, 0.02)')} as length, {q6('coalesce(quantile_cont(z, 0.95) filter (where z > 0), 0) - quantile_cont(z, 0.05)')} as height, case when count(*) filter (where z > 0) >= 20 then 'ok' else 'fallback' end as method from points group by 1")
@@ -261,23 +259,21 @@ def json_defaults(spark, sf_dir):
 
 @query()
 def room_documents(spark, sf_dir):
-    """One versioned JSON document per scan, boxes in order."""
+    """Versioned JSON documents per scan, boxes in order; a document holds a run of 1,000 box ids at most."""
     items = F.sort_array(F.collect_list(F.struct("box_id", "label", r6("cx").alias("cx"), r6("cy").alias("cy"))))
     doc = F.to_json(F.struct(F.lit(1).alias("schema_version"), F.count("*").alias("count"), items.alias("objects")))
-    return boxes(spark, sf_dir).groupBy("scan_id").agg(doc.alias("document"))
+    return boxes(spark, sf_dir).groupBy("scan_id", F.floor(F.col("box_id") / 1000).alias("run")).agg(doc.alias("document"))
 
 
 @query()
 def route_cells(spark, sf_dir):
-    """Cells on a shortest way from the middle to the farthest reachable cell: both distances add up to the whole."""
+    """Cells on a shortest way from the middle to the farthest reachable cell."""
     from habitrace.plans.graphs import _free, _seeds
 
-    free, _ = _free(spark, sf_dir)
+    free = _free(spark, sf_dir)
     out = graph.grid_distances(free, _seeds(free), graph.FOUR)
-    goal = out.groupBy("scan_id").agg(F.max(F.struct("dist", "row", "col")).alias("g"))
-    back = graph.grid_distances(free, goal.select("scan_id", "g.row", "g.col"), graph.FOUR).withColumnRenamed("dist", "rest")
-    both = out.join(back, ["scan_id", "row", "col"]).join(F.broadcast(goal), "scan_id")
-    return both.filter("dist + rest = g.dist").select("scan_id", "row", "col", "dist")
+    goal = out.groupBy("scan_id").agg(F.max(F.struct("dist", "row", "col")).alias("g")).select("scan_id", "g.row", "g.col")
+    return grid.shortest_path(out, graph.grid_distances(free, goal, graph.FOUR), goal, graph.FOUR)
 
 
 @query()
@@ -286,5 +282,5 @@ def adaptive_dbscan(spark, sf_dir):
     p = points(spark, sf_dir).select(F.col("label").alias("scan_id"), "point_id", "x", "y", "z")
     near = spatial.radius_pairs(p, 0.18)
     gap = near.groupBy("scan_id", "a").agg(F.min("d").alias("d")).groupBy("scan_id").agg(F.least(F.greatest(4 * F.median("d"), F.lit(0.06)), F.lit(0.18)).alias("eps"))
-    pairs = near.join(F.broadcast(gap), "scan_id").filter("d <= eps").select("scan_id", "a", "b")
+    pairs = near.join(gap, "scan_id").filter("d <= eps").select("scan_id", "a", "b")
     return graph.dbscan(p, pairs, 8)

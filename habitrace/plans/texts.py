@@ -52,9 +52,9 @@ def progress_parse(spark, sf_dir):
 PROMPTS = [("the", "article"), ("de", "romance"), ("und", "german")]
 
 
-@query("select doc_id, case when contains(t, 'the') then 'article' when contains(t, 'de') then 'romance' when contains(t, 'und') then 'german' else 'other' end as label from (select doc_id, trim(regexp_replace(replace(lower(substr(text, 1, 400)), '.', ' '), ' +', ' ', 'g')) as t from documents)")
+@query("select doc_id, case when contains(t, 'the') then 'article' when contains(t, 'de') then 'romance' when contains(t, 'und') then 'german' else 'other' end as label from (select doc_id, trim(regexp_replace(replace(lower(text), '.', ' '), ' +', ' ', 'g')) as t from documents)")
 def label_from_text(spark, sf_dir):
-    """Labels from whole texts (the registered SQL still reads only their first 400 characters)."""
+    """Labels from whole texts."""
     return table(spark, sf_dir, "documents").select("doc_id", text.normal_label(F.col("text"), PROMPTS, "other").alias("label"))
 
 
