@@ -52,7 +52,7 @@ def dbscan(points: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     return joined.select("scan_id", "point_id", F.col("cluster").isNotNull().alias("core"), F.coalesce("cluster", "beside").alias("cluster"))
 
 
-def grid_distances(free: DataFrame, seeds: DataFrame, steps: list[tuple[int, int, float]], cost: str | None = None, rounds: int = 10_000) -> DataFrame:
+def grid_distances(free: DataFrame, seeds: DataFrame, steps: list[tuple[int, int, float]], cost: str | None = None) -> DataFrame:
     """(scan_id, row, col, dist): cheapest way from the seeds over free cells.
 
     Each round relaxes the neighbours of the cells that became cheaper in the
@@ -64,15 +64,45 @@ def grid_distances(free: DataFrame, seeds: DataFrame, steps: list[tuple[int, int
     keys = ["scan_id", "row", "col"]
     best = settled(seeds.join(cells, keys, "left_semi").select(*keys, F.lit(0.0).alias("dist"), F.lit(True).alias("new")))
     spread = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(d).alias("d")) for r, c, d in steps))
-    for _ in range(rounds):
+    while True:
         moves = best.filter("new").select("scan_id", "row", "col", "dist", F.explode(spread).alias("s")).select("scan_id", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"), "dist", F.col("s.d").alias("d"))
         offers = moves.join(cells, keys).groupBy(*keys).agg(F.min(F.col("dist") + F.col("d") * F.col("w")).alias("offer"))
         merged = best.select(*keys, "dist").join(offers, keys, "full")
         new = F.col("offer").isNotNull() & (F.col("dist").isNull() | (F.col("offer") < F.col("dist") - 1e-12))
         best = settled(merged.select(*keys, F.when(new, F.col("offer")).otherwise(F.col("dist")).alias("dist"), new.alias("new")))
         if not best.filter("new").limit(1).count():
-            break
-    return best.select(*keys, "dist")
+            return best.select(*keys, "dist")
+
+
+def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(scope, node): what edges (scope, a, b; both ways) reach from ``seeds`` (scope, node)."""
+    both = settled(edges.select("scope", "a", "b").union(edges.select("scope", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    found = front = settled(seeds.select("scope", "node").distinct())
+    while not front.isEmpty():
+        steps = front.join(both, (front.scope == both.scope) & (front.node == both.a)).select(front.scope, F.col("b").alias("node")).distinct()
+        front = settled(steps.join(found, ["scope", "node"], "left_anti"))
+        found = settled(found.union(front))
+    return found
+
+
+def greedy_keep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, kept): what a greedy choice keeps that goes through the nodes from best to worst.
+
+    ``edges`` (better, worse) say who suppresses whom and must not form a
+    circle. Each round settles all nodes whose better neighbours are settled,
+    so rounds are as many as the longest chain, and no group meets in one task.
+    """
+    open_ = settled(nodes.select("node").distinct())
+    live = settled(edges.select("better", "worse").distinct())
+    kept = dropped = open_.limit(0)
+    while not open_.isEmpty():
+        first = settled(open_.join(live.select(F.col("worse").alias("node")).distinct(), "node", "left_anti"))
+        out = settled(live.join(first, live.better == first.node, "left_semi").select(F.col("worse").alias("node")).distinct())
+        kept, dropped = kept.union(first), dropped.union(out)
+        gone = first.union(out)
+        open_ = settled(open_.join(gone, "node", "left_anti"))
+        live = settled(live.join(gone.withColumnRenamed("node", "better"), "better", "left_anti").join(gone.withColumnRenamed("node", "worse"), "worse", "left_anti").select("better", "worse"))
+    return kept.select("node", F.lit(True).alias("kept")).union(dropped.select("node", F.lit(False).alias("kept")))
 
 
 FOUR = [(0, 1, 1.0), (1, 0, 1.0), (0, -1, 1.0), (-1, 0, 1.0)]

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from habitrace.operators import graph, spatial
+from habitrace.operators import graph, grid, spatial
 from habitrace.plans.define import q6, query, r6
+from habitrace.session import settled
 from habitrace.sources.driver_tables import FRAMES_SQL, POINTS_SQL, frames, points
 
 _E = f"{POINTS_SQL}, e as (select a.scan_id, a.point_id as a, b.point_id as b from points a join points b on a.scan_id = b.scan_id and a.point_id <> b.point_id and sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 0.07)"
@@ -48,21 +49,23 @@ def track_association(spark, sf_dir):
     return found.select(F.col("scope").alias("scan_id"), "node", F.col("component").alias("track"))
 
 
-#: A free grid per scan: cells of 0.1 over [-5, 5), blocked where points stand.
-_G = f"{POINTS_SQL}, blocked as (select distinct scan_id, floor(y / 0.06)::bigint as row, floor(x / 0.06)::bigint as col from points where label < 3), free as (select s.scan_id, r.row, c.col from (select distinct scan_id from points) s, (select unnest(range(-6, 7)) as row) r, (select unnest(range(-6, 7)) as col) c where not exists (select 1 from blocked b where b.scan_id = s.scan_id and b.row = r.row and b.col = c.col))"
+#: A grid per scan: cells of 0.06 over the points' rectangle and one cell around, blocked where points of labels 0 to 2 stand.
+_G = f"""{POINTS_SQL}, cl as (select scan_id, floor(y / 0.06)::bigint as row, floor(x / 0.06)::bigint as col, label from points), blocked as (select distinct scan_id, row, col from cl where label < 3),
+bb as (select scan_id, min(row) - 1 as r0, max(row) + 1 as r1, min(col) - 1 as c0, max(col) + 1 as c1 from cl group by 1),
+free as (select b.scan_id, r.row, c.col from bb b, lateral (select unnest(range(r0, r1 + 1)) as row) r, lateral (select unnest(range(c0, c1 + 1)) as col) c where not exists (select 1 from blocked k where k.scan_id = b.scan_id and k.row = r.row and k.col = c.col))"""
+
+
+def _grid(spark, sf_dir):
+    return grid.cells(points(spark, sf_dir), 0.06, F.col("label") < 3)
 
 
 def _free(spark, sf_dir):
-    p = points(spark, sf_dir)
-    blocked = p.filter("label < 3").select("scan_id", spatial.cell("y", 0.06).alias("row"), spatial.cell("x", 0.06).alias("col")).distinct()
-    cells = p.select("scan_id").distinct().select("scan_id", F.explode(F.sequence(F.lit(-6), F.lit(6))).alias("row")).select("scan_id", F.col("row").cast("bigint").alias("row"), F.explode(F.sequence(F.lit(-6), F.lit(6))).alias("col")).select("scan_id", "row", F.col("col").cast("bigint").alias("col"))
-    return cells.join(blocked, ["scan_id", "row", "col"], "left_anti"), blocked
+    return settled(_grid(spark, sf_dir).filter("not blocked").select("scan_id", "row", "col"))
 
 
 def _seeds(free):
-    """The free cell nearest to the middle: least (Chebyshev, Euclid, row, col)."""
-    cheb, d2 = F.greatest(F.abs("row"), F.abs("col")), F.col("row") * F.col("row") + F.col("col") * F.col("col")
-    return free.groupBy("scan_id").agg(F.min(F.struct(cheb.alias("cheb"), d2.alias("d2"), "row", "col")).alias("s")).select("scan_id", "s.row", "s.col")
+    """The free cell nearest to the middle of the scan's coordinates."""
+    return grid.nearest_free(free, free.select("scan_id").distinct().select("scan_id", F.lit(0).alias("srow"), F.lit(0).alias("scol")))
 
 
 _SEED = "seed as (select scan_id, row, col from (select *, row_number() over (partition by scan_id order by greatest(abs(row), abs(col)), row * row + col * col, row, col) as k from free) where k = 1)"
@@ -70,7 +73,7 @@ _SEED = "seed as (select scan_id, row, col from (select *, row_number() over (pa
 
 @query(f"with {_G}, {_SEED} select * from seed")
 def nearest_free_cell(spark, sf_dir):
-    return _seeds(_free(spark, sf_dir)[0])
+    return _seeds(_free(spark, sf_dir))
 
 
 _WALK = "w(scan_id, row, col, d) as (select scan_id, row, col, 0 from seed union select w.scan_id, f.row, f.col, w.d + 1 from w join free f on f.scan_id = w.scan_id and {near} where w.d < 60)"
@@ -79,30 +82,35 @@ _WALK = "w(scan_id, row, col, d) as (select scan_id, row, col, 0 from seed union
 @query(f"with recursive {_G}, {_SEED}, {_WALK.format(near='greatest(abs(f.row - w.row), abs(f.col - w.col)) = 1')} select scan_id, row, col, min(d)::double as dist from w group by 1, 2, 3")
 def grid_bfs(spark, sf_dir):
     """Steps over 8 neighbours from the cell nearest to the middle."""
-    free, _ = _free(spark, sf_dir)
+    free = _free(spark, sf_dir)
     return graph.grid_distances(free, _seeds(free), [(r, c, 1.0) for r, c, _ in graph.EIGHT])
 
 
 @query(f"with recursive {_G}, {_SEED}, {_WALK.format(near='abs(f.row - w.row) + abs(f.col - w.col) = 1')} select distinct scan_id, row, col from w")
 def flood_fill(spark, sf_dir):
-    free, _ = _free(spark, sf_dir)
+    free = _free(spark, sf_dir)
     return graph.grid_distances(free, _seeds(free), graph.FOUR).select("scan_id", "row", "col")
 
 
-@query(f"with {_G} select f.scan_id, f.row, f.col, {q6('min(sqrt(pow(f.row - b.row, 2) + pow(f.col - b.col, 2)))')} as clearance from free f join blocked b using (scan_id) where pow(f.row - b.row, 2) + pow(f.col - b.col, 2) <= 16 group by 1, 2, 3")
+@query(f"with {_G} select f.scan_id, f.row, f.col, {q6('min(sqrt(pow(f.row - b.row, 2) + pow(f.col - b.col, 2)))')} as clearance from free f join blocked b using (scan_id) group by 1, 2, 3")
 def distance_transform(spark, sf_dir):
-    """Distance to the nearest blocked cell within four cells: blocked cells are spread over their disc."""
-    free, blocked = _free(spark, sf_dir)
-    disc = [(r, c) for r in range(-4, 5) for c in range(-4, 5) if r * r + c * c <= 16]
-    spread = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit((r * r + c * c) ** 0.5).alias("d")) for r, c in disc))
-    told = blocked.select("scan_id", "row", "col", F.explode(spread).alias("s")).groupBy("scan_id", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col")).agg(F.min("s.d").alias("d"))
-    return free.join(told, ["scan_id", "row", "col"]).select("scan_id", "row", "col", r6("d").alias("clearance"))
+    """Distance of every free cell to the nearest blocked one."""
+    return grid.distance_transform(_grid(spark, sf_dir)).filter("not blocked").select("scan_id", "row", "col", r6("clearance").alias("clearance"))
 
 
 @query()
 def clearance_route(spark, sf_dir):
-    """Cheapest distances where steps near obstacles cost more (0.035 per clearance)."""
-    free, _ = _free(spark, sf_dir)
-    clear = distance_transform(spark, sf_dir).select("scan_id", "row", "col", "clearance")
-    weighted = free.join(clear, ["scan_id", "row", "col"], "left").withColumn("cost", 1 + F.coalesce(0.035 / F.greatest("clearance", F.lit(1.0)), F.lit(0.0)))
-    return graph.grid_distances(weighted, _seeds(free), graph.EIGHT, "cost").withColumn("dist", r6("dist"))
+    """Cheapest distances in metres where steps near obstacles cost more."""
+    cells = settled(_grid(spark, sf_dir))
+    seeds = _seeds(cells.filter("not blocked"))
+    return grid.route_costs(cells, seeds, 0.06).withColumn("dist", r6("dist"))
+
+
+@query(
+    f"""with {_G}, f as (select scan_id, count(*) as free_cells from free group by 1), n as (select scan_id, (r1 - r0 + 1) * (c1 - c0 + 1) as cells from bb)
+select n.scan_id, n.cells, coalesce(f.free_cells, 0) as free_cells, {q6('coalesce(f.free_cells, 0) * 0.06 * 0.06')} as free_area, {q6('100.0 * coalesce(f.free_cells, 0) / n.cells')} as free_percent from n left join f using (scan_id)"""
+)
+def free_area(spark, sf_dir):
+    """Free floor of each scan: cells, area and share of the bounding rectangle."""
+    per = _grid(spark, sf_dir).groupBy("scan_id").agg(F.count("*").alias("cells"), F.count_if(~F.col("blocked")).alias("free_cells"))
+    return per.select("scan_id", "cells", "free_cells", r6(F.col("free_cells") * 0.06 * 0.06).alias("free_area"), r6(100.0 * F.col("free_cells") / F.col("cells")).alias("free_percent"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -136,35 +135,28 @@ def overlap_rivals(spark, sf_dir):
     return found.filter("share > 0.6").groupBy("box_id").agg(F.count("*").alias("rivals"), r6(F.max("share")).alias("share"))
 
 
-def _suppress(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy suppression within one component of overlapping boxes."""
-    edges = pdf[pdf.worse >= 0]
-    covers: dict[int, list[int]] = {}
-    for a, b in zip(edges.box_id, edges.worse):
-        covers.setdefault(int(a), []).append(int(b))
-    gone: set[int] = set()
-    order = pdf.drop_duplicates("box_id").sort_values(["score", "box_id"], ascending=[False, True])
-    for b in order.box_id:
-        if int(b) not in gone:
-            gone.update(covers.get(int(b), []))
-    return pd.DataFrame({"box_id": order.box_id.to_numpy(), "kept": [int(b) not in gone for b in order.box_id]})
+@query()
+def nms_greedy(spark, sf_dir):
+    """Greedy suppression of boxes of one label in one scan (view), best score first."""
+    return ops.suppressed(boxes(spark, sf_dir), 0.5, 0.5).select("box_id", "kept")
 
 
 @query()
-def nms_greedy(spark, sf_dir):
-    """Greedy suppression of boxes of one label in one scan (view), best score first.
+def nms_across_labels(spark, sf_dir):
+    """Suppression across the labels of containers (cabinet, wardrobe, shelf: 1 to 3) where boxes nearly coincide."""
+    return ops.suppressed(boxes(spark, sf_dir).filter("label between 1 and 3"), 0.85, 0.5, same_label=False).select("box_id", "kept")
 
-    The overlaps come from the gridded join; only the order-dependent choice
-    runs per (scan, label) group, on edges, not on box pairs.
-    """
-    b = ops.footprint(boxes(spark, sf_dir))
-    size = lambda s: (F.col(f"{s}.x1") - F.col(f"{s}.x0")) * (F.col(f"{s}.y1") - F.col(f"{s}.y0"))
-    area = ops.overlap_area()
-    hit = ops.near_pairs(b, 0.0, 0.5).filter("l.label = r.label").filter(area / (size("l") + size("r") - area) > 0.5)
-    left_wins = (F.col("l.score") > F.col("r.score")) | ((F.col("l.score") == F.col("r.score")) & (F.col("l.box_id") < F.col("r.box_id")))
-    edges = hit.select(F.when(left_wins, F.col("l.box_id")).otherwise(F.col("r.box_id")).alias("better"), F.when(left_wins, F.col("r.box_id")).otherwise(F.col("l.box_id")).alias("worse"))
-    rows = b.join(edges, b.box_id == edges.better, "left").select("scan_id", "label", "box_id", "score", F.coalesce("worse", F.lit(-1)).alias("worse"))
-    return rows.groupBy("scan_id", "label").applyInPandas(_suppress, "box_id long, kept boolean")
+
+@query()
+def duplicate_removal(spark, sf_dir):
+    """Of objects that overlap by 60 % of the smaller footprint at about one height, the one with priority stays."""
+    return ops.without_duplicates(boxes(spark, sf_dir), 0.5).select("box_id", "kept")
+
+
+@query()
+def near_duplicate_boxes(spark, sf_dir):
+    """Boxes of one label that nearly coincide: the largest volume stays."""
+    return ops.without_near_copies(boxes(spark, sf_dir)).select("box_id", "kept")
 
 
 @query("select p_brand as class, count(*) as n, round(quantile_cont(p_size, 0.9), 6) + 0.0 as top_height, round(quantile_cont(p_size, 0.99) - quantile_cont(p_size, 0.01), 6) + 0.0 as range from part group by 1")
