@@ -2,35 +2,88 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
-from habitrace.plans.define import query
+from habitrace.plans.define import q6, query, r6
+from habitrace.sources.driver_tables import POINTS_SQL, table
 from habitrace.streaming import jobs
 
 
-def _folder(spark):
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="habitrace-")
-    return lambda name: f"{root}/{name}"
-
-
-def _drain(spark, sf_dir, job, mode):
-    return jobs.drain(spark, job(jobs.event_stream(spark, f"{sf_dir}/events.parquet")), mode, _folder(spark))
+def _events(spark, sf_dir):
+    return jobs.event_stream(spark, f"{sf_dir}/events.parquet")
 
 
 @query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) + 0.0 as total from events group by 1, 2")
 def streaming_windows(spark, sf_dir):
-    """Complete mode over the whole source equals the batch windows."""
-    rows = _drain(spark, sf_dir, jobs.hourly, "complete")
-    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", (F.round("total", 4) + F.lit(0.0)).alias("total"))
+    """Hours as they change (update mode); the latest state of each equals the batch windows."""
+    rows = jobs.drain(spark, jobs.hourly(_events(spark, sf_dir)), "update", ["start", "event_type"])
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", (F.round("total", 4) + F.lit(0.0)).alias("total"))
+
+
+@query("with h as (select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by 1, 2) select start, event_type, n from h where start + interval '1 hour' <= (select max(ts) - interval '2 hours' from events)")
+def streaming_closed_windows(spark, sf_dir):
+    """Hours that the watermark has passed (append mode): the last ones are still open and are not given."""
+    rows = jobs.drain(spark, jobs.hourly(_events(spark, sf_dir)), "append")
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("select user_id as scan_id, max(case event_type when 'signup' then 5 when 'view' then 15 when 'click' then 75 when 'error' then 88 else 100 end) as progress, max(ts) as at, count(*) as updates from events group by 1")
 def streaming_status(spark, sf_dir):
-    return _drain(spark, sf_dir, jobs.status, "complete").select(F.col("user_id").alias("scan_id"), "progress", F.col("at").cast("timestamp_ntz").alias("at"), "updates")
+    """State per scan, written as it changes; the latest row of each scan."""
+    rows = jobs.drain(spark, jobs.status(_events(spark, sf_dir)), "update", ["user_id"])
+    return rows.select(F.col("user_id").alias("scan_id"), "progress", F.col("at").cast("timestamp_ntz").alias("at"), "updates")
 
 
-@query()
+@query("select distinct user_id, event_type from events")
 def streaming_dedup(spark, sf_dir):
-    return _drain(spark, sf_dir, jobs.deduplicated, "append").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
+    """One event of each user and type; which of a micro-batch's comes first is not defined, so the keys are given."""
+    return jobs.drain(spark, jobs.deduplicated(_events(spark, sf_dir)), "append").select("user_id", "event_type")
+
+
+@query(
+    f"""with {POINTS_SQL}, a as (select scan_id, floor(x / 0.15)::bigint as vx, floor(y / 0.15)::bigint as vy, floor(z / 0.15)::bigint as vz, label as frame_id, point_id % 3 as block_id, x, y, z from points where label >= 3),
+f as (select scan_id, vx, vy, vz, count(*) as n, avg(x) as x, avg(y) as y, avg(z) as z from a group by 1, 2, 3, 4 having count(distinct frame_id) >= 3 and count(distinct block_id) >= 2),
+b as (select scan_id, floor(x / 0.15)::bigint as vx, floor(y / 0.15)::bigint as vy, floor(z / 0.15)::bigint as vz, x, y, z from points where label < 3)
+select scan_id, vx, vy, vz, 'base' as origin, count(*) as n, {q6('avg(x)')} as x, {q6('avg(y)')} as y, {q6('avg(z)')} as z from b group by 1, 2, 3, 4
+union all select f.scan_id, f.vx, f.vy, f.vz, 'added', f.n, {q6('f.x')}, {q6('f.y')}, {q6('f.z')} from f where not exists (select 1 from b where b.scan_id = f.scan_id and b.vx = f.vx and b.vy = f.vy and b.vz = f.vz)"""
+)
+def incremental_fusion(spark, sf_dir):
+    """Blocks of new points are summed by voxel as they come; what enough frames and blocks have seen is added to a base that never changes."""
+    def role(rows):
+        axis = lambda i: F.col("embedding")[i].cast("double")
+        return rows.select(F.pmod("vec_id", F.lit(5)).alias("scan_id"), F.col("label").cast("bigint").alias("frame_id"), (F.col("vec_id") % 3).alias("block_id"), axis(0).alias("x"), axis(1).alias("y"), axis(2).alias("z"))
+
+    added = role(jobs.file_stream(spark, f"{sf_dir}/embeddings.parquet").filter("label >= 3"))
+    parts = jobs.drain(spark, added, "append", each=lambda batch: jobs.voxel_parts(batch, 0.15))
+    base = jobs.fused(jobs.voxel_parts(role(table(spark, sf_dir, "embeddings").filter("label < 3")), 0.15), 1, 1)
+    new = jobs.fused(parts).join(base.select("scan_id", "vx", "vy", "vz"), ["scan_id", "vx", "vy", "vz"], "left_anti")
+    shown = lambda rows, origin: rows.select("scan_id", "vx", "vy", "vz", F.lit(origin).alias("origin"), "n", *(r6(c).alias(c) for c in "xyz"))
+    return shown(base, "base").union(shown(new, "added"))
+
+
+_DONE = "min(ts) filter (where event_type in ('purchase', 'error'))"
+
+
+@query(
+    f"""with s as (select user_id as scan_id, min(ts) as began, {_DONE} as ended from events group by 1)
+select scan_id, ended is not null as done, (ceil(date_diff('microsecond', began, ended) / 3e6))::bigint as polls, began + to_seconds((ceil(date_diff('microsecond', began, ended) / 3e6))::bigint * 3) as seen from s"""
+)
+def status_polling(spark, sf_dir):
+    """What a client sees that asks every three seconds: how often it asks until a scan is done or failed, and when it knows."""
+    ended = F.min(F.when(F.col("event_type").isin("purchase", "error"), F.col("ts")))
+    s = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("scan_id")).agg(F.min("ts").alias("began"), ended.alias("ended"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    polls = F.ceil((micros("ended") - micros("began")) / 3e6)
+    seen = F.timestamp_micros(micros("began") + polls * 3000000).cast("timestamp_ntz")
+    return s.select("scan_id", F.col("ended").isNotNull().alias("done"), polls.alias("polls"), seen.alias("seen"))
+
+
+@query("select o_orderkey as task_id, case when o_orderpriority like '5%' then 'thread' else 'queue' end as runner, row_number() over (partition by o_custkey, o_orderpriority like '5%' order by o_orderdate, o_orderkey) as place from orders")
+def task_dispatch(spark, sf_dir):
+    """A project's tasks go to the queue in order of submission; where the broker doesn't take them they run in a thread."""
+    from pyspark.sql import Window
+
+    o = table(spark, sf_dir, "orders")
+    refused = F.col("o_orderpriority").startswith("5")
+    place = F.row_number().over(Window.partitionBy("o_custkey", refused).orderBy("o_orderdate", "o_orderkey"))
+    return o.select(F.col("o_orderkey").alias("task_id"), F.when(refused, "thread").otherwise("queue").alias("runner"), place.cast("bigint").alias("place"))
