@@ -34,3 +34,20 @@ def safe_filename(path: Column) -> Column:
 def shown(value: Column) -> Column:
     """Two decimals, a dash for unknown."""
     return F.when(value.isNull(), "-").otherwise(F.format_string("%.2f", value))
+
+
+def prompt(phrases: Column) -> Column:
+    """Phrases joined by '. ' and closed by a dot; spaces around and dots behind a phrase go, empty ones are left out. NULL without any."""
+    said = F.filter(F.transform(phrases, lambda x: F.trim(F.regexp_replace(F.trim(x), r"\.+$", ""))), lambda x: x != "")
+    return F.when(F.size(said) > 0, F.concat(F.array_join(said, ". "), F.lit(".")))
+
+
+def stripped(value: Column) -> Column:
+    """A required text without white space at its ends; NULL if nothing is left."""
+    bare = F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.when(bare != "", bare)
+
+
+def bounded(value: Column, least: int, most: int) -> Column:
+    """Whether a required text, stripped, has ``least`` to ``most`` characters."""
+    return F.coalesce(F.length(stripped(value)).between(least, most), F.lit(False))

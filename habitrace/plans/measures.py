@@ -115,13 +115,6 @@ def geometry_confidence(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scan_id"), F.col("l_linenumber").alias("object_id"), r6(base * (0.6 + 0.4 * (1 - F.col("l_tax")))).alias("confidence"))
 
 
-@query("select user_id as scan_id, event_type as label, round(0.5 * least(count(*) / 20.0, 1) + 0.3 * avg(value) / max(value) + 0.2 * (1 - min(value) / nullif(max(value), 0)), 6) + 0.0 as completeness from events group by 1, 2")
-def completeness_score(spark, sf_dir):
-    v = F.col("value")
-    score = 0.5 * F.least(F.count("*") / 20.0, F.lit(1.0)) + 0.3 * F.avg(v) / F.max(v) + 0.2 * (1 - F.try_divide(F.min(v), F.max(v)))
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("scan_id"), F.col("event_type").alias("label")).agg(r6(score).alias("completeness"))
-
-
 @query(
     """with f as (select o_orderkey as scan_id, o_custkey as project_id, o_totalprice from orders), p as (select l_orderkey as scan_id, max_by(l_linenumber, {'a': l_quantity, 'b': -l_linenumber}) as best, max(l_quantity) as views from lineitem where l_linestatus = 'O' group by 1)
 select f.scan_id, p.best as object_id, p.views, p.scan_id is not null as forced from f left join p using (scan_id)"""

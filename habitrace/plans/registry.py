@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from habitrace.plans import clouds, fits, frames, fusion, graphs, layout, measures, relations, risk, scans, streams, texts
+from habitrace.plans import clouds, fits, frames, fusion, graphs, layout, measures, records, relations, risk, scans, streams, texts
 from habitrace.plans.define import QUERIES, SQL, Query
 
-FAMILIES = (risk, measures, fusion, clouds, fits, layout, frames, relations, graphs, scans, texts, streams)
+FAMILIES = (risk, measures, fusion, clouds, fits, layout, frames, relations, graphs, scans, texts, streams, records)
 
 
 def queries() -> dict[str, Query]:

@@ -10,9 +10,12 @@ LINE = r"^\s*(wall|door|window|bbox)_(\d+)\s*=\s*(Wall|Door|Window|Bbox)\(([^()]
 
 def parse_layout(lines: DataFrame, line: str = "line") -> DataFrame:
     """Adds (kind, item_id, args array<string>); only well-formed lines stay."""
-    part = lambda k: F.regexp_extract(line, LINE, k)
-    found = lines.filter(F.col(line).rlike(LINE))
-    return found.withColumns({"kind": part(1), "item_id": part(2).cast("int"), "args": F.split(part(4), r"\s*,\s*")})
+    # a line is matched and cut once: what the generator gives is not computed again by filters on its parts
+    parts = F.explode(F.when(F.col(line).rlike(LINE), F.array(F.split(F.trim(F.col(line)), r"\s*[=(),]\s*"))))
+    name = F.get("_t", F.lit(0))
+    found = lines.select(*lines.columns, parts.alias("_t"))
+    typed = {"kind": F.substring_index(name, "_", 1), "item_id": F.substring_index(name, "_", -1).try_cast("int"), "args": F.slice("_t", 3, F.size("_t") - 3)}
+    return found.withColumns(typed).drop("_t")
 
 
 def walls(parsed: DataFrame) -> DataFrame:
