@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from habitrace.session import settled
 
 
 def least_cost(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -52,5 +53,6 @@ def assign(instances: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFram
         pairs = least_cost(cost)
         return pd.DataFrame([(*key, left.instance_id.iloc[i], right.track_id.iloc[j], cost[i, j]) for i, j in pairs], columns=[*keys, "instance_id", "track_id", "cost"])
 
-    both = instances.select(*keys, "instance_id", "x", "y").groupBy(*keys).cogroup(tracks.select(*keys, "track_id", "x", "y").groupBy(*keys))
+    # both sides may come from one table: the second is settled, so that their columns differ
+    both = instances.select(*keys, "instance_id", "x", "y").groupBy(*keys).cogroup(settled(tracks.select(*keys, "track_id", "x", "y")).groupBy(*keys))
     return both.applyInPandas(one, f"{kinds}, instance_id long, track_id long, cost double")

@@ -67,7 +67,7 @@ def associate(observations: DataFrame, evidence: DataFrame, keys: list[str]) ->
         number = {r: k for k, r in enumerate(first.index, 1)}
         return pd.DataFrame({**{k: v for k, v in zip(keys, key)}, "obs_id": seen.obs_id, "track": [number[root[o]] for o in seen.obs_id]})
 
-    both = observations.select(*keys, "obs_id", "frame_order").groupBy(*keys).cogroup(settled(evidence.select(*keys, "a", "b", "score", "accepted", "conflict")).groupBy(*keys))
+    both = settled(observations.select(*keys, "obs_id", "frame_order")).groupBy(*keys).cogroup(settled(evidence.select(*keys, "a", "b", "score", "accepted", "conflict")).groupBy(*keys))
     return both.applyInPandas(one, f"{kinds}, track long")
 
 
@@ -139,7 +139,7 @@ def merge_tracks(fragments: DataFrame, masks: DataFrame, groups: DataFrame, cano
             least_of[r] = min(f, least_of.get(r, f))
         return pd.DataFrame({"scan_id": key[0], "fragment": list(root), "merged": [least_of[r] for r in root.values()]})
 
-    return nodes.groupBy("scan_id").cogroup(settled(edges).groupBy("scan_id")).applyInPandas(one, "scan_id long, fragment long, merged long")
+    return settled(nodes).groupBy("scan_id").cogroup(settled(edges).groupBy("scan_id")).applyInPandas(one, "scan_id long, fragment long, merged long")
 
 
 def complete_link(xy: np.ndarray, threshold: float) -> np.ndarray:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from habitrace.plans import clouds, fits, frames, fusion, graphs, layout, measures, records, relations, risk, rooms, scans, streams, texts, tracks
+from habitrace.plans import clouds, fits, frames, fusion, graphs, layout, measures, records, relations, risk, rooms, routes, scans, streams, texts, tracks
 from habitrace.plans.define import QUERIES, SQL, Query
 
-FAMILIES = (risk, measures, fusion, clouds, fits, layout, frames, relations, graphs, scans, texts, streams, records, rooms, tracks)
+FAMILIES = (risk, measures, fusion, clouds, fits, layout, frames, relations, graphs, scans, texts, streams, records, rooms, tracks, routes)
 
 
 def queries() -> dict[str, Query]:

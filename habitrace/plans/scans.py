@@ -21,6 +21,14 @@ def ply_roundtrip(spark, sf_dir):
     return ply.decoded(ply.encoded(points(spark, sf_dir)))
 
 
+@query(f"{_P} select scan_id, row_number() over (partition by scan_id order by point_id) - 1 as point_id, x::float::double as x, (label / 10.0)::float::double as red, abs(y)::float::double as green, abs(z)::float::double as blue from points")
+def ply_colours(spark, sf_dir):
+    """Clouds with float colours (six properties) written and read again."""
+    colours = {"red": F.col("label") / 10.0, "green": F.abs("y"), "blue": F.abs("z")}
+    files = ply.encoded(points(spark, sf_dir).withColumns(colours), extra=tuple(colours))
+    return ply.decoded(files, tuple(colours)).select("scan_id", "point_id", "x", *colours)
+
+
 @query(f"{_P}, v as (select scan_id, min(point_id) as point_id from points group by scan_id, floor(x / 0.03), floor(y / 0.03), floor(z / 0.03)), k as (select *, row_number() over (partition by scan_id order by md5(point_id::varchar), point_id) as k from v) select scan_id, point_id from k where k <= 30000")
 def preview_sample(spark, sf_dir):
     """A cloud's preview: voxels of 3 cm, at most 30,000 points a scan (the feature)."""

@@ -20,49 +20,72 @@ TYPES = {"char": "i1", "uchar": "u1", "short": "<i2", "ushort": "<u2", "int": "<
 
 
 def decode(content: bytes) -> np.ndarray:
-    """Vertices as a structured array; an empty or truncated file raises ValueError."""
-    head, _, rest = content.partition(b"end_header\n")
-    lines = head.decode("ascii", "replace").splitlines()
-    if not lines or lines[0].strip() != "ply" or not _:
+    """Vertices as a structured array, all scalar properties; what can't be read raises ValueError."""
+    found = re.search(rb"end_header\r?\n", content)
+    lines = content[: found.start()].decode("ascii", "replace").splitlines() if found else []
+    if not lines or lines[0].strip() != "ply":
         raise ValueError("not a PLY file")
+    rest = content[found.end() :]
     count, fields, inside = 0, [], False
     for line in lines:
-        if m := re.match(r"element (\w+) (\d+)", line):
-            inside = m[1] == "vertex"
-            count = int(m[2]) if inside else count
-        elif inside and (m := re.match(r"property (\w+) (\w+)$", line.strip())):
-            fields.append((m[2], TYPES[m[1]]))
+        words = line.split()
+        if words[:1] == ["element"] and len(words) == 3:
+            inside = words[1] == "vertex"
+            count = int(words[2]) if inside else count
+        elif inside and words[:1] == ["property"] and len(words) == 3:
+            if words[1] not in TYPES:
+                raise ValueError(f"unknown property type {words[1]}")
+            fields.append((words[2], TYPES[words[1]]))
     if not count:
         raise ValueError("the cloud is empty")
     kind = np.dtype(fields)
     if any("ascii" in line for line in lines[:3]):
         rows = [tuple(map(float, r.split()[: len(fields)])) for r in rest.decode().splitlines()[:count]]
+        if len(rows) < count or any(len(r) < len(fields) for r in rows):
+            raise ValueError("the file ends early")
         return np.array(rows, kind)
     if len(rest) < count * kind.itemsize:
         raise ValueError("the file ends early")
     return np.frombuffer(rest, kind, count)
 
 
-def encode(xyz: np.ndarray) -> bytes:
-    """A binary file of float coordinates."""
-    head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(xyz)}\nproperty float x\nproperty float y\nproperty float z\nend_header\n"
-    return head.encode() + np.ascontiguousarray(xyz, "<f4").tobytes()
+def encode(values: np.ndarray, names: tuple[str, ...] = ("x", "y", "z")) -> bytes:
+    """A binary file of float properties: three coordinates, or six with normals or colours."""
+    head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(values)}\n" + "".join(f"property float {n}\n" for n in names) + "end_header\n"
+    return head.encode() + np.ascontiguousarray(values, "<f4").tobytes()
 
 
-def _points_of(files: DataFrame) -> DataFrame:
-    """(scan_id, point_id, x, y, z) from (scan_id, first, content); unreadable files give no row."""
+def _points_of(files: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(scan_id, point_id, x, y, z, extra..., error) from (scan_id, first, content).
+
+    A file that can't be read, or is empty, gives one row that says why and has
+    no point. Extra properties that a file lacks are null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["scan_id", "point_id", "x", "y", "z", *extra, "error"]
         for batch in batches:
             for scan, first, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 try:
                     v = decode(content or b"")
-                except ValueError:
+                    if missing := {"x", "y", "z"} - set(v.dtype.names):
+                        raise ValueError(f"no {', '.join(sorted(missing))}")
+                except ValueError as why:
+                    yield pa.RecordBatch.from_arrays([pa.array([scan], pa.int64()), pa.array([None], pa.int64()), *([pa.array([None], pa.float64())] * (3 + len(extra))), pa.array([str(why)], pa.string())], names=names)
                     continue
-                ids = np.arange(first, first + len(v), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([scan] * len(v), pa.int64()), pa.array(ids), *(pa.array(v[c].astype(np.float64)) for c in "xyz")], names=["scan_id", "point_id", "x", "y", "z"])
+                n = len(v)
+                values = [pa.array(v[c].astype(np.float64)) if c in v.dtype.names else pa.nulls(n, pa.float64()) for c in ("x", "y", "z", *extra)]
+                yield pa.RecordBatch.from_arrays([pa.array([scan] * n, pa.int64()), pa.array(np.arange(first or 0, (first or 0) + n, dtype=np.int64)), *values, pa.nulls(n, pa.string())], names=names)
+
+    kinds = ", ".join(f"{c} double" for c in ("x", "y", "z", *extra))
+    return files.mapInArrow(run, f"scan_id long, point_id long, {kinds}, error string")
 
-    return files.mapInArrow(run, "scan_id long, point_id long, x double, y double, z double")
+
+def readable(points: DataFrame) -> DataFrame:
+    """The points of files that could be read; a file that couldn't raises an error that names its scan."""
+    told = F.concat(F.lit("scan "), F.coalesce(F.col("scan_id").cast("string"), F.lit("?")), F.lit(": "), F.col("error"))
+    checked = F.when(F.col("error").isNotNull(), F.raise_error(told).cast("bigint")).otherwise(F.col("scan_id"))
+    return points.withColumn("scan_id", checked).drop("error")
 
 
 def _sizes(files: DataFrame) -> DataFrame:
@@ -88,34 +111,44 @@ def _first(*order: str) -> Column:
     return F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint")
 
 
-def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """Clouds named ``<scan_id>.ply`` (or ``<scan_id>_<part>.ply``) under ``path``; points are numbered through a scan's parts."""
+def read_ply(spark: SparkSession, path: str, extra: tuple[str, ...] = (), errors: str = "raise") -> DataFrame:
+    """Clouds named ``<scan_id>.ply`` (or ``<scan_id>_<part>.ply``) under ``path``; points are numbered through a scan's parts.
+
+    Returns (scan_id, point_id, x, y, z, extra...). A file that is empty or
+    can't be read is an error that names its scan; with ``errors`` "rows" it is
+    a row that says why in a column ``error``, with "skip" it is passed over.
+    """
+    if errors not in ("raise", "rows", "skip"):
+        raise ValueError("errors must be raise, rows or skip")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").load(path)
     name = lambda k: F.regexp_extract("path", r"([0-9]+)(?:_([0-9]+))?\.ply$", k).try_cast("bigint")
     sizes = _sizes(files.select("path", "content")).select("path", name(1).alias("scan_id"), name(2).alias("part"), "n")
     firsts = sizes.select("path", "scan_id", _first("part", "path").alias("first"))
-    return _points_of(files.select("path", "content").join(firsts, "path").select("scan_id", "first", "content"))
+    found = _points_of(files.select("path", "content").join(firsts, "path").select("scan_id", "first", "content"), extra)
+    return {"raise": readable, "rows": lambda f: f, "skip": lambda f: f.filter("error is null").drop("error")}[errors](found)
 
 
-def encoded(points: DataFrame, rows: int = 100_000) -> DataFrame:
+def encoded(points: DataFrame, rows: int = 100_000, extra: tuple[str, ...] = ()) -> DataFrame:
     """(scan_id, part, first, content): files of at most about ``rows`` points, split by point id.
 
-    ``first`` counts the points in the scan's parts before.
+    ``first`` counts the points in the scan's parts before; ``extra`` columns
+    (normals, colours) are written as float properties too.
     """
+    names = ("x", "y", "z", *extra)
 
     def one(table: pa.Table) -> pa.Table:
         t = table.sort_by("point_id")
-        xyz = np.stack([t.column(c).to_numpy() for c in "xyz"], axis=1)
-        return pa.table({"scan_id": t.column("scan_id")[:1], "part": t.column("part")[:1], "content": pa.array([encode(xyz)], pa.binary())})
+        values = np.stack([t.column(c).to_numpy() for c in names], axis=1)
+        return pa.table({"scan_id": t.column("scan_id")[:1], "part": t.column("part")[:1], "content": pa.array([encode(values, names)], pa.binary())})
 
     parted = points.withColumn("part", F.floor(F.col("point_id") / rows))
-    files = parted.select("scan_id", "part", "point_id", "x", "y", "z").groupBy("scan_id", "part").applyInArrow(one, "scan_id long, part long, content binary").alias("f")
+    files = parted.select("scan_id", "part", "point_id", *names).groupBy("scan_id", "part").applyInArrow(one, "scan_id long, part long, content binary").alias("f")
     counts = parted.groupBy("scan_id", "part").agg(F.count("*").alias("n"))
     firsts = counts.select("scan_id", "part", _first("part").alias("first")).alias("c")
     same = F.col("f.scan_id").eqNullSafe(F.col("c.scan_id")) & F.col("f.part").eqNullSafe(F.col("c.part"))
     return files.join(firsts, same).select("f.scan_id", "f.part", "c.first", "f.content")
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """The points of ``encoded`` rows, numbered through a scan's parts."""
-    return _points_of(files.select("scan_id", "first", "content"))
+def decoded(files: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The points of ``encoded`` rows, numbered through a scan's parts; a broken file is an error."""
+    return readable(_points_of(files.select("scan_id", "first", "content"), extra))
