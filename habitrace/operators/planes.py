@@ -149,3 +149,53 @@ def widest_pairs(points: DataFrame, sizes: tuple[float, ...] = (0.25, 0.04)) ->
     met = p.join(a, (F.col("p.scan_id") == F.col("a.scan_id")) & (F.col("p.ca") == F.col("a.up"))).join(b, (F.col("p.scan_id") == F.col("b.scan_id")) & (F.col("p.cb") == F.col("b.up")))
     d = F.sqrt(sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in "yz"), (F.col("a.x") - F.col("b.x")) ** 2))
     return met.groupBy(F.col("p.scan_id").alias("scan_id")).agg(F.max(d).alias("widest"))
+
+
+def floor_plane(points: DataFrame, keep: float = 0.9) -> DataFrame:
+    """(scan_id, a, b, c, slope): the least-squares plane z = ax + by + c, fitted again on the best ``keep`` of the points."""
+
+    def fit(p: DataFrame) -> DataFrame:
+        m = p.groupBy("scan_id").agg(F.var_pop("x").alias("xx"), F.covar_pop("x", "y").alias("xy"), F.var_pop("y").alias("yy"), F.covar_pop("x", "z").alias("xz"), F.covar_pop("y", "z").alias("yz"), *(F.avg(c).alias(f"m{c}") for c in "xyz"))
+        det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
+        m = m.withColumns({"a": F.try_divide(F.col("xz") * F.col("yy") - F.col("yz") * F.col("xy"), det), "b": F.try_divide(F.col("yz") * F.col("xx") - F.col("xz") * F.col("xy"), det)})
+        return m.select("scan_id", "a", "b", (F.col("mz") - F.col("a") * F.col("mx") - F.col("b") * F.col("my")).alias("c"))
+
+    p = points.select("scan_id", "x", "y", "z")
+    off = p.join(fit(p), "scan_id").withColumn("e", F.abs(F.col("z") - F.col("a") * F.col("x") - F.col("b") * F.col("y") - F.col("c"))).select("scan_id", "x", "y", "z", "e")
+    cut = off.groupBy("scan_id").agg(F.percentile("e", keep).alias("cut"))
+    return fit(off.join(cut, "scan_id").filter("e <= cut")).withColumn("slope", F.hypot("a", "b"))
+
+
+def _procrustes(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Scale, rotation and shift of one scan from its moments."""
+    r = pdf.iloc[0]
+    u, d, vt = np.linalg.svd(np.array(r["cov"], float).reshape(3, 3))
+    sign = np.array([1, 1, np.sign(np.linalg.det(u @ vt)) or 1])
+    rot = u @ np.diag(sign) @ vt
+    scale = float((d * sign).sum() / r["spread"])
+    shift = np.array(r["to"], float) - scale * rot @ np.array(r["from"], float)
+    return pd.DataFrame({"scan_id": [r["scan_id"]], "scale": [scale], "rotation": [rot.ravel().tolist()], "shift": [shift.tolist()]})
+
+
+def similarity(pairs: DataFrame, refits: int = 5, keep: float = 0.72) -> DataFrame:
+    """(scan_id, scale, rotation, shift): the similarity that takes (x, y, z) to (u, v, w), refitted on the best pairs.
+
+    Moments are aggregated by Spark, only one 3 x 3 matrix a scan meets Python;
+    each of ``refits`` rounds keeps the pairs whose residual is within the
+    ``keep`` quantile of the round's.
+    """
+    schema = "scan_id long, scale double, rotation array<double>, shift array<double>"
+
+    def fit(p: DataFrame) -> DataFrame:
+        m = p.groupBy("scan_id").agg(F.array(*(F.covar_pop(a, b) for a in "uvw" for b in "xyz")).alias("cov"), (F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("spread"), F.array(*(F.avg(c) for c in "xyz")).alias("from"), F.array(*(F.avg(c) for c in "uvw")).alias("to"))
+        return settled(m.filter("spread > 0").groupBy("scan_id").applyInPandas(_procrustes, schema))
+
+    rows = pairs.select("scan_id", *"xyzuvw")
+    found = fit(rows)
+    for _ in range(refits):
+        to = lambda i: F.col("scale") * (F.col("rotation")[3 * i] * F.col("x") + F.col("rotation")[3 * i + 1] * F.col("y") + F.col("rotation")[3 * i + 2] * F.col("z")) + F.col("shift")[i]
+        e = F.sqrt(sum(((F.col(c) - to(i)) ** 2 for i, c in ((1, "v"), (2, "w"))), (F.col("u") - to(0)) ** 2))
+        off = rows.join(found, "scan_id").select("scan_id", *"xyzuvw", e.alias("e"))
+        cut = off.groupBy("scan_id").agg(F.percentile("e", keep).alias("cut"))
+        found = fit(off.join(cut, "scan_id").filter("e <= cut"))
+    return found

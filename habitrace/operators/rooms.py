@@ -272,3 +272,46 @@ def place_on_parent(rules: DataFrame) -> DataFrame:
     """Adds cx, cy, cz, yaw to rules (size_z, along, parent_x, parent_y, parent_z, parent_height, parent_yaw): on top of the parent, no obstacle on the floor."""
     turn = F.radians("parent_yaw")
     return rules.withColumns({"cx": F.col("parent_x") + F.col("along") * F.cos(turn), "cy": F.col("parent_y") + F.col("along") * F.sin(turn), "cz": F.col("parent_z") + F.col("parent_height") / 2 + F.col("size_z") / 2, "yaw": F.col("parent_yaw")})
+
+
+def legacy_gap(l: str = "l", r: str = "r") -> Column:
+    """The approximate gap of the older passage code: the least separation over axes from corners in its order, 0 without one.
+
+    Two of the four sides it takes are diagonals, and it takes the least of
+    the gaps, not the distance; kept for reports that were made with it.
+    """
+    order = (1, 4, 2, 3)  # places of (-,-), (-,+), (+,-), (+,+) among with_corners
+    ring = {s: [F.col(f"{s}.corners")[k - 1] for k in order] for s in (l, r)}
+    gaps = []
+    for s in (l, r):
+        for i in range(4):
+            a, b = ring[s][i], ring[s][(i + 1) % 4]
+            nx, ny = -(b["y"] - a["y"]), b["x"] - a["x"]
+            n = F.greatest(F.hypot(nx, ny), F.lit(1e-12))
+            shadow = {k: [(p["x"] * nx + p["y"] * ny) / n for p in ring[k]] for k in (l, r)}
+            gap = F.greatest(F.least(*shadow[l]), F.least(*shadow[r])) - F.least(F.greatest(*shadow[l]), F.greatest(*shadow[r]))
+            gaps.append(F.when(gap > 1e-9, gap))
+    return F.coalesce(F.array_min(F.array_compact(F.array(*gaps))), F.lit(0.0))
+
+
+def missing_openings(points: DataFrame, room_walls: DataFrame, room: DataFrame, least: int = 30, views: int = 2) -> DataFrame:
+    """(scan_id, kind, wall_id, along, width, bottom, height, views, n): openings that several views' masks see and the layout lacks.
+
+    ``points`` (scan_id, kind, view_id, x, y, z). The wall nearest to the
+    median point takes them; extents are the 5th and 95th percentiles along it.
+    A door stands on the floor, a window has a sill and a lintel.
+    """
+    n = points.groupBy("scan_id", "kind").agg(F.countDistinct("view_id").alias("views"), F.count("*").alias("n"), F.median("x").alias("mx"), F.median("y").alias("my")).filter((F.col("views") >= views) & (F.col("n") >= least))
+    turned = F.col("rotation") == 90.0
+    w = room_walls.select("scan_id", "wall_id", "cx", "cy", "length", "rotation")
+    away = F.when(turned, F.abs(F.col("mx") - F.col("cx"))).otherwise(F.abs(F.col("my") - F.col("cy")))
+    best = n.join(w, "scan_id").groupBy("scan_id", "kind", "views", "n").agg(F.min_by(F.struct("wall_id", "cx", "cy", "length", "rotation"), F.struct(away.alias("a"), "wall_id")).alias("w"))
+    along = F.when(F.col("w.rotation") == 90.0, F.col("y") - F.col("w.cy")).otherwise(F.col("x") - F.col("w.cx"))
+    q = points.join(best, ["scan_id", "kind"]).groupBy("scan_id", "kind", "views", "n", "w").agg(F.percentile(along, F.array(F.lit(0.05), F.lit(0.95))).alias("a"), F.percentile("z", F.array(F.lit(0.05), F.lit(0.95))).alias("z"))
+    j = q.join(room.select("scan_id", F.col("height").alias("room")), "scan_id")
+    door = F.col("kind") == "door"
+    bottom = F.when(door, 0.0).otherwise(F.greatest(F.col("z")[0], F.lit(0.35)))
+    top = F.when(door, F.col("z")[1]).otherwise(F.least(F.col("z")[1], F.col("room") - 0.15))
+    height = F.when(door, clip(top - bottom, F.lit(0.35), F.col("room"))).otherwise(clip(top - bottom, F.lit(0.35), F.least(F.lit(1.8), F.col("room") - 0.5)))
+    width = clip(F.col("a")[1] - F.col("a")[0], F.lit(0.30), F.greatest("w.length", F.lit(0.30)))
+    return j.select("scan_id", "kind", "w.wall_id", ((F.col("a")[0] + F.col("a")[1]) / 2).alias("along"), width.alias("width"), bottom.alias("bottom"), height.alias("height"), "views", "n")

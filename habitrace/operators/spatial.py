@@ -139,3 +139,14 @@ def voxel_mean(points: DataFrame, size: float) -> DataFrame:
 def principal_angle(x: str, y: str) -> Column:
     """Direction of the 2D principal axis, as an aggregate, in (-pi/2, pi/2]."""
     return 0.5 * F.atan2(2 * F.covar_pop(x, y), F.var_pop(x) - F.var_pop(y))
+
+
+def rasterised(boxes: DataFrame, size: float) -> DataFrame:
+    """(scan_id, box_id, row, col): cells whose centre lies in the turned rectangle of a box."""
+    reach = F.hypot("sx", "sy") / 2
+    span = lambda c: F.sequence(cell(F.col(c) - reach, size), cell(F.col(c) + reach, size))
+    d = boxes.withColumn("col", F.explode(span("cx"))).withColumn("row", F.explode(span("cy")))
+    dx, dy = (F.col("col") + 0.5) * size - F.col("cx"), (F.col("row") + 0.5) * size - F.col("cy")
+    c, s = F.cos("yaw"), F.sin("yaw")
+    inside = (F.abs(c * dx + s * dy) <= F.col("sx") / 2) & (F.abs(c * dy - s * dx) <= F.col("sy") / 2)
+    return d.filter(inside).select("scan_id", "box_id", "row", "col")

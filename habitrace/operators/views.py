@@ -23,3 +23,20 @@ def diversity(cameras: DataFrame, scale: Column) -> DataFrame:
     base = planes.widest_pairs(cameras).select("scan_id", F.col("widest").alias("baseline"))
     score = 0.7 * F.least(F.col("widest") / (math.pi / 2), F.lit(1.0)) + 0.3 * F.least(F.col("baseline") / scale, F.lit(1.0))
     return angle.join(base, "scan_id").withColumn("diversity", score)
+
+
+def camera_pixel(model: Column, x: Column, y: Column, z: Column, f: float, cx: float, cy: float, k1: float, k2: float) -> tuple[Column, Column]:
+    """Pixel of a point in camera coordinates under its camera model; NULL for a model that is not known.
+
+    PINHOLE has no distortion, SIMPLE_RADIAL one term, RADIAL two.
+    """
+    u, v = x / z, y / z
+    r2 = u * u + v * v
+    factor = F.when(model == "PINHOLE", 1.0).when(model == "SIMPLE_RADIAL", 1 + k1 * r2).when(model == "RADIAL", 1 + k1 * r2 + k2 * r2 * r2)
+    return f * factor * u + cx, f * factor * v + cy
+
+
+def inverted(r: list[list[Column]], t: list[Column]) -> tuple[list[Column], list[Column]]:
+    """Centre and viewing direction of a camera given as world to camera: -R't and R's third row."""
+    centre = [-(r[0][k] * t[0] + r[1][k] * t[1] + r[2][k] * t[2]) for k in range(3)]
+    return centre, [r[2][k] for k in range(3)]

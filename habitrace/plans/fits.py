@@ -75,13 +75,13 @@ def ray_wall_hits(spark, sf_dir):
     return boxes(spark, sf_dir).select("box_id", "cz", best.alias("b")).filter("b is not null").select("box_id", "b.wall_id", r6("b.t").alias("t"), r6(F.col("b.t") * F.col("cz")).alias("height"))
 
 
-@query(f"{_B}, c as (select scan_id, box_id, label, unnest(range(floor((cx - sx / 2) / 0.25)::bigint, floor((cx + sx / 2) / 0.25)::bigint + 1)) as col, cx, cy, sx, sy from boxes), d as (select *, unnest(range(floor((cy - sy / 2) / 0.25)::bigint, floor((cy + sy / 2) / 0.25)::bigint + 1)) as row from c) select scan_id, row, col, count(*) as boxes from d where abs((col + 0.5) * 0.25 - cx) <= sx / 2 and abs((row + 0.5) * 0.25 - cy) <= sy / 2 group by 1, 2, 3")
+_REACH = "sqrt(sx * sx + sy * sy) / 2"
+
+
+@query(f"{_B}, c as (select scan_id, box_id, unnest(range(floor((cx - {_REACH}) / 0.25)::bigint, floor((cx + {_REACH}) / 0.25)::bigint + 1)) as col, cx, cy, sx, sy, yaw from boxes), d as (select *, unnest(range(floor((cy - {_REACH}) / 0.25)::bigint, floor((cy + {_REACH}) / 0.25)::bigint + 1)) as row from c), e as (select *, (col + 0.5) * 0.25 - cx as dx, (row + 0.5) * 0.25 - cy as dy from d) select scan_id, row, col, count(*) as boxes from e where abs(cos(yaw) * dx + sin(yaw) * dy) <= sx / 2 and abs(cos(yaw) * dy - sin(yaw) * dx) <= sy / 2 group by 1, 2, 3")
 def rectangle_raster(spark, sf_dir):
-    """Cells whose centre lies in a rectangle, by how many."""
-    span = lambda c, s: F.sequence(F.floor((F.col(c) - F.col(s) / 2) / 0.25), F.floor((F.col(c) + F.col(s) / 2) / 0.25))
-    d = boxes(spark, sf_dir).withColumn("col", F.explode(span("cx", "sx"))).withColumn("row", F.explode(span("cy", "sy")))
-    inside = (F.abs((F.col("col") + 0.5) * 0.25 - F.col("cx")) <= F.col("sx") / 2) & (F.abs((F.col("row") + 0.5) * 0.25 - F.col("cy")) <= F.col("sy") / 2)
-    return d.filter(inside).groupBy("scan_id", "row", "col").agg(F.count("*").alias("boxes"))
+    """Cells whose centre lies in a turned rectangle, by how many."""
+    return spatial.rasterised(boxes(spark, sf_dir), 0.25).groupBy("scan_id", "row", "col").agg(F.count("*").alias("boxes"))
 
 
 @query(f"{_F}, t as (select *, row_number() over w as k, count(*) over (partition by scan_id) as n, lag(value, 3) over w as a3, lead(value, 3) over w as b3, first_value(value) over w as f, last_value(value) over (partition by scan_id order by ts, frame_id rows between unbounded preceding and unbounded following) as l from frames window w as (partition by scan_id order by ts, frame_id)) select scan_id, frame_id, {q6('coalesce(b3, l) - coalesce(a3, f)')} as direction from t")

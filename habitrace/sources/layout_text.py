@@ -32,3 +32,11 @@ def openings(parsed: DataFrame, wall_rows: DataFrame, keys: list[str]) -> DataFr
     num = lambda i: F.expr(f"try_cast(get(args, {i}) as double)")
     kids = parsed.filter("kind in ('door', 'window')").select(*keys, "kind", "item_id", own.try_cast("int").alias("wall_id"), *(num(i + 1).alias(n) for i, n in enumerate(("x", "y", "z", "width", "height"))))
     return kids.join(wall_rows.select(*keys, F.col("item_id").alias("wall_id")), [*keys, "wall_id"])
+
+
+def boxes(parsed: DataFrame) -> DataFrame:
+    """Boxes: class, centre, turn and three sizes; a line with a number missing is dropped."""
+    num = lambda i: F.expr(f"try_cast(get(args, {i}) as double)")
+    names = ["cx", "cy", "cz", "yaw", "sx", "sy", "sz"]
+    kept = [c for c in parsed.columns if c not in ("kind", "args")]
+    return parsed.filter("kind = 'bbox'").select(*kept, F.get("args", F.lit(0)).alias("class"), *(num(i + 1).alias(n) for i, n in enumerate(names))).dropna(subset=names)
