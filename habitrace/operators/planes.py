@@ -32,13 +32,13 @@ def _draws(points: DataFrame, trials: int, seed: int) -> DataFrame:
 
 
 def hypotheses(points: DataFrame, trials: int = 500, seed: int = 7) -> DataFrame:
-    """(scan_id, trial, nx, ny, nz, d): unit normals and offsets of planes through three drawn points."""
+    """(scan_id, trial, p0, nx, ny, nz, d): unit normals and offsets of planes through three drawn points."""
     of = lambda k, c: F.col(f"p{k}.{c}") - F.col(f"p0.{c}")
     cross = {"nx": of(1, "y") * of(2, "z") - of(1, "z") * of(2, "y"), "ny": of(1, "z") * of(2, "x") - of(1, "x") * of(2, "z"), "nz": of(1, "x") * of(2, "y") - of(1, "y") * of(2, "x")}
     norm = F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)
     found = _draws(points, trials, seed).select("scan_id", "trial", "p0", *(v.alias(k) for k, v in cross.items())).withColumn("norm", norm).filter("norm > 1e-9")
     unit = found.select("scan_id", "trial", "p0", *((F.col(c) / F.col("norm")).alias(c) for c in cross))
-    return unit.select("scan_id", "trial", "nx", "ny", "nz", (F.col("nx") * F.col("p0.x") + F.col("ny") * F.col("p0.y") + F.col("nz") * F.col("p0.z")).alias("d"))
+    return unit.select("scan_id", "trial", "p0", "nx", "ny", "nz", (F.col("nx") * F.col("p0.x") + F.col("ny") * F.col("p0.y") + F.col("nz") * F.col("p0.z")).alias("d"))
 
 
 def ransac(points: DataFrame, trials: int = 500, threshold: float = 0.03, seed: int = 7) -> DataFrame:
@@ -199,3 +199,59 @@ def similarity(pairs: DataFrame, refits: int = 5, keep: float = 0.72) -> DataFra
         cut = off.groupBy("scan_id").agg(F.percentile("e", keep).alias("cut"))
         found = fit(off.join(cut, "scan_id").filter("e <= cut"))
     return found
+
+
+def _main_directions(group: pd.DataFrame) -> pd.DataFrame:
+    """The strongest horizontal direction of a scan's wall planes and the first that is square to it."""
+    g = group.sort_values(["support", "trial"], ascending=[False, True])
+    v, weight, heads = g[["nx", "ny", "nz"]].to_numpy(float), g.support.to_numpy(float), []
+    for i in range(len(v)):
+        fit = next((h for h in heads if abs(v[i] @ v[h[0]]) >= 0.9), None)
+        if fit is None:
+            heads.append([i, weight[i]])
+        else:
+            fit[1] += weight[i]
+    heads.sort(key=lambda h: (-h[1], h[0]))
+    first = v[heads[0][0]]
+    square = any(abs(v[h[0]] @ first) < 0.5 for h in heads[1:])
+    return pd.DataFrame({"scan_id": [g.scan_id.iloc[0]], "ax": [first[0]], "ay": [first[1]], "az": [first[2]], "method": ["manhattan_walls" if square else "single_wall"]})
+
+
+def room_frame(points: DataFrame, up: DataFrame, trials: int = 400, seed: int = 42) -> DataFrame:
+    """(scan_id, nx, ny, nz, ax, ay, az, ratio, method, confidence): floor normal, horizontal axis and how sure both are.
+
+    ``up`` (scan_id, ux, uy, uz) is the hint of the cameras. A floor has many
+    points near it, nearly all on one side, the cloud's mass above it, and lies
+    square to the hint; walls are planes square to the floor with 3 % of the
+    points. Hypotheses are scored by counts, so nothing but them is shuffled. A
+    scan whose best plane has under 4 % or is too steep has no row.
+    """
+    q = lambda c, at: F.percentile(c, at)
+    spread = sum(((q(c, 0.99) - q(c, 0.01)) ** 2 for c in "yz"), (q("x", 0.99) - q("x", 0.01)) ** 2)
+    size = settled(points.groupBy("scan_id").agg(F.count("*").alias("n"), F.greatest(F.sqrt(spread) * 0.012, F.lit(1e-4)).alias("near")))
+    trial = settled(hypotheses(points, trials, seed).join(size, "scan_id").join(up, "scan_id"))
+    off = F.col("x") * F.col("nx") + F.col("y") * F.col("ny") + F.col("z") * F.col("nz") - F.col("d")
+    turned = off * F.signum(F.col("nx") * F.col("ux") + F.col("ny") * F.col("uy") + F.col("nz") * F.col("uz"))
+    met = points.select("scan_id", "x", "y", "z").join(trial, "scan_id").select("scan_id", "trial", "near", turned.alias("o"))
+    counts = met.groupBy("scan_id", "trial").agg(F.count_if(F.abs("o") <= F.col("near")).alias("inl"), F.count_if(F.col("o") >= -F.col("near")).alias("above"), F.count_if(F.col("o") <= F.col("near")).alias("below"), F.count_if(F.col("o") >= 0).alias("over"))
+    j = counts.join(trial, ["scan_id", "trial"])
+    align = F.abs(F.col("nx") * F.col("ux") + F.col("ny") * F.col("uy") + F.col("nz") * F.col("uz"))
+    low = F.when(F.col("over") * 2 >= F.col("n"), 1.0).otherwise(0.15)
+    score = F.col("inl") / F.col("n") * (0.5 + 0.5 * F.greatest("above", "below") / F.col("n")) * (0.15 + 0.85 * align * align) * low
+    best = j.withColumns({"score": score, "align": align}).groupBy("scan_id").agg(F.max_by(F.struct("nx", "ny", "nz", "ux", "uy", "uz", "inl", "n", "near", "align"), F.struct("score", (-F.col("trial")).alias("t"))).alias("b")).select("scan_id", "b.*")
+    best = best.filter((F.col("inl") / F.col("n") >= 0.04) & (F.col("align") >= 0.65))
+    side = F.signum(F.col("nx") * F.col("ux") + F.col("ny") * F.col("uy") + F.col("nz") * F.col("uz"))
+    floor = settled(best.select("scan_id", *((F.col(c) * side).alias(f"f{c[1]}") for c in ("nx", "ny", "nz")), (F.col("inl") / F.col("n")).alias("ratio"), "n", "near"))
+    upright = F.col("nx") * F.col("fx") + F.col("ny") * F.col("fy") + F.col("nz") * F.col("fz")
+    w = hypotheses(points, trials, seed + 1).join(floor, "scan_id").withColumn("dot", upright).filter(F.abs("dot") <= 0.25)
+    flat = {c: F.col(f"n{c}") - F.col("dot") * F.col(f"f{c}") for c in "xyz"}
+    length = F.sqrt(sum((flat[c] ** 2 for c in "yz"), flat["x"] ** 2))
+    w = w.select("scan_id", "trial", "p0", "n", "near", *((flat[c] / length).alias(f"n{c}") for c in "xyz"))
+    w = settled(w.withColumn("d", F.col("nx") * F.col("p0.x") + F.col("ny") * F.col("p0.y") + F.col("nz") * F.col("p0.z")))
+    support = points.select("scan_id", "x", "y", "z").join(w, "scan_id").filter(F.abs(off) <= F.col("near")).groupBy("scan_id", "trial").agg(F.count("*").alias("inl"))
+    walls = support.join(w, ["scan_id", "trial"]).withColumn("support", F.col("inl") / F.col("n")).filter("support >= 0.03")
+    axes = walls.select("scan_id", "trial", "nx", "ny", "nz", "support").groupBy("scan_id").applyInPandas(_main_directions, "scan_id long, ax double, ay double, az double, method string")
+    out = floor.join(axes.withColumnRenamed("scan_id", "_scan"), F.col("scan_id") == F.col("_scan"), "left").drop("_scan")
+    method = F.coalesce("method", F.lit("none"))
+    sure = F.when((F.col("ratio") >= 0.12) & (method == "manhattan_walls"), "high").when((F.col("ratio") >= 0.07) | (method == "single_wall"), "medium").otherwise("low")
+    return out.select("scan_id", F.col("fx").alias("nx"), F.col("fy").alias("ny"), F.col("fz").alias("nz"), "ax", "ay", "az", "ratio", method.alias("method"), sure.alias("confidence"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from habitrace.operators import graph, planes, rooms, spatial, views
+from habitrace.operators import graph, instances, planes, rooms, spatial, views
 from habitrace.operators import layout as boxes_ops
 from habitrace.plans.define import q6, query, r6
 from habitrace.plans.rooms import _P, _R, _metric
@@ -198,3 +198,89 @@ def missing_openings(spark, sf_dir):
     seen = p.filter("label < 6").select("scan_id", F.when(F.col("label") % 2 == 0, "door").otherwise("window").alias("kind"), F.col("label").alias("view_id"), "x", "y", "z")
     found = rooms.missing_openings(seen, rooms.walls(room), room)
     return found.select("scan_id", "kind", "wall_id", *(r6(c).alias(c) for c in ("along", "width", "bottom", "height")), "views", "n")
+
+
+@query()
+def room_frames(spark, sf_dir):
+    """Floor normal, main wall direction and confidence of each scan, with the cameras' up hint."""
+    p = _metric(spark, sf_dir)
+    up = p.select("scan_id").distinct().select("scan_id", F.lit(0.0).alias("ux"), F.lit(0.0).alias("uy"), F.lit(1.0).alias("uz"))
+    found = planes.room_frame(p, up)
+    return found.select("scan_id", *(r6(c).alias(c) for c in ("nx", "ny", "nz", "ax", "ay", "az", "ratio")), "method", "confidence")
+
+
+def _instances(spark, sf_dir):
+    return _metric(spark, sf_dir).select((F.col("scan_id") * 100 + F.col("label")).alias("scan_id"), "point_id", "x", "y", "z")
+
+
+@query()
+def instance_robust_geometry(spark, sf_dir):
+    """Robust footprint, height and stability of each instance (scan x 100 + label)."""
+    found = instances.robust(_instances(spark, sf_dir))
+    return found.select(F.col("scan_id").alias("instance_id"), "n", "kept", *(r6(c).alias(c) for c in ("length", "width", "low", "high", "stability")))
+
+
+@query()
+def instance_fits(spark, sf_dir):
+    """The fit of each instance and why it is not verified; ten points are enough here."""
+    found = instances.fitted(_instances(spark, sf_dir), 4, 1.6, 10)
+    return found.select(F.col("scan_id").alias("instance_id"), "points", *(r6(c).alias(c) for c in ("length", "width", "low", "high", "confidence")), "status", "reason")
+
+
+@query()
+def object_fits(spark, sf_dir):
+    """Candidate boxes fitted to their points, without earlier objects' and other clusters' points."""
+    p = _metric(spark, sf_dir)
+    wide = boxes(spark, sf_dir).filter("label < 3").withColumns({"sx": F.col("sx") * 8, "sy": F.col("sy") * 8, "sz": F.lit(20.0)})
+    found = instances.fit_in_boxes(p, wide, rooms.bounds(p), least=3, reach=1.0)
+    return found.select("scan_id", "box_id", "points", *(r6(c).alias(c) for c in ("cx", "cy", "sx", "sy", "low", "high")))
+
+
+@query(
+    f"""{_B}, {POINTS_SQL}, p as (select scan_id, x * 10 as x, y * 10 as y, z * 10 as z from points), n as (select b.box_id, count(p.x) as n from boxes b left join p on p.scan_id = b.scan_id and abs(cos(yaw) * (p.x - cx) + sin(yaw) * (p.y - cy)) < sx / 2 + 0.18 and abs(cos(yaw) * (p.y - cy) - sin(yaw) * (p.x - cx)) < sy / 2 + 0.18 and p.z - cz > 0.05 and p.z - cz < sz + 0.20 group by 1)
+select box_id, n, case when label in (7, 8, 9) then 'small_object' when n < 3 then 'insufficient_point_region' else 'refine' end as status, case when label < 4 then 0.25 else 0.12 end::double as search from n join boxes using (box_id)"""
+)
+def refinement_gate(spark, sf_dir):
+    """Boxes that a refinement by images would skip: small things, too few points around; and how far it would search."""
+    p = points(spark, sf_dir).select("scan_id", "point_id", *((F.col(c) * 10).alias(c) for c in "xyz"))
+    b = boxes(spark, sf_dir)
+    met = spatial.points_in_boxes(p, b.withColumn("sz", F.col("sz") * 4 + 1), (0.18, 0.18, 0.0), 0.5).join(p, ["scan_id", "point_id"]).join(b.drop("scan_id"), "box_id")
+    dx, dy, dz = (F.col(a) - F.col(f"c{a}") for a in "xyz")
+    c, s = F.cos("yaw"), F.sin("yaw")
+    near = (F.abs(c * dx + s * dy) < F.col("sx") / 2 + 0.18) & (F.abs(c * dy - s * dx) < F.col("sy") / 2 + 0.18) & (dz > 0.05) & (dz < F.col("sz") + 0.20)
+    n = b.join(met.filter(near).groupBy("box_id").agg(F.count("*").alias("n")), "box_id", "left").fillna(0, ["n"])
+    status = F.when(F.col("label").isin(7, 8, 9), "small_object").when(F.col("n") < 3, "insufficient_point_region").otherwise("refine")
+    return n.select("box_id", "n", status.alias("status"), F.when(F.col("label") < 4, 0.25).otherwise(0.12).alias("search"))
+
+
+@query(f"{_X} select scan_id, label, {q6('case when label in (0, 1, 2, 3) then quantile_cont(z, 0.9) - quantile_cont(z, 0.02) when label = 4 then quantile_cont(z, 0.99) - quantile_cont(z, 0.02) else quantile_cont(z, 0.98) - quantile_cont(z, 0.02) end')} as height from points group by 1, 2")
+def instance_heights(spark, sf_dir):
+    """Heights by class: flat tops to the 90th percentile, sofas to the 99th, the robust range for all else."""
+    q = F.percentile("z", F.array(*(F.lit(v) for v in (0.02, 0.9, 0.98, 0.99))))
+    p = points(spark, sf_dir).groupBy("scan_id", "label").agg(q.alias("q"))
+    top = F.when(F.col("label").isin(0, 1, 2, 3), F.col("q")[1]).when(F.col("label") == 4, F.col("q")[3]).otherwise(F.col("q")[2])
+    return p.select("scan_id", "label", r6(top - F.col("q")[0]).alias("height"))
+
+
+@query("with r as (select l_orderkey as scan_id, l_linenumber as item_id, case l_returnflag when 'R' then 0 when 'A' then 1 else 2 end as place from lineitem where l_discount >= 0.05) select scan_id, min_by(item_id, {'p': place, 'n': item_id}) as item_id, min(place)::int as place from r group by 1")
+def preferred_reference(spark, sf_dir):
+    """The first eligible reference by the list of preference: door, bed, anything else."""
+    prefer = spark.createDataFrame([("R", 0), ("A", 1), ("N", 2)], "l_returnflag string, place int")
+    r = table(spark, sf_dir, "lineitem").filter("l_discount >= 0.05").join(prefer, "l_returnflag")
+    best = r.groupBy(F.col("l_orderkey").alias("scan_id")).agg(F.min(F.struct("place", F.col("l_linenumber").alias("n"))).alias("b"))
+    return best.select("scan_id", F.col("b.n").alias("item_id"), "b.place")
+
+
+@query(
+    f"""{_X}, h as (select scan_id, label as component, point_id // 5 % 5 as candidate, count(*) as hits from points group by 1, 2, 3), z as (select scan_id, label as component, count(*) as size from points group by 1, 2),
+e as (select h.*, hits / size as share, candidate % 2 = component % 2 as fits from h join z using (scan_id, component)) select scan_id, component, {q6('coalesce(max(share) filter (where fits and hits >= 3 and share >= 0.05), 0)')} as compatible, {q6('coalesce(max(share) filter (where not fits and hits >= 3 and share >= 0.05), 0)')} as conflicting from e group by 1, 2"""
+)
+def component_evidence(spark, sf_dir):
+    """The greatest share of a component that candidates of its own group, and of others, cover (three points and 5 % at least)."""
+    p = points(spark, sf_dir).select("scan_id", F.col("label").alias("component"), (F.floor(F.col("point_id") / 5) % 5).alias("candidate"))
+    size = p.groupBy("scan_id", "component").agg(F.count("*").alias("size"))
+    e = p.groupBy("scan_id", "component", "candidate").agg(F.count("*").alias("hits")).join(size, ["scan_id", "component"]).withColumn("share", F.col("hits") / F.col("size"))
+    counts = (F.col("hits") >= 3) & (F.col("share") >= 0.05)
+    fits = F.col("candidate") % 2 == F.col("component") % 2
+    best = lambda c: r6(F.coalesce(F.max(F.when(counts & c, F.col("share"))), F.lit(0.0)))
+    return e.groupBy("scan_id", "component").agg(best(fits).alias("compatible"), best(~fits).alias("conflicting"))
