@@ -8,7 +8,7 @@ from habitrace.operators import graph, spatial, tracks
 from habitrace.plans.clouds import _CAM, _projected
 from habitrace.plans.define import q6, query, r6
 from habitrace.plans.graphs import _E, _near
-from habitrace.sources.driver_tables import BOXES_SQL, POINTS_SQL, boxes, points, table
+from habitrace.sources.driver_tables import POINTS_SQL, boxes, points, table
 
 #: Observations: runs of 150 events, two a frame, per scan and kind; what they project to are view numbers.
 _OBS = "b as (select distinct user_id % 10 as scan_id, event_type as grp, event_id // 150 as obs_id, cast(json_extract_string(props, '$.k') as bigint) as point_id from events), o as (select distinct scan_id, grp, obs_id, obs_id // 2 as frame_id, obs_id // 2 as frame_order from b)"
