@@ -41,7 +41,7 @@ def token_count(text: Column) -> Column:
 
 
 #: Characters that tell a text's register: digits, capitals, symbols of mark-up, tables and code.
-_DIGITS, _CAPITALS, _SYMBOLS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "#$%&*+/<=>@[]^_`{|}~"
+_DIGITS, _CAPITALS, _SYMBOLS, _BREAK = "[0-9]", "[A-Z]", "[#$%&*+/<=>@^_`{|}~]", "\\n"
 
 
 def topic_of(text: Column) -> Column:
@@ -52,12 +52,12 @@ def topic_of(text: Column) -> Column:
     than 60 characters on average), else prose.
     """
     n = F.greatest(F.length(text), F.lit(1))
-    share = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    share = lambda chars: F.regexp_count(text, F.lit(chars))
     return (
         F.when(share(_DIGITS) * 20 > n, "numbers")
         .when(share(_CAPITALS) * 5 > n, "capitals")
         .when(share(_SYMBOLS) * 25 > n, "symbols")
-        .when(share("\n") * 60 > n, "lines")
+        .when(share(_BREAK) * 60 > n, "lines")
         .otherwise("prose")
     )
 
@@ -196,9 +196,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic
 def oracle_sql(rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> str:
     """DuckDB SQL for ``plan`` with the same number of raking steps, unrolled."""
     n = "greatest(length(text), 1)"
-    share = lambda chars: f"(length(text) - length(translate(text, '{chars}', '')))"
+    share = lambda chars: f"len(regexp_extract_all(text, '{chars}'))"
     topic = f"""case when {share(_DIGITS)} * 20 > {n} then 'numbers' when {share(_CAPITALS)} * 5 > {n} then 'capitals'
-      when {share(_SYMBOLS)} * 25 > {n} then 'symbols' when (length(text) - length(replace(text, chr(10), ''))) * 60 > {n} then 'lines' else 'prose' end"""
+      when {share(_SYMBOLS)} * 25 > {n} then 'symbols' when {share(_BREAK)} * 60 > {n} then 'lines' else 'prose' end"""
     ctes = [
         "raw as (select doc_id, coalesce(text, '') as text, coalesce(source, '(none)') as source, coalesce(lang, '(none)') as lang from documents)",
         f"r as (select doc_id, source, lang, {topic} as topic, cast(greatest(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')), 1) as bigint) as n_tokens from raw)",
