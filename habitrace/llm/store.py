@@ -44,7 +44,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def written(frame: DataFrame, label: str) -> DataFrame:
-    """``frame`` as a Parquet table in the shared folder, read again."""
+    """``frame`` as a Parquet table (zstd) in the shared folder, read again."""
     path = new_path(frame.sparkSession, label)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

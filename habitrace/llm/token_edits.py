@@ -105,7 +105,9 @@ class TokenTree:
         tree.chars, tree.tokens = (np.frombuffer(row[c], "<u4").tolist() for c in ("chars", "tokens"))
         tree.size = len(tree.chars) // 2
         counts = np.frombuffer(row["leaves"], "<u4")
-        ends, first = np.cumsum(np.frombuffer(row["pieces"], "<u4"), dtype=np.int64), np.cumsum(counts, dtype=np.int64)
+        # lengths of pre-tokens take one byte each, four where one is longer than 255; the first byte tells
+        lengths = np.frombuffer(row["pieces"], f"<u{row['pieces'][0]}", offset=1)
+        ends, first = np.cumsum(lengths, dtype=np.int64), np.cumsum(counts, dtype=np.int64)
         tree.leaves = [_Folded(row["text"], ends, a, b) for a, b in zip((first - counts).tolist(), first.tolist())]
         return tree
 
@@ -113,7 +115,9 @@ class TokenTree:
         """The tree as it is stored: text, lengths of pre-tokens, pre-tokens of leaves, sums of subtrees."""
         lengths = [leaf.lengths() if isinstance(leaf, _Folded) else np.array([len(x) for x in leaf], np.int64) for leaf in self.leaves]
         pack = lambda values: np.asarray(values, "<u4").tobytes()
-        return {"text": self.text(), "pieces": pack(np.concatenate(lengths)), "leaves": pack([len(x) for x in lengths]), "chars": pack(self.chars), "tokens": pack(self.tokens)}
+        every = np.concatenate(lengths)
+        width = 1 if not len(every) or every.max() < 256 else 4
+        return {"text": self.text(), "pieces": bytes([width]) + every.astype(f"<u{width}").tobytes(), "leaves": pack([len(x) for x in lengths]), "chars": pack(self.chars), "tokens": pack(self.tokens)}
 
     def _open(self, leaf: int) -> list[str]:
         """The pre-tokens of a leaf."""
