@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from habitrace.llm import chat, decontaminate, embed_dedup, html_extract, license_scan, mixing, quality_rules, simhash, token_edits, tokenbin
+from habitrace.llm import chat, decontaminate, embed_dedup, fill_middle, html_extract, license_scan, mixing, quality_rules, simhash, token_edits, tokenbin, toxicity, turn_repair
 from habitrace.llm.store import table, written
 from habitrace.llm.wordbpe import encoder_of
 
@@ -91,6 +91,22 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.with_digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return turn_repair.repair(turn_repair.damaged(rows), rows)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (~toxicity.in_training(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html": op1_html,
@@ -103,8 +119,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_chat": op9_chat,
         "op10_licenses": op10_licenses,
+        "op11_fill_middle": op11_fill_middle,
+        "op12_turn_repair": op12_turn_repair,
+        "op13_toxicity": op13_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.oracle_sql()}
+    return {"op5_mixing": mixing.oracle_sql(), "op11_fill_middle": fill_middle.oracle_sql(), "op12_turn_repair": turn_repair.oracle_sql()}
