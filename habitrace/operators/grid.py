@@ -67,3 +67,44 @@ def shortest_path(out: DataFrame, back: DataFrame, goals: DataFrame, steps: list
     whole = out.join(goals, KEYS).groupBy("scan_id").agg(F.min("dist").alias("whole"))
     both = out.join(back.withColumnRenamed("dist", "rest"), KEYS).join(whole, "scan_id")
     return both.filter(F.abs(F.col("dist") + F.col("rest") - F.col("whole")) < 1e-9).select(*KEYS, "dist")
+
+
+#: A full block of four cells, by its upper left one.
+_BLOCK = [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def _shifted(cells: DataFrame, steps: list[tuple[int, int]], sign: int = 1) -> DataFrame:
+    spread = F.explode(F.array(*(F.struct(F.lit(sign * r).alias("r"), F.lit(sign * c).alias("c")) for r, c in steps)))
+    return cells.select(*KEYS, spread.alias("s")).select("scan_id", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
+
+
+def opened(cells: DataFrame) -> DataFrame:
+    """(scan_id, row, col): binary opening with a 2 x 2 square: the cells of blocks of four that are all taken."""
+    full = _shifted(cells.select(*KEYS).distinct(), _BLOCK, -1).groupBy(*KEYS).agg(F.count("*").alias("n")).filter("n = 4")
+    return _shifted(full, _BLOCK).distinct()
+
+
+def obstacle_cells(points: DataFrame, size: float, least: int = 20, height: float = 0.12) -> DataFrame:
+    """(scan_id, row, col, n, low, high): opened cells with ``least`` points whose 85 % height is ``height`` or more."""
+    q = F.percentile("z", F.array(F.lit(0.05), F.lit(0.85)))
+    held = points.groupBy("scan_id", spatial.cell("y", size).alias("row"), spatial.cell("x", size).alias("col")).agg(F.count("*").alias("n"), q.alias("q"))
+    taken = settled(held.filter((F.col("n") >= least) & (F.col("q")[1] >= height)).select(*KEYS, "n", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")))
+    return taken.join(opened(taken), KEYS)
+
+
+def obstacles(cells: DataFrame, least: int = 18) -> DataFrame:
+    """(scan_id, component, cells, row0, row1, col0, col1, low, high): cells joined over eight neighbours, ``least`` or more.
+
+    ``low`` is the 20 % quantile of the cells' low heights, ``high`` the 90 %
+    quantile of their high ones; ``component`` is the first cell (row, then
+    column) as row * 2^32 + column.
+    """
+    node = F.col("row") * 2**32 + F.col("col")
+    named = settled(cells.select(*KEYS, "low", "high", node.alias("node")))
+    # each pair once: the cells after in reading order
+    told = named.select("scan_id", F.col("node").alias("a"), F.explode(F.array(*(F.lit(r * 2**32 + c) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))))).alias("s")).select("scan_id", "a", (F.col("a") + F.col("s")).alias("b"))
+    edges = told.join(named.select("scan_id", F.col("node").alias("b")), ["scan_id", "b"], "left_semi").select(F.col("scan_id").alias("scope"), "a", "b")
+    found = graph.components(named.select(F.col("scan_id").alias("scope"), "node"), edges).withColumnRenamed("scope", "scan_id")
+    j = named.join(found, ["scan_id", "node"]).groupBy("scan_id", "component")
+    sizes = j.agg(F.count("*").alias("cells"), F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"), F.percentile("low", 0.2).alias("low"), F.percentile("high", 0.9).alias("high"))
+    return sizes.filter(F.col("cells") >= least)

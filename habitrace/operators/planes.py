@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from habitrace.operators import spatial
 from habitrace.session import settled
 
 SLOTS = 4096
@@ -105,6 +106,62 @@ def min_area_rectangles(points: DataFrame, keys: list[str]) -> DataFrame:
     return corners.groupBy(*keys).applyInPandas(whole, f"{kinds}, length double, width double, angle double")
 
 
+def _least_direction(cov: pd.Series) -> pd.DataFrame:
+    """The direction of least variance of each 3 x 3 covariance, turned upwards; straight up where there is none."""
+    m = np.stack([np.array(c if c is not None else [0.0] * 9, float) for c in cov]).reshape(-1, 3, 3)
+    n = np.linalg.eigh(m)[1][:, :, 0]
+    n = np.where(n[:, 2:3] < 0, -n, n)
+    n[[c is None for c in cov]] = (0.0, 0.0, 1.0)
+    return pd.DataFrame(n, columns=["nx", "ny", "nz"])
+
+
+def normals(points: DataFrame, most: int = 30, share: float = 0.15, least: float = 0.02) -> DataFrame:
+    """(scan_id, point_id, x, y, z, n, nx, ny, nz): one row a point, its normal from at most ``most`` nearest points.
+
+    Neighbours (the point itself is one) lie within a radius that follows each
+    scan's own spread: ``share`` of the 90 % quantile of the distances from its
+    median point, ``least`` at least. Points meet by cells of that size; the
+    nearest are chosen as they are met, before neighbours are shuffled. A point
+    with fewer than three neighbours gets the normal straight up; ties of
+    distance go to the lower point_id. Points with a null or non-finite
+    coordinate have no row; an empty cloud gives none.
+    """
+    p = settled(points.filter(spatial.finite("x", "y", "z")).select("scan_id", "point_id", *(F.col(c).cast("double").alias(c) for c in "xyz")))
+    middle = p.groupBy("scan_id").agg(*(F.median(c).alias(f"m{c}") for c in "xyz"))
+    off = F.sqrt(sum(((F.col(c) - F.col(f"m{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("mx")) ** 2))
+    radius = p.join(middle, "scan_id").groupBy("scan_id").agg(F.greatest(F.percentile(off, 0.9) * share + 1e-4, F.lit(least)).alias("radius"))
+    placed = settled(p.join(radius, "scan_id").select("*", *(F.floor(F.col(c) / F.col("radius")).cast("bigint").alias(f"g{c}") for c in "xyz")))
+    left = placed.select("scan_id", F.col("point_id").alias("a"), "radius", *(F.col(c).alias(f"a{c}") for c in "xyz"), "gx", "gy", "gz")
+    for c in "xyz":
+        left = left.withColumn(f"g{c}", F.explode(F.array(*(F.col(f"g{c}") + j for j in (-1, 0, 1)))))
+    right = placed.select("scan_id", F.col("point_id").alias("b"), "x", "y", "z", "gx", "gy", "gz")
+    d = F.sqrt(sum(((F.col(c) - F.col(f"a{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("ax")) ** 2))
+    met = left.join(right, ["scan_id", "gx", "gy", "gz"]).select("scan_id", "a", "b", "x", "y", "z", "radius", d.alias("d")).filter("d <= radius")
+    near = met.withColumn("rank", F.row_number().over(Window.partitionBy("scan_id", "a").orderBy("d", "b"))).filter(F.col("rank") <= most)
+    moments = near.groupBy("scan_id", F.col("a").alias("point_id")).agg(F.count("*").alias("n"), F.array(*(F.covar_pop(a, b) for a in "xyz" for b in "xyz")).alias("cov"))
+    turned = moments.select("scan_id", "point_id", "n", F.pandas_udf(_least_direction, "nx double, ny double, nz double")(F.when(F.col("n") >= 3, F.col("cov"))).alias("v"))
+    return p.join(turned, ["scan_id", "point_id"]).select("scan_id", "point_id", "x", "y", "z", "n", "v.*")
+
+
+def without_ceiling(points: DataFrame, top: float = 0.92, lowest: float = 0.88, threshold: float = 0.025, trials: int = 700, band: float = 0.20, upright: float = 0.82, flat: float = 0.88, most: int = 30, seed: int = 7) -> DataFrame:
+    """(scan_id, point_id, removed, ceiling): every point, and whether it is ceiling.
+
+    The plane that most of a scan's highest points (from the ``top`` quantile
+    of height on) lie in is a ceiling if it is level (``flat``) and not below
+    the ``lowest`` quantile; ``ceiling`` is its height, null where there is
+    none. Of the highest points those go that are at most ``band`` under it and
+    whose normal among the highest points is near vertical (``upright``). All
+    other points stay, with or without neighbours.
+    """
+    p = settled(points.select("scan_id", "point_id", *(F.col(c).cast("double").alias(c) for c in "xyz")))
+    cuts = p.groupBy("scan_id").agg(F.percentile("z", F.array(F.lit(top), F.lit(lowest))).alias("q"))
+    high = settled(p.join(cuts, "scan_id").filter(F.col("z") >= F.col("q")[0]).select("scan_id", "point_id", "x", "y", "z"))
+    plane = ransac(high, trials, threshold, seed).select("scan_id", F.abs("nz").alias("level"), (F.col("d") / F.col("nz")).alias("ceiling"))
+    found = plane.join(cuts, "scan_id").filter((F.col("level") >= flat) & (F.col("ceiling") >= F.col("q")[1])).select("scan_id", "ceiling")
+    up = normals(high, most).join(found, "scan_id").filter((F.col("nz") >= upright) & (F.col("z") >= F.col("ceiling") - band)).select("scan_id", "point_id", F.lit(True).alias("removed"))
+    return p.select("scan_id", "point_id").join(up, ["scan_id", "point_id"], "left").join(found, "scan_id", "left").select("scan_id", "point_id", F.coalesce("removed", F.lit(False)).alias("removed"), "ceiling")
+
+
 def direction_grid(step: int) -> list[tuple[int, float, float, float]]:
     """(number, x, y, z) of a half sphere's directions, ``step`` degrees apart."""
     turns = [(np.radians(t), np.radians(f)) for t in range(0, 91, step) for f in range(0, 360, step)]

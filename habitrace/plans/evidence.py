@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from habitrace.operators import graph, instances, planes, rooms, spatial, views
+from habitrace.operators import grid, instances, planes, rooms, spatial, views
 from habitrace.operators import layout as boxes_ops
 from habitrace.plans.define import q6, query, r6
 from habitrace.plans.rooms import _P, _R, _metric
+from habitrace.plans.scans import _OPENED, obstacle_grid
 from habitrace.sources import layout_text
 from habitrace.sources.driver_tables import BOXES_SQL, FRAMES_SQL, POINTS_SQL, boxes, frames, points, table
 
@@ -162,25 +163,15 @@ def layout_boxes(spark, sf_dir):
     return found.select("scan_id", "item_id", "class", "cx", "yaw", "sx")
 
 
-_OPEN = "o as (select distinct scan_id, floor(x / 0.06)::bigint as col, floor(y / 0.06)::bigint as row from points)"
-
-
 @query(
-    f"""with recursive {POINTS_SQL}, {_OPEN}, er as (select a.scan_id, a.row, a.col from o a join o b on a.scan_id = b.scan_id and abs(a.row - b.row) + abs(a.col - b.col) = 1 group by 1, 2, 3 having count(*) >= 2), op as (select distinct o.scan_id, o.row, o.col, o.row * 100000 + o.col as node from o join er e on e.scan_id = o.scan_id and abs(e.row - o.row) + abs(e.col - o.col) <= 1),
-r as (select scan_id, node, node as lab from op union select r.scan_id, b.node, r.lab from r join op a on a.scan_id = r.scan_id and a.node = r.node join op b on b.scan_id = a.scan_id and abs(a.row - b.row) + abs(a.col - b.col) = 1), k as (select scan_id, node, min(lab) as component from r group by 1, 2)
-select k.scan_id, component, count(*) as cells, min(row) as row0, max(row) as row1, min(col) as col0, max(col) as col1 from k join op on op.scan_id = k.scan_id and op.node = k.node group by 1, 2"""
+    f"""with recursive {POINTS_SQL}, {_OPENED}, n as (select *, row * 4294967296 + col as node from op),
+r as (select scan_id, node, node as lab from n union select r.scan_id, b.node, r.lab from r join n a on a.scan_id = r.scan_id and a.node = r.node join n b on b.scan_id = a.scan_id and abs(a.row - b.row) <= 1 and abs(a.col - b.col) <= 1), k as (select scan_id, node, min(lab) as component from r group by 1, 2)
+select k.scan_id, component, count(*) as cells, min(row) as row0, max(row) as row1, min(col) as col0, max(col) as col1, {q6('quantile_cont(low, 0.2)')} as low, {q6('quantile_cont(high, 0.9)')} as high from k join n on n.scan_id = k.scan_id and n.node = k.node group by 1, 2 having count(*) >= 5"""
 )
 def obstacle_boxes(spark, sf_dir):
-    """Obstacles: connected cells of the opened floor grid, with their bounding boxes."""
-    from habitrace.plans.scans import grid_opening
-
-    cells = grid_opening(spark, sf_dir).withColumn("node", F.col("row") * 100000 + F.col("col"))
-    steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 1), (1, 0))))
-    told = cells.select("scan_id", "node", "row", "col", F.explode(steps).alias("s")).select("scan_id", F.col("node").alias("a"), ((F.col("row") + F.col("s.r")) * 100000 + F.col("col") + F.col("s.c")).alias("b"))
-    edges = told.join(cells.select("scan_id", F.col("node").alias("b")), ["scan_id", "b"], "left_semi").select(F.col("scan_id").alias("scope"), "a", "b")
-    found = graph.components(cells.select(F.col("scan_id").alias("scope"), "node"), edges)
-    j = cells.join(found.withColumnRenamed("scope", "scan_id"), ["scan_id", "node"])
-    return j.groupBy("scan_id", "component").agg(F.count("*").alias("cells"), F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"))
+    """Obstacles: cells of the opened height grid joined over eight neighbours, with their boxes; five cells or more here."""
+    found = grid.obstacles(obstacle_grid(spark, sf_dir), 5)
+    return found.select("scan_id", "component", "cells", "row0", "row1", "col0", "col1", r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query(

@@ -16,37 +16,30 @@ _B = f"with {BOXES_SQL}"
 _F = f"with {FRAMES_SQL}"
 
 
-def _normal(cov: pd.Series) -> pd.DataFrame:
-    """Least-variance direction of each 3x3 covariance, turned upwards."""
-    m = np.stack(cov.to_numpy()).reshape(-1, 3, 3)
-    _, vectors = np.linalg.eigh(m)
-    n = vectors[:, :, 0]
-    n = np.where(n[:, 2:3] < 0, -n, n)
-    return pd.DataFrame(n, columns=["nx", "ny", "nz"])
-
-
 def _normals(spark, sf_dir):
-    """(scan_id, point_id, z, nx, ny, nz) from the moments of each point's neighbourhood."""
-    p = points(spark, sf_dir)
-    near = spatial.radius_pairs(p, 0.15).join(p.select("scan_id", F.col("point_id").alias("b"), "x", "y", "z"), ["scan_id", "b"])
-    cov = F.array(*(F.covar_pop(a, b) for a in "xyz" for b in "xyz"))
-    m = near.groupBy("scan_id", F.col("a").alias("point_id")).agg(F.count("*").alias("n"), cov.alias("cov")).filter("n >= 5")
-    normal = F.pandas_udf(_normal, "nx double, ny double, nz double")
-    return m.select("scan_id", "point_id", normal("cov").alias("v")).select("scan_id", "point_id", "v.*").join(p.select("scan_id", "point_id", "z"), ["scan_id", "point_id"])
+    return planes.normals(points(spark, sf_dir), share=0.5)
 
 
 @query()
 def local_normals(spark, sf_dir):
-    """Normals by PCA over radius neighbours; moments are aggregated in Spark, only 3x3 matrices reach Python."""
-    return _normals(spark, sf_dir).select("scan_id", "point_id", *(r6(c).alias(c) for c in ("nx", "ny", "nz")))
+    """A normal for each point, by PCA over at most thirty nearest; moments are aggregated in Spark, only 3x3 matrices reach Python."""
+    return _normals(spark, sf_dir).select("scan_id", "point_id", "n", *(r6(c).alias(c) for c in ("nx", "ny", "nz")))
+
+
+_RADIUS = "(select scan_id, quantile_cont(sqrt(pow(x - mx, 2) + pow(y - my, 2) + pow(z - mz, 2)), 0.9) * 0.5 + 1e-4 as radius from points join (select scan_id, quantile_cont(x, 0.5) as mx, quantile_cont(y, 0.5) as my, quantile_cont(z, 0.5) as mz from points group by 1) using (scan_id) group by 1)"
+
+
+@query(f"{_P}, r as {_RADIUS} select a.scan_id, a.point_id, least(count(*), 30) as n from points a join points b on a.scan_id = b.scan_id join r on r.scan_id = a.scan_id where sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= greatest(radius, 0.02) group by 1, 2")
+def normal_neighbourhoods(spark, sf_dir):
+    """How many points each normal rests on: those within the scan's own radius, thirty at most."""
+    return _normals(spark, sf_dir).select("scan_id", "point_id", "n")
 
 
 @query()
 def ceiling_removal(spark, sf_dir):
-    """Points near the top plane with a near-vertical normal are ceiling."""
-    n = _normals(spark, sf_dir)
-    top = n.groupBy("scan_id").agg(F.percentile("z", 0.95).alias("top"))
-    return n.join(top, "scan_id").filter("not (z >= top - 0.05 and nz > 0.9)").select("scan_id", "point_id")
+    """The points that stay when each scan's ceiling goes; the upper half counts as high in these clouds."""
+    found = planes.without_ceiling(points(spark, sf_dir), top=0.6, lowest=0.5, threshold=0.03, band=0.05, upright=0.7, flat=0.6)
+    return found.filter("not removed").select("scan_id", "point_id", r6("ceiling").alias("ceiling"))
 
 
 @query()

@@ -174,14 +174,18 @@ def occupied_neighbours(spark, sf_dir):
     return o.join(told, ["scan_id", "row", "col"], "left").select("scan_id", "row", "col", F.coalesce("n", F.lit(0)).alias("neighbours"))
 
 
-@query(f"{_P}, {_CELLS}, er as (select a.scan_id, a.row, a.col from o a join o b on a.scan_id = b.scan_id and abs(a.row - b.row) + abs(a.col - b.col) = 1 group by 1, 2, 3 having count(*) >= 2) select distinct o.scan_id, o.row, o.col from o join er e on e.scan_id = o.scan_id and abs(e.row - o.row) + abs(e.col - o.col) <= 1")
+#: Cells of 0.1 with two points, open from 0.0 up: the clouds are a tenth of a room.
+_OPENED = "c as (select scan_id, floor(x / 0.1)::bigint as col, floor(y / 0.1)::bigint as row, quantile_cont(z, 0.05) as low, quantile_cont(z, 0.85) as high from points group by 1, 2, 3 having count(*) >= 2 and quantile_cont(z, 0.85) >= 0.0), bl as (select a.scan_id, a.row, a.col from c a join c b on b.scan_id = a.scan_id and b.row - a.row in (0, 1) and b.col - a.col in (0, 1) group by 1, 2, 3 having count(*) = 4), op as (select distinct c.* from c join bl on bl.scan_id = c.scan_id and c.row - bl.row in (0, 1) and c.col - bl.col in (0, 1))"
+
+
+def obstacle_grid(spark, sf_dir):
+    return grid.obstacle_cells(points(spark, sf_dir), 0.1, 2, 0.0)
+
+
+@query(f"{_P}, {_OPENED} select scan_id, row, col from op")
 def grid_opening(spark, sf_dir):
-    """Opening on the sparse grid: cells with two neighbours or more, and what touches them."""
-    core = occupied_neighbours(spark, sf_dir).filter("neighbours >= 2").select("scan_id", "row", "col")
-    steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))))
-    grown = core.select("scan_id", "row", "col", F.explode(steps).alias("s")).select("scan_id", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col")).distinct()
-    o = points(spark, sf_dir).select("scan_id", spatial.cell("y", 0.06).alias("row"), spatial.cell("x", 0.06).alias("col")).distinct()
-    return o.join(grown, ["scan_id", "row", "col"], "left_semi").select("scan_id", "row", "col")
+    """Opening of the height grid: cells of full blocks of four."""
+    return obstacle_grid(spark, sf_dir).select("scan_id", "row", "col")
 
 
 @query(f"{_P}, {_CELLS}, b as (select scan_id, min(row) as r0, max(row) as r1, min(col) as c0, max(col) as c1 from o group by 1), g as (select b.scan_id, r.row, c.col from b, lateral (select unnest(range(r0, r1 + 1)) as row) r, lateral (select unnest(range(c0, c1 + 1)) as col) c) select g.scan_id, g.row, g.col from g where not exists (select 1 from o where o.scan_id = g.scan_id and o.row = g.row and o.col = g.col)")
@@ -221,9 +225,11 @@ def mask_numbers(spark, sf_dir):
     return frames(spark, sf_dir).select("frame_id", "view_id", k.cast("bigint").alias("mask_id"), "kind")
 
 
-@query(f"{_F}, k as (select scan_id, kind, value, row_number() over (partition by scan_id, kind order by view_id desc, frame_id) as k from frames) select scan_id, kind, {q6('quantile_cont(value, 0.5)')} as colour from k where k <= 3 group by 1, 2")
+@query(f"{_F}, k as (select scan_id, kind, value, row_number() over (partition by scan_id, kind order by abs(view_id - 50) / 50.0 + 0.015 * value, frame_id) as k from frames) select scan_id, kind, {q6('quantile_cont(value, 0.5)')} as colour from k where k <= 3 group by 1, 2")
 def best_three_views(spark, sf_dir):
-    k = F.row_number().over(Window.partitionBy("scan_id", "kind").orderBy(F.desc("view_id"), "frame_id"))
+    """Median colour of the three views that see a surface best: least offset from the image's middle plus 0.015 of the depth."""
+    offset = F.abs(F.col("view_id") - 50) / 50.0 + 0.015 * F.col("value")
+    k = F.row_number().over(Window.partitionBy("scan_id", "kind").orderBy(offset, "frame_id"))
     return frames(spark, sf_dir).select("scan_id", "kind", "value", k.alias("k")).filter("k <= 3").groupBy("scan_id", "kind").agg(r6(F.median("value")).alias("colour"))
 
 

@@ -10,13 +10,13 @@ from habitrace.plans.define import q6, query, r6
 from habitrace.plans.graphs import _E, _near
 from habitrace.sources.driver_tables import POINTS_SQL, boxes, points, table
 
-#: Observations: runs of 150 events, two a frame, per scan and kind; what they project to are view numbers.
-_OBS = "b as (select distinct user_id % 10 as scan_id, event_type as grp, event_id // 150 as obs_id, cast(json_extract_string(props, '$.k') as bigint) as point_id from events), o as (select distinct scan_id, grp, obs_id, obs_id // 2 as frame_id, obs_id // 2 as frame_order from b)"
+#: Scans are fifteen users each. Observations: runs of 150 events, two a frame, per scan and kind; what they project to are view numbers.
+_OBS = "b as (select distinct user_id // 15 as scan_id, event_type as grp, event_id // 150 as obs_id, cast(json_extract_string(props, '$.k') as bigint) as point_id from events), o as (select distinct scan_id, grp, obs_id, obs_id // 2 as frame_id, obs_id // 2 as frame_order from b)"
 
 
 def _bridge(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.select((F.col("user_id") % 10).alias("scan_id"), F.col("event_type").alias("grp"), F.floor(F.col("event_id") / 150).alias("obs_id"), F.get_json_object("props", "$.k").cast("bigint").alias("point_id")).distinct()
+    return e.select(F.floor(F.col("user_id") / 15).alias("scan_id"), F.col("event_type").alias("grp"), F.floor(F.col("event_id") / 150).alias("obs_id"), F.get_json_object("props", "$.k").cast("bigint").alias("point_id")).distinct()
 
 
 def _observations(bridge):

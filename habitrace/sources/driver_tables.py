@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCANS = 5
+#: Vectors of one scan: a scan's size is bounded, the number of scans grows with the table.
+SCAN_SIZE = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +23,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """points(scan_id, point_id, x, y, z, label)."""
     axis = lambda i: F.col("embedding")[i].cast("double")
     rows = table(spark, sf_dir, "embeddings")
-    return rows.select(F.pmod("vec_id", F.lit(SCANS)).alias("scan_id"), F.col("vec_id").alias("point_id"), axis(0).alias("x"), axis(1).alias("y"), axis(2).alias("z"), F.col("label").cast("bigint").alias("label"))
+    return rows.select(F.floor(F.col("vec_id") / SCAN_SIZE).alias("scan_id"), F.col("vec_id").alias("point_id"), axis(0).alias("x"), axis(1).alias("y"), axis(2).alias("z"), F.col("label").cast("bigint").alias("label"))
 
 
-POINTS_SQL = f"points as (select vec_id % {SCANS} as scan_id, vec_id as point_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z, label::bigint as label from embeddings)"
+POINTS_SQL = f"points as (select vec_id // {SCAN_SIZE} as scan_id, vec_id as point_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z, label::bigint as label from embeddings)"
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,13 +44,13 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     side = lambda i: F.abs(axis(i)) + 0.05
     return rows.select(
-        F.pmod("vec_id", F.lit(SCANS)).alias("scan_id"), F.col("vec_id").alias("box_id"), F.col("label").cast("bigint").alias("label"),
+        F.floor(F.col("vec_id") / SCAN_SIZE).alias("scan_id"), F.col("vec_id").alias("box_id"), F.col("label").cast("bigint").alias("label"),
         *((axis(i) * 10).alias(n) for i, n in enumerate(("cx", "cy", "cz"))), *((side(i + 3) * 2).alias(n) for i, n in enumerate(("sx", "sy", "sz"))), (axis(6) * 3).alias("yaw"), (F.abs(axis(7)) + 0.1).alias("score"),
     )
 
 
 BOXES_SQL = (
-    f"boxes as (select vec_id % {SCANS} as scan_id, vec_id as box_id, label::bigint as label, "
+    f"boxes as (select vec_id // {SCAN_SIZE} as scan_id, vec_id as box_id, label::bigint as label, "
     + ", ".join(f"embedding[{i + 1}]::double * 10 as {n}" for i, n in enumerate(("cx", "cy", "cz")))
     + ", "
     + ", ".join(f"(abs(embedding[{i + 4}]::double) + 0.05) * 2 as {n}" for i, n in enumerate(("sx", "sy", "sz")))
