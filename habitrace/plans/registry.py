@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from habitrace.plans import clouds, evidence, fits, frames, fusion, graphs, layout, measures, records, registration, relations, risk, rooms, routes, scans, streams, texts, tracks
+from habitrace.plans import clouds, evidence, fits, frames, fusion, graphs, layout, measures, records, registration, relations, risk, rooms, routes, scans, spaces, streams, texts, tracks
 from habitrace.plans.define import QUERIES, SQL, Query
 
-FAMILIES = (risk, measures, fusion, clouds, fits, layout, frames, relations, graphs, scans, texts, streams, records, rooms, tracks, routes, evidence, registration)
+FAMILIES = (risk, measures, fusion, clouds, fits, layout, frames, relations, graphs, scans, texts, streams, records, rooms, tracks, routes, evidence, registration, spaces)
 
 
 def queries() -> dict[str, Query]:
