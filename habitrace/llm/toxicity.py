@@ -14,6 +14,7 @@ row, reach the driver.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -21,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,7 +115,6 @@ def in_training(id_col: Column) -> Column:
 
 
 _VALUES = "array<struct<t:bigint,x:double>>"
-_ARROW_VALUES = pa.list_(pa.struct([("t", pa.int64()), ("x", pa.float64())]))
 
 
 def _mark(text: str) -> int:
@@ -127,9 +128,18 @@ def _sampled_terms(docs: DataFrame, sample: DataFrame, id_col: str, text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(2)]
-            found = [[{"t": t, "x": x} for t, x in values_of(text, terms_of_word).items()] for text in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(_mark, texts), pa.int64()), pa.array(found, _ARROW_VALUES)], names=["id", "y", "mark", "terms"])
+            # terms and values of all texts in two flat arrays, a text after the other
+            marks, ends, terms, values = array("q"), array("i", [0]), array("q"), array("d")
+            for t in batch.column(2):
+                text = t.as_py() or ""
+                found = values_of(text, terms_of_word)
+                marks.append(_mark(text))
+                terms.extend(found)
+                values.extend(found.values())
+                ends.append(len(terms))
+            pairs = pa.StructArray.from_arrays([pa.array(np.frombuffer(terms, np.int64)), pa.array(np.frombuffer(values, np.float64))], names=["t", "x"])
+            listed = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pairs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.frombuffer(marks, np.int64)), listed], names=["id", "y", "mark", "terms"])
 
     joined = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
     each = joined.select("id", "y", "text").mapInArrow(run, f"id string, y double, mark long, terms {_VALUES}").groupBy("id", "y").agg(F.min(F.struct("mark", "terms")).alias("d"))
@@ -177,14 +187,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     terms = np.array(sorted({*alone, *beside}), np.int64)
     held = F.filter("terms", lambda v: v["t"].isin(terms.tolist())) if len(terms) else F.array().cast(_VALUES)
     # ids are sorted so that sums don't depend on the order of arrival
-    data = sorted(rows.select("id", "y", "w", held.alias("held")).collect(), key=lambda r: r.id)
-    if not data:
+    picked = rows.select("id", "y", "w", F.transform(held, lambda v: v["t"]).alias("at"), F.transform(held, lambda v: v["x"]).alias("x")).toArrow().sort_by("id")
+    if not len(picked):
         return ToxicModel(0.0, terms, np.zeros(0), np.zeros((0, 1)))
-    x = np.zeros((len(data), len(terms)))
-    for i, r in enumerate(data):
-        for v in r.held:
-            x[i, np.searchsorted(terms, v.t)] = v.x
-    bias, w, v = fit_machine(x, np.array([r.y for r in data]), np.array([r.w for r in data]), steps=400 if len(terms) else 0)
+    flat = lambda c: picked[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    x = np.zeros((len(picked), len(terms)))
+    row = np.repeat(np.arange(len(picked)), pc.list_value_length(picked["at"]).to_numpy())
+    x[row, np.searchsorted(terms, flat("at"))] = flat("x")
+    y, weight = (picked[c].to_numpy() for c in ("y", "w"))
+    bias, w, v = fit_machine(x, y, weight, steps=400 if len(terms) else 0)
     return ToxicModel(bias, terms, w, v)
 
 
