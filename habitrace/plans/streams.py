@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from habitrace.plans.define import q6, query, r6
-from habitrace.sources.driver_tables import POINTS_SQL, table
+from habitrace.sources.driver_tables import POINTS_SQL, SCAN_SIZE, table
 from habitrace.streaming import jobs
 
 
@@ -51,7 +51,7 @@ def incremental_fusion(spark, sf_dir):
     """Blocks of new points are summed by voxel as they come; what enough frames and blocks have seen is added to a base that never changes."""
     def role(rows):
         axis = lambda i: F.col("embedding")[i].cast("double")
-        return rows.select(F.pmod("vec_id", F.lit(5)).alias("scan_id"), F.col("label").cast("bigint").alias("frame_id"), (F.col("vec_id") % 3).alias("block_id"), axis(0).alias("x"), axis(1).alias("y"), axis(2).alias("z"))
+        return rows.select(F.floor(F.col("vec_id") / SCAN_SIZE).alias("scan_id"), F.col("label").cast("bigint").alias("frame_id"), (F.col("vec_id") % 3).alias("block_id"), axis(0).alias("x"), axis(1).alias("y"), axis(2).alias("z"))
 
     added = role(jobs.file_stream(spark, f"{sf_dir}/embeddings.parquet").filter("label >= 3"))
     parts = jobs.drain(spark, added, "append", each=lambda batch: jobs.voxel_parts(batch, 0.15))
