@@ -298,7 +298,8 @@ def oracle_sql() -> str:
     return f"""
 with recursive base as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc} % 20 as way from conversations),
 hurt as (select conv_id, turn, case when way = 4 then 'user' else role end as role, case way when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case way when 3 then [1, 2] else [1] end) as copy from base where way <> 0),
-num as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k, row_number() over (partition by conv_id, role, text order by turn nulls first) as again, substr(role, 1, 1) as initial from hurt),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k from hurt),
+num as (select *, row_number() over (partition by conv_id, role, text order by k) as again, substr(role, 1, 1) as initial from placed),
 rows as (select *, case when not regexp_matches(text, '{solid}') then 'blank' when again > 1 then 'duplicate' when regexp_extract(text, '({solid})[\\x20\\x09-\\x0D]*\\z', 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
   lag(initial) over (partition by conv_id order by k) || initial as pair from num),
 turns as (select *, fault in ('blank', 'duplicate') as gone, case when fault = 'truncated' then 3 else 0 end as extra from rows),

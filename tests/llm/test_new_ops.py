@@ -200,6 +200,19 @@ def test_op12(spark):
     assert {r.conv_id: tuple(r)[1:] for r in queries.queries()["op12_turn_repair"](spark, SF).collect()} == {c: _expected(t) for c, t in want.items()}
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_op12_sql(sf):
+    """The SQL against the plain walk; copies beside each other are numbered once."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '/root/testdata/{sf}/conversations.parquet'")
+    want = {}
+    for r in con.execute("select conv_id, turn, role, text from conversations").fetchall():
+        want.setdefault(r[0], []).extend(_damage(*r))
+    assert {r[0]: tuple(r[1:]) for r in con.execute(turn_repair.oracle_sql()).fetchall()} == {c: _expected(t) for c, t in want.items()}
+
+
 # Toxicity
 def _made(n, seed):
     """Texts whose label needs a pair: an insult beside a group; each alone is harmless."""
