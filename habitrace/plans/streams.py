@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from habitrace.plans.define import q6, query, r6
+from habitrace.session import new_path
 from habitrace.sources.driver_tables import POINTS_SQL, SCAN_SIZE, table
 from habitrace.streaming import jobs
+from habitrace.streaming import status as machine
+from habitrace.streaming.keyed_table import KeyedTable
 
 
 def _events(spark, sf_dir):
@@ -87,3 +90,45 @@ def task_dispatch(spark, sf_dir):
     refused = F.col("o_orderpriority").startswith("5")
     place = F.row_number().over(Window.partitionBy("o_custkey", refused).orderBy("o_orderdate", "o_orderkey"))
     return o.select(F.col("o_orderkey").alias("task_id"), F.when(refused, "thread").otherwise("queue").alias("runner"), place.cast("bigint").alias("place"))
+
+
+_IDLE = 12 * 3_600_000_000
+_STATUS_SQL = f"""with recursive m as (select user_id as scan_id, event_id, epoch_us(ts) as us, json_extract_string(props, '$.k')::bigint as k, event_type from events),
+s as (select *, case event_type when 'signup' then 'extracting' when 'view' then 'reconstructing' when 'click' then case when k < 50 then 'cleaning' else 'understanding' end when 'error' then 'failed' else case when k < 80 then 'previewing' else 'done' end end as status from m),
+w as (select (max(us) // 1000 - 7200000) * 1000 as mark from s),
+e as (select scan_id, event_id, us, status, case status when 'extracting' then 0 when 'reconstructing' then 1 when 'cleaning' then 2 when 'understanding' then 3 when 'previewing' then 4 when 'done' then 5 else 9 end as rank,
+  case status when 'extracting' then 5.0::double when 'reconstructing' then 15.0 + 58.0 * (k / 100.0::double) when 'cleaning' then 75.0 + 3.0 * (k / 100.0::double) when 'understanding' then 88.0 + 5.0 * (k / 100.0::double) when 'previewing' then 95.0 else 100.0 end as value,
+  row_number() over (partition by scan_id order by us, event_id) as rn from s, w where us <= mark),
+r as (
+  select scan_id, rn, 1 as seq, 1 as attempt, status, rank, value, us as seen, us as "at", event_id, true as shown, null::bigint as silent, 1 as silent_attempt from e where rn = 1
+  union all
+  select scan_id, rn, seq1 + ok::int, attempt + (ok and status1 = 'failed')::int, case when ok then status2 else status1 end, case when ok then rank2 else rank1 end, case when ok then value2 else value1 end, us, us, event_id, ok, silent1, attempt
+  from (select *, case when status1 = 'done' then false when status1 = 'failed' then status2 = 'extracting' when status2 = 'failed' or rank2 > rank1 then true else rank2 = rank1 and value2 - value1 >= 1.0 end as ok
+    from (select e.scan_id, e.rn, e.us, e.event_id, e.status as status2, e.rank as rank2, e.value as value2, r.attempt, (q.quiet)::int + r.seq as seq1, case when q.quiet then 'failed' else r.status end as status1, case when q.quiet then 9 else r.rank end as rank1, case when q.quiet then 100.0 else r.value end as value1, case when q.quiet then r.seen + {_IDLE} end as silent1
+      from r join e on e.scan_id = r.scan_id and e.rn = r.rn + 1, lateral (select r.status not in ('done', 'failed') and e.us - r.seen > {_IDLE} as quiet) q))),
+z as (select scan_id, max_by(struct_pack(seq := seq, attempt := attempt, status := status, seen := seen), rn) as l from r group by 1),
+o as (select scan_id, seq, attempt, status, round_even(value, 0)::int as progress, "at", event_id from r where shown
+  union all select scan_id, seq - shown::int, silent_attempt, 'failed', 100, silent, null from r where silent is not null
+  union all select scan_id, l.seq + 1, l.attempt, 'failed', 100, l.seen + {_IDLE}, null from z, w where l.status not in ('done', 'failed') and l.seen + {_IDLE} <= mark)
+select scan_id, seq, attempt, status, progress, make_timestamp("at") as "at", event_id from o"""
+
+
+@query(_STATUS_SQL)
+def status_machine(spark, sf_dir):
+    """Every change of a scan's status that is shown: stages forward, progress by whole steps, failure after twelve silent hours, retries as new runs."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    kind = F.col("event_type")
+    stage = F.when(kind == "signup", "extracting").when(kind == "view", "reconstructing").when(kind == "click", F.when(k < 50, "cleaning").otherwise("understanding")).when(kind == "error", "failed").otherwise(F.when(k < 80, "previewing").otherwise("done"))
+    events = _events(spark, sf_dir).select(F.col("user_id").alias("scan_id"), "event_id", "ts", stage.alias("status"), (k / 100).alias("fraction"))
+    rows = jobs.drain(spark, machine.transitions(events, "2 hours", 12), "update", settings=machine.STORE)
+    return rows.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("select o_custkey as project_id, max_by(o_orderkey, (o_orderdate, o_orderkey)) as report_id, max(o_orderdate) as created_at, max_by(o_totalprice, (o_orderdate, o_orderkey)) as score from orders group by 1")
+def report_upsert(spark, sf_dir):
+    """Reports merged into a keyed table in three batches, the second one twice: a retry changes nothing, the latest report of a project stays."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("report_id"), F.col("o_orderdate").alias("created_at"), F.col("o_totalprice").alias("score"))
+    reports = KeyedTable(spark, new_path(spark, "reports"), ["project_id"], ["created_at", "report_id"], 8)
+    for number in (0, 1, 1, 2):
+        reports.merge(o.filter(F.col("report_id") % 3 == number), number)
+    return reports.read()

@@ -21,15 +21,8 @@ STAGES = {"signup": 5, "view": 15, "click": 75, "error": 88, "purchase": 100}
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A file stream of one table."""
-    folder, _, name = path.rpartition("/")
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    return reader.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") and not _is_folder(spark, path) else reader.parquet(path)
-
-
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+    """A file stream of one table, a file or a folder: a pattern that only its path fits takes either."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -55,17 +48,25 @@ def status(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max(stage).alias("progress"), F.max("ts").alias("at"), F.count("*").alias("updates"))
 
 
-def drain(spark: SparkSession, stream: DataFrame, mode: str, keys: list[str] | None = None, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def drain(spark: SparkSession, stream: DataFrame, mode: str, keys: list[str] | None = None, each: Callable[[DataFrame], DataFrame] | None = None, settings: dict[str, str] | None = None) -> DataFrame:
     """All rows that the stream gives until its source is used up; with ``keys`` the latest of each key.
 
-    ``each`` is applied to a micro-batch before it is written.
+    ``each`` is applied to a micro-batch before it is written; the stream is
+    started with ``settings``, which the session doesn't keep.
     """
     path = new_path(spark, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
         (each(batch) if each else batch).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    try:
+        for k, v in (settings or {}).items():
+            spark.conf.set(k, v)
+        query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     rows = spark.read.parquet(f"{path}/rows")
     if not keys:
