@@ -8,7 +8,8 @@ one file is one scan's cloud and is decoded in one Arrow call. Writing gives
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,31 +20,64 @@ from pyspark.sql import functions as F
 TYPES = {"char": "i1", "uchar": "u1", "short": "<i2", "ushort": "<u2", "int": "<i4", "uint": "<u4", "float": "<f4", "double": "<f8", "int8": "i1", "uint8": "u1", "int16": "<i2", "uint16": "<u2", "int32": "<i4", "uint32": "<u4", "float32": "<f4", "float64": "<f8"}
 
 
-def decode(content: bytes) -> np.ndarray:
-    """Vertices as a structured array, all scalar properties; what can't be read raises ValueError."""
+#: The forms of a PLY body and their byte order.
+FORMS = {"ascii": None, "binary_little_endian": "<", "binary_big_endian": ">"}
+
+
+class Header(NamedTuple):
+    """What a file's head says of its vertices: byte order (None in ASCII), number, record, where the body begins."""
+
+    order: str | None
+    count: int
+    kind: np.dtype
+    body: int
+
+
+def header(content: bytes) -> Header:
+    """The head of a file, of which ``content`` holds at least that; what can't be read raises ValueError."""
     found = re.search(rb"end_header\r?\n", content)
     lines = content[: found.start()].decode("ascii", "replace").splitlines() if found else []
     if not lines or lines[0].strip() != "ply":
         raise ValueError("not a PLY file")
-    rest = content[found.end() :]
-    count, fields, inside = 0, [], False
-    for line in lines:
-        words = line.split()
-        if words[:1] == ["element"] and len(words) == 3:
-            inside = words[1] == "vertex"
-            count = int(words[2]) if inside else count
-        elif inside and words[:1] == ["property"] and len(words) == 3:
-            if words[1] not in TYPES:
-                raise ValueError(f"unknown property type {words[1]}")
+    form, count, fields, element = "binary_little_endian", 0, [], None
+    for words in map(str.split, lines):
+        if words[:1] == ["format"] and len(words) > 1:
+            form = words[1]
+        elif words[:1] == ["element"] and len(words) == 3:
+            element = words[1]
+            if element == "vertex":
+                count = int(words[2])
+            elif not fields and int(words[2]):
+                raise ValueError(f"{element} before the vertices")
+        elif element == "vertex" and words[:1] == ["property"]:
+            if len(words) != 3 or words[1] not in TYPES:
+                raise ValueError(f"unknown property type {words[1] if len(words) > 1 else ''}")
             fields.append((words[2], TYPES[words[1]]))
+    if form not in FORMS:
+        raise ValueError(f"unknown format {form}")
     if not count:
         raise ValueError("the cloud is empty")
     kind = np.dtype(fields)
-    if any("ascii" in line for line in lines[:3]):
-        rows = [tuple(map(float, r.split()[: len(fields)])) for r in rest.decode().splitlines()[:count]]
-        if len(rows) < count or any(len(r) < len(fields) for r in rows):
+    return Header(FORMS[form], count, kind.newbyteorder(">") if FORMS[form] == ">" else kind, found.end())
+
+
+def ascii_rows(lines: Iterable[str], kind: np.dtype) -> np.ndarray:
+    """Vertices of ASCII lines; a line with too few or odd values raises ValueError."""
+    rows = [tuple(map(float, line.split()[: len(kind)])) for line in lines]
+    if any(len(r) < len(kind) for r in rows):
+        raise ValueError("the file ends early")
+    return np.array(rows, kind)
+
+
+def decode(content: bytes) -> np.ndarray:
+    """Vertices as a structured array, all scalar properties; what can't be read raises ValueError."""
+    order, count, kind, body = header(content)
+    rest = content[body:]
+    if order is None:
+        found = ascii_rows(rest.decode("ascii", "replace").splitlines()[:count], kind)
+        if len(found) < count:
             raise ValueError("the file ends early")
-        return np.array(rows, kind)
+        return found
     if len(rest) < count * kind.itemsize:
         raise ValueError("the file ends early")
     return np.frombuffer(rest, kind, count)
