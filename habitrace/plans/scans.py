@@ -33,10 +33,10 @@ def ply_colours(spark, sf_dir):
 
 @query(f"{_P} select scan_id, row_number() over (partition by scan_id order by point_id) - 1 as point_id, x::float::double as x, y::float::double as y, z::float::double as z, (label / 10.0)::float::double as red from points")
 def ply_source(spark, sf_dir):
-    """Clouds written by the data source "ply" as files of at most 40 points and read again in ranges of 256 bytes."""
+    """Clouds written by the data source "ply" and read again, numbered through a scan's files."""
     path = new_path(spark, "clouds")
-    ply_files.write_clouds(points(spark, sf_dir).withColumn("red", F.col("label") / 10.0), path, ("red",), 40)
-    return ply_files.read_clouds(spark, path, ("red",), 256)
+    ply_files.write_clouds(points(spark, sf_dir).withColumn("red", F.col("label") / 10.0), path, ("red",))
+    return ply_files.read_clouds(spark, path, ("red",))
 
 
 @query(f"{_P}, v as (select scan_id, min(point_id) as point_id from points group by scan_id, floor(x / 0.03), floor(y / 0.03), floor(z / 0.03)), k as (select *, row_number() over (partition by scan_id order by md5(point_id::varchar), point_id) as k from v) select scan_id, point_id from k where k <= 30000")

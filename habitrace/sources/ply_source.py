@@ -7,10 +7,12 @@
 
 A folder holds files named ``<scan_id>.ply`` or ``<scan_id>_<part>.ply``. Reading
 gives (scan_id, part, point_id, x, y, z, properties...); ``point_id`` counts
-from 0 in each file. A binary file is cut into ranges of ``splitBytes``, one
-task each: records have one width, so a task knows its records from the head
-alone, and reads ``batchRows`` of them at a time. An ASCII file is one task's,
-read line by line. The driver lists names and sizes and opens nothing.
+from 0 in each file. A binary file is cut into ranges of ``splitBytes``: records
+have one width, so a task knows its records from the head alone, and reads
+``batchRows`` of them at a time. An ASCII file is one range, read line by line.
+A task takes ranges up to ``splitBytes``, an opened file counted as
+``OPEN_BYTES``, so small files share tasks. The driver lists names and sizes
+and opens nothing.
 
 Any path that Arrow's file systems know does.
 """
@@ -37,6 +39,8 @@ from habitrace.sources.ply import Header, ascii_rows, encode, header
 
 SPLIT_BYTES = 64 << 20
 BATCH_ROWS = 100_000
+#: What opening a file counts for when ranges are dealt to tasks.
+OPEN_BYTES = 1 << 16
 #: Points of one written file, and of all that a task holds before it writes.
 FILE_ROWS = 100_000
 #: A head is looked for in this many bytes.
@@ -49,7 +53,7 @@ _HEADS = "scan_id long, part long, path string, n long, error string"
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """Bytes [start, end) of a file of ``size`` bytes; a record belongs where its first byte lies."""
 
     path: str
@@ -58,6 +62,13 @@ class Range(InputPartition):
     size: int
 
 
+@dataclass
+class Task(InputPartition):
+    """Ranges that one task reads, in order."""
+
+    ranges: list[Range]
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """Files that a task has written in the job's own folder."""
@@ -86,14 +97,26 @@ class PlyReader(DataSourceReader):
         self.heads = options.get("heads", "false").lower() == "true"
         self.skip = options.get("errors", "raise") == "skip"
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Task]:
         files, root = fs.FileSystem.from_uri(self.options["path"])
         width = int(self.options.get("splitbytes", SPLIT_BYTES))
         cut = lambda f: range(0, 1 if self.heads else max(f.size, 1), width)
-        return [Range(f.path, at, min(at + width, max(f.size, 1)), f.size) for f in clouds(files, root) for at in cut(f)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        tasks, room = [], 0
+        for part in (Range(f.path, at, min(at + width, max(f.size, 1)), f.size) for f in clouds(files, root) for at in cut(f)):
+            cost = OPEN_BYTES + (0 if self.heads else part.end - part.start)
+            if not tasks or cost > room:
+                tasks.append(Task([]))
+                room = width
+            tasks[-1].ranges.append(part)
+            room -= cost
+        return tasks
+
+    def read(self, partition: Task) -> Iterator[pa.RecordBatch]:
         files, _ = fs.FileSystem.from_uri(self.options["path"])
+        for part in partition.ranges:
+            yield from self._read(files, part)
+
+    def _read(self, files: fs.FileSystem, partition: Range) -> Iterator[pa.RecordBatch]:
         with files.open_input_file(partition.path) as file:
             try:
                 head = header(file.read(HEAD_BYTES))

@@ -80,3 +80,12 @@ def test_an_aborted_write_leaves_nothing(spark, tmp_path):
     assert spark.read.format("ply").load(str(path)).count() == 10
     with pytest.raises(Exception, match="no z"):
         good.drop("z").write.format("ply").mode("append").save(str(path))
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / f"{k}.ply").write_bytes(ply.encode(np.full((2, 3), float(k))))
+    ply_source.register(spark)
+    found = spark.read.format("ply").option("splitBytes", 20 * ply_source.OPEN_BYTES).load(str(tmp_path))
+    assert found.rdd.getNumPartitions() == 3
+    assert sorted(map(tuple, found.select("scan_id", "point_id", "x").collect())) == [(k, i, float(k)) for k in range(40) for i in range(2)]
