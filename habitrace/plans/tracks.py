@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from habitrace.operators import graph, spatial, tracks
+from habitrace.operators import graph, pairs, spatial, tracks
 from habitrace.plans.clouds import _CAM, _projected
 from habitrace.plans.define import q6, query, r6
 from habitrace.plans.graphs import _E, _near
@@ -149,3 +149,35 @@ def detection_hits(spark, sf_dir):
     d = shown.withColumn("detection", F.when(F.col("pu") % 2 == 0, "left").otherwise("right"))
     near = F.min("depth").over(Window.partitionBy("scan_id", "detection", "pu", "pv"))
     return d.withColumn("near", near).filter("depth - near <= 0.03").select("scan_id", "detection", "point_id")
+
+
+#: Twenty-five observations a scan in two groups: four points each and the first one or three of the observation two further; four observations make a frame.
+_MASKS = f"""with {POINTS_SQL}, i as (select *, point_id % 100 as k, point_id % 100 // 4 as own from points),
+b as (select scan_id, own % 2 as grp, own as obs_id, point_id from i union all select scan_id, own % 2, own - 2, point_id from i where own >= 2 and k % 4 < case when own % 3 = 0 then 3 else 1 end),
+o as (select distinct scan_id, grp, obs_id, obs_id // 4 as frame_id, obs_id // 4 * 2 as frame_order from b)"""
+
+
+def _masks(spark, sf_dir):
+    p = points(spark, sf_dir).withColumns({"k": F.col("point_id") % 100, "own": F.floor(F.col("point_id") % 100 / 4)})
+    row = lambda obs: [F.col("scan_id"), (F.col("own") % 2).alias("grp"), obs.alias("obs_id"), F.col("point_id")]
+    more = p.filter((F.col("own") >= 2) & (F.col("k") % 4 < F.when(F.col("own") % 3 == 0, 3).otherwise(1)))
+    return p, p.select(*row(F.col("own"))).union(more.select(*row(F.col("own") - 2)))
+
+
+@query(
+    f"""{_MASKS}, q as (select b.*, x, y, z from b join points using (scan_id, point_id)),
+s as (select scan_id, grp, obs_id, count(*) as n, {", ".join(f"median({c}) as m{c}" for c in "xyz")}, sqrt({" + ".join(f"pow(quantile_cont({c}, 0.98) - quantile_cont({c}, 0.02), 2)" for c in "xyz")}) as scale from q group by all),
+d as (select l.scan_id, l.grp, l.obs_id as a, r.obs_id as b, count(*) filter (l.point_id = r.point_id) as shared, min(sqrt(pow(l.x - r.x, 2) + pow(l.y - r.y, 2) + pow(l.z - r.z, 2))) as gap from q l join q r on l.scan_id = r.scan_id and l.grp = r.grp and l.obs_id < r.obs_id group by all),
+j as (select d.*, shared / greatest(least(u.n, v.n), 1) as overlap, sqrt(pow(u.mx - v.mx, 2) + pow(u.my - v.my, 2) + pow(u.mz - v.mz, 2)) as distance, abs(f.frame_order - g.frame_order) as frame_gap, f.frame_id = g.frame_id as same, greatest(3, ceil(0.15 * (select count(*) from o where o.scan_id = d.scan_id and o.grp = d.grp))) as continuity, u.scale + v.scale as sizes, greatest(0.08, least(0.3, 0.18 * (u.scale + v.scale))) as lim
+ from d join s u on u.scan_id = d.scan_id and u.obs_id = d.a join s v on v.scan_id = d.scan_id and v.obs_id = d.b join o f on f.scan_id = d.scan_id and f.obs_id = d.a join o g on g.scan_id = d.scan_id and g.obs_id = d.b where shared > 0 or gap <= 0.3 or f.frame_id = g.frame_id),
+t as (select *, same and overlap < 0.02 and gap > lim as conflict, shared >= 3 and overlap >= 0.03 as strong, not same and frame_gap <= continuity and gap <= lim and distance <= sizes + lim as near from j)
+select scan_id, grp, a, b, shared, case when gap <= 0.3 then {q6("gap")} end as gap, {q6("distance")} as distance, conflict, not same and (strong or near) as accepted,
+case when conflict then 'same_view_separate_masks' when same then 'same_view_masks_are_not_cross_view_evidence' when strong then 'shared_projected_3d_points' when near then 'spatially_adjacent_with_view_continuity' when frame_gap > continuity then 'no_overlap_and_view_gap_too_large' else 'insufficient_cross_view_relation' end as reason,
+{q6("least(1, 0.55 * least(overlap / 0.25, 1) + 0.25 * greatest(0, 1 - gap / lim) + 0.2 * greatest(0, 1 - frame_gap / continuity))")} as score from t"""
+)
+def point_evidence(spark, sf_dir):
+    """Pairs of a group's observations that share points or a view or come near each other, with gap, reason and score."""
+    p, b = _masks(spark, sf_dir)
+    o = b.select("scan_id", "grp", "obs_id").distinct().withColumns({"frame_id": F.floor(F.col("obs_id") / 4), "frame_order": F.floor(F.col("obs_id") / 4) * 2})
+    found = pairs.evidence(o, b, p, ["scan_id", "grp"], ["scan_id"])
+    return found.select("scan_id", "grp", "a", "b", "shared", r6("gap").alias("gap"), r6("distance").alias("distance"), "conflict", "accepted", "reason", r6("score").alias("score"))
