@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from habitrace.operators import drawing
 from habitrace.plans.define import q6, query, r6
-from habitrace.sources.driver_tables import BOXES_SQL, boxes
+from habitrace.sources.driver_tables import ROOM_BOXES_SQL, room_boxes
 
-_B = f"with {BOXES_SQL}, b as (select *, box_id % 10 as part, box_id % 4 * 90 + case when box_id % 3 = 0 then yaw else 0 end as degrees, 'kind' || label as name from boxes)"
+_B = f"with {ROOM_BOXES_SQL}, b as (select *, box_id % 10 as part, box_id % 4 * 90 + case when box_id % 3 = 0 then yaw else 0 end as degrees, 'kind' || label as name from boxes)"
 
 
 def _parts(spark, sf_dir):
     """Boxes in roles by the last digit of their id: 0 an opening, 1 an obstacle, 9 attached to the one before, else an object."""
     turned = F.col("box_id") % 4 * 90 + F.when(F.col("box_id") % 3 == 0, F.col("yaw")).otherwise(0.0)
-    return boxes(spark, sf_dir).withColumns({"part": F.col("box_id") % 10, "degrees": turned, "name": F.concat(F.lit("kind"), F.col("label").cast("string"))})
+    return room_boxes(spark, sf_dir).withColumns({"part": F.col("box_id") % 10, "degrees": turned, "name": F.concat(F.lit("kind"), F.col("label").cast("string"))})
 
 
 _SIDE = {"floor": ("2.0", "2.0", "0"), "opening": ("case when up then 0.09 else sx / 2 end", "case when up then sx / 2 else 0.09 end", "0"), "object": ("sx / 2", "sy / 2", "degrees"), "obstacle": ("greatest(sx, sy) / 2", "least(sx, sy) / 2", "degrees")}

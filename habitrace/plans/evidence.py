@@ -11,9 +11,9 @@ from habitrace.plans.define import q6, query, r6
 from habitrace.plans.rooms import _P, _R, _metric
 from habitrace.plans.scans import _OPENED, obstacle_grid
 from habitrace.sources import layout_text
-from habitrace.sources.driver_tables import BOXES_SQL, FRAMES_SQL, POINTS_SQL, boxes, frames, points, table
+from habitrace.sources.driver_tables import FRAMES_SQL, ROOM_BOXES_SQL, ROOM_POINTS_SQL, frames, room_boxes, room_points, table
 
-_X, _B, _F = f"with {POINTS_SQL}", f"with {BOXES_SQL}", f"with {FRAMES_SQL}"
+_X, _B, _F = f"with {ROOM_POINTS_SQL}", f"with {ROOM_BOXES_SQL}", f"with {FRAMES_SQL}"
 
 
 def _legacy_sql() -> str:
@@ -34,7 +34,7 @@ def _legacy_sql() -> str:
 @query(f"{_B}, {boxes_ops.FOOTPRINT_SQL}, {_legacy_sql()}")
 def legacy_clearance(spark, sf_dir):
     """The older, approximate gap of footprints that are near."""
-    pairs = boxes_ops.near_pairs(rooms.with_corners(boxes_ops.footprint(boxes(spark, sf_dir))), 0.3, 0.5)
+    pairs = boxes_ops.near_pairs(rooms.with_corners(boxes_ops.footprint(room_boxes(spark, sf_dir))), 0.3, 0.5)
     return pairs.select(F.col("l.box_id").alias("a"), F.col("r.box_id").alias("b"), r6(rooms.legacy_gap()).alias("gap"))
 
 
@@ -47,7 +47,7 @@ def camera_models(spark, sf_dir):
     """Projection by camera model, with radial terms; views of an unknown model are left out."""
     model = F.array(*map(F.lit, ("PINHOLE", "SIMPLE_RADIAL", "RADIAL", "FISHEYE")))[(F.col("label") % 4).cast("int")]
     u, v = views.camera_pixel(model, F.col("x"), F.col("y"), F.col("z") + 2, 500.0, 320.0, 240.0, 0.1, 0.02)
-    return points(spark, sf_dir).filter("z + 2 > 0.1").select("point_id", r6(u).alias("u"), r6(v).alias("v")).filter("u is not null")
+    return room_points(spark, sf_dir).filter("z + 2 > 0.1").select("point_id", r6(u).alias("u"), r6(v).alias("v")).filter("u is not null")
 
 
 @query(f"{_B} select box_id, {q6('-(cos(yaw) * cx + sin(yaw) * cy)')} as px, {q6('-(-sin(yaw) * cx + cos(yaw) * cy)')} as py, {q6('-cz')} as pz, 1.0::double as dz from boxes")
@@ -56,7 +56,7 @@ def camera_centres(spark, sf_dir):
     c, s = F.cos("yaw"), F.sin("yaw")
     zero, one = F.lit(0.0), F.lit(1.0)
     centre, towards = views.inverted([[c, -s, zero], [s, c, zero], [zero, zero, one]], [F.col(k) for k in ("cx", "cy", "cz")])
-    return boxes(spark, sf_dir).select("box_id", *(r6(v).alias(n) for v, n in zip(centre, ("px", "py", "pz"))), r6(towards[2]).alias("dz"))
+    return room_boxes(spark, sf_dir).select("box_id", *(r6(v).alias(n) for v, n in zip(centre, ("px", "py", "pz"))), r6(towards[2]).alias("dz"))
 
 
 _MOM = "avg(x) as mx, avg(y) as my, avg(z) as mz, var_pop(x) as xx, covar_pop(x, y) as xy, var_pop(y) as yy, covar_pop(x, z) as xz, covar_pop(y, z) as yz"
@@ -69,7 +69,7 @@ m2 as (select r.scan_id, {_MOM} from r join q using (scan_id) where e <= cut gro
 )
 def floor_plane(spark, sf_dir):
     """The floor as a plane, fitted again on the best nine tenths."""
-    return planes.floor_plane(points(spark, sf_dir)).select("scan_id", *(r6(c).alias(c) for c in ("a", "b", "c", "slope")))
+    return planes.floor_plane(room_points(spark, sf_dir)).select("scan_id", *(r6(c).alias(c) for c in ("a", "b", "c", "slope")))
 
 
 @query()
@@ -78,7 +78,7 @@ def robust_similarity(spark, sf_dir):
     import math
 
     c, s, spoilt = math.cos(math.radians(27)), math.sin(math.radians(27)), F.when(F.col("point_id") % 10 == 0, 3.0).otherwise(0.0)
-    p = points(spark, sf_dir)
+    p = room_points(spark, sf_dir)
     q = p.select("scan_id", "x", "y", "z", (1.37 * (c * F.col("x") - s * F.col("y")) + 0.5 + spoilt).alias("u"), (1.37 * (s * F.col("x") + c * F.col("y")) - 0.2).alias("v"), (1.37 * F.col("z") + 1).alias("w"))
     found = planes.similarity(q)
     return found.select("scan_id", r6("scale").alias("scale"), *(r6(F.col("shift")[i]).alias(f"t{i}") for i in range(3)))
@@ -87,11 +87,11 @@ def robust_similarity(spark, sf_dir):
 _MARGINS = {"passage": (0.0, 0.0, 0.0), "opening": (0.08, 0.08, 0.08), "candidate": (0.10, 0.10, 0.10), "instance": (0.12, 0.12, 0.08), "structure": (0.12, 0.12, 0.12), "support": (0.15, 0.15, 0.10)}
 
 
-@query(f"{_B}, {POINTS_SQL}, p as (select scan_id, point_id, x * 10 as x, y * 10 as y, z * 10 as z from points)" + " union all ".join(f" select '{n}' as variant, b.box_id, count(*) as n from p join boxes b on p.scan_id = b.scan_id and {spatial.in_obb_sql('p', 'b', *m)} group by 2" for n, m in _MARGINS.items()))
+@query(f"{_B}, {ROOM_POINTS_SQL}, p as (select scan_id, point_id, x * 10 as x, y * 10 as y, z * 10 as z from points)" + " union all ".join(f" select '{n}' as variant, b.box_id, count(*) as n from p join boxes b on p.scan_id = b.scan_id and {spatial.in_obb_sql('p', 'b', *m)} group by 2" for n, m in _MARGINS.items()))
 def box_margins(spark, sf_dir):
     """Points in boxes under the six margins that the stages use; one join at the widest, the others from it."""
-    p = points(spark, sf_dir).select("scan_id", "point_id", *((F.col(c) * 10).alias(c) for c in "xyz"))
-    b = boxes(spark, sf_dir)
+    p = room_points(spark, sf_dir).select("scan_id", "point_id", *((F.col(c) * 10).alias(c) for c in "xyz"))
+    b = room_boxes(spark, sf_dir)
     wide = spatial.points_in_boxes(p, b, (0.15, 0.15, 0.12), 0.5).alias("m").join(p.alias("p"), ["scan_id", "point_id"]).join(b.select("box_id", "cx", "cy", "cz", "sx", "sy", "sz", "yaw"), "box_id")
     box = {k: F.col(k) for k in ("cx", "cy", "cz", "sx", "sy", "sz", "yaw")}
     inside = F.array_compact(F.array(*(F.when(spatial.in_obb(F.col("x"), F.col("y"), F.col("z"), box, *m), F.lit(n)) for n, m in _MARGINS.items())))
@@ -101,7 +101,7 @@ def box_margins(spark, sf_dir):
 @query(f"{_X} select point_id, case when z <= -0.3 then 'floor' when abs(x) >= 0.3 - 0.04 then 'wall' end as removed_by from points")
 def structural_filter(spark, sf_dir):
     """Points of floor and walls with what removes them (the floor first); the others are kept."""
-    return points(spark, sf_dir).select("point_id", F.when(F.col("z") <= -0.3, "floor").when(F.abs("x") >= 0.3 - 0.04, "wall").alias("removed_by"))
+    return room_points(spark, sf_dir).select("point_id", F.when(F.col("z") <= -0.3, "floor").when(F.abs("x") >= 0.3 - 0.04, "wall").alias("removed_by"))
 
 
 _ENDS = "count(*) filter (where t {o} {q}) as n_{e}, avg((z < 0)::int) filter (where t {o} {q}) as s_{e}"
@@ -114,7 +114,7 @@ select p.scan_id, p.point_id from p join q using (scan_id) join e using (scan_id
 )
 def bed_frame_trim(spark, sf_dir):
     """Points without the end frames of a bed: ends of 15 % along the main axis that are mostly low and hold under 30 %."""
-    p = points(spark, sf_dir)
+    p = room_points(spark, sf_dir)
     a = p.groupBy("scan_id").agg(spatial.principal_angle("x", "y").alias("angle"))
     t = p.join(a, "scan_id").withColumn("t", F.col("x") * F.cos("angle") + F.col("y") * F.sin("angle")).select("scan_id", "point_id", "t", "z")
     q = t.groupBy("scan_id").agg((F.min("t") + 0.15 * (F.max("t") - F.min("t"))).alias("lo"), (F.max("t") - 0.15 * (F.max("t") - F.min("t"))).alias("hi"), F.count("*").alias("n"))
@@ -145,7 +145,7 @@ k as (select *, row_number() over (partition by scan_id order by conf desc, vx,
 )
 def anchored_consensus(spark, sf_dir):
     """Voxels that four frames see with confidence, the surest first, never more than 30 % of the base (the cap is the rule)."""
-    p = points(spark, sf_dir)
+    p = room_points(spark, sf_dir)
     v = p.groupBy("scan_id", spatial.cell("x", 0.3).alias("vx"), spatial.cell("y", 0.3).alias("vy")).agg(F.countDistinct("label").alias("frames"), F.max(F.abs("z")).alias("conf"), F.count("*").alias("n"))
     base = p.filter("label < 3").groupBy("scan_id").agg(F.count("*").alias("base"))
     r = F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc("conf"), "vx", "vy"))
@@ -164,7 +164,7 @@ def layout_boxes(spark, sf_dir):
 
 
 @query(
-    f"""with recursive {POINTS_SQL}, {_OPENED}, n as (select *, row * 4294967296 + col as node from op),
+    f"""with recursive {ROOM_POINTS_SQL}, {_OPENED}, n as (select *, row * 4294967296 + col as node from op),
 r as (select scan_id, node, node as lab from n union select r.scan_id, b.node, r.lab from r join n a on a.scan_id = r.scan_id and a.node = r.node join n b on b.scan_id = a.scan_id and abs(a.row - b.row) <= 1 and abs(a.col - b.col) <= 1), k as (select scan_id, node, min(lab) as component from r group by 1, 2)
 select k.scan_id, component, count(*) as cells, min(row) as row0, max(row) as row1, min(col) as col0, max(col) as col1, {q6('quantile_cont(low, 0.2)')} as low, {q6('quantile_cont(high, 0.9)')} as high from k join n on n.scan_id = k.scan_id and n.node = k.node group by 1, 2 having count(*) >= 5"""
 )
@@ -222,19 +222,19 @@ def instance_fits(spark, sf_dir):
 def object_fits(spark, sf_dir):
     """Candidate boxes fitted to their points, without earlier objects' and other clusters' points."""
     p = _metric(spark, sf_dir)
-    wide = boxes(spark, sf_dir).filter("label < 3").withColumns({"sx": F.col("sx") * 8, "sy": F.col("sy") * 8, "sz": F.lit(20.0)})
+    wide = room_boxes(spark, sf_dir).filter("label < 3").withColumns({"sx": F.col("sx") * 8, "sy": F.col("sy") * 8, "sz": F.lit(20.0)})
     found = instances.fit_in_boxes(p, wide, rooms.bounds(p), least=3, reach=1.0)
     return found.select("scan_id", "box_id", "points", *(r6(c).alias(c) for c in ("cx", "cy", "sx", "sy", "low", "high")))
 
 
 @query(
-    f"""{_B}, {POINTS_SQL}, p as (select scan_id, x * 10 as x, y * 10 as y, z * 10 as z from points), n as (select b.box_id, count(p.x) as n from boxes b left join p on p.scan_id = b.scan_id and abs(cos(yaw) * (p.x - cx) + sin(yaw) * (p.y - cy)) < sx / 2 + 0.18 and abs(cos(yaw) * (p.y - cy) - sin(yaw) * (p.x - cx)) < sy / 2 + 0.18 and p.z - cz > 0.05 and p.z - cz < sz + 0.20 group by 1)
+    f"""{_B}, {ROOM_POINTS_SQL}, p as (select scan_id, x * 10 as x, y * 10 as y, z * 10 as z from points), n as (select b.box_id, count(p.x) as n from boxes b left join p on p.scan_id = b.scan_id and abs(cos(yaw) * (p.x - cx) + sin(yaw) * (p.y - cy)) < sx / 2 + 0.18 and abs(cos(yaw) * (p.y - cy) - sin(yaw) * (p.x - cx)) < sy / 2 + 0.18 and p.z - cz > 0.05 and p.z - cz < sz + 0.20 group by 1)
 select box_id, n, case when label in (7, 8, 9) then 'small_object' when n < 3 then 'insufficient_point_region' else 'refine' end as status, case when label < 4 then 0.25 else 0.12 end::double as search from n join boxes using (box_id)"""
 )
 def refinement_gate(spark, sf_dir):
     """Boxes that a refinement by images would skip: small things, too few points around; and how far it would search."""
-    p = points(spark, sf_dir).select("scan_id", "point_id", *((F.col(c) * 10).alias(c) for c in "xyz"))
-    b = boxes(spark, sf_dir)
+    p = room_points(spark, sf_dir).select("scan_id", "point_id", *((F.col(c) * 10).alias(c) for c in "xyz"))
+    b = room_boxes(spark, sf_dir)
     met = spatial.points_in_boxes(p, b.withColumn("sz", F.col("sz") * 4 + 1), (0.18, 0.18, 0.0), 0.5).join(p, ["scan_id", "point_id"]).join(b.drop("scan_id"), "box_id")
     dx, dy, dz = (F.col(a) - F.col(f"c{a}") for a in "xyz")
     c, s = F.cos("yaw"), F.sin("yaw")
@@ -248,7 +248,7 @@ def refinement_gate(spark, sf_dir):
 def instance_heights(spark, sf_dir):
     """Heights by class: flat tops to the 90th percentile, sofas to the 99th, the robust range for all else."""
     q = F.percentile("z", F.array(*(F.lit(v) for v in (0.02, 0.9, 0.98, 0.99))))
-    p = points(spark, sf_dir).groupBy("scan_id", "label").agg(q.alias("q"))
+    p = room_points(spark, sf_dir).groupBy("scan_id", "label").agg(q.alias("q"))
     top = F.when(F.col("label").isin(0, 1, 2, 3), F.col("q")[1]).when(F.col("label") == 4, F.col("q")[3]).otherwise(F.col("q")[2])
     return p.select("scan_id", "label", r6(top - F.col("q")[0]).alias("height"))
 
@@ -268,7 +268,7 @@ e as (select h.*, hits / size as share, candidate % 2 = component % 2 as fits fr
 )
 def component_evidence(spark, sf_dir):
     """The greatest share of a component that candidates of its own group, and of others, cover (three points and 5 % at least)."""
-    p = points(spark, sf_dir).select("scan_id", F.col("label").alias("component"), (F.floor(F.col("point_id") / 5) % 5).alias("candidate"))
+    p = room_points(spark, sf_dir).select("scan_id", F.col("label").alias("component"), (F.floor(F.col("point_id") / 5) % 5).alias("candidate"))
     size = p.groupBy("scan_id", "component").agg(F.count("*").alias("size"))
     e = p.groupBy("scan_id", "component", "candidate").agg(F.count("*").alias("hits")).join(size, ["scan_id", "component"]).withColumn("share", F.col("hits") / F.col("size"))
     counts = (F.col("hits") >= 3) & (F.col("share") >= 0.05)

@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from habitrace.operators import assignment, planes, sampling, spatial
 from habitrace.plans.define import q6, query, r6
-from habitrace.sources.driver_tables import BOXES_SQL, FRAMES_SQL, POINTS_SQL, boxes, frames, points, table
+from habitrace.sources.driver_tables import FRAMES_SQL, ROOM_BOXES_SQL, ROOM_POINTS_SQL, frames, room_boxes, room_points, table
 
-_P = f"with {POINTS_SQL}"
-_B = f"with {BOXES_SQL}"
+_P = f"with {ROOM_POINTS_SQL}"
+_B = f"with {ROOM_BOXES_SQL}"
 _F = f"with {FRAMES_SQL}"
 
 
 def _normals(spark, sf_dir):
-    return planes.normals(points(spark, sf_dir), share=0.5)
+    return planes.normals(room_points(spark, sf_dir), share=0.5)
 
 
 @query()
@@ -38,7 +38,7 @@ def normal_neighbourhoods(spark, sf_dir):
 @query()
 def ceiling_removal(spark, sf_dir):
     """The points that stay when each scan's ceiling goes; the upper half counts as high in these clouds."""
-    found = planes.without_ceiling(points(spark, sf_dir), top=0.6, lowest=0.5, threshold=0.03, band=0.05, upright=0.7, flat=0.6)
+    found = planes.without_ceiling(room_points(spark, sf_dir), top=0.6, lowest=0.5, threshold=0.03, band=0.05, upright=0.7, flat=0.6)
     return found.filter("not removed").select("scan_id", "point_id", r6("ceiling").alias("ceiling"))
 
 
@@ -65,7 +65,7 @@ def ray_wall_hits(spark, sf_dir):
         return F.when((t > 0) & side, F.struct(t.alias("t"), F.lit(wall_id).alias("wall_id")))
 
     best = F.array_min(F.array_compact(F.array(*(hit(*w) for w in _WALLS))))
-    return boxes(spark, sf_dir).select("box_id", "cz", best.alias("b")).filter("b is not null").select("box_id", "b.wall_id", r6("b.t").alias("t"), r6(F.col("b.t") * F.col("cz")).alias("height"))
+    return room_boxes(spark, sf_dir).select("box_id", "cz", best.alias("b")).filter("b is not null").select("box_id", "b.wall_id", r6("b.t").alias("t"), r6(F.col("b.t") * F.col("cz")).alias("height"))
 
 
 _REACH = "sqrt(sx * sx + sy * sy) / 2"
@@ -74,7 +74,7 @@ _REACH = "sqrt(sx * sx + sy * sy) / 2"
 @query(f"{_B}, c as (select scan_id, box_id, unnest(range(floor((cx - {_REACH}) / 0.25)::bigint, floor((cx + {_REACH}) / 0.25)::bigint + 1)) as col, cx, cy, sx, sy, yaw from boxes), d as (select *, unnest(range(floor((cy - {_REACH}) / 0.25)::bigint, floor((cy + {_REACH}) / 0.25)::bigint + 1)) as row from c), e as (select *, (col + 0.5) * 0.25 - cx as dx, (row + 0.5) * 0.25 - cy as dy from d) select scan_id, row, col, count(*) as boxes from e where abs(cos(yaw) * dx + sin(yaw) * dy) <= sx / 2 and abs(cos(yaw) * dy - sin(yaw) * dx) <= sy / 2 group by 1, 2, 3")
 def rectangle_raster(spark, sf_dir):
     """Cells whose centre lies in a turned rectangle, by how many."""
-    return spatial.rasterised(boxes(spark, sf_dir), 0.25).groupBy("scan_id", "row", "col").agg(F.count("*").alias("boxes"))
+    return spatial.rasterised(room_boxes(spark, sf_dir), 0.25).groupBy("scan_id", "row", "col").agg(F.count("*").alias("boxes"))
 
 
 @query(f"{_F}, t as (select *, row_number() over w as k, count(*) over (partition by scan_id) as n, lag(value, 3) over w as a3, lead(value, 3) over w as b3, first_value(value) over w as f, last_value(value) over (partition by scan_id order by ts, frame_id rows between unbounded preceding and unbounded following) as l from frames window w as (partition by scan_id order by ts, frame_id)) select scan_id, frame_id, {q6('coalesce(b3, l) - coalesce(a3, f)')} as direction from t")
@@ -97,7 +97,7 @@ def progress_steps(spark, sf_dir):
 @query(f"{_P}, k as (select *, row_number() over (partition by scan_id order by point_id) - 1 as k, count(*) over (partition by scan_id) as n from points) select scan_id, point_id from k where n <= 1200 or exists (select 1 from (select unnest(range(0, 1200)) as i) where floor(i * (n - 1) / 1199.0) = k)")
 def uniform_index_sample(spark, sf_dir):
     """1,200 evenly spaced points of each larger scan."""
-    return sampling.evenly_spaced(points(spark, sf_dir), ["scan_id"], ["point_id"], 1200).select("scan_id", "point_id")
+    return sampling.evenly_spaced(room_points(spark, sf_dir), ["scan_id"], ["point_id"], 1200).select("scan_id", "point_id")
 
 
 @query(f"{_F}, k as (select *, row_number() over (partition by scan_id order by ts, frame_id) - 1 as k, count(*) over (partition by scan_id) as n from frames) select scan_id, frame_id from k where n <= 30 or exists (select 1 from (select unnest(range(0, 30)) as i) where floor(i * (n - 1) / 29.0) = k)")
@@ -109,13 +109,13 @@ def phase_image_sample(spark, sf_dir):
 @query(f"{_B} select box_id, greatest(cx - sx / 2, -2.0) as x0, least(cx + sx / 2, 2.0) as x1, greatest(cx - sx / 2, -2.0) < least(cx + sx / 2, 2.0) as valid from boxes")
 def detection_clamp(spark, sf_dir):
     x0, x1 = F.greatest(F.col("cx") - F.col("sx") / 2, F.lit(-2.0)), F.least(F.col("cx") + F.col("sx") / 2, F.lit(2.0))
-    return boxes(spark, sf_dir).select("box_id", x0.alias("x0"), x1.alias("x1"), (x0 < x1).alias("valid"))
+    return room_boxes(spark, sf_dir).select("box_id", x0.alias("x0"), x1.alias("x1"), (x0 < x1).alias("valid"))
 
 
 @query(f"{_P} select label, count(*) as n, count(*) filter (where case when label in (1, 2) then z > 0.1 when label = 3 then z > -0.05 else true end) as kept from points group by 1")
 def class_height_filter(spark, sf_dir):
     keep = F.when(F.col("label").isin(1, 2), F.col("z") > 0.1).when(F.col("label") == 3, F.col("z") > -0.05).otherwise(F.lit(True))
-    return points(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.count_if(keep).alias("kept"))
+    return room_points(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.count_if(keep).alias("kept"))
 
 
 @query(
@@ -125,7 +125,7 @@ select r.scan_id, r.b0, r.b1 from r where not exists (select 1 from t where t.sc
 )
 def low_wall_strip(spark, sf_dir):
     """Connected runs of low cells at a wall, long enough, with no taller cell in them."""
-    p = points(spark, sf_dir)
+    p = room_points(spark, sf_dir)
     c = p.filter("z < -0.05").select("scan_id", spatial.cell("x", 0.05).alias("bin")).distinct()
     g = F.col("bin") - F.row_number().over(Window.partitionBy("scan_id").orderBy("bin"))
     runs = c.withColumn("g", g).groupBy("scan_id", "g").agg(F.min("bin").alias("b0"), F.max("bin").alias("b1"), F.count("*").alias("n")).filter("n >= 4")
@@ -153,7 +153,7 @@ def validation_references(spark, sf_dir):
 @query()
 def track_assignment(spark, sf_dir):
     """Instances (even boxes) of a scan and kind to its tracks (odd boxes), at the least total distance."""
-    b = boxes(spark, sf_dir).select("scan_id", F.col("label").alias("kind"), "box_id", F.col("cx").alias("x"), F.col("cy").alias("y"))
+    b = room_boxes(spark, sf_dir).select("scan_id", F.col("label").alias("kind"), "box_id", F.col("cx").alias("x"), F.col("cy").alias("y"))
     instances = b.filter("box_id % 2 = 0").withColumnRenamed("box_id", "instance_id")
     tracks = b.filter("box_id % 2 = 1").withColumnRenamed("box_id", "track_id")
     return assignment.assign(instances, tracks, ["scan_id", "kind"])
@@ -192,4 +192,4 @@ def rectangle_corners(spark, sf_dir):
     """Corners of each turned footprint."""
     c, s, hx, hy = F.cos("yaw"), F.sin("yaw"), F.col("sx") / 2, F.col("sy") / 2
     corner = lambda i, a, b: F.struct(F.lit(i).alias("corner"), r6(F.col("cx") + c * (a * hx) - s * (b * hy)).alias("x"), r6(F.col("cy") + s * (a * hx) + c * (b * hy)).alias("y"))
-    return boxes(spark, sf_dir).select("box_id", F.explode(F.array(*(corner(i, a, b) for i, (a, b) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1)))))).alias("k")).select("box_id", "k.*")
+    return room_boxes(spark, sf_dir).select("box_id", F.explode(F.array(*(corner(i, a, b) for i, (a, b) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1)))))).alias("k")).select("box_id", "k.*")

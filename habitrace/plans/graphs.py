@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 from habitrace.operators import graph, grid, spatial
 from habitrace.plans.define import q6, query, r6
 from habitrace.session import settled
-from habitrace.sources.driver_tables import FRAMES_SQL, POINTS_SQL, frames, points
+from habitrace.sources.driver_tables import FRAMES_SQL, ROOM_POINTS_SQL, frames, room_points
 
-_E = f"{POINTS_SQL}, e as (select a.scan_id, a.point_id as a, b.point_id as b from points a join points b on a.scan_id = b.scan_id and a.point_id <> b.point_id and sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 0.07)"
+_E = f"{ROOM_POINTS_SQL}, e as (select a.scan_id, a.point_id as a, b.point_id as b from points a join points b on a.scan_id = b.scan_id and a.point_id <> b.point_id and sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 0.07)"
 
 
 def _near(spark, sf_dir):
-    return spatial.radius_pairs(points(spark, sf_dir), 0.07)
+    return spatial.radius_pairs(room_points(spark, sf_dir), 0.07)
 
 
 @query(f"with recursive {_E}, r as (select scan_id, point_id as node, point_id as lab from points union select r.scan_id, e.b, r.lab from r join e on e.scan_id = r.scan_id and e.a = r.node) select scan_id, node as point_id, min(lab) as component from r group by 1, 2")
 def connected_components(spark, sf_dir):
     """Radius components of each scan's points, named by the least point."""
-    nodes = points(spark, sf_dir).select(F.col("scan_id").alias("scope"), F.col("point_id").alias("node"))
+    nodes = room_points(spark, sf_dir).select(F.col("scan_id").alias("scope"), F.col("point_id").alias("node"))
     found = graph.components(nodes, _near(spark, sf_dir).select(F.col("scan_id").alias("scope"), "a", "b"))
     return found.select(F.col("scope").alias("scan_id"), F.col("node").alias("point_id"), "component")
 
@@ -31,7 +31,7 @@ b as (select e.scan_id, e.a as node, min(k.cluster) as beside from e join k on k
 select p.scan_id, p.point_id, k.cluster is not null as core, coalesce(k.cluster, b.beside) as cluster from points p left join k on k.scan_id = p.scan_id and k.node = p.point_id left join b on b.scan_id = p.scan_id and b.node = p.point_id"""
 )
 def dbscan_clusters(spark, sf_dir):
-    return graph.dbscan(points(spark, sf_dir), _near(spark, sf_dir), 4)
+    return graph.dbscan(room_points(spark, sf_dir), _near(spark, sf_dir), 4)
 
 
 _TRACK = f"{FRAMES_SQL}, s as (select distinct kind || '/' || scan_id as node, scan_id, view_id from frames where value > 40), n as (select node, count(*) as n from s group by 1), e as (select a.scan_id, a.node as a, b.node as b from s a join s b on a.scan_id = b.scan_id and a.view_id = b.view_id and a.node <> b.node join n x on x.node = a.node join n y on y.node = b.node group by 1, 2, 3 having count(*) / least(any_value(x.n), any_value(y.n)) >= 0.5)"
@@ -50,13 +50,13 @@ def track_association(spark, sf_dir):
 
 
 #: A grid per scan: cells of 0.06 over the points' rectangle and one cell around, blocked where points of labels 0 to 2 stand.
-_G = f"""{POINTS_SQL}, cl as (select scan_id, floor(y / 0.06)::bigint as row, floor(x / 0.06)::bigint as col, label from points), blocked as (select distinct scan_id, row, col from cl where label < 3),
+_G = f"""{ROOM_POINTS_SQL}, cl as (select scan_id, floor(y / 0.06)::bigint as row, floor(x / 0.06)::bigint as col, label from points), blocked as (select distinct scan_id, row, col from cl where label < 3),
 bb as (select scan_id, min(row) - 1 as r0, max(row) + 1 as r1, min(col) - 1 as c0, max(col) + 1 as c1 from cl group by 1),
 free as (select b.scan_id, r.row, c.col from bb b, lateral (select unnest(range(r0, r1 + 1)) as row) r, lateral (select unnest(range(c0, c1 + 1)) as col) c where not exists (select 1 from blocked k where k.scan_id = b.scan_id and k.row = r.row and k.col = c.col))"""
 
 
 def _grid(spark, sf_dir):
-    return grid.cells(points(spark, sf_dir), 0.06, F.col("label") < 3)
+    return grid.cells(room_points(spark, sf_dir), 0.06, F.col("label") < 3)
 
 
 def _free(spark, sf_dir):

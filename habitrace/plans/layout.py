@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from habitrace.operators import layout as ops
 from habitrace.plans.define import q6, query, r6
-from habitrace.sources.driver_tables import BOXES_SQL, boxes, table
+from habitrace.sources.driver_tables import ROOM_BOXES_SQL, room_boxes, table
 
-_B = f"with {BOXES_SQL}, {ops.FOOTPRINT_SQL}"
+_B = f"with {ROOM_BOXES_SQL}, {ops.FOOTPRINT_SQL}"
 _GAP = "sqrt(pow(greatest(greatest(l.x0, r.x0) - least(l.x1, r.x1), 0), 2) + pow(greatest(greatest(l.y0, r.y0) - least(l.y1, r.y1), 0), 2))"
 _AREA = "greatest(least(l.x1, r.x1) - greatest(l.x0, r.x0), 0) * greatest(least(l.y1, r.y1) - greatest(l.y0, r.y0), 0)"
 _LR = "fp l join fp r on l.scan_id = r.scan_id and l.box_id < r.box_id"
 
 
 def _pairs(spark, sf_dir, reach):
-    return ops.near_pairs(ops.footprint(boxes(spark, sf_dir)), reach, 0.5)
+    return ops.near_pairs(ops.footprint(room_boxes(spark, sf_dir)), reach, 0.5)
 
 
 @query(f"{_B}, p as (select l.scan_id, l.box_id as a, r.box_id as b, {_GAP} as gap from {_LR}) select scan_id, a, b, {q6('gap')} as gap from p where gap <= 0.3")
@@ -37,7 +37,7 @@ select d.door_id, r.box_id as object_id, {q6(_AREA.replace('l.', 'd.'))} as bloc
 )
 def door_zone_block(spark, sf_dir):
     """Objects in the 0.6 m zone before a door; doors are few per scan, so the zone side is gridded too."""
-    b = ops.footprint(boxes(spark, sf_dir))
+    b = ops.footprint(room_boxes(spark, sf_dir))
     zone = b.filter("label = 0").select("scan_id", "box_id", F.lit(0).alias("label"), (F.col("cx") - 0.3).alias("x0"), (F.col("cx") + 0.3).alias("x1"), F.col("cy").alias("y0"), (F.col("cy") + 0.6).alias("y1"))
     objects = b.filter("label <> 0").select("scan_id", "box_id", "label", "x0", "x1", "y0", "y1")
     cells = lambda f: f.withColumn("gx", F.explode(F.sequence(F.floor(F.col("x0") / 0.5), F.floor(F.col("x1") / 0.5)))).withColumn("gy", F.explode(F.sequence(F.floor(F.col("y0") / 0.5), F.floor(F.col("y1") / 0.5))))
@@ -76,7 +76,7 @@ def argmin_wall(spark, sf_dir):
     """The nearest of four walls by distance + 0.02 x turn; the walls are an array per box, so no join at all."""
     turn = lambda a: F.abs(F.pmod(F.degrees("yaw") - a + 90, F.lit(180.0)) - 90)
     costs = F.array(*(F.struct((F.abs(F.col("cx" if axis == "x" else "cy") - place) + 0.02 * turn(angle)).alias("cost"), F.lit(i).alias("wall_id")) for i, axis, place, angle in _WALLS))
-    return boxes(spark, sf_dir).select("box_id", F.array_min(costs).alias("b")).select("box_id", "b.wall_id", r6("b.cost").alias("cost"))
+    return room_boxes(spark, sf_dir).select("box_id", F.array_min(costs).alias("b")).select("box_id", "b.wall_id", r6("b.cost").alias("cost"))
 
 
 @query(
@@ -85,7 +85,7 @@ select label, box_id, {q6('greatest(sx, sy)')} as extent from k where r = 1"""
 )
 def candidate_extent(spark, sf_dir):
     extent = F.greatest("sx", "sy")
-    ok = boxes(spark, sf_dir).filter((extent <= 0.38) & (F.col("cz") - F.col("sz") / 2 <= 2))
+    ok = room_boxes(spark, sf_dir).filter((extent <= 0.38) & (F.col("cz") - F.col("sz") / 2 <= 2))
     return ok.groupBy("label").agg(F.min(F.struct(extent.alias("extent"), "box_id")).alias("b")).select("label", "b.box_id", r6("b.extent").alias("extent"))
 
 
@@ -96,7 +96,7 @@ select box_id, case when around >= 3 and strip >= 6 then 'strict' when around >=
 def opening_density(spark, sf_dir):
     around = F.count("*").over(Window.partitionBy("scan_id", F.floor("cx"), F.floor("cy")))
     strip = F.count("*").over(Window.partitionBy("scan_id", F.floor("cx")))
-    n = boxes(spark, sf_dir).select("box_id", around.alias("around"), strip.alias("strip"))
+    n = room_boxes(spark, sf_dir).select("box_id", around.alias("around"), strip.alias("strip"))
     decision = F.when((F.col("around") >= 3) & (F.col("strip") >= 6), "strict").when(F.col("around") >= 3, "semantic_window").when(F.col("strip") >= 6, "semantic_door").otherwise("rejected")
     return n.select("box_id", decision.alias("decision"), r6(F.col("around") / F.col("strip")).alias("density"))
 
@@ -119,7 +119,7 @@ def nearest_two(spark, sf_dir):
 @query(f"{_B} select box_id, {q6('x1 - x0')} as dx, {q6('y1 - y0')} as dy, {q6(_TURN.replace('angle', '32'))} as turn, {q6('sx * sy * sz')} as volume from fp")
 def footprints(spark, sf_dir):
     turn = F.abs(F.pmod(F.degrees("yaw") - 32 + 90, F.lit(180.0)) - 90)
-    return ops.footprint(boxes(spark, sf_dir)).select("box_id", r6(F.col("x1") - F.col("x0")).alias("dx"), r6(F.col("y1") - F.col("y0")).alias("dy"), r6(turn).alias("turn"), r6(F.col("sx") * F.col("sy") * F.col("sz")).alias("volume"))
+    return ops.footprint(room_boxes(spark, sf_dir)).select("box_id", r6(F.col("x1") - F.col("x0")).alias("dx"), r6(F.col("y1") - F.col("y0")).alias("dy"), r6(turn).alias("turn"), r6(F.col("sx") * F.col("sy") * F.col("sz")).alias("volume"))
 
 
 @query(
@@ -138,25 +138,25 @@ def overlap_rivals(spark, sf_dir):
 @query()
 def nms_greedy(spark, sf_dir):
     """Greedy suppression of boxes of one label in one scan (view), best score first."""
-    return ops.suppressed(boxes(spark, sf_dir), 0.5, 0.5).select("box_id", "kept")
+    return ops.suppressed(room_boxes(spark, sf_dir), 0.5, 0.5).select("box_id", "kept")
 
 
 @query()
 def nms_across_labels(spark, sf_dir):
     """Suppression across the labels of containers (cabinet, wardrobe, shelf: 1 to 3) where boxes nearly coincide."""
-    return ops.suppressed(boxes(spark, sf_dir).filter("label between 1 and 3"), 0.85, 0.5, same_label=False).select("box_id", "kept")
+    return ops.suppressed(room_boxes(spark, sf_dir).filter("label between 1 and 3"), 0.85, 0.5, same_label=False).select("box_id", "kept")
 
 
 @query()
 def duplicate_removal(spark, sf_dir):
     """Of objects that overlap by 60 % of the smaller footprint at about one height, the one with priority stays."""
-    return ops.without_duplicates(boxes(spark, sf_dir), 0.5).select("box_id", "kept")
+    return ops.without_duplicates(room_boxes(spark, sf_dir), 0.5).select("box_id", "kept")
 
 
 @query()
 def near_duplicate_boxes(spark, sf_dir):
     """Boxes of one label that nearly coincide: the largest volume stays."""
-    return ops.without_near_copies(boxes(spark, sf_dir)).select("box_id", "kept")
+    return ops.without_near_copies(room_boxes(spark, sf_dir)).select("box_id", "kept")
 
 
 @query("select p_brand as class, count(*) as n, round(quantile_cont(p_size, 0.9), 6) + 0.0 as top_height, round(quantile_cont(p_size, 0.99) - quantile_cont(p_size, 0.01), 6) + 0.0 as range from part group by 1")

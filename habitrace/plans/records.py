@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from habitrace.functions import text
 from habitrace.operators import records
 from habitrace.plans.define import q6, query, r6
-from habitrace.sources.driver_tables import BOXES_SQL, FRAMES_SQL, POINTS_SQL, boxes, frames, points, table
+from habitrace.sources.driver_tables import FRAMES_SQL, ROOM_BOXES_SQL, ROOM_POINTS_SQL, frames, room_boxes, room_points, table
 
-_B, _F, _P = f"with {BOXES_SQL}", f"with {FRAMES_SQL}", f"with {POINTS_SQL}"
+_B, _F, _P = f"with {ROOM_BOXES_SQL}", f"with {FRAMES_SQL}", f"with {ROOM_POINTS_SQL}"
 
 
 @query("select user_id as scan_id, array_to_string(list_sort(list_distinct(list(event_type))), '. ') || '.' as prompt from events group by 1")
@@ -120,7 +120,7 @@ def camera_records(spark, sf_dir):
     c, s = F.cos("yaw"), F.sin("yaw")
     rotation = F.array(F.array(c, -s, F.lit(0.0)), F.array(s, c, F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
     written = F.to_json(F.struct(F.col("box_id").alias("id"), *(F.lit(v).alias(k) for k, v in (("fx", 500.0), ("fy", 500.0), ("cx", 320.0), ("cy", 240.0), ("width", 640), ("height", 480))), rotation.alias("rotation"), F.array("cx", "cy", "cz").alias("position")))
-    b = boxes(spark, sf_dir).select(records.camera(written).alias("c"))
+    b = room_boxes(spark, sf_dir).select(records.camera(written).alias("c"))
     return b.select(F.col("c.id").alias("box_id"), r6(F.col("c.r")[0][0]).alias("r00"), r6(F.col("c.r")[0][1]).alias("r01"), *(r6(F.col("c.t")[i]).alias(f"t{i}") for i in range(3)), F.col("c.image_size")[0].alias("width"))
 
 
@@ -128,7 +128,7 @@ def camera_records(spark, sf_dir):
 def refinement_projection(spark, sf_dir):
     """Box centres through a pinhole that never divides by less than 1e-6, with the direction of the long axis."""
     u, v = records.project(F.col("cx"), F.col("cy"), F.col("cz"), 500.0, 500.0, 320.0, 240.0)
-    b = boxes(spark, sf_dir).filter("cz > 0.01 or cz < 0 and abs(cx) < 0.5 and abs(cy) < 0.5")
+    b = room_boxes(spark, sf_dir).filter("cz > 0.01 or cz < 0 and abs(cx) < 0.5 and abs(cy) < 0.5")
     return b.select("box_id", r6(u).alias("u"), r6(v).alias("v"), r6(F.cos("yaw")).alias("ax"), r6(F.sin("yaw")).alias("ay"))
 
 
@@ -258,7 +258,7 @@ def instance_sets(spark, sf_dir):
     from habitrace.session import new_path
 
     path = new_path(spark, "instances")
-    points(spark, sf_dir).select("scan_id", F.col("label").alias("instance"), "point_id").write.partitionBy("instance").parquet(path)
+    room_points(spark, sf_dir).select("scan_id", F.col("label").alias("instance"), "point_id").write.partitionBy("instance").parquet(path)
     kept = spark.read.parquet(path).groupBy("scan_id", F.col("instance").cast("bigint").alias("label"))
     return kept.agg(F.countDistinct("point_id").alias("n"), F.min("point_id").alias("first"), F.max("point_id").alias("last"), F.sum("point_id").alias("total"))
 
@@ -269,7 +269,7 @@ def point_maps(spark, sf_dir):
     from habitrace.session import new_path
 
     path = new_path(spark, "maps")
-    points(spark, sf_dir).write.partitionBy("scan_id").parquet(path)
+    room_points(spark, sf_dir).write.partitionBy("scan_id").parquet(path)
     return spark.read.parquet(path).filter("scan_id = 1").select("point_id", r6("z").alias("z"))
 
 
@@ -285,4 +285,4 @@ def height_band(spark, sf_dir):
     """Finite points within the height band, both ends included."""
     from habitrace.operators import spatial
 
-    return points(spark, sf_dir).filter(spatial.finite("x", "y", "z") & spatial.height_band("z")).select("point_id", "x", "y", "z")
+    return room_points(spark, sf_dir).filter(spatial.finite("x", "y", "z") & spatial.height_band("z")).select("point_id", "x", "y", "z")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from habitrace.operators import poses, splats, strips
 from habitrace.plans.define import q6, query, r6
 from habitrace.plans.rooms import _P, _metric
-from habitrace.sources.driver_tables import POINTS_SQL, points
+from habitrace.sources.driver_tables import ROOM_POINTS_SQL, room_points
 
 MOST = 12
 
@@ -31,11 +31,11 @@ def frame_poses(spark, sf_dir):
 
 
 #: A frame's record, a frame for each vector: quality, gates and a pose turned around z.
-_FRAMES = f"with {POINTS_SQL}, f as (select scan_id, point_id as frame_id, 300 + 900 * x as focal, 800 + point_id * 37 % 900 as inliers, abs(y) * 10 as error, abs(z) * 1000 as sharpness, case when point_id % 9 = 4 then 'few_inliers' when abs(y) * 10 > 2.5 then 'reprojection' end as reason, x, y, z from points)"
+_FRAMES = f"with {ROOM_POINTS_SQL}, f as (select scan_id, point_id as frame_id, 300 + 900 * x as focal, 800 + point_id * 37 % 900 as inliers, abs(y) * 10 as error, abs(z) * 1000 as sharpness, case when point_id % 9 = 4 then 'few_inliers' when abs(y) * 10 > 2.5 then 'reprojection' end as reason, x, y, z from points)"
 
 
 def _frames(spark, sf_dir):
-    p, error = points(spark, sf_dir), F.abs("y") * 10
+    p, error = room_points(spark, sf_dir), F.abs("y") * 10
     reason = F.when(F.col("point_id") % 9 == 4, "few_inliers").when(error > 2.5, "reprojection")
     told = p.select("scan_id", F.col("point_id").alias("frame_id"), (300 + 900 * F.col("x")).alias("focal"), (800 + F.col("point_id") * 37 % 900).alias("inliers"), error.alias("error"), (F.abs("z") * 1000).alias("sharpness"), reason.alias("reason"), *"xyz")
     return told.withColumn("accepted", F.col("reason").isNull())

@@ -7,26 +7,26 @@ from pyspark.sql import functions as F
 from habitrace.operators import layout as boxes_ops
 from habitrace.operators import rooms
 from habitrace.plans.define import q6, query, r6
-from habitrace.sources.driver_tables import BOXES_SQL, POINTS_SQL, boxes, points
+from habitrace.sources.driver_tables import ROOM_BOXES_SQL, ROOM_POINTS_SQL, room_boxes, room_points
 
 #: Points in metres (tenfold) and the rooms they bound.
-_P = f"with {POINTS_SQL}, p as (select scan_id, point_id, label, x * 10 as x, y * 10 as y, z * 10 + 1 as z from points)"
+_P = f"with {ROOM_POINTS_SQL}, p as (select scan_id, point_id, label, x * 10 as x, y * 10 as y, z * 10 + 1 as z from points)"
 _R = "room as (select scan_id, quantile_cont(x, 0.01) as lo_x, quantile_cont(x, 0.99) as hi_x, quantile_cont(y, 0.01) as lo_y, quantile_cont(y, 0.99) as hi_y, least(greatest(quantile_cont(z, 0.99) - greatest(quantile_cont(z, 0.01), 0), 1.8), 4.5) as height from p group by 1)"
 
 
 def _metric(spark, sf_dir):
     axis = lambda c, k=0.0: (F.col(c) * 10 + k).alias(c)
-    return points(spark, sf_dir).select("scan_id", "point_id", "label", axis("x"), axis("y"), axis("z", 1.0))
+    return room_points(spark, sf_dir).select("scan_id", "point_id", "label", axis("x"), axis("y"), axis("z", 1.0))
 
 
 _D = "d as (select scan_id, avg(x) as dx, avg(y) as dy, avg(z) + 0.05 as dz from points group by 1), u as (select scan_id, dx / (sqrt(dx*dx+dy*dy+dz*dz) + 1e-12) as x, dy / (sqrt(dx*dx+dy*dy+dz*dz) + 1e-12) as y, dz / (sqrt(dx*dx+dy*dy+dz*dz) + 1e-12) as c from d), k as (select *, (1 - c) / (x*x + y*y + 1e-12) as k from u)"
 _ROT = [["1 - k*x*x", "-k*x*y", "-x"], ["-k*x*y", "1 - k*y*y", "-y"], ["x", "y", "1 - k*(x*x + y*y)"]]
 
 
-@query(f"with {POINTS_SQL}, {_D} select scan_id, " + ", ".join(f"{q6(_ROT[i][j])} as r{i}{j}" for i in range(3) for j in range(3)) + " from k")
+@query(f"with {ROOM_POINTS_SQL}, {_D} select scan_id, " + ", ".join(f"{q6(_ROT[i][j])} as r{i}{j}" for i in range(3) for j in range(3)) + " from k")
 def rotation_to_up(spark, sf_dir):
     """The least rotation that turns each scan's up direction to +z."""
-    d = points(spark, sf_dir).groupBy("scan_id").agg(F.avg("x").alias("dx"), F.avg("y").alias("dy"), (F.avg("z") + 0.05).alias("dz"))
+    d = room_points(spark, sf_dir).groupBy("scan_id").agg(F.avg("x").alias("dx"), F.avg("y").alias("dy"), (F.avg("z") + 0.05).alias("dz"))
     rows = rooms.rotation_to_z(F.col("dx"), F.col("dy"), F.col("dz"))
     return d.select("scan_id", *(r6(rows[i][j]).alias(f"r{i}{j}") for i in range(3) for j in range(3)))
 
@@ -34,10 +34,10 @@ def rotation_to_up(spark, sf_dir):
 _TURNED = [" + ".join(f"({r.replace('x', 'k.x').replace('y', 'k.y').replace('k*', 'k.k*')}) * p.{c}" for r, c in zip(row, "xyz")) for row in _ROT]
 
 
-@query(f"with {POINTS_SQL}, {_D}, f as (select scan_id, quantile_cont(z, 0.01) as floor from points group by 1) select p.scan_id, p.point_id, {q6(f'({_TURNED[0]}) * 1.37')} as x, {q6(f'({_TURNED[1]}) * 1.37')} as y, {q6(f'({_TURNED[2]} - f.floor) * 1.37')} as z from points p join k using (scan_id) join f using (scan_id)")
+@query(f"with {ROOM_POINTS_SQL}, {_D}, f as (select scan_id, quantile_cont(z, 0.01) as floor from points group by 1) select p.scan_id, p.point_id, {q6(f'({_TURNED[0]}) * 1.37')} as x, {q6(f'({_TURNED[1]}) * 1.37')} as y, {q6(f'({_TURNED[2]} - f.floor) * 1.37')} as z from points p join k using (scan_id) join f using (scan_id)")
 def rigid_alignment(spark, sf_dir):
     """Points turned to +z, put on the floor and scaled."""
-    p = points(spark, sf_dir)
+    p = room_points(spark, sf_dir)
     d = p.groupBy("scan_id").agg(F.avg("x").alias("dx"), F.avg("y").alias("dy"), (F.avg("z") + 0.05).alias("dz"), F.percentile("z", 0.01).alias("floor"))
     aligned = rooms.rigid_align(rooms.rotation_to_z(F.col("dx"), F.col("dy"), F.col("dz")), F.col("floor"), F.lit(1.37))
     return p.join(d, "scan_id").select("scan_id", "point_id", *(r6(c).alias(n) for c, n in zip(aligned, "xyz")))
@@ -57,11 +57,11 @@ _O = "o as (select scan_id, box_id as opening_id, case when label = 0 then 'door
 
 
 def _openings(spark, sf_dir):
-    b = boxes(spark, sf_dir).filter("label in (0, 1)")
+    b = room_boxes(spark, sf_dir).filter("label in (0, 1)")
     return b.select("scan_id", F.col("box_id").alias("opening_id"), F.when(F.col("label") == 0, "door").otherwise("window").alias("kind"), "cx", "cy", (F.col("cz") + 1).alias("cz"), (F.col("sx") * 2).alias("width"), (F.col("sz") * 3).alias("height"), F.when(F.col("box_id") % 2 == 0, F.col("box_id") % 4).alias("preferred"))
 
 
-@query(f"{_P}, {BOXES_SQL}, {_O} select p.scan_id, p.point_id, o.opening_id from p join o using (scan_id) where case when opening_id % 4 in (1, 3) then abs(p.y - o.cy) else abs(p.x - o.cx) end <= width / 2 + 0.08 and p.z between o.cz - height / 2 - 0.08 and o.cz + height / 2 + 0.08")
+@query(f"{_P}, {ROOM_BOXES_SQL}, {_O} select p.scan_id, p.point_id, o.opening_id from p join o using (scan_id) where case when opening_id % 4 in (1, 3) then abs(p.y - o.cy) else abs(p.x - o.cx) end <= width / 2 + 0.08 and p.z between o.cz - height / 2 - 0.08 and o.cz + height / 2 + 0.08")
 def points_in_openings(spark, sf_dir):
     """Points within an opening of its wall."""
     p = _metric(spark, sf_dir).select("scan_id", "point_id", "x", "y", "z").withColumn("g", F.floor("z")).alias("p")
@@ -72,7 +72,7 @@ def points_in_openings(spark, sf_dir):
     return met.filter(rooms.inside_opening(of("p", "xyz"), of("o", ("wall_id", "cx", "cy", "cz", "width", "height")))).select("p.scan_id", "p.point_id", "o.opening_id")
 
 
-_EV = f"""{_P}, {_R}, {BOXES_SQL}, {_O}, w(wall_id) as (values (0), (1), (2), (3)),
+_EV = f"""{_P}, {_R}, {ROOM_BOXES_SQL}, {_O}, w(wall_id) as (values (0), (1), (2), (3)),
 np as (select p.scan_id, w.wall_id, case when w.wall_id in (1, 3) then p.y else p.x end as along, p.z from p join room using (scan_id) cross join w where abs(case w.wall_id when 0 then p.y - lo_y when 1 then p.x - hi_x when 2 then p.y - hi_y else p.x - lo_x end) < 0.12),
 e as (select scan_id, opening_id, kind, width, wall_id, case when wall_id in (1, 3) then cy else cx end as middle, case when kind = 'door' then 0.03 else greatest(0.35, cz - height / 2) end as z0, case when kind = 'door' then least(height, 2.4) else cz + height / 2 end as z1 from {{o}} cross join w),
 t as (select *, least(z1 + 0.2, 3.2) as top, least(z1 + 0.45, 3.2) as ab from e),
@@ -130,11 +130,11 @@ def _face_steps() -> str:
     return ", ".join(chain) + f" select scan_id, box_id, {', '.join(f'{q6(a)} as {a}' for a in ('cx', 'cy', 'sx', 'sy'))} from {last}"
 
 
-@query(f"{_P}, {_R}, {BOXES_SQL}, s0 as (select b.scan_id, b.box_id, b.yaw / 4 as yaw, b.cx, b.cy, b.sx, b.sy, lo_x, hi_x, lo_y, hi_y from boxes b join room using (scan_id)), {_face_steps()}")
+@query(f"{_P}, {_R}, {ROOM_BOXES_SQL}, s0 as (select b.scan_id, b.box_id, b.yaw / 4 as yaw, b.cx, b.cy, b.sx, b.sy, lo_x, hi_x, lo_y, hi_y from boxes b join room using (scan_id)), {_face_steps()}")
 def face_snap(spark, sf_dir):
     """Boxes whose face ends just short of a wall get the missing part."""
     room = rooms.bounds(_metric(spark, sf_dir)).drop("height")
-    b = boxes(spark, sf_dir).select("scan_id", "box_id", (F.col("yaw") / 4).alias("yaw"), "cx", "cy", "sx", "sy").join(room, "scan_id")
+    b = room_boxes(spark, sf_dir).select("scan_id", "box_id", (F.col("yaw") / 4).alias("yaw"), "cx", "cy", "sx", "sy").join(room, "scan_id")
     s = rooms.snap_faces(*(F.col(c) for c in ("cx", "cy", "sx", "sy", "yaw")), {c: F.col(c) for c in ("lo_x", "hi_x", "lo_y", "hi_y")})
     return b.select("scan_id", "box_id", s.alias("s")).select("scan_id", "box_id", *(r6(f"s.{c}").alias(c) for c in ("cx", "cy", "sx", "sy")))
 
@@ -178,16 +178,16 @@ def _rect_sql() -> str:
     return f"pr as (select l.scan_id, l.box_id as a, r.box_id as b, {' or '.join(apart)} as apart, {cols} from fp l join fp r on l.scan_id = r.scan_id and l.box_id < r.box_id where greatest(l.x0, r.x0) - least(l.x1, r.x1) <= 0.3 and greatest(l.y0, r.y0) - least(l.y1, r.y1) <= 0.3), di as (select scan_id, a, b, case when not apart then 0.0 else least({', '.join(dist)}) end as d from pr)"
 
 
-@query(f"with {BOXES_SQL}, {boxes_ops.FOOTPRINT_SQL}, {_rect_sql()} select scan_id, a, b, {q6('d')} as clearance from di where d <= 0.3")
+@query(f"with {ROOM_BOXES_SQL}, {boxes_ops.FOOTPRINT_SQL}, {_rect_sql()} select scan_id, a, b, {q6('d')} as clearance from di where d <= 0.3")
 def rectangle_clearance(spark, sf_dir):
     """Exact clearance of turned footprints within 0.3 m."""
-    pairs = boxes_ops.near_pairs(rooms.with_corners(boxes_ops.footprint(boxes(spark, sf_dir))), 0.3, 0.5)
+    pairs = boxes_ops.near_pairs(rooms.with_corners(boxes_ops.footprint(room_boxes(spark, sf_dir))), 0.3, 0.5)
     found = pairs.select(F.col("l.scan_id").alias("scan_id"), F.col("l.box_id").alias("a"), F.col("r.box_id").alias("b"), rooms.rectangle_distance().alias("d"))
     return found.filter("d <= 0.3").select("scan_id", "a", "b", r6("d").alias("clearance"))
 
 
 @query(
-    f"""{_P}, {BOXES_SQL}, c as (select scan_id, floor(y / 0.4)::bigint as row, floor(x / 0.4)::bigint as col, label from p), bb as (select scan_id, min(row) as r0, max(row) as r1, min(col) as c0, max(col) as c1 from c group by 1),
+    f"""{_P}, {ROOM_BOXES_SQL}, c as (select scan_id, floor(y / 0.4)::bigint as row, floor(x / 0.4)::bigint as col, label from p), bb as (select scan_id, min(row) as r0, max(row) as r1, min(col) as c0, max(col) as c1 from c group by 1),
 free as (select b.scan_id, r.row, k.col from bb b, lateral (select unnest(range(r0 - 1, r1 + 2)) as row) r, lateral (select unnest(range(c0 - 1, c1 + 2)) as col) k where not exists (select 1 from c where c.scan_id = b.scan_id and c.row = r.row and c.col = k.col and label < 3)),
 path as (select * from free where col = 0), i as (select scan_id, box_id as risk_id, floor(cy / 0.4)::bigint as row, floor(cx / 0.4)::bigint as col from boxes where label = 9),
 j as (select i.*, exists (select 1 from free f where f.scan_id = i.scan_id and f.row = i.row and f.col = i.col) as in_free from i), d as (select j.scan_id, j.risk_id, min(sqrt(pow(j.row - path.row, 2) + pow(j.col - path.col, 2))) * 0.4 as d from j join path using (scan_id) where in_free group by 1, 2)
@@ -198,7 +198,7 @@ def passage_intrusion(spark, sf_dir):
     from habitrace.operators import grid
 
     free = grid.cells(_metric(spark, sf_dir), 0.4, F.col("label") < 3).filter("not blocked")
-    risks = boxes(spark, sf_dir).filter("label = 9").select("scan_id", F.col("box_id").alias("risk_id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    risks = room_boxes(spark, sf_dir).filter("label = 9").select("scan_id", F.col("box_id").alias("risk_id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
     found = rooms.corridor_intrusion(risks, free, free.filter("col = 0"), 0.4)
     return found.select("scan_id", "risk_id", "in_free", r6("distance").alias("distance"), "in_passage")
 
@@ -207,7 +207,7 @@ _SIZES = "sx as size_x, sy as size_y, sz as size_z"
 
 
 @query(
-    f"""{_P}, {_R}, {BOXES_SQL}, b as (select boxes.scan_id, box_id, label, {_SIZES}, boxes.cx, boxes.cy, lo_x, hi_x, lo_y, hi_y from boxes join room using (scan_id)),
+    f"""{_P}, {_R}, {ROOM_BOXES_SQL}, b as (select boxes.scan_id, box_id, label, {_SIZES}, boxes.cx, boxes.cy, lo_x, hi_x, lo_y, hi_y from boxes join room using (scan_id)),
 c as (select *, case when box_id % 2 = 0 then hi_x - (case when box_id % 3 = 0 then size_y else size_x end) / 2 else lo_x + (case when box_id % 3 = 0 then size_y else size_x end) / 2 end as nx, case when box_id % 4 < 2 then hi_y - (case when box_id % 3 = 0 then size_x else size_y end) / 2 else lo_y + (case when box_id % 3 = 0 then size_x else size_y end) / 2 end as ny, case when box_id % 3 = 0 then 90.0 else 0.0 end as yaw from b where label = 1),
 m as (select b.scan_id, b.box_id, 'mounted' as rule, c.nx + 0.1 * cos(radians(c.yaw)) as nx, c.ny + 0.1 * sin(radians(c.yaw)) as ny, c.size_z / 2 + c.size_z / 2 + b.size_z / 2 as nz, c.yaw from b join (select scan_id, max(box_id) as box_id from c group by 1) k using (scan_id) join c on c.box_id = k.box_id where b.label = 4),
 w as (select scan_id, box_id, case when box_id % 4 in (0, 2) then case when box_id % 2 = 0 and box_id % 8 < 4 then lo_x + size_x / 2 + 0.2 else hi_x - size_x / 2 - 0.2 end when box_id % 4 = 3 then lo_x + size_y / 2 else hi_x - size_y / 2 end as nx, case when box_id % 4 = 0 then lo_y + size_y / 2 when box_id % 4 = 2 then hi_y - size_y / 2 when box_id % 8 < 4 then lo_y + size_x / 2 + 0.2 else hi_y - size_x / 2 - 0.2 end as ny, size_z / 2 as nz, case when box_id % 4 in (0, 2) then 0.0 else 90.0 end as yaw from b where label = 2),
@@ -216,7 +216,7 @@ select scan_id, box_id, 'corner' as rule, {q6('nx')} as cx, {q6('ny')} as cy, {q
 )
 def layout_constraints(spark, sf_dir):
     """Furniture placed by rules: in a corner, along a wall, beside what stands in a corner, mounted on it."""
-    b = boxes(spark, sf_dir).select("scan_id", "box_id", "label", *(F.col(f"s{a}").alias(f"size_{a}") for a in "xyz")).join(rooms.bounds(_metric(spark, sf_dir)).drop("height"), "scan_id")
+    b = room_boxes(spark, sf_dir).select("scan_id", "box_id", "label", *(F.col(f"s{a}").alias(f"size_{a}") for a in "xyz")).join(rooms.bounds(_metric(spark, sf_dir)).drop("height"), "scan_id")
     number = F.col("box_id")
     corner = F.concat(F.when(number % 2 == 0, "+x").otherwise("-x"), F.when(number % 4 < 2, ",+y").otherwise(",-y"))
     placed = rooms.place_in_corner(b.filter("label = 1").withColumns({"corner": corner, "long_axis": F.when(number % 3 == 0, "y").otherwise("x")}))

@@ -10,24 +10,24 @@ from habitrace.plans.define import q6, query, r6
 from habitrace.session import new_path
 from habitrace.sources import ply
 from habitrace.sources import ply_source as ply_files
-from habitrace.sources.driver_tables import BOXES_SQL, FRAMES_SQL, POINTS_SQL, boxes, frames, points, table
+from habitrace.sources.driver_tables import FRAMES_SQL, ROOM_BOXES_SQL, ROOM_POINTS_SQL, frames, room_boxes, room_points, table
 
-_P = f"with {POINTS_SQL}"
-_B = f"with {BOXES_SQL}"
+_P = f"with {ROOM_POINTS_SQL}"
+_B = f"with {ROOM_BOXES_SQL}"
 _F = f"with {FRAMES_SQL}"
 
 
 @query(f"{_P} select scan_id, row_number() over (partition by scan_id order by point_id) - 1 as point_id, x::float::double as x, y::float::double as y, z::float::double as z from points")
 def ply_roundtrip(spark, sf_dir):
     """Clouds written as PLY files and read again: single precision, order kept."""
-    return ply.decoded(ply.encoded(points(spark, sf_dir)))
+    return ply.decoded(ply.encoded(room_points(spark, sf_dir)))
 
 
 @query(f"{_P} select scan_id, row_number() over (partition by scan_id order by point_id) - 1 as point_id, x::float::double as x, (label / 10.0)::float::double as red, abs(y)::float::double as green, abs(z)::float::double as blue from points")
 def ply_colours(spark, sf_dir):
     """Clouds with float colours (six properties) written and read again."""
     colours = {"red": F.col("label") / 10.0, "green": F.abs("y"), "blue": F.abs("z")}
-    files = ply.encoded(points(spark, sf_dir).withColumns(colours), extra=tuple(colours))
+    files = ply.encoded(room_points(spark, sf_dir).withColumns(colours), extra=tuple(colours))
     return ply.decoded(files, tuple(colours)).select("scan_id", "point_id", "x", *colours)
 
 
@@ -35,19 +35,19 @@ def ply_colours(spark, sf_dir):
 def ply_source(spark, sf_dir):
     """Clouds written by the data source "ply" and read again, numbered through a scan's files."""
     path = new_path(spark, "clouds")
-    ply_files.write_clouds(points(spark, sf_dir).withColumn("red", F.col("label") / 10.0), path, ("red",))
+    ply_files.write_clouds(room_points(spark, sf_dir).withColumn("red", F.col("label") / 10.0), path, ("red",))
     return ply_files.read_clouds(spark, path, ("red",))
 
 
 @query(f"{_P}, v as (select scan_id, min(point_id) as point_id from points group by scan_id, floor(x / 0.03), floor(y / 0.03), floor(z / 0.03)), k as (select *, row_number() over (partition by scan_id order by md5(point_id::varchar), point_id) as k from v) select scan_id, point_id from k where k <= 30000")
 def preview_sample(spark, sf_dir):
     """A cloud's preview: voxels of 3 cm, at most 30,000 points a scan (the feature)."""
-    return sampling.preview(points(spark, sf_dir), 0.03, 30000)
+    return sampling.preview(room_points(spark, sf_dir), 0.03, 30000)
 
 
 @query(f"{_P} select scan_id, point_id, label % 4 as risk from points where (point_id // 5) % 4 = label % 4")
 def stride_highlight(spark, sf_dir):
-    return points(spark, sf_dir).filter("floor(point_id / 5) % 4 = label % 4").select("scan_id", "point_id", (F.col("label") % 4).alias("risk"))
+    return room_points(spark, sf_dir).filter("floor(point_id / 5) % 4 = label % 4").select("scan_id", "point_id", (F.col("label") % 4).alias("risk"))
 
 
 @query("select o_orderkey + 1000000000 as scan_id, o_custkey as project_id, 'cloned' as status, o_orderkey as origin from orders where o_orderpriority like '2%'")
@@ -58,7 +58,7 @@ def clone_scan(spark, sf_dir):
 @query(f"{_P}, e as (select label, quantile_cont(x, 0.15) as lo, quantile_cont(x, 0.85) as hi from points group by 1), s as (select p.label, count(*) filter (where x < lo) as n_lo, avg((z < 0)::int) filter (where x < lo) as s_lo, avg((z < 0)::int) filter (where x > hi) as s_hi from points p join e using (label) group by 1) select label, n_lo, s_lo >= 0.55 as trim_low, s_hi >= 0.55 as trim_high from s")
 def bed_end_trim(spark, sf_dir):
     """Which ends of an instance (15% margins) are mostly low points and would be trimmed."""
-    p = points(spark, sf_dir)
+    p = room_points(spark, sf_dir)
     e = p.groupBy("label").agg(F.percentile("x", F.array(F.lit(0.15), F.lit(0.85))).alias("q"))
     low = (F.col("z") < 0).cast("int")
     at_lo, at_hi = F.col("x") < F.col("q")[0], F.col("x") > F.col("q")[1]
@@ -72,14 +72,14 @@ def wall_sheet(spark, sf_dir):
     cell = Window.partitionBy("scan_id", F.floor(F.col("x") / 0.08))
     scan = Window.partitionBy("scan_id")
     tall = F.max("z").over(cell) - F.min("z").over(cell) > 0.3
-    c = points(spark, sf_dir).select("scan_id", "point_id", tall.alias("tall"))
+    c = room_points(spark, sf_dir).select("scan_id", "point_id", tall.alias("tall"))
     k = c.withColumns({"n": F.count("*").over(scan), "kept": F.count_if(~F.col("tall")).over(scan)})
     return k.filter("not tall or kept < 0.25 * n or kept < 20").select("scan_id", "point_id")
 
 
 @query(f"{_P}, q as (select label, quantile_cont(z, 0.35) - 0.02 as cut from points group by 1) select p.point_id from points p join q using (label) where p.z > q.cut")
 def flat_surface(spark, sf_dir):
-    p = points(spark, sf_dir)
+    p = room_points(spark, sf_dir)
     q = p.groupBy("label").agg((F.percentile("z", 0.35) - 0.02).alias("cut"))
     return p.join(q, "label").filter("z > cut").select("point_id")
 
@@ -87,7 +87,7 @@ def flat_surface(spark, sf_dir):
 @query(f"{_B} select o.box_id from boxes o where o.sz >= 0.4 and least(o.sx, o.sy) < 0.25 and o.label between 1 and 5 and exists (select 1 from boxes d where d.label = 0 and d.scan_id = o.scan_id and abs(d.cx - o.cx) < (d.sx + o.sx) / 2 and abs(d.cy - o.cy) < (d.sy + o.sy) / 2)")
 def closed_door_reject(spark, sf_dir):
     """Tall thin objects over a door are its closed panel."""
-    b = boxes(spark, sf_dir)
+    b = room_boxes(spark, sf_dir)
     o = b.filter("sz >= 0.4 and least(sx, sy) < 0.25 and label between 1 and 5").alias("o")
     d = b.filter("label = 0").alias("d")
     near = (F.col("d.scan_id") == F.col("o.scan_id")) & (F.abs(F.col("d.cx") - F.col("o.cx")) < (F.col("d.sx") + F.col("o.sx")) / 2) & (F.abs(F.col("d.cy") - F.col("o.cy")) < (F.col("d.sy") + F.col("o.sy")) / 2)
@@ -119,14 +119,14 @@ select scan_id, {q6('widest')} as widest, {q6('baseline')} as baseline, {q6('0.7
 )
 def view_diversity(spark, sf_dir):
     """Widest angle (70 %) and longest baseline over the object's scale (30 %) of all of a scan's views."""
-    found = views.diversity(points(spark, sf_dir), F.lit(0.8))
+    found = views.diversity(room_points(spark, sf_dir), F.lit(0.8))
     return found.select("scan_id", *(r6(c).alias(c) for c in ("widest", "baseline", "diversity")))
 
 
 @query(f"{_P}, s as (select *, case when x * first_value(x) over w + y * first_value(y) over w + z * first_value(z) over w < 0 then -1 else 1 end as sg from points window w as (partition by scan_id order by point_id rows between unbounded preceding and unbounded following)) select scan_id, " + ", ".join(f"{q6(f'quantile_cont(sg * {c}, 0.5)')} as u{c}" for c in "xyz") + " from s group by 1")
 def camera_up_hint(spark, sf_dir):
     """Median of image-up vectors after turning each to the side of the first."""
-    p = points(spark, sf_dir)
+    p = room_points(spark, sf_dir)
     first = p.groupBy("scan_id").agg(F.min_by(F.struct("x", "y", "z"), "point_id").alias("f"))
     dot = F.col("x") * F.col("f.x") + F.col("y") * F.col("f.y") + F.col("z") * F.col("f.z")
     s = p.join(first, "scan_id").withColumn("sg", F.when(dot < 0, -1).otherwise(1))
@@ -136,7 +136,7 @@ def camera_up_hint(spark, sf_dir):
 @query(f"{_P}, m as (select scan_id, regr_slope(z, x) as a, regr_intercept(z, x) as c from points group by 1), r as (select p.scan_id, x, z, abs(z - a * x - c) as e from points p join m using (scan_id)), q as (select scan_id, quantile_cont(e, 0.9) as cut from r group by 1) select r.scan_id, {q6('regr_slope(z, x)')} as slope, {q6('regr_intercept(z, x)')} as base from r join q using (scan_id) where e <= cut group by 1")
 def floor_refit(spark, sf_dir):
     """Least squares, then again on the best nine tenths."""
-    p = points(spark, sf_dir)
+    p = room_points(spark, sf_dir)
     m = p.groupBy("scan_id").agg(F.regr_slope("z", "x").alias("a"), F.regr_intercept("z", "x").alias("c"))
     r = p.join(m, "scan_id").select("scan_id", "x", "z", F.abs(F.col("z") - F.col("a") * F.col("x") - F.col("c")).alias("e"))
     q = r.groupBy("scan_id").agg(F.percentile("e", 0.9).alias("cut"))
@@ -147,7 +147,7 @@ def floor_refit(spark, sf_dir):
 def room_dimensions(spark, sf_dir):
     above = F.percentile(F.when(F.col("z") > 0, F.col("z")), 0.95)
     length = F.percentile("x", 0.98) - F.percentile("x", 0.02)
-    return points(spark, sf_dir).groupBy("scan_id").agg(r6(length).alias("length"), r6(F.coalesce(above, F.lit(0.0)) - F.percentile("z", 0.05)).alias("height"), F.when(F.count_if(F.col("z") > 0) >= 20, "ok").otherwise("fallback").alias("method"))
+    return room_points(spark, sf_dir).groupBy("scan_id").agg(r6(length).alias("length"), r6(F.coalesce(above, F.lit(0.0)) - F.percentile("z", 0.05)).alias("height"), F.when(F.count_if(F.col("z") > 0) >= 20, "ok").otherwise("fallback").alias("method"))
 
 
 @query(f"{_F}, e as (select scan_id, kind, count(*) as n, count(distinct view_id) as views, avg(value) as v from frames group by 1, 2) select scan_id, kind, case when views < 2 then 'rejected' when n < 10 then 'ambiguous' when v < 20 then 'weak' when v < 30 then 'usable' else 'clean' end as status, concat_ws(',', case when views < 3 then 'too_few_views' end, case when n < 12 then 'too_few_points' end) as reasons from e")
@@ -164,13 +164,13 @@ def censored_residual(spark, sf_dir):
     """Edges at the image border give no constraint; a fully clipped box is held by its centre."""
     lo, hi = F.col("cx") - F.col("sx") / 2, F.col("cx") + F.col("sx") / 2
     edge = F.greatest(F.when(lo > -3, F.abs(lo + 1)).otherwise(0.0), F.when(hi < 3, F.abs(hi - 1)).otherwise(0.0))
-    return boxes(spark, sf_dir).select("scan_id", "box_id", F.when((lo <= -3) & (hi >= 3), F.abs("cx")).otherwise(edge).alias("residual"))
+    return room_boxes(spark, sf_dir).select("scan_id", "box_id", F.when((lo <= -3) & (hi >= 3), F.abs("cx")).otherwise(edge).alias("residual"))
 
 
 @query(f"{_P}, r as (select *, row_number() over (partition by label, floor(x * 20), floor(y * 20) order by point_id) as k from points) select point_id from r where k = 1")
 def drop_duplicate_observations(spark, sf_dir):
     """The first observation of each (kind, rounded place)."""
-    return points(spark, sf_dir).groupBy("label", F.floor(F.col("x") * 20), F.floor(F.col("y") * 20)).agg(F.min("point_id").alias("point_id")).select("point_id")
+    return room_points(spark, sf_dir).groupBy("label", F.floor(F.col("x") * 20), F.floor(F.col("y") * 20)).agg(F.min("point_id").alias("point_id")).select("point_id")
 
 
 _CELLS = "o as (select distinct scan_id, floor(x / 0.06)::bigint as col, floor(y / 0.06)::bigint as row from points)"
@@ -178,7 +178,7 @@ _CELLS = "o as (select distinct scan_id, floor(x / 0.06)::bigint as col, floor(y
 
 @query(f"{_P}, {_CELLS} select a.scan_id, a.row, a.col, count(b.row) as neighbours from o a left join o b on a.scan_id = b.scan_id and abs(a.row - b.row) + abs(a.col - b.col) = 1 group by 1, 2, 3")
 def occupied_neighbours(spark, sf_dir):
-    o = points(spark, sf_dir).select("scan_id", spatial.cell("x", 0.06).alias("col"), spatial.cell("y", 0.06).alias("row")).distinct()
+    o = room_points(spark, sf_dir).select("scan_id", spatial.cell("x", 0.06).alias("col"), spatial.cell("y", 0.06).alias("row")).distinct()
     steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c, _ in graph.FOUR))
     told = o.select("scan_id", "row", "col", F.explode(steps).alias("s")).groupBy("scan_id", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col")).agg(F.count("*").alias("n"))
     return o.join(told, ["scan_id", "row", "col"], "left").select("scan_id", "row", "col", F.coalesce("n", F.lit(0)).alias("neighbours"))
@@ -189,7 +189,7 @@ _OPENED = "c as (select scan_id, floor(x / 0.1)::bigint as col, floor(y / 0.1)::
 
 
 def obstacle_grid(spark, sf_dir):
-    return grid.obstacle_cells(points(spark, sf_dir), 0.1, 2, 0.0)
+    return grid.obstacle_cells(room_points(spark, sf_dir), 0.1, 2, 0.0)
 
 
 @query(f"{_P}, {_OPENED} select scan_id, row, col from op")
@@ -201,7 +201,7 @@ def grid_opening(spark, sf_dir):
 @query(f"{_P}, {_CELLS}, b as (select scan_id, min(row) as r0, max(row) as r1, min(col) as c0, max(col) as c1 from o group by 1), g as (select b.scan_id, r.row, c.col from b, lateral (select unnest(range(r0, r1 + 1)) as row) r, lateral (select unnest(range(c0, c1 + 1)) as col) c) select g.scan_id, g.row, g.col from g where not exists (select 1 from o where o.scan_id = g.scan_id and o.row = g.row and o.col = g.col)")
 def plane_completion(spark, sf_dir):
     """Floor cells of the bounding rectangle that no point observed."""
-    o = points(spark, sf_dir).select("scan_id", spatial.cell("y", 0.06).alias("row"), spatial.cell("x", 0.06).alias("col")).distinct()
+    o = room_points(spark, sf_dir).select("scan_id", spatial.cell("y", 0.06).alias("row"), spatial.cell("x", 0.06).alias("col")).distinct()
     b = o.groupBy("scan_id").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
     g = b.select("scan_id", F.explode(F.sequence("r0", "r1")).alias("row"), "c0", "c1").select("scan_id", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
     return g.join(o, ["scan_id", "row", "col"], "left_anti").select("scan_id", "row", "col")
@@ -211,7 +211,7 @@ def plane_completion(spark, sf_dir):
 def camera_audit(spark, sf_dir):
     """How many points each camera convention would see."""
     seen = lambda d: F.count_if((d > 0.1) & (F.abs(500 * F.col("x") / d) <= 20))
-    return points(spark, sf_dir).groupBy("scan_id").agg(seen(F.col("z") + 2).alias("forward"), seen(2 - F.col("z")).alias("backward"))
+    return room_points(spark, sf_dir).groupBy("scan_id").agg(seen(F.col("z") + 2).alias("forward"), seen(2 - F.col("z")).alias("backward"))
 
 
 @query(f"{_F}, a as (select * from frames where kind = 'view'), b as (select * from frames where kind = 'click') select a.scan_id, a.view_id, count(*) as pairs, {q6('sum(least(a.value, b.value))')} as confidence from a join b on a.scan_id = b.scan_id and a.view_id = b.view_id group by 1, 2")
@@ -254,7 +254,7 @@ def confidence_minimum(spark, sf_dir):
 @query(f"{_P} select floor(x / 0.2)::bigint + 100 * (floor(y / 0.2)::bigint + 100 * floor(z / 0.2)::bigint) as voxel, count(*) as n from points group by 1")
 def voxel_hash(spark, sf_dir):
     key = spatial.cell("x", 0.2) + 100 * (spatial.cell("y", 0.2) + 100 * spatial.cell("z", 0.2))
-    return points(spark, sf_dir).groupBy(key.alias("voxel")).agg(F.count("*").alias("n"))
+    return room_points(spark, sf_dir).groupBy(key.alias("voxel")).agg(F.count("*").alias("n"))
 
 
 @query("select page_id, regexp_extract(url, '^(https?)://([^/?#]+)', 1) as scheme, lower(regexp_extract(url, '^(https?)://([^/?#]+)', 2)) as host, url like 'https://%' and not contains(url, '#') as safe from pages")
@@ -286,7 +286,7 @@ def room_documents(spark, sf_dir):
     """Versioned JSON documents per scan, boxes in order; a document holds a run of 1,000 box ids at most."""
     items = F.sort_array(F.collect_list(F.struct("box_id", "label", r6("cx").alias("cx"), r6("cy").alias("cy"))))
     doc = F.to_json(F.struct(F.lit(1).alias("schema_version"), F.count("*").alias("count"), items.alias("objects")))
-    return boxes(spark, sf_dir).groupBy("scan_id", F.floor(F.col("box_id") / 1000).alias("run")).agg(doc.alias("document"))
+    return room_boxes(spark, sf_dir).groupBy("scan_id", F.floor(F.col("box_id") / 1000).alias("run")).agg(doc.alias("document"))
 
 
 @query()
@@ -303,7 +303,7 @@ def route_cells(spark, sf_dir):
 @query()
 def adaptive_dbscan(spark, sf_dir):
     """Density clusters with a radius per label: four median nearest-neighbour gaps, clipped."""
-    p = points(spark, sf_dir).select(F.col("label").alias("scan_id"), "point_id", "x", "y", "z")
+    p = room_points(spark, sf_dir).select(F.col("label").alias("scan_id"), "point_id", "x", "y", "z")
     near = spatial.radius_pairs(p, 0.18)
     gap = near.groupBy("scan_id", "a").agg(F.min("d").alias("d")).groupBy("scan_id").agg(F.least(F.greatest(4 * F.median("d"), F.lit(0.06)), F.lit(0.18)).alias("eps"))
     pairs = near.join(gap, "scan_id").filter("d <= eps").select("scan_id", "a", "b")

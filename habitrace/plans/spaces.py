@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from habitrace.operators import space, spatial
 from habitrace.plans.define import query, r6
 from habitrace.plans.rooms import _metric
-from habitrace.sources.driver_tables import BOXES_SQL, boxes
+from habitrace.sources.driver_tables import ROOM_BOXES_SQL, room_boxes
 
 
 def _objects(spark, sf_dir):
@@ -47,7 +47,7 @@ _GAP = "least(" + ", ".join(f"sqrt(pow(l.x{i} - r.x{j}, 2) + pow(l.y{i} - r.y{j}
 
 
 @query(
-    f"""with {BOXES_SQL}, o as (select scan_id, box_id, cx, cy, cz, {', '.join(_CORNER.format(a=a, b=b, i=i) for i, (a, b) in enumerate(_TURNS))} from boxes),
+    f"""with {ROOM_BOXES_SQL}, o as (select scan_id, box_id, cx, cy, cz, {', '.join(_CORNER.format(a=a, b=b, i=i) for i, (a, b) in enumerate(_TURNS))} from boxes),
 d as (select l.scan_id, l.box_id as instance_id, r.box_id as other_id, sqrt((l.cx - r.cx) * (l.cx - r.cx) + (l.cy - r.cy) * (l.cy - r.cy) + (l.cz - r.cz) * (l.cz - r.cz)) as d, {_GAP} as gap from o l join o r on l.scan_id = r.scan_id and l.box_id <> r.box_id),
 k as (select *, row_number() over (partition by scan_id, instance_id order by d, other_id) as rank from d) select scan_id, instance_id, rank::int as rank, other_id, round(d, 4) as center_distance, round(gap, 4) as footprint_gap from k where rank <= 2"""
 )
@@ -55,5 +55,5 @@ def semantic_relations(spark, sf_dir):
     """The two nearest objects of each, with the gap of their footprints."""
     c, s, hx, hy, zero = F.cos("yaw"), F.sin("yaw"), F.col("sx") / 2, F.col("sy") / 2, F.lit(0.0)
     foot = F.array(*(F.array(F.col("cx") + c * (a * hx) - s * (b * hy), F.col("cy") + s * (a * hx) + c * (b * hy), zero) for a, b in _TURNS))
-    o = boxes(spark, sf_dir).select("scan_id", F.col("box_id").alias("instance_id"), F.array("cx", "cy", "cz").alias("center"), foot.alias("footprint"))
+    o = room_boxes(spark, sf_dir).select("scan_id", F.col("box_id").alias("instance_id"), F.array("cx", "cy", "cz").alias("center"), foot.alias("footprint"))
     return space.relations(o)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from habitrace.plans.define import q6, query, r6
 from habitrace.session import new_path
-from habitrace.sources.driver_tables import POINTS_SQL, SCAN_SIZE, table
+from habitrace.sources.driver_tables import ROOM_POINTS_SQL, SCAN_SIZE, table
 from habitrace.streaming import jobs
 from habitrace.streaming import status as machine
 from habitrace.streaming.keyed_table import KeyedTable
@@ -44,7 +44,7 @@ def streaming_dedup(spark, sf_dir):
 
 
 @query(
-    f"""with {POINTS_SQL}, a as (select scan_id, floor(x / 0.15)::bigint as vx, floor(y / 0.15)::bigint as vy, floor(z / 0.15)::bigint as vz, label as frame_id, point_id % 3 as block_id, x, y, z from points where label >= 3),
+    f"""with {ROOM_POINTS_SQL}, a as (select scan_id, floor(x / 0.15)::bigint as vx, floor(y / 0.15)::bigint as vy, floor(z / 0.15)::bigint as vz, label as frame_id, point_id % 3 as block_id, x, y, z from points where label >= 3),
 f as (select scan_id, vx, vy, vz, count(*) as n, avg(x) as x, avg(y) as y, avg(z) as z from a group by 1, 2, 3, 4 having count(distinct frame_id) >= 3 and count(distinct block_id) >= 2),
 b as (select scan_id, floor(x / 0.15)::bigint as vx, floor(y / 0.15)::bigint as vy, floor(z / 0.15)::bigint as vz, x, y, z from points where label < 3)
 select scan_id, vx, vy, vz, 'base' as origin, count(*) as n, {q6('avg(x)')} as x, {q6('avg(y)')} as y, {q6('avg(z)')} as z from b group by 1, 2, 3, 4

@@ -8,7 +8,7 @@ from habitrace.operators import completion, matching
 from habitrace.plans.define import query
 from habitrace.plans.registration import _WALLS
 from habitrace.plans.rooms import _P, _metric
-from habitrace.sources.driver_tables import points
+from habitrace.sources.driver_tables import room_points
 
 CELL = 0.4
 
@@ -55,7 +55,7 @@ def floor_completion(spark, sf_dir):
 
 def _candidates(spark, sf_dir):
     """Three reference images of every scan: under a homography where a hash of the point allows it (6, 3 and 0 of ten), elsewhere by chance; each keypoint has a second candidate, for every ninth as near as the first."""
-    p = points(spark, sf_dir)
+    p = room_points(spark, sf_dir)
     key = p.select(F.col("scan_id").alias("query_id"), F.col("point_id").alias("key_id"), (F.col("x") * 500 + 320).alias("x"), (F.col("y") * 500 + 240).alias("y"))
     seen = key.select("*", F.explode(F.sequence(*(F.lit(k).cast("long") for k in (0, 2)))).alias("ref_id"))
     draw = lambda k, n: F.pmod(F.xxhash64("key_id", "ref_id", F.lit(k)), F.lit(n)).cast("double")

@@ -8,7 +8,7 @@ from habitrace.operators import graph, pairs, spatial, tracks
 from habitrace.plans.clouds import _CAM, _projected
 from habitrace.plans.define import q6, query, r6
 from habitrace.plans.graphs import _E, _near
-from habitrace.sources.driver_tables import POINTS_SQL, boxes, points, table
+from habitrace.sources.driver_tables import ROOM_POINTS_SQL, room_boxes, room_points, table
 
 #: Scans are fifteen users each. Observations: runs of 150 events, two a frame, per scan and kind; what they project to are view numbers.
 _OBS = "b as (select distinct user_id // 15 as scan_id, event_type as grp, event_id // 150 as obs_id, cast(json_extract_string(props, '$.k') as bigint) as point_id from events), o as (select distinct scan_id, grp, obs_id, obs_id // 2 as frame_id, obs_id // 2 as frame_order from b)"
@@ -52,13 +52,13 @@ _WALK = "r as (select distinct scan_id, label as node, label as lab from points
 
 
 def _fragments(spark, sf_dir):
-    p = points(spark, sf_dir)
+    p = room_points(spark, sf_dir)
     f = p.select("scan_id", F.col("label").alias("fragment"), "point_id", "x", "y", "z")
     return f, p.select("scan_id", (F.floor(F.col("point_id") / 5) % 5).alias("mask"), (F.col("point_id") % 2).alias("view"), "point_id")
 
 
 @query(
-    f"""with recursive {POINTS_SQL}, {_MASKS}, c as (select scan_id, fragment, mask from h where hits >= 3), s as (select l.scan_id, l.fragment as a, r.fragment as b from c l join c r on l.scan_id = r.scan_id and l.mask = r.mask and l.fragment < r.fragment group by 1, 2, 3 having count(*) >= 2),
+    f"""with recursive {ROOM_POINTS_SQL}, {_MASKS}, c as (select scan_id, fragment, mask from h where hits >= 3), s as (select l.scan_id, l.fragment as a, r.fragment as b from c l join c r on l.scan_id = r.scan_id and l.mask = r.mask and l.fragment < r.fragment group by 1, 2, 3 having count(*) >= 2),
 g as (select a.scan_id, a.label as a, b.label as b from points a join points b on a.scan_id = b.scan_id and a.label < b.label group by 1, 2, 3 having min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) <= 0.125), e as (select s.* from s join g on g.scan_id = s.scan_id and g.a = s.a and g.b = s.b), {_WALK}"""
 )
 def fragment_merge(spark, sf_dir):
@@ -68,7 +68,7 @@ def fragment_merge(spark, sf_dir):
 
 
 @query(
-    f"""with recursive {POINTS_SQL}, {_MASKS}, c as (select h.scan_id, h.fragment, h.mask from h join z on z.scan_id = h.scan_id and z.fragment = h.fragment where hits >= greatest(4, floor(0.25 * size))),
+    f"""with recursive {ROOM_POINTS_SQL}, {_MASKS}, c as (select h.scan_id, h.fragment, h.mask from h join z on z.scan_id = h.scan_id and z.fragment = h.fragment where hits >= greatest(4, floor(0.25 * size))),
 e as (select distinct l.scan_id, l.fragment as a, r.fragment as b from c l join c r on l.scan_id = r.scan_id and l.mask = r.mask and l.fragment < r.fragment), {_WALK}"""
 )
 def same_mask_merge(spark, sf_dir):
@@ -87,12 +87,12 @@ def track_fragment_merge(spark, sf_dir):
 
 
 @query(
-    f"""with recursive {POINTS_SQL}, e as (select a.scan_id, a.point_id as a, b.point_id as b from points a join points b on a.scan_id = b.scan_id and a.point_id <> b.point_id and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 0.1),
+    f"""with recursive {ROOM_POINTS_SQL}, e as (select a.scan_id, a.point_id as a, b.point_id as b from points a join points b on a.scan_id = b.scan_id and a.point_id <> b.point_id and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 0.1),
 s as (select scan_id, min(point_id) as node from points where label = 3 group by 1), r as (select scan_id, node from s union select r.scan_id, e.b from r join e on e.scan_id = r.scan_id and e.a = r.node) select scan_id, node as point_id from r"""
 )
 def seeded_region(spark, sf_dir):
     """Points that a seed reaches in steps of at most 0.1: what a candidate box is augmented by."""
-    p = points(spark, sf_dir)
+    p = room_points(spark, sf_dir)
     seeds = p.filter("label = 3").groupBy(F.col("scan_id").alias("scope")).agg(F.min("point_id").alias("node"))
     edges = spatial.radius_pairs(p, 0.1).select(F.col("scan_id").alias("scope"), "a", "b")
     return graph.reachable(seeds, edges).select(F.col("scope").alias("scan_id"), F.col("node").alias("point_id"))
@@ -101,19 +101,19 @@ def seeded_region(spark, sf_dir):
 @query()
 def complete_link_clusters(spark, sf_dir):
     """Detections of one kind in one room, by complete link at 0.48."""
-    b = boxes(spark, sf_dir).select("scan_id", F.col("label").alias("kind"), F.col("box_id").alias("row_id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    b = room_boxes(spark, sf_dir).select("scan_id", F.col("label").alias("kind"), F.col("box_id").alias("row_id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
     return tracks.link_clusters(b, ["scan_id", "kind"])
 
 
 @query(
-    f"""with recursive {POINTS_SQL}, d as (select a.scan_id, a.point_id as a, b.point_id as b, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) as d from points a join points b on a.scan_id = b.scan_id and a.point_id <> b.point_id),
+    f"""with recursive {ROOM_POINTS_SQL}, d as (select a.scan_id, a.point_id as a, b.point_id as b, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) as d from points a join points b on a.scan_id = b.scan_id and a.point_id <> b.point_id),
 f as (select scan_id, a, max(d) as d from (select *, row_number() over (partition by scan_id, a order by d, b) as k from d) where k <= 4 group by 1, 2), q as (select scan_id, greatest(quantile_cont(d, 0.25) * 3, 1e-5) as radius from f group by 1),
 e as (select d.scan_id, d.a, d.b from d join q using (scan_id) where d.d <= radius), r as (select scan_id, point_id as node, point_id as lab from points union select r.scan_id, e.b, r.lab from r join e on e.scan_id = r.scan_id and e.a = r.node)
 select scan_id, component, count(*) as size from (select scan_id, node, min(lab) as component from r group by 1, 2) group by 1, 2"""
 )
 def dense_cores(spark, sf_dir):
     """Components by a radius from the dense quarter of the points."""
-    found = tracks.dense_components(points(spark, sf_dir))
+    found = tracks.dense_components(room_points(spark, sf_dir))
     return found.groupBy("scan_id", "component").agg(F.count("*").alias("size"))
 
 
@@ -126,15 +126,15 @@ n as (select scan_id, cluster, count(*) as n from l where cluster is not null gr
 )
 def largest_cluster(spark, sf_dir):
     """The largest density cluster of each scan."""
-    return tracks.largest(graph.dbscan(points(spark, sf_dir), _near(spark, sf_dir), 4))
+    return tracks.largest(graph.dbscan(room_points(spark, sf_dir), _near(spark, sf_dir), 4))
 
 
 @query()
 def footprint_exclusion(spark, sf_dir):
     """Points around each object without those in the footprints of larger objects before it."""
-    b = boxes(spark, sf_dir).filter("label in (0, 1, 2)")
+    b = room_boxes(spark, sf_dir).filter("label in (0, 1, 2)")
     objects = b.select("scan_id", F.col("box_id").alias("object_id"), F.col("box_id").alias("rank"), "cx", "cy", (F.col("sx") * 4).alias("sx"), (F.col("sy") * 4).alias("sy"), "yaw")
-    p = points(spark, sf_dir).select("scan_id", "point_id", (F.col("x") * 10).alias("x"), (F.col("y") * 10).alias("y"), (F.col("z") * 10).alias("z"))
+    p = room_points(spark, sf_dir).select("scan_id", "point_id", (F.col("x") * 10).alias("x"), (F.col("y") * 10).alias("y"), (F.col("z") * 10).alias("z"))
     wide = b.withColumns({"sx": F.col("sx") * 6, "sy": F.col("sy") * 6, "sz": F.lit(20.0)})
     own = spatial.points_in_boxes(p, wide, (0.0, 0.0, 0.0), 1.0).withColumnRenamed("box_id", "object_id").join(p, ["scan_id", "point_id"])
     return tracks.exclude_footprints(own, objects, 0.10, 5)
@@ -145,20 +145,20 @@ def detection_hits(spark, sf_dir):
     """Points of one label that a detection's mask sees: the nearest surface of each pixel, 3 cm deep."""
     from pyspark.sql import Window
 
-    shown = _projected(spark, sf_dir).join(points(spark, sf_dir).filter("label = 2").select("scan_id", "point_id"), ["scan_id", "point_id"])
+    shown = _projected(spark, sf_dir).join(room_points(spark, sf_dir).filter("label = 2").select("scan_id", "point_id"), ["scan_id", "point_id"])
     d = shown.withColumn("detection", F.when(F.col("pu") % 2 == 0, "left").otherwise("right"))
     near = F.min("depth").over(Window.partitionBy("scan_id", "detection", "pu", "pv"))
     return d.withColumn("near", near).filter("depth - near <= 0.03").select("scan_id", "detection", "point_id")
 
 
 #: Twenty-five observations a scan in two groups: four points each and the first one or three of the observation two further; four observations make a frame.
-_MASKS = f"""with {POINTS_SQL}, i as (select *, point_id % 100 as k, point_id % 100 // 4 as own from points),
+_MASKS = f"""with {ROOM_POINTS_SQL}, i as (select *, point_id % 100 as k, point_id % 100 // 4 as own from points),
 b as (select scan_id, own % 2 as grp, own as obs_id, point_id from i union all select scan_id, own % 2, own - 2, point_id from i where own >= 2 and k % 4 < case when own % 3 = 0 then 3 else 1 end),
 o as (select distinct scan_id, grp, obs_id, obs_id // 4 as frame_id, obs_id // 4 * 2 as frame_order from b)"""
 
 
 def _masks(spark, sf_dir):
-    p = points(spark, sf_dir).withColumns({"k": F.col("point_id") % 100, "own": F.floor(F.col("point_id") % 100 / 4)})
+    p = room_points(spark, sf_dir).withColumns({"k": F.col("point_id") % 100, "own": F.floor(F.col("point_id") % 100 / 4)})
     row = lambda obs: [F.col("scan_id"), (F.col("own") % 2).alias("grp"), obs.alias("obs_id"), F.col("point_id")]
     more = p.filter((F.col("own") >= 2) & (F.col("k") % 4 < F.when(F.col("own") % 3 == 0, 3).otherwise(1)))
     return p, p.select(*row(F.col("own"))).union(more.select(*row(F.col("own") - 2)))
