@@ -116,9 +116,9 @@ def box_support_filter(spark, sf_dir):
 _PAIRS = "pr as (select a.scan_id, a.point_id as a, b.point_id as b, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) as d from points a join points b on a.scan_id = b.scan_id and a.point_id <> b.point_id)"
 
 
-@query(f"{_P}, {_PAIRS} select scan_id, a, b, {q6('d')} as d from pr where d <= 0.08")
+@query(f"{_S}, {_PAIRS} select scan_id, a, b, {q6('d')} as d from pr where d <= 0.08")
 def radius_neighbors(spark, sf_dir):
-    return spatial.radius_pairs(room_points(spark, sf_dir), 0.08).select("scan_id", "a", "b", r6("d").alias("d"))
+    return spatial.radius_pairs(points(spark, sf_dir), 0.08).select("scan_id", "a", "b", r6("d").alias("d"))
 
 
 @query(f"{_P}, {_PAIRS}, c as (select scan_id, a, count(*) as n from pr where d <= 0.12 group by 1, 2) select p.scan_id, p.point_id, coalesce(c.n, 0) >= 3 as kept from points p left join c on p.scan_id = c.scan_id and p.point_id = c.a")

@@ -41,3 +41,8 @@ def test_point_in_box_of_whole_scans(spark, sf_dir, clouds):
 def test_box_support_of_whole_scans(spark, sf_dir, clouds):
     want = {(i, n) for ids, v, _ in clouds.values() for i, n in zip(ids, _within(v, (0.12, 0.12, 0.08)).sum(axis=0)) if n >= 3}
     assert {(r.box_id, r.support) for r in _rows(spark, sf_dir, "box_support_filter")} == want
+
+
+def test_radius_neighbors_of_whole_scans(spark, sf_dir, clouds):
+    want = {(s, ids[a], ids[b]) for s, (ids, v, _) in clouds.items() for a, b in np.argwhere(_distances(v) <= 0.08) if a != b}
+    assert {(r.scan_id, r.a, r.b) for r in _rows(spark, sf_dir, "radius_neighbors")} == want
