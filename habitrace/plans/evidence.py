@@ -11,7 +11,7 @@ from habitrace.plans.define import q6, query, r6
 from habitrace.plans.rooms import _P, _R, _metric
 from habitrace.plans.scans import _OPENED, obstacle_grid
 from habitrace.sources import layout_text
-from habitrace.sources.driver_tables import FRAMES_SQL, ROOM_BOXES_SQL, ROOM_POINTS_SQL, frames, room_boxes, room_points, table
+from habitrace.sources.driver_tables import BOXES_SQL, FRAMES_SQL, POINTS_SQL, ROOM_BOXES_SQL, ROOM_POINTS_SQL, boxes, frames, points, room_boxes, room_points, table
 
 _X, _B, _F = f"with {ROOM_POINTS_SQL}", f"with {ROOM_BOXES_SQL}", f"with {FRAMES_SQL}"
 
@@ -87,11 +87,11 @@ def robust_similarity(spark, sf_dir):
 _MARGINS = {"passage": (0.0, 0.0, 0.0), "opening": (0.08, 0.08, 0.08), "candidate": (0.10, 0.10, 0.10), "instance": (0.12, 0.12, 0.08), "structure": (0.12, 0.12, 0.12), "support": (0.15, 0.15, 0.10)}
 
 
-@query(f"{_B}, {ROOM_POINTS_SQL}, p as (select scan_id, point_id, x * 10 as x, y * 10 as y, z * 10 as z from points)" + " union all ".join(f" select '{n}' as variant, b.box_id, count(*) as n from p join boxes b on p.scan_id = b.scan_id and {spatial.in_obb_sql('p', 'b', *m)} group by 2" for n, m in _MARGINS.items()))
+@query(f"with {BOXES_SQL}, {POINTS_SQL}, p as (select scan_id, point_id, x * 10 as x, y * 10 as y, z * 10 as z from points)" + " union all ".join(f" select '{n}' as variant, b.box_id, count(*) as n from p join boxes b on p.scan_id = b.scan_id and {spatial.in_obb_sql('p', 'b', *m)} group by 2" for n, m in _MARGINS.items()))
 def box_margins(spark, sf_dir):
     """Points in boxes under the six margins that the stages use; one join at the widest, the others from it."""
-    p = room_points(spark, sf_dir).select("scan_id", "point_id", *((F.col(c) * 10).alias(c) for c in "xyz"))
-    b = room_boxes(spark, sf_dir)
+    p = points(spark, sf_dir).select("scan_id", "point_id", *((F.col(c) * 10).alias(c) for c in "xyz"))
+    b = boxes(spark, sf_dir)
     wide = spatial.points_in_boxes(p, b, (0.15, 0.15, 0.12), 0.5).alias("m").join(p.alias("p"), ["scan_id", "point_id"]).join(b.select("box_id", "cx", "cy", "cz", "sx", "sy", "sz", "yaw"), "box_id")
     box = {k: F.col(k) for k in ("cx", "cy", "cz", "sx", "sy", "sz", "yaw")}
     inside = F.array_compact(F.array(*(F.when(spatial.in_obb(F.col("x"), F.col("y"), F.col("z"), box, *m), F.lit(n)) for n, m in _MARGINS.items())))

@@ -46,3 +46,9 @@ def test_box_support_of_whole_scans(spark, sf_dir, clouds):
 def test_radius_neighbors_of_whole_scans(spark, sf_dir, clouds):
     want = {(s, ids[a], ids[b]) for s, (ids, v, _) in clouds.items() for a, b in np.argwhere(_distances(v) <= 0.08) if a != b}
     assert {(r.scan_id, r.a, r.b) for r in _rows(spark, sf_dir, "radius_neighbors")} == want
+
+
+def test_box_margins_of_whole_scans(spark, sf_dir, clouds):
+    margins = {"passage": (0.0, 0.0, 0.0), "opening": (0.08, 0.08, 0.08), "candidate": (0.10, 0.10, 0.10), "instance": (0.12, 0.12, 0.08), "structure": (0.12, 0.12, 0.12), "support": (0.15, 0.15, 0.10)}
+    want = {(name, i): n for ids, v, _ in clouds.values() for name, m in margins.items() for i, n in zip(ids, _within(v, m).sum(axis=0)) if n}
+    assert {(r.variant, r.box_id): r.n for r in _rows(spark, sf_dir, "box_margins")} == want
