@@ -53,10 +53,13 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, margins: tuple[float, f
     return inside.select(F.col("p.scan_id").alias("scan_id"), F.col("p.point_id").alias("point_id"), F.col("b.box_id").alias("box_id"))
 
 
-def radius_pairs(points: DataFrame, radius: float, cols: tuple[str, ...] = ("x", "y", "z"), keep: tuple[str, ...] = ()) -> DataFrame:
-    """(scan_id, a, b, d) for all ordered pairs within ``radius``: the cells around, then the exact distance."""
+def radius_pairs(points: DataFrame, radius: float, cols: tuple[str, ...] = ("x", "y", "z"), keep: tuple[str, ...] = (), others: DataFrame | None = None) -> DataFrame:
+    """(scan_id, a, b, d) for all ordered pairs within ``radius``: the cells around, then the exact distance.
+
+    With ``others`` (the same columns), a is one of these and b one of ``points``.
+    """
     cells = [cell(c, radius).alias(f"g{c}") for c in cols]
-    left = points.select("scan_id", F.col("point_id").alias("a"), *(F.col(c).alias(f"a{c}") for c in cols), *cells, *keep)
+    left = (points if others is None else others).select("scan_id", F.col("point_id").alias("a"), *(F.col(c).alias(f"a{c}") for c in cols), *cells, *keep)
     for c in cols:
         left = left.withColumn(f"g{c}", F.explode(F.array(*(F.col(f"g{c}") + k for k in (-1, 0, 1)))))
     right = points.select("scan_id", F.col("point_id").alias("b"), *(F.col(c).alias(f"b{c}") for c in cols), *cells)
@@ -65,6 +68,23 @@ def radius_pairs(points: DataFrame, radius: float, cols: tuple[str, ...] = ("x",
     return met.filter(F.col("d") <= radius).select("scan_id", "a", "b", "d", *keep)
 
 
+def with_neighbours(points: DataFrame, radius: float, least: int) -> DataFrame:
+    """(scan_id, point_id, kept): whether a point has ``least`` others within ``radius``, exactly.
+
+    Cells of side radius / 1.75 have diagonals under ``radius``: more than
+    ``least`` points in one of them all have their neighbours there. Only the
+    points of emptier cells are measured, against all points around.
+    """
+    p = settled(points.select("scan_id", "point_id", *"xyz", *(cell(c, radius / 1.75).alias(f"s{c}") for c in "xyz")))
+    small = ["scan_id", "sx", "sy", "sz"]
+    full = p.filter(finite(*"xyz")).groupBy(*small).agg(F.count_distinct("point_id").alias("n")).filter(F.col("n") > least).select(*small)
+    crowded = p.join(full, small, "left_semi").select("scan_id", "point_id")
+    rest = settled(p.join(full, small, "left_anti").select("scan_id", "point_id", *"xyz"))
+    n = radius_pairs(p, radius, others=rest).groupBy("scan_id", F.col("a").alias("point_id")).agg(F.count("*").alias("n"))
+    told = rest.join(n, ["scan_id", "point_id"], "left").select("scan_id", "point_id", (F.coalesce("n", F.lit(0)) >= least).alias("kept"))
+    return crowded.withColumn("kept", F.lit(True)).union(told)
+
+
 def nearest(points: DataFrame, others: DataFrame, k: int, reach: float, keys: tuple[str, ...] = ("scan_id",), cols: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """(keys, a, b, d, rank): the ``k`` nearest of ``others`` to each of ``points``, at any distance.
 

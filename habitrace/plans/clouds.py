@@ -121,11 +121,9 @@ def radius_neighbors(spark, sf_dir):
     return spatial.radius_pairs(points(spark, sf_dir), 0.08).select("scan_id", "a", "b", r6("d").alias("d"))
 
 
-@query(f"{_P}, {_PAIRS}, c as (select scan_id, a, count(*) as n from pr where d <= 0.12 group by 1, 2) select p.scan_id, p.point_id, coalesce(c.n, 0) >= 3 as kept from points p left join c on p.scan_id = c.scan_id and p.point_id = c.a")
+@query(f"{_S}, {_PAIRS}, c as (select scan_id, a, count(*) as n from pr where d <= 0.12 group by 1, 2) select p.scan_id, p.point_id, coalesce(c.n, 0) >= 3 as kept from points p left join c on p.scan_id = c.scan_id and p.point_id = c.a")
 def radius_outlier(spark, sf_dir):
-    p = room_points(spark, sf_dir)
-    n = spatial.radius_pairs(p, 0.12).groupBy("scan_id", F.col("a").alias("point_id")).agg(F.count("*").alias("n"))
-    return p.join(n, ["scan_id", "point_id"], "left").select("scan_id", "point_id", (F.coalesce("n", F.lit(0)) >= 3).alias("kept"))
+    return spatial.with_neighbours(points(spark, sf_dir), 0.12, 3)
 
 
 @query(

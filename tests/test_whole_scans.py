@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from habitrace.operators import spatial
 from habitrace.plans import registry
 
 SCANS = 5
@@ -52,3 +53,18 @@ def test_box_margins_of_whole_scans(spark, sf_dir, clouds):
     margins = {"passage": (0.0, 0.0, 0.0), "opening": (0.08, 0.08, 0.08), "candidate": (0.10, 0.10, 0.10), "instance": (0.12, 0.12, 0.08), "structure": (0.12, 0.12, 0.12), "support": (0.15, 0.15, 0.10)}
     want = {(name, i): n for ids, v, _ in clouds.values() for name, m in margins.items() for i, n in zip(ids, _within(v, m).sum(axis=0)) if n}
     assert {(r.variant, r.box_id): r.n for r in _rows(spark, sf_dir, "box_margins")} == want
+
+
+def test_radius_outlier_of_whole_scans(spark, sf_dir, clouds):
+    want = {(s, i): n > 3 for s, (ids, v, _) in clouds.items() for i, n in zip(ids, (_distances(v) <= 0.12).sum(axis=1))}
+    assert {(r.scan_id, r.point_id): r.kept for r in _rows(spark, sf_dir, "radius_outlier")} == want
+
+
+def test_neighbours_in_full_and_empty_cells(spark):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(0, 0.02, (60, 3)), rng.uniform(-1, 1, (200, 3)), np.tile([[2.0, 2.0, 2.0]], (3, 1)), np.tile([[3.0, 3.0, 3.0]], (4, 1))])
+    df = spark.createDataFrame([(k % 2 if k < 260 else 7, k, *map(float, p)) for k, p in enumerate(v)], "scan_id long, point_id long, x double, y double, z double")
+    got = {(r.scan_id, r.point_id): r.kept for r in spatial.with_neighbours(df, 0.12, 3).collect()}
+    scan = np.array([k % 2 if k < 260 else 7 for k in range(len(v))])
+    n = ((_distances(v) <= 0.12) & (scan[:, None] == scan[None])).sum(axis=1) - 1
+    assert got == {(s, k): n[k] >= 3 for k, s in enumerate(scan)} and set(got.values()) == {True, False}
