@@ -121,9 +121,17 @@ def nearest(points: DataFrame, others: DataFrame, k: int, reach: float, keys: tu
         reach *= 2
 
 
+def fitting_reach(points: DataFrame, reach: float, few: int) -> float:
+    """A first reach for growing rings, ``reach`` at most: less where cells of that side hold more than ``few`` others a point."""
+    held = points.groupBy("scan_id", *(cell(c, reach) for c in "xyz")).agg(F.count("*").cast("double").alias("n"))
+    others = held.agg(F.sum(F.col("n") * (F.col("n") - 1)) / F.sum("n")).first()[0] or 0.0
+    return reach * min(1.0, (few / others) ** (1 / 3)) if others else reach
+
+
 def statistical_outliers(points: DataFrame, k: int = 20, ratio: float = 1.6, reach: float = 0.1) -> DataFrame:
     """(scan_id, point_id, mean_d, outlier): mean distance to the ``k`` nearest against mean + ``ratio`` deviations of the scan."""
-    m = nearest(points, points, k, reach).groupBy("scan_id", F.col("a").alias("point_id")).agg(F.avg("d").alias("mean_d"))
+    p = settled(points)
+    m = nearest(p, p, k, fitting_reach(p, reach, k)).groupBy("scan_id", F.col("a").alias("point_id")).agg(F.avg("d").alias("mean_d"))
     limit = m.groupBy("scan_id").agg((F.avg("mean_d") + ratio * F.stddev_samp("mean_d")).alias("limit"))
     return m.join(limit, "scan_id").select("scan_id", "point_id", "mean_d", (F.col("mean_d") > F.col("limit")).alias("outlier"))
 

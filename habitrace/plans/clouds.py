@@ -127,12 +127,12 @@ def radius_outlier(spark, sf_dir):
 
 
 @query(
-    f"""{_P}, {_PAIRS}, k as (select *, row_number() over (partition by scan_id, a order by d, b) as r from pr), m as (select scan_id, a, avg(d) as m from k where r <= 20 group by 1, 2),
+    f"""{_S}, {_PAIRS}, k as (select *, row_number() over (partition by scan_id, a order by d, b) as r from pr), m as (select scan_id, a, avg(d) as m from k where r <= 20 group by 1, 2),
 s as (select scan_id, avg(m) + 1.6 * stddev_samp(m) as lim from m group by 1) select m.scan_id, m.a as point_id, {q6('m.m')} as mean_d, m.m > s.lim as outlier from m join s using (scan_id)"""
 )
 def knn_stat_outlier(spark, sf_dir):
     """Mean distance to the twenty nearest, however far, against mean + 1.6 deviations of the scan."""
-    found = spatial.statistical_outliers(room_points(spark, sf_dir), 20, 1.6)
+    found = spatial.statistical_outliers(points(spark, sf_dir), 20, 1.6)
     return found.select("scan_id", "point_id", r6("mean_d").alias("mean_d"), "outlier")
 
 

@@ -68,3 +68,12 @@ def test_neighbours_in_full_and_empty_cells(spark):
     scan = np.array([k % 2 if k < 260 else 7 for k in range(len(v))])
     n = ((_distances(v) <= 0.12) & (scan[:, None] == scan[None])).sum(axis=1) - 1
     assert got == {(s, k): n[k] >= 3 for k, s in enumerate(scan)} and set(got.values()) == {True, False}
+
+
+def test_knn_stat_outlier_of_whole_scans(spark, sf_dir, clouds):
+    want = {}
+    for s, (ids, v, _) in clouds.items():
+        m = np.sort(_distances(v), axis=1)[:, 1:21].mean(axis=1)
+        limit = m.mean() + 1.6 * m.std(ddof=1)
+        want |= {(s, i): (pytest.approx(d, abs=1e-6), d > limit) for i, d in zip(ids, m)}
+    assert {(r.scan_id, r.point_id): (r.mean_d, r.outlier) for r in _rows(spark, sf_dir, "knn_stat_outlier")} == want
