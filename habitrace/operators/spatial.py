@@ -142,6 +142,8 @@ def set_gaps(points: DataFrame, label: str, reach: float) -> DataFrame:
     Pairs of labels that meet within ``reach`` are done; those that are still
     apart try again with twice the reach.
     """
+    points = settled(points.select("scan_id", "point_id", label, *"xyz"))
+    reach = fitting_reach(points, reach, 4)
     labels = points.select("scan_id", F.col(label).alias("l")).distinct()
     todo = settled(labels.withColumnRenamed("l", "la").join(labels.withColumnRenamed("l", "lb"), "scan_id").filter("la < lb"))
     found = None

@@ -136,10 +136,10 @@ def knn_stat_outlier(spark, sf_dir):
     return found.select("scan_id", "point_id", r6("mean_d").alias("mean_d"), "outlier")
 
 
-@query(f"{_P}, g as (select a.scan_id, a.label as la, b.label as lb, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) as d from points a join points b on a.scan_id = b.scan_id and a.label < b.label group by 1, 2, 3) select scan_id, la, lb, {q6('d')} as gap from g")
+@query(f"{_S}, g as (select a.scan_id, a.label as la, b.label as lb, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) as d from points a join points b on a.scan_id = b.scan_id and a.label < b.label group by 1, 2, 3) select scan_id, la, lb, {q6('d')} as gap from g")
 def nn_gap(spark, sf_dir):
     """Least gap between two labels' point sets, however far apart."""
-    return spatial.set_gaps(room_points(spark, sf_dir), "label", 0.1).select("scan_id", "la", "lb", r6("gap").alias("gap"))
+    return spatial.set_gaps(points(spark, sf_dir), "label", 0.1).select("scan_id", "la", "lb", r6("gap").alias("gap"))
 
 
 #: A pinhole of the fixtures: R = I, t = (0, 0, 2), f = 500, c = (320, 240), 640 x 480.

@@ -77,3 +77,11 @@ def test_knn_stat_outlier_of_whole_scans(spark, sf_dir, clouds):
         limit = m.mean() + 1.6 * m.std(ddof=1)
         want |= {(s, i): (pytest.approx(d, abs=1e-6), d > limit) for i, d in zip(ids, m)}
     assert {(r.scan_id, r.point_id): (r.mean_d, r.outlier) for r in _rows(spark, sf_dir, "knn_stat_outlier")} == want
+
+
+def test_nn_gap_of_whole_scans(spark, sf_dir, clouds):
+    want = {}
+    for s, (_, v, labels) in clouds.items():
+        d = _distances(v)
+        want |= {(s, a, b): pytest.approx(d[np.ix_(labels == a, labels == b)].min(), abs=1e-6) for a in set(labels) for b in set(labels) if a < b}
+    assert {(r.scan_id, r.la, r.lb): r.gap for r in _rows(spark, sf_dir, "nn_gap")} == want
