@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -190,39 +192,45 @@ def with_corners(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("corners", F.array(*(at(a, b) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)))))
 
 
-def _overlap(l: str, r: str) -> Column:
-    """Turned rectangles overlap or touch: no axis of either keeps them apart."""
-    dx, dy = F.col(f"{r}.cx") - F.col(f"{l}.cx"), F.col(f"{r}.cy") - F.col(f"{l}.cy")
-    together = F.lit(True)
-    for side in (l, r):
-        for turn in (0.0, math.pi / 2):
-            ux, uy = F.cos(F.col(f"{side}.yaw") + turn), F.sin(F.col(f"{side}.yaw") + turn)
-            reach = F.lit(0.0)
-            for s in (l, r):
-                c, n = F.cos(f"{s}.yaw"), F.sin(f"{s}.yaw")
-                reach = reach + F.abs(c * ux + n * uy) * F.col(f"{s}.sx") / 2 + F.abs(c * uy - n * ux) * F.col(f"{s}.sy") / 2
-            together = together & (F.abs(dx * ux + dy * uy) <= reach + 1e-12)
-    return together
+def with_axes(boxes: DataFrame) -> DataFrame:
+    """Adds (ux, uy), the direction of each box's first side, so that pairs need no sines."""
+    return boxes.withColumns({"ux": F.cos("yaw"), "uy": F.sin("yaw")})
 
 
-def rectangle_distance(l: str = "l", r: str = "r") -> Column:
-    """Exact distance of two turned rectangles (aliases with cx, cy, sx, sy, yaw and ``with_corners``); 0 where they touch."""
+_BOX = ("cx", "cy", "sx", "sy", "ux", "uy")
+
+
+def _of_pairs(measure: Callable[..., np.ndarray], l: str, r: str) -> Column:
+    """``measure`` of the boxes of each pair, in numpy over whole batches: as one expression it is more code than the JVM compiles."""
+    udf = F.pandas_udf(lambda *c: pd.Series(measure(dict(zip(_BOX, map(np.asarray, c[:6]))), dict(zip(_BOX, map(np.asarray, c[6:]))))), "double")
+    return udf(*(F.col(f"{side}.{c}") for side in (l, r) for c in _BOX))
+
 
-    def to_edges(points: Column, ring: Column) -> Column:
-        def one(p: Column) -> Column:
-            def edge(i: Column) -> Column:
-                a, b = ring[i], ring[i + 1]
-                ex, ey = b["x"] - a["x"], b["y"] - a["y"]
-                n = ex * ex + ey * ey
-                t = F.when(n <= 1e-12, 0.0).otherwise(F.least(F.greatest(((p["x"] - a["x"]) * ex + (p["y"] - a["y"]) * ey) / n, F.lit(0.0)), F.lit(1.0)))
-                return F.hypot(p["x"] - a["x"] - t * ex, p["y"] - a["y"] - t * ey)
+def _seen_from(s: dict, o: dict) -> tuple[np.ndarray, ...]:
+    """Centre of box s and direction of its first side, in the frame of box o."""
+    turned = lambda x, y: (x * o["ux"] + y * o["uy"], y * o["ux"] - x * o["uy"])
+    return *turned(s["cx"] - o["cx"], s["cy"] - o["cy"]), *turned(s["ux"], s["uy"])
 
-            return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(3)), edge))
 
-        return F.array_min(F.transform(points, one))
+def _rectangles(l: dict, r: dict) -> np.ndarray:
+    together, least = True, np.inf
+    for s, o in ((l, r), (r, l)):
+        u, v, c, n = _seen_from(s, o)
+        a, b, x, y = s["sx"] / 2, s["sy"] / 2, o["sx"] / 2, o["sy"] / 2
+        together = together & (abs(u) <= x + abs(c) * a + abs(n) * b + 1e-12) & (abs(v) <= y + abs(n) * a + abs(c) * b + 1e-12)
+        for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1)):
+            du, dv = np.maximum(abs(u + c * a * i - n * b * j) - x, 0.0), np.maximum(abs(v + n * a * i + c * b * j) - y, 0.0)
+            least = np.minimum(least, du * du + dv * dv)
+    return np.where(together, 0.0, np.sqrt(least))
 
-    a, b = F.col(f"{l}.corners"), F.col(f"{r}.corners")
-    return F.when(_overlap(l, r), 0.0).otherwise(F.least(to_edges(a, b), to_edges(b, a)))
+
+def rectangle_distance(l: str = "l", r: str = "r") -> Column:
+    """Exact distance of two turned rectangles (aliases with cx, cy, sx, sy and ``with_axes``); 0 where they touch.
+
+    No axis of either keeps rectangles apart that overlap; else the least
+    distance is that of a corner of one to the other, told in its frame.
+    """
+    return _of_pairs(_rectangles, l, r)
 
 
 def corridor_intrusion(risks: DataFrame, free: DataFrame, path: DataFrame, size: float, half_width: float = 0.6) -> DataFrame:

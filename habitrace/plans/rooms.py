@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from habitrace.operators import layout as boxes_ops
 from habitrace.operators import rooms
 from habitrace.plans.define import q6, query, r6
-from habitrace.sources.driver_tables import ROOM_BOXES_SQL, ROOM_POINTS_SQL, room_boxes, room_points
+from habitrace.sources.driver_tables import BOXES_SQL, ROOM_BOXES_SQL, ROOM_POINTS_SQL, boxes, room_boxes, room_points
 
 #: Points in metres (tenfold) and the rooms they bound.
 _P = f"with {ROOM_POINTS_SQL}, p as (select scan_id, point_id, label, x * 10 as x, y * 10 as y, z * 10 + 1 as z from points)"
@@ -178,10 +178,10 @@ def _rect_sql() -> str:
     return f"pr as (select l.scan_id, l.box_id as a, r.box_id as b, {' or '.join(apart)} as apart, {cols} from fp l join fp r on l.scan_id = r.scan_id and l.box_id < r.box_id where greatest(l.x0, r.x0) - least(l.x1, r.x1) <= 0.3 and greatest(l.y0, r.y0) - least(l.y1, r.y1) <= 0.3), di as (select scan_id, a, b, case when not apart then 0.0 else least({', '.join(dist)}) end as d from pr)"
 
 
-@query(f"with {ROOM_BOXES_SQL}, {boxes_ops.FOOTPRINT_SQL}, {_rect_sql()} select scan_id, a, b, {q6('d')} as clearance from di where d <= 0.3")
+@query(f"with {BOXES_SQL}, {boxes_ops.FOOTPRINT_SQL}, {_rect_sql()} select scan_id, a, b, {q6('d')} as clearance from di where d <= 0.3")
 def rectangle_clearance(spark, sf_dir):
     """Exact clearance of turned footprints within 0.3 m."""
-    pairs = boxes_ops.near_pairs(rooms.with_corners(boxes_ops.footprint(room_boxes(spark, sf_dir))), 0.3, 0.5)
+    pairs = boxes_ops.near_pairs(rooms.with_axes(boxes_ops.footprint(boxes(spark, sf_dir))), 0.3, 0.5)
     found = pairs.select(F.col("l.scan_id").alias("scan_id"), F.col("l.box_id").alias("a"), F.col("r.box_id").alias("b"), rooms.rectangle_distance().alias("d"))
     return found.filter("d <= 0.3").select("scan_id", "a", "b", r6("d").alias("clearance"))
 

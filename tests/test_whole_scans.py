@@ -85,3 +85,35 @@ def test_nn_gap_of_whole_scans(spark, sf_dir, clouds):
         d = _distances(v)
         want |= {(s, a, b): pytest.approx(d[np.ix_(labels == a, labels == b)].min(), abs=1e-6) for a in set(labels) for b in set(labels) if a < b}
     assert {(r.scan_id, r.la, r.lb): r.gap for r in _rows(spark, sf_dir, "nn_gap")} == want
+
+
+def _to_edges(p, q):
+    """Least distance of the corners of each rectangle (n, 4, 2) to the edges of its partner."""
+    best = np.full(len(p), np.inf)
+    for j in range(4):
+        a, e = q[:, None, j], q[:, None, (j + 1) % 4] - q[:, None, j]
+        t = np.clip(((p - a) * e).sum(-1) / (e * e).sum(-1), 0, 1)
+        best = np.minimum(best, np.linalg.norm(p - a - t[..., None] * e, axis=-1).min(axis=1))
+    return best
+
+
+def _pairs(v):
+    """(a, b, corners of a, corners of b, apart) of all pairs of boxes of a scan."""
+    c, size, yaw = v[:, :2] * 10, (abs(v[:, 3:5]) + 0.05) * 2, v[:, 6] * 3
+    u, w = np.stack([np.cos(yaw), np.sin(yaw)], -1), np.stack([-np.sin(yaw), np.cos(yaw)], -1)
+    ring = np.stack([c + u * size[:, :1] / 2 * i + w * size[:, 1:] / 2 * j for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))], 1)
+    a, b = np.triu_indices(len(v), 1)
+    apart = np.zeros(len(a), bool)
+    for axis in (u[a], w[a], u[b], w[b]):
+        m, n = (ring[a] * axis[:, None]).sum(-1), (ring[b] * axis[:, None]).sum(-1)
+        apart |= (m.max(1) < n.min(1)) | (n.max(1) < m.min(1))
+    return a, b, ring[a], ring[b], apart
+
+
+def test_rectangle_clearance_of_whole_scans(spark, sf_dir, clouds):
+    want = {}
+    for s, (ids, v, _) in clouds.items():
+        a, b, p, q, apart = _pairs(v)
+        d = np.where(apart, np.minimum(_to_edges(p, q), _to_edges(q, p)), 0.0)
+        want |= {(s, ids[i], ids[j]): pytest.approx(k, abs=1e-6) for i, j, k in zip(a, b, d) if k <= 0.3}
+    assert {(r.scan_id, r.a, r.b): r.clearance for r in _rows(spark, sf_dir, "rectangle_clearance")} == want
