@@ -185,13 +185,6 @@ def snap_yaw(rectangles: DataFrame, points: DataFrame, keys: list[str], proximit
     return j.select(*keys, "snapped", own(F.col("turned"), "yaw").alias("yaw"), own(F.when(F.col("t") == 0.0, mu).otherwise(mv), "cx").alias("cx"), own(F.when(F.col("t") == 0.0, mv).otherwise(-mu), "cy").alias("cy"), own(F.col("u1") - F.col("u0"), "length").alias("length"), own(F.col("v1") - F.col("v0"), "width").alias("width"))
 
 
-def with_corners(boxes: DataFrame) -> DataFrame:
-    """Adds ``corners``: the four corners in turn, the first again at the end."""
-    c, s = F.cos("yaw"), F.sin("yaw")
-    at = lambda a, b: F.struct((F.col("cx") + c * (F.col("sx") / 2 * a) - s * (F.col("sy") / 2 * b)).alias("x"), (F.col("cy") + s * (F.col("sx") / 2 * a) + c * (F.col("sy") / 2 * b)).alias("y"))
-    return boxes.withColumn("corners", F.array(*(at(a, b) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)))))
-
-
 def with_axes(boxes: DataFrame) -> DataFrame:
     """Adds (ux, uy), the direction of each box's first side, so that pairs need no sines."""
     return boxes.withColumns({"ux": F.cos("yaw"), "uy": F.sin("yaw")})
@@ -285,21 +278,24 @@ def place_on_parent(rules: DataFrame) -> DataFrame:
 def legacy_gap(l: str = "l", r: str = "r") -> Column:
     """The approximate gap of the older passage code: the least separation over axes from corners in its order, 0 without one.
 
-    Two of the four sides it takes are diagonals, and it takes the least of
-    the gaps, not the distance; kept for reports that were made with it.
+    Two of the four sides it takes are diagonals, the other two are parallel,
+    and it takes the least of the gaps, not the distance; kept for reports that
+    were made with it. Shadows that are apart are so by the distance of their
+    middles less both halves.
     """
-    order = (1, 4, 2, 3)  # places of (-,-), (-,+), (+,-), (+,+) among with_corners
-    ring = {s: [F.col(f"{s}.corners")[k - 1] for k in order] for s in (l, r)}
-    gaps = []
-    for s in (l, r):
-        for i in range(4):
-            a, b = ring[s][i], ring[s][(i + 1) % 4]
-            nx, ny = -(b["y"] - a["y"]), b["x"] - a["x"]
-            n = F.greatest(F.hypot(nx, ny), F.lit(1e-12))
-            shadow = {k: [(p["x"] * nx + p["y"] * ny) / n for p in ring[k]] for k in (l, r)}
-            gap = F.greatest(F.least(*shadow[l]), F.least(*shadow[r])) - F.least(F.greatest(*shadow[l]), F.greatest(*shadow[r]))
-            gaps.append(F.when(gap > 1e-9, gap))
-    return F.coalesce(F.array_min(F.array_compact(F.array(*gaps))), F.lit(0.0))
+    return _of_pairs(_legacy, l, r)
+
+
+def _legacy(l: dict, r: dict) -> np.ndarray:
+    least = np.inf
+    for s, o in ((l, r), (r, l)):
+        u, v, c, n = _seen_from(o, s)
+        x, y = s["sx"], s["sy"]
+        long = np.maximum(np.sqrt(x * x + y * y), 1e-12)
+        for i, j in ((np.minimum(y / 1e-12, 1.0), 0.0), (y / long, x / long), (y / long, -x / long)):
+            gap = abs(i * u + j * v) - (abs(i) * x + abs(j) * y) / 2 - (abs(i * c + j * n) * o["sx"] + abs(j * c - i * n) * o["sy"]) / 2
+            least = np.where(gap > 1e-9, np.minimum(least, gap), least)
+    return np.where(np.isinf(least), 0.0, least)
 
 
 def missing_openings(points: DataFrame, room_walls: DataFrame, room: DataFrame, least: int = 30, views: int = 2) -> DataFrame:

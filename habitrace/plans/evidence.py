@@ -31,10 +31,10 @@ def _legacy_sql() -> str:
     return f"pr as (select l.box_id as a, r.box_id as b, {cols} from fp l join fp r on l.scan_id = r.scan_id and l.box_id < r.box_id where greatest(l.x0, r.x0) - least(l.x1, r.x1) <= 0.3 and greatest(l.y0, r.y0) - least(l.y1, r.y1) <= 0.3) select a, b, {q6(f'coalesce({least}, 0.0)')} as gap from pr"
 
 
-@query(f"{_B}, {boxes_ops.FOOTPRINT_SQL}, {_legacy_sql()}")
+@query(f"with {BOXES_SQL}, {boxes_ops.FOOTPRINT_SQL}, {_legacy_sql()}")
 def legacy_clearance(spark, sf_dir):
     """The older, approximate gap of footprints that are near."""
-    pairs = boxes_ops.near_pairs(rooms.with_corners(boxes_ops.footprint(room_boxes(spark, sf_dir))), 0.3, 0.5)
+    pairs = boxes_ops.near_pairs(rooms.with_axes(boxes_ops.footprint(boxes(spark, sf_dir))), 0.3, 0.5)
     return pairs.select(F.col("l.box_id").alias("a"), F.col("r.box_id").alias("b"), r6(rooms.legacy_gap()).alias("gap"))
 
 

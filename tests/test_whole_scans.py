@@ -117,3 +117,21 @@ def test_rectangle_clearance_of_whole_scans(spark, sf_dir, clouds):
         d = np.where(apart, np.minimum(_to_edges(p, q), _to_edges(q, p)), 0.0)
         want |= {(s, ids[i], ids[j]): pytest.approx(k, abs=1e-6) for i, j, k in zip(a, b, d) if k <= 0.3}
     assert {(r.scan_id, r.a, r.b): r.clearance for r in _rows(spark, sf_dir, "rectangle_clearance")} == want
+
+
+def test_legacy_clearance_of_whole_scans(spark, sf_dir, clouds):
+    want = {}
+    for ids, v, _ in clouds.values():
+        a, b, p, q, _ = _pairs(v)
+        low, high = np.maximum(p.min(1), q.min(1)), np.minimum(p.max(1), q.max(1))
+        near, least = ((low - high) <= 0.3).all(axis=1), np.full(len(a), np.inf)
+        for ring in (p, q):
+            order = ring[:, [0, 3, 1, 2]]
+            for i in range(4):
+                e = order[:, (i + 1) % 4] - order[:, i]
+                axis = np.stack([-e[:, 1], e[:, 0]], -1) / np.linalg.norm(e, axis=1)[:, None]
+                m, n = ((k * axis[:, None]).sum(-1) for k in (p, q))
+                gap = np.maximum(m.min(1), n.min(1)) - np.minimum(m.max(1), n.max(1))
+                least = np.where(gap > 1e-9, np.minimum(least, gap), least)
+        want |= {(ids[i], ids[j]): pytest.approx(g, abs=1e-6) for i, j, g in zip(a[near], b[near], np.where(least < np.inf, least, 0.0)[near])}
+    assert {(r.a, r.b): r.gap for r in _rows(spark, sf_dir, "legacy_clearance")} == want
