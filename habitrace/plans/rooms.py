@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from habitrace.operators import layout as boxes_ops
 from habitrace.operators import rooms
 from habitrace.plans.define import q6, query, r6
-from habitrace.sources.driver_tables import BOXES_SQL, ROOM_BOXES_SQL, ROOM_POINTS_SQL, boxes, room_boxes, room_points
+from habitrace.sources.driver_tables import BOXES_SQL, POINTS_SQL, ROOM_BOXES_SQL, ROOM_POINTS_SQL, boxes, points, room_boxes, room_points
 
 #: Points in metres (tenfold) and the rooms they bound.
-_P = f"with {ROOM_POINTS_SQL}, p as (select scan_id, point_id, label, x * 10 as x, y * 10 as y, z * 10 + 1 as z from points)"
+_TENFOLD = "p as (select scan_id, point_id, label, x * 10 as x, y * 10 as y, z * 10 + 1 as z from points)"
+_P = f"with {ROOM_POINTS_SQL}, {_TENFOLD}"
 _R = "room as (select scan_id, quantile_cont(x, 0.01) as lo_x, quantile_cont(x, 0.99) as hi_x, quantile_cont(y, 0.01) as lo_y, quantile_cont(y, 0.99) as hi_y, least(greatest(quantile_cont(z, 0.99) - greatest(quantile_cont(z, 0.01), 0), 1.8), 4.5) as height from p group by 1)"
 
 
-def _metric(spark, sf_dir):
+def _metric(spark, sf_dir, clouds=room_points):
     axis = lambda c, k=0.0: (F.col(c) * 10 + k).alias(c)
-    return room_points(spark, sf_dir).select("scan_id", "point_id", "label", axis("x"), axis("y"), axis("z", 1.0))
+    return clouds(spark, sf_dir).select("scan_id", "point_id", "label", axis("x"), axis("y"), axis("z", 1.0))
 
 
 _D = "d as (select scan_id, avg(x) as dx, avg(y) as dy, avg(z) + 0.05 as dz from points group by 1), u as (select scan_id, dx / (sqrt(dx*dx+dy*dy+dz*dz) + 1e-12) as x, dy / (sqrt(dx*dx+dy*dy+dz*dz) + 1e-12) as y, dz / (sqrt(dx*dx+dy*dy+dz*dz) + 1e-12) as c from d), k as (select *, (1 - c) / (x*x + y*y + 1e-12) as k from u)"
@@ -56,19 +57,21 @@ def room_walls(spark, sf_dir):
 _O = "o as (select scan_id, box_id as opening_id, case when label = 0 then 'door' else 'window' end as kind, cx, cy, cz + 1 as cz, sx * 2 as width, sz * 3 as height, case when box_id % 2 = 0 then box_id % 4 end as preferred from boxes where label in (0, 1))"
 
 
-def _openings(spark, sf_dir):
-    b = room_boxes(spark, sf_dir).filter("label in (0, 1)")
+def _openings(spark, sf_dir, found=room_boxes):
+    b = found(spark, sf_dir).filter("label in (0, 1)")
     return b.select("scan_id", F.col("box_id").alias("opening_id"), F.when(F.col("label") == 0, "door").otherwise("window").alias("kind"), "cx", "cy", (F.col("cz") + 1).alias("cz"), (F.col("sx") * 2).alias("width"), (F.col("sz") * 3).alias("height"), F.when(F.col("box_id") % 2 == 0, F.col("box_id") % 4).alias("preferred"))
 
 
-@query(f"{_P}, {ROOM_BOXES_SQL}, {_O} select p.scan_id, p.point_id, o.opening_id from p join o using (scan_id) where case when opening_id % 4 in (1, 3) then abs(p.y - o.cy) else abs(p.x - o.cx) end <= width / 2 + 0.08 and p.z between o.cz - height / 2 - 0.08 and o.cz + height / 2 + 0.08")
+@query(f"with {POINTS_SQL}, {_TENFOLD}, {BOXES_SQL}, {_O} select p.scan_id, p.point_id, o.opening_id from p join o using (scan_id) where case when opening_id % 4 in (1, 3) then abs(p.y - o.cy) else abs(p.x - o.cx) end <= width / 2 + 0.08 and p.z between o.cz - height / 2 - 0.08 and o.cz + height / 2 + 0.08")
 def points_in_openings(spark, sf_dir):
-    """Points within an opening of its wall."""
-    p = _metric(spark, sf_dir).select("scan_id", "point_id", "x", "y", "z").withColumn("g", F.floor("z")).alias("p")
-    o = _openings(spark, sf_dir).withColumn("wall_id", F.col("opening_id") % 4)
-    o = o.withColumn("g", F.explode(F.sequence(F.floor(F.col("cz") - F.col("height") / 2 - 0.08), F.floor(F.col("cz") + F.col("height") / 2 + 0.08)))).alias("o")
+    """Points within an opening of its wall; they meet by cells of a metre along the wall and in height."""
+    p = _metric(spark, sf_dir, points).select("scan_id", "point_id", "x", "y", "z", F.floor("z").alias("g"), F.posexplode(F.array(F.floor("x"), F.floor("y"))).alias("axis", "h")).alias("p")
+    o = _openings(spark, sf_dir, boxes).withColumn("wall_id", F.col("opening_id") % 4)
+    along_y = F.col("wall_id").isin(1, 3)
+    touched = lambda at, size: F.explode(F.sequence(F.floor(at - size / 2 - 0.0800001), F.floor(at + size / 2 + 0.0800001)))
+    o = o.withColumns({"axis": along_y.cast("int"), "g": touched(F.col("cz"), F.col("height"))}).withColumn("h", touched(F.when(along_y, F.col("cy")).otherwise(F.col("cx")), F.col("width"))).alias("o")
     of = lambda s, cols: {c: F.col(f"{s}.{c}") for c in cols}
-    met = p.join(o, (F.col("p.scan_id") == F.col("o.scan_id")) & (F.col("p.g") == F.col("o.g")))
+    met = p.join(o, [F.col(f"p.{c}") == F.col(f"o.{c}") for c in ("scan_id", "axis", "g", "h")])
     return met.filter(rooms.inside_opening(of("p", "xyz"), of("o", ("wall_id", "cx", "cy", "cz", "width", "height")))).select("p.scan_id", "p.point_id", "o.opening_id")
 
 

@@ -135,3 +135,14 @@ def test_legacy_clearance_of_whole_scans(spark, sf_dir, clouds):
                 least = np.where(gap > 1e-9, np.minimum(least, gap), least)
         want |= {(ids[i], ids[j]): pytest.approx(g, abs=1e-6) for i, j, g in zip(a[near], b[near], np.where(least < np.inf, least, 0.0)[near])}
     assert {(r.a, r.b): r.gap for r in _rows(spark, sf_dir, "legacy_clearance")} == want
+
+
+def test_points_in_openings_of_whole_scans(spark, sf_dir, clouds):
+    want = set()
+    for s, (ids, v, labels) in clouds.items():
+        c, size = v[:, :3] * 10 + (0, 0, 1), (abs(v[:, 3:6]) + 0.05) * 2 * (2, 2, 3)
+        for k in np.flatnonzero(labels < 2):
+            axis = 1 if ids[k] % 4 in (1, 3) else 0
+            hit = (abs(c[:, axis] - c[k, axis]) <= size[k, 0] / 2 + 0.08) & (abs(c[:, 2] - c[k, 2]) <= size[k, 2] / 2 + 0.08)
+            want |= {(s, i, ids[k]) for i in ids[hit]}
+    assert {(r.scan_id, r.point_id, r.opening_id) for r in _rows(spark, sf_dir, "points_in_openings")} == want
