@@ -177,14 +177,29 @@ def direction_mode(normals: DataFrame, step: int = 10, cone: float = 15.0) -> Da
     return counts.groupBy("scan_id").agg(F.min_by(F.struct("i", "n"), F.struct((-F.col("n")).alias("m"), "i")).alias("b")).select("scan_id", "b.i", "b.n")
 
 
+def _outer(points: DataFrame) -> DataFrame:
+    """Points that can end a widest pair: ``r`` from the middle of a wide pair, with the farthest of all beyond its length."""
+    away = lambda at: F.sqrt(sum(((F.col(c) - F.col(f"{at}.{c}")) ** 2 for c in "yz"), (F.col("x") - F.col(f"{at}.x")) ** 2))
+    ends = points.groupBy("scan_id").agg(F.struct(*(F.avg(c).alias(c) for c in "xyz")).alias("a"))
+    for old, new in ("ab", "bc", "cd"):
+        found = points.join(ends, "scan_id").groupBy("scan_id").agg(F.max_by(F.struct("x", "y", "z"), away(old)).alias(new))
+        ends = found if new != "d" else ends.join(found, "scan_id")
+    length = F.sqrt(sum((F.col(f"c.{k}") - F.col(f"d.{k}")) ** 2 for k in "xyz"))
+    ends = settled(ends.select("scan_id", length.alias("length"), F.struct(*(((F.col(f"c.{k}") + F.col(f"d.{k}")) / 2).alias(k) for k in "xyz")).alias("m")))
+    placed = points.join(ends, "scan_id").select("scan_id", "x", "y", "z", "length", away("m").alias("r"))
+    inner = placed.groupBy("scan_id").agg((F.max("length") - F.max("r") - 1e-9).alias("inner"))
+    return placed.join(inner, "scan_id").filter("r >= inner").select("scan_id", "x", "y", "z")
+
+
 def widest_pairs(points: DataFrame, sizes: tuple[float, ...] = (0.25, 0.04)) -> DataFrame:
     """(scan_id, widest): the greatest distance between two points of a scan, exactly.
 
     Points meet by cells, coarse to fine: a pair of cells is followed only if
     the farthest points that it could hold are at least as far apart as the
     nearest ones of the best pair, so only points near the ends are compared.
+    Points too near the middle for any pair as wide as one that is known go first.
     """
-    work, pairs = points.select("scan_id", "x", "y", "z"), None
+    work, pairs = settled(_outer(points.select("scan_id", "x", "y", "z"))), None
     for size in sizes:
         own = [F.floor(F.col(c) / size).cast("bigint").alias(f"g{c}") for c in "xyz"]
         cell = F.struct(*own)

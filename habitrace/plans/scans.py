@@ -10,7 +10,7 @@ from habitrace.plans.define import q6, query, r6
 from habitrace.session import new_path
 from habitrace.sources import ply
 from habitrace.sources import ply_source as ply_files
-from habitrace.sources.driver_tables import FRAMES_SQL, ROOM_BOXES_SQL, ROOM_POINTS_SQL, frames, room_boxes, room_points, table
+from habitrace.sources.driver_tables import FRAMES_SQL, POINTS_SQL, ROOM_BOXES_SQL, ROOM_POINTS_SQL, frames, points, room_boxes, room_points, table
 
 _P = f"with {ROOM_POINTS_SQL}"
 _B = f"with {ROOM_BOXES_SQL}"
@@ -114,12 +114,12 @@ _ANGLE = "acos(greatest(least((a.x*b.x + a.y*b.y + a.z*b.z) / (sqrt(a.x*a.x + a.
 
 
 @query(
-    f"""{_P}, p as (select a.scan_id, max({_ANGLE}) as widest, max(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) as baseline from points a join points b on a.scan_id = b.scan_id and a.point_id < b.point_id group by 1)
+    f"""with {POINTS_SQL}, p as (select a.scan_id, max({_ANGLE}) as widest, max(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) as baseline from points a join points b on a.scan_id = b.scan_id and a.point_id < b.point_id group by 1)
 select scan_id, {q6('widest')} as widest, {q6('baseline')} as baseline, {q6('0.7 * least(widest / (pi() / 2), 1) + 0.3 * least(baseline / 0.8, 1)')} as diversity from p"""
 )
 def view_diversity(spark, sf_dir):
     """Widest angle (70 %) and longest baseline over the object's scale (30 %) of all of a scan's views."""
-    found = views.diversity(room_points(spark, sf_dir), F.lit(0.8))
+    found = views.diversity(points(spark, sf_dir), F.lit(0.8))
     return found.select("scan_id", *(r6(c).alias(c) for c in ("widest", "baseline", "diversity")))
 
 

@@ -3,8 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from habitrace.operators import spatial
+from habitrace.operators import spatial, views
 from habitrace.plans import registry
 
 SCANS = 5
@@ -146,3 +147,21 @@ def test_points_in_openings_of_whole_scans(spark, sf_dir, clouds):
             hit = (abs(c[:, axis] - c[k, axis]) <= size[k, 0] / 2 + 0.08) & (abs(c[:, 2] - c[k, 2]) <= size[k, 2] / 2 + 0.08)
             want |= {(s, i, ids[k]) for i in ids[hit]}
     assert {(r.scan_id, r.point_id, r.opening_id) for r in _rows(spark, sf_dir, "points_in_openings")} == want
+
+
+def test_view_diversity_of_whole_scans(spark, sf_dir, clouds):
+    want = {}
+    for s, (_, v, _) in clouds.items():
+        rays = v[:, :3] / np.linalg.norm(v[:, :3], axis=1)[:, None]
+        want[s] = (pytest.approx(np.arccos(np.clip(rays @ rays.T, -1, 1)).max(), abs=2e-6), pytest.approx(_distances(v).max(), abs=1e-6))
+    assert {r.scan_id: (r.widest, r.baseline) for r in _rows(spark, sf_dir, "view_diversity")} == want
+
+
+def test_diversity_of_narrow_and_wide_views(spark):
+    rng = np.random.default_rng(4)
+    narrow, wide = rng.normal(0, 0.2, (200, 3)) + (3, 0, 0), rng.normal(0, 1, (200, 3))
+    df = spark.createDataFrame([(s, *map(float, p)) for s, v in enumerate((narrow, wide)) for p in v], "scan_id long, x double, y double, z double")
+    got = {r.scan_id: r for r in views.diversity(df, F.lit(0.8)).collect()}
+    for s, v in enumerate((narrow, wide)):
+        rays = v / np.linalg.norm(v, axis=1)[:, None]
+        assert got[s].widest == pytest.approx(np.arccos(np.clip(rays @ rays.T, -1, 1)).max(), abs=1e-6) and got[s].baseline == pytest.approx(_distances(v).max())
