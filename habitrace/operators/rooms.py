@@ -194,9 +194,12 @@ _BOX = ("cx", "cy", "sx", "sy", "ux", "uy")
 
 
 def _of_pairs(measure: Callable[..., np.ndarray], l: str, r: str) -> Column:
-    """``measure`` of the boxes of each pair, in numpy over whole batches: as one expression it is more code than the JVM compiles."""
+    """``measure`` of the boxes of each pair, in numpy over whole batches: as one expression it is more code than the JVM compiles.
+
+    It counts as nondeterministic so that a filter on it doesn't compute it again.
+    """
     udf = F.pandas_udf(lambda *c: pd.Series(measure(dict(zip(_BOX, map(np.asarray, c[:6]))), dict(zip(_BOX, map(np.asarray, c[6:]))))), "double")
-    return udf(*(F.col(f"{side}.{c}") for side in (l, r) for c in _BOX))
+    return udf.asNondeterministic()(*(F.col(f"{side}.{c}") for side in (l, r) for c in _BOX))
 
 
 def _seen_from(s: dict, o: dict) -> tuple[np.ndarray, ...]:
