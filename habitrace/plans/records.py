@@ -275,9 +275,9 @@ def point_maps(spark, sf_dir):
 
 @query("select name from (values ('pages.parquet'), ('part.parquet')) v(name)")
 def object_listing(spark, sf_dir):
-    """Objects under a prefix, listed by the file source; their contents aren't read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "p*.parquet").load(sf_dir)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    """Objects under a prefix, listed by the file source; their contents aren't read. A folder of files is one object."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/p*.parquet")
+    return files.select(F.regexp_extract("path", r"/(p[^/]*\.parquet)(/|$)", 1).alias("name")).distinct()
 
 
 @query(f"{_P} select point_id, x, y, z from points where z between 0.10 and 1.80 and isfinite(x) and isfinite(y) and isfinite(z)")
