@@ -33,6 +33,13 @@ def r6(value: Column | str) -> Column:
     return F.round(value, 6) + F.lit(0.0)
 
 
+def d6(value: Column | str) -> Column:
+    """``r6`` of a double to the last bit of ``q6``: scaled, rounded and scaled back. ``round`` goes by the decimal digits and parts from it at halves."""
+    v = F.col(value) if isinstance(value, str) else value
+    scaled = v * F.lit(1e6)
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / F.lit(1e6)).otherwise(v) + F.lit(0.0)
+
+
 def q6(value: str) -> str:
     """``r6`` in SQL."""
     return f"(round({value}, 6) + 0.0)"

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from habitrace.functions import text
-from habitrace.operators import records
-from habitrace.plans.define import q6, query, r6
+from habitrace.operators import exact, records
+from habitrace.plans.define import d6, q6, query, r6
 from habitrace.sources.driver_tables import FRAMES_SQL, ROOM_BOXES_SQL, ROOM_POINTS_SQL, frames, room_boxes, room_points, table
 
 _B, _F, _P = f"with {ROOM_BOXES_SQL}", f"with {FRAMES_SQL}", f"with {ROOM_POINTS_SQL}"
@@ -43,13 +43,13 @@ def account_inputs(spark, sf_dir):
 
 @query("with w as (select user_id as scan_id, event_type as label, sum(value) as weight from events group by 1, 2) select scan_id, label, round(weight, 6) + 0.0 as weight, (rank() over (partition by scan_id order by weight desc, label))::bigint as place, round(weight / sum(weight) over (partition by scan_id), 6) + 0.0 as share from w")
 def label_shares(spark, sf_dir):
-    """Weights by label accumulated as a map, ranked, and as shares of the whole."""
-    per = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("scan_id"), "event_type").agg(F.sum("value").alias("w"))
-    maps = per.groupBy("scan_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "w"))).alias("m"))
-    ranked = F.array_sort(F.transform(F.map_entries("m"), lambda e: F.struct((-e["value"]).alias("minus"), e["key"].alias("label"))))
-    total = F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, x: a + x)
-    rows = maps.select("scan_id", total.alias("total"), F.posexplode(ranked).alias("at", "e"))
-    return rows.select("scan_id", "e.label", r6(-F.col("e.minus")).alias("weight"), (F.col("at") + 1).cast("bigint").alias("place"), r6(-F.col("e.minus") / F.col("total")).alias("share"))
+    """Weights by label accumulated, ranked, and as shares of the whole; a share of nothing is not a number."""
+    w = Window.partitionBy("scan_id")
+    events = exact.added(table(spark, sf_dir, "events"), ["user_id", "event_type"], "value", "event_id")
+    per = events.groupBy(F.col("user_id").alias("scan_id"), F.col("event_type").alias("label")).agg(exact.in_order().alias("w"))
+    place = F.rank().over(w.orderBy(F.col("w").desc_nulls_last(), F.col("label").asc_nulls_last()))
+    share = F.coalesce(F.try_divide("w", F.sum("w").over(w)), F.col("w") * F.lit(float("inf")))
+    return per.select("scan_id", "label", d6("w").alias("weight"), place.cast("bigint").alias("place"), d6(share).alias("share"))
 
 
 @query("select l_orderkey as scan_id, min_by(l_linenumber, {'n': l_linenumber, 'p': l_partkey, 'q': l_quantity}) filter (where l_returnflag <> 'A' and l_discount > 0) as risk_id, min(case when l_returnflag <> 'A' and l_discount > 0 then l_linenumber end) is not null as found from lineitem group by 1")
