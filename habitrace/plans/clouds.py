@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from habitrace.operators import planes, spatial
+from habitrace.operators import exact, planes, spatial
 from habitrace.plans.define import q6, query, r6
 from habitrace.sources.driver_tables import BOXES_SQL, POINTS_SQL, ROOM_POINTS_SQL, boxes, points, room_points, table
 
@@ -182,7 +182,7 @@ k as (select *, row_number() over (partition by scan_id order by n desc, bin) as
 def hist_step_height(spark, sf_dir):
     """The fullest fixed-width bin above the base; ties go to the lowest bin."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("scan_id"), "value")
-    base = e.groupBy("scan_id").agg(F.percentile("value", 0.05).alias("z0"), F.count("*").alias("total")).filter("total >= 20")
+    base = exact.quantiles(e, ["scan_id"], "value", {"z0": 0.05}).filter("total >= 20")
     bins = e.join(base, "scan_id").filter("value - z0 between 0 and 60").groupBy("scan_id", F.floor((F.col("value") - F.col("z0")) / 5).alias("bin")).agg(F.count("*").alias("n"))
     top = bins.groupBy("scan_id").agg(F.min_by(F.struct("bin", "n"), F.struct((-F.col("n")).alias("m"), "bin")).alias("b"), F.sum("n").alias("s")).filter("s >= 10")
     return top.select("scan_id", (F.col("b.bin") * 5 + 2.5).alias("height"), F.col("b.n").alias("n"))

@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from habitrace.operators import exact
 from habitrace.plans import registry
 
 KINDS = np.array(["view", "click", "error", "signup", "purchase"])
@@ -77,13 +78,13 @@ def tied(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["label_shares"])
+@pytest.mark.parametrize("name", ["hist_step_height", "label_shares"])
 def test_ties_fall_as_in_the_sql(spark, tied, name):
     got, want = _against_sql(spark, tied, name)
     assert len(got) > 1 and got == want
 
 
-@pytest.mark.parametrize("name", ["label_shares"])
+@pytest.mark.parametrize("name", ["label_shares", "hist_step_height"])
 def test_odd_events(spark, tmp_path, name):
     """Null scans, kinds and values, labels that weigh nothing, values that are not finite."""
     rng = np.random.default_rng(32)
@@ -97,3 +98,9 @@ def test_odd_events(spark, tmp_path, name):
     view.coalesce(1).sortWithinPartitions("event_id").write.parquet(f"{tmp_path}/events.parquet")
     got, want = _against_sql(spark, tmp_path, name)
     assert got == want
+
+
+def test_quantiles_of_few_values(spark):
+    rows = spark.createDataFrame([(1, 1.0), (1, None), (2, None), (3, 1.0), (3, 2.0), (3, 2.0), (3, 4.0), (4, -1.0), (4, float("inf"))], "g long, v double")
+    got = {r.g: (r.total, r.low, r.mid) for r in exact.quantiles(rows, ["g"], "v", {"low": 0.25, "mid": 0.5}).collect()}
+    assert got == {1: (2, 1.0, 1.0), 2: (1, None, None), 3: (4, 1.75, 2.0), 4: (2, float("inf"), float("inf"))}
