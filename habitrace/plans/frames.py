@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from habitrace.plans.define import q6, query, r6
+from habitrace.operators import exact
+from habitrace.plans.define import d6, q6, query, r6
 from habitrace.sources.driver_tables import FRAMES_SQL, frames, table
 
 _F = f"with {FRAMES_SQL}"
@@ -97,9 +98,9 @@ def weighted_median(spark, sf_dir):
 
 @query(f"{_F}, q as (select scan_id, kind, quantile_cont(value, 0.25) as lo, quantile_cont(value, 0.5) as mid, quantile_cont(value, 0.75) as hi from frames group by 1, 2) select scan_id, kind, {q6('(hi - lo) / nullif(mid, 0)')} as spread, coalesce((hi - lo) / nullif(mid, 0) <= 1.2, false) as agrees from q")
 def iqr_gate(spark, sf_dir):
-    q = frames(spark, sf_dir).groupBy("scan_id", "kind").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    spread = F.try_divide(F.col("q")[2] - F.col("q")[0], F.col("q")[1])
-    return q.select("scan_id", "kind", r6(spread).alias("spread"), F.coalesce(spread <= 1.2, F.lit(False)).alias("agrees"))
+    q = exact.quantiles(frames(spark, sf_dir).select("scan_id", "kind", "value"), ["scan_id", "kind"], "value", {"lo": 0.25, "mid": 0.5, "hi": 0.75})
+    spread = F.try_divide(F.col("hi") - F.col("lo"), F.col("mid"))
+    return q.select("scan_id", "kind", d6(spread).alias("spread"), F.coalesce(spread <= 1.2, F.lit(False)).alias("agrees"))
 
 
 @query(f"{_F}, g as (select scan_id, kind, value - lag(value) over (partition by scan_id, kind order by value) as gap, max(value) over (partition by scan_id, kind) - min(value) over (partition by scan_id, kind) as span from frames) select scan_id, kind, 1 + count(*) filter (where gap > 0.12 * span) as clusters from g group by 1, 2")
