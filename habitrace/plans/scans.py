@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from habitrace.operators import density, graph, grid, sampling, spatial, views
+from habitrace.operators import density, exact, graph, grid, sampling, spatial, views
 from habitrace.plans.define import q6, query, r6
 from habitrace.session import new_path, settled
 from habitrace.sources import ply
@@ -245,8 +245,9 @@ def best_three_views(spark, sf_dir):
 
 @query(f"{_F}, r as (select scan_id, kind, case when avg(value) > 30 then 2 when avg(value) > 20 then 1 when avg(value) > 10 then 0 else -1 end as rank from frames group by 1, 2) select scan_id, case min(rank) when 2 then 'high' when 1 then 'medium' when 0 then 'low' else 'unknown' end as confidence from r group by 1")
 def confidence_minimum(spark, sf_dir):
-    v = F.avg("value")
-    r = frames(spark, sf_dir).groupBy("scan_id", "kind").agg(F.when(v > 30, 2).when(v > 20, 1).when(v > 10, 0).otherwise(-1).alias("rank"))
+    v = F.col("v")
+    each = exact.added(frames(spark, sf_dir), ["scan_id", "kind"], "value", "frame_id").groupBy("scan_id", "kind").agg(exact.mean_in_order("value").alias("v"))
+    r = each.select("scan_id", F.when(v > 30, 2).when(v > 20, 1).when(v > 10, 0).otherwise(-1).alias("rank"))
     names = F.element_at(F.array(F.lit("unknown"), F.lit("low"), F.lit("medium"), F.lit("high")), F.min("rank") + 2)
     return r.groupBy("scan_id").agg(names.alias("confidence"))
 
