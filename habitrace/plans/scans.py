@@ -153,7 +153,8 @@ def room_dimensions(spark, sf_dir):
 @query(f"{_F}, e as (select scan_id, kind, count(*) as n, count(distinct view_id) as views, avg(value) as v from frames group by 1, 2) select scan_id, kind, case when views < 2 then 'rejected' when n < 10 then 'ambiguous' when v < 20 then 'weak' when v < 30 then 'usable' else 'clean' end as status, concat_ws(',', case when views < 3 then 'too_few_views' end, case when n < 12 then 'too_few_points' end) as reasons from e")
 def observation_status(spark, sf_dir):
     """Five-level purification status with every reason that applies."""
-    e = frames(spark, sf_dir).groupBy("scan_id", "kind").agg(F.count("*").alias("n"), F.countDistinct("view_id").alias("views"), F.avg("value").alias("v"))
+    f = exact.added(frames(spark, sf_dir), ["scan_id", "kind"], "value", "frame_id")
+    e = f.groupBy("scan_id", "kind").agg(F.count("*").alias("n"), F.countDistinct("view_id").alias("views"), exact.mean_in_order("value").alias("v"))
     status = F.when(F.col("views") < 2, "rejected").when(F.col("n") < 10, "ambiguous").when(F.col("v") < 20, "weak").when(F.col("v") < 30, "usable").otherwise("clean")
     reasons = F.concat_ws(",", F.when(F.col("views") < 3, "too_few_views"), F.when(F.col("n") < 12, "too_few_points"))
     return e.select("scan_id", "kind", status.alias("status"), reasons.alias("reasons"))
