@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from habitrace.operators import rules
-from habitrace.plans.define import q6, query, r6
+from habitrace.operators import exact, rules
+from habitrace.plans.define import d6, q6, query, r6
 from habitrace.sources.driver_tables import table
 
 #: How event types stand for rule codes: (type, code, factor).
@@ -16,7 +16,8 @@ CODES = [("view", "door_width", 0.02), ("click", "passage_width", 0.03), ("error
 def measures(spark: SparkSession, sf_dir: str, support: int = 12) -> DataFrame:
     """(scan_id, code, value): averages with enough support, else NULL."""
     codes = spark.createDataFrame(CODES, "event_type string, code string, factor double")
-    seen = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("scan_id"), "event_type").agg(F.avg("value").alias("v"), F.count("*").alias("n"))
+    events = exact.added(table(spark, sf_dir, "events"), ["user_id", "event_type"], "value", "event_id")
+    seen = events.groupBy(F.col("user_id").alias("scan_id"), "event_type").agg(exact.mean_in_order("value").alias("v"), F.count("*").alias("n"))
     return seen.join(F.broadcast(codes), "event_type").select("scan_id", "code", rules.eligible_value(F.col("v") * F.col("factor"), F.col("n") >= support).alias("value"))
 
 
@@ -37,7 +38,7 @@ def _levels(spark: SparkSession, sf_dir: str, support: int = 12) -> DataFrame:
 
 @query(_base() + f"select scan_id, code, category, level, {q6('value')} as value from lv")
 def risk_levels(spark, sf_dir):
-    return _levels(spark, sf_dir).select("scan_id", "code", "category", "level", r6("value").alias("value"))
+    return _levels(spark, sf_dir).select("scan_id", "code", "category", "level", d6("value").alias("value"))
 
 
 @query(_base() + f"select scan_id, {q6('score')} as score, known, total from sc")

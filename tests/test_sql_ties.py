@@ -78,13 +78,13 @@ def tied(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["confidence_minimum", "hist_step_height", "iqr_gate", "label_shares", "observation_status"])
+@pytest.mark.parametrize("name", ["confidence_minimum", "hist_step_height", "iqr_gate", "label_shares", "observation_status", "risk_levels"])
 def test_ties_fall_as_in_the_sql(spark, tied, name):
     got, want = _against_sql(spark, tied, name)
     assert len(got) > 1 and got == want
 
 
-@pytest.mark.parametrize("name", ["iqr_gate", "label_shares", "hist_step_height", "observation_status", "confidence_minimum"])
+@pytest.mark.parametrize("name", ["iqr_gate", "label_shares", "hist_step_height", "observation_status", "confidence_minimum", "risk_levels"])
 def test_odd_events(spark, tmp_path, name):
     """Null scans, kinds and values, labels that weigh nothing, values that are not finite."""
     rng = np.random.default_rng(32)
