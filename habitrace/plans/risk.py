@@ -43,7 +43,7 @@ def risk_levels(spark, sf_dir):
 
 @query(_base() + f"select scan_id, {q6('score')} as score, known, total from sc")
 def risk_score(spark, sf_dir):
-    return rules.score(_levels(spark, sf_dir)).select("scan_id", r6("score").alias("score"), "known", "total")
+    return rules.score(_levels(spark, sf_dir)).select("scan_id", d6("score").alias("score"), "known", "total")
 
 
 @query(_base(20) + f"select scan_id, {q6('score')} as score, {q6('100.0 * known / total')} as completeness from sc")
