@@ -49,7 +49,7 @@ def risk_score(spark, sf_dir):
 @query(_base(20) + f"select scan_id, {q6('score')} as score, {q6('100.0 * known / total')} as completeness from sc")
 def risk_completeness(spark, sf_dir):
     """A stricter support gate: scans without any trusted measure have no score."""
-    return rules.score(_levels(spark, sf_dir, 20)).select("scan_id", r6("score").alias("score"), r6("completeness").alias("completeness"))
+    return rules.score(_levels(spark, sf_dir, 20)).select("scan_id", d6("score").alias("score"), d6("completeness").alias("completeness"))
 
 
 @query(_base() + "select scan_id, string_agg(code, '; ' order by place) as advice, count(*) as n from lv where level in ('red', 'yellow') group by 1")
