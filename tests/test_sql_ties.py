@@ -78,7 +78,7 @@ def tied(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["confidence_minimum", "hist_step_height", "iqr_gate", "label_shares", "observation_status", "risk_bands", "risk_completeness", "risk_geometry_kinds", "risk_levels", "risk_score"])
+@pytest.mark.parametrize("name", ["confidence_minimum", "hist_step_height", "iqr_gate", "label_shares", "observation_status", "risk_bands", "risk_completeness", "risk_geometry_kinds", "risk_levels", "risk_score", "risk_status_counts"])
 def test_ties_fall_as_in_the_sql(spark, tied, name):
     got, want = _against_sql(spark, tied, name)
     assert len(got) > 1 and got == want
